@@ -24,8 +24,29 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def word_tokenizer() -> str:
+    """The tokenizer file of the registered queries; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajlake.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id")
+
+
+def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajlake.llm.bpe_codec import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_packing": op4_packing,
+    "op7_bpe_codec": op7_bpe_codec,
     "op9_sharding": op9_sharding,
 }
 
