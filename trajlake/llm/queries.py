@@ -31,12 +31,26 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from trajlake.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajlake.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajlake.llm.secrets import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajlake.llm.bpe_codec import encode_digests
 
@@ -44,8 +58,10 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
+    "op6_secret_scan": op6_secret_scan,
     "op7_bpe_codec": op7_bpe_codec,
     "op9_sharding": op9_sharding,
 }
