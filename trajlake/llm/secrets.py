@@ -31,8 +31,8 @@ SAMPLE_WORDS = 400
 #: Random strings added to those that the patterns find.
 RANDOM_STRINGS = 4_000
 #: Least log-likelihood ratio of a secret: over the whole string, and for each character pair on average.
-LEAST_RATIO = 18.0
-LEAST_MEAN = 0.75
+LEAST_RATIO = 30.0
+LEAST_MEAN = 1.5
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-"
 _CODE = np.full(128, -1, np.int64)
@@ -51,7 +51,10 @@ class SecretModel:
         return float(pairs.sum()), float(pairs.mean())
 
     def is_secret(self, text: str) -> bool:
-        """Random enough, and mixed as keys are: letters and digits together, or upper and lower case in disorder."""
+        """Random enough, and mixed as keys are: letters with digits, or upper with lower case."""
+        kinds = [any(c.isdigit() for c in text), any(c.isupper() for c in text), any(c.islower() for c in text)]
+        if sum(kinds) < 2:
+            return False
         total, mean = self.score(text)
         return total >= LEAST_RATIO and mean >= LEAST_MEAN
 
@@ -73,6 +76,13 @@ def random_strings(n: int, seed: int = 11) -> list[str]:
     return ["".join(rng.choice(list(alphabets[k % len(alphabets)]), int(rng.integers(20, 48)))) for k in range(n)]
 
 
+def plain_forms() -> list[str]:
+    """Ordinary strings that are no words: numbers, dates, times, versions, rules of one character, the alphabet."""
+    numbers = [str(k * 7919 + 13) * (1 + k % 3) for k in range(1, 1500)]
+    dates = [f"20{y:02d}-{m:02d}-{d:02d}" + t for y in range(10, 30) for m in range(1, 13) for d in (3, 17, 28) for t in ("", "T00-00-00", "_12-30-45")]
+    return numbers + dates + [c * 24 for c in "-_=+/"] * 40 + ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"] * 20
+
+
 def train(random: list[str], ordinary: list[str]) -> SecretModel:
     def model(strings):
         counts = _pair_counts(strings) + 1.0
@@ -111,7 +121,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     spread = F.filter(words, lambda w, i: i % F.greatest(F.lit(1), F.ceil(F.size(words) / sample_words).cast("int")) == 0)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").orderBy(F.xxhash64("id"), "id").limit(sample_docs)
     rows = chosen.select(spread.alias("w")).collect()
-    random, ordinary = random_strings(RANDOM_STRINGS), []
+    random, ordinary = random_strings(RANDOM_STRINGS), plain_forms()
     for (found,) in rows:
         previous: list[str] = []
         for word in found:
