@@ -51,6 +51,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajlake.llm.embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajlake.llm.secrets import digest, scan
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_bpe_codec": op7_bpe_codec,
     "op9_sharding": op9_sharding,
