@@ -17,6 +17,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rules_failed", ",").alias("rules_failed"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajlake.llm.lm_scoring import score_documents, training_rows
+
+    scored = score_documents(table(spark, sf_dir, "documents"), training_rows())
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajlake.llm.sharding import shuffle_shards
 
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
 }
