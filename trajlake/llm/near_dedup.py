@@ -259,7 +259,8 @@ def candidate_texts(base: DataFrame, nodes: DataFrame, placed: DataFrame) -> Dat
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, all its columns as they were."""
     kept = near_duplicates(docs, similarity, id_col, text_col).where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    joined = keyed.join(kept, [keyed[id_col].eqNullSafe(kept["_id"]), keyed["_key"] == kept["_digest"]], "left_semi")
-    repeats = kept.count() < joined.count()
-    return (joined.dropDuplicates([id_col, "_key"]) if repeats else joined).drop("_key")
+    packed = docs.select(F.struct("*").alias("row"))
+    keyed = packed.select("row", F.col("row")[id_col].alias("_own"), F.unhex(F.md5(F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")))).alias("_key"))
+    joined = keyed.join(kept, [keyed["_own"].eqNullSafe(kept["_id"]), keyed["_key"] == kept["_digest"]], "left_semi")
+    repeats = docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1").limit(1).count()  # ids only: no text moves
+    return (joined.dropDuplicates(["_own", "_key"]) if repeats else joined).select("row.*")

@@ -198,3 +198,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     features = materialize(document_features(docs, id_col, text_col))
     return score_features(features, fit(features, training_labels(labels)))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, all columns as they were; learnt as in ``classify``.
+
+    Without usable labels nothing is rejected."""
+    model = fit(materialize(document_features(docs, id_col, text_col)), training_labels(labels))
+    if model is None:
+        return docs
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                score = model.score(statistics(as_strings(batch.column(batch.schema.get_field_index(text_col)))))
+                yield batch.filter(pa.array(score >= least))
+
+    return docs.mapInArrow(run, docs.schema)

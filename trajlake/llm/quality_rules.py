@@ -176,3 +176,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     """
     statistics = materialize(document_statistics(docs, id_col, text_col, stratum_col))
     return judge(statistics, certified_cutoffs(statistics, labels, alpha, delta))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they were; no row moves between partitions for it.
+
+    The cases are those of ``quality_rules``."""
+    cutoffs = materialize(certified_cutoffs(materialize(document_statistics(docs, id_col, text_col, stratum_col)), labels, alpha, delta))
+    packed = docs.select(F.struct("*").alias("row"))
+    stratum = F.coalesce(F.col("row")[stratum_col].cast("string"), F.lit("")) if stratum_col else F.lit("")
+    counted = text_statistics(packed.withColumn("stratum", stratum), F.col("row")[text_col])
+    flat = counted.select("row", "stratum", "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_lines", "_l.n_dup_lines", "_w.n_repeat_words", "n_capitals")
+    return judge(flat, cutoffs).where("kept").select("row.*")
