@@ -27,13 +27,14 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{20,}", re.ASCII)
 #: Documents whose texts give the labelled samples, those with the smallest hash of their id; and words taken from each.
 SAMPLE_DOCS = 2_000
-SAMPLE_WORDS = 400
+SAMPLE_WORDS = 100
 #: Random strings added to those that the patterns find.
 RANDOM_STRINGS = 4_000
 #: Least log-likelihood ratio of a secret: over the whole string, and for each character pair on average.
 LEAST_RATIO = 30.0
 LEAST_MEAN = 1.5
 
+_OTHER, _DIGIT = re.compile(r"[^A-Za-z0-9_+/=-]"), re.compile(r"[0-9]")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-"
 _CODE = np.full(128, -1, np.int64)
 _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
@@ -59,14 +60,12 @@ class SecretModel:
         return total >= LEAST_RATIO and mean >= LEAST_MEAN
 
 
-def _pair_counts(strings) -> np.ndarray:
+def _pair_counts(strings: list[str]) -> np.ndarray:
+    """Character pairs inside the strings; other characters part them."""
     size = len(_ALPHABET)
-    counts = np.zeros((size, size))
-    for s in strings:
-        codes = _CODE[np.frombuffer(s.encode("ascii", "replace"), np.uint8) & 127]
-        codes = codes[codes >= 0]
-        np.add.at(counts, (codes[:-1], codes[1:]), 1)
-    return counts
+    codes = _CODE[np.frombuffer("\n".join(strings).encode("ascii", "replace"), np.uint8) & 127]
+    both = (codes[:-1] >= 0) & (codes[1:] >= 0)
+    return np.bincount(codes[:-1][both] * size + codes[1:][both], minlength=size * size).reshape(size, size).astype(float)
 
 
 def random_strings(n: int, seed: int = 11) -> list[str]:
@@ -118,23 +117,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     """Train on at most ``sample_docs`` texts and ``sample_words`` words spread over each; fewer or none leave the seeded
     strings and the smoothing to decide."""
     words = F.split("text", "[\\x20\\x09-\\x0D]+")
-    spread = F.filter(words, lambda w, i: i % F.greatest(F.lit(1), F.ceil(F.size(words) / sample_words).cast("int")) == 0)
+    stride = lambda w: F.greatest(F.lit(1), F.ceil(F.size(w) / sample_words).cast("int"))
+    chosen_of = lambda w, step: F.filter(w, lambda x, i: i % step == 0)
+    spread = F.transform(F.array(F.struct(words.alias("w"), stride(words).alias("s"))), lambda v: chosen_of(v["w"], v["s"]))[0]  # split once a text
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").orderBy(F.xxhash64("id"), "id").limit(sample_docs)
     rows = chosen.select(spread.alias("w")).collect()
     random, ordinary = random_strings(RANDOM_STRINGS), plain_forms()
     for (found,) in rows:
-        previous: list[str] = []
+        plain = []
         for word in found:
-            if base_spans("token=" + word if len(word) >= 32 and any(c.isdigit() for c in word) else word):
-                random.append(word)
-                continue
-            plain = re.sub(r"[^A-Za-z0-9_+/=-]", "", word)
-            if len(plain) > 1 and not any(c.isdigit() for c in plain):
-                ordinary.append(plain)
-                previous.append(plain)
-            if len(previous) == 3:  # words joined as in names: snake_case, camelCase, kebab-case, paths, CONSTANTS
-                ordinary += ["_".join(previous).lower(), previous[0].lower() + "".join(p.capitalize() for p in previous[1:]), "-".join(previous), "/".join(previous), "_".join(previous).upper(), "_".join(previous).lower() + "_2024"]
-                previous = []
+            if len(word) >= 20 and base_spans("token=" + word):
+                if any(c.isdigit() for c in word):
+                    random.append(word)
+                    continue
+            word = _OTHER.sub("", word)
+            if len(word) > 1 and not _DIGIT.search(word):
+                plain.append(word)
+        ordinary += plain
+        for k in range(0, len(plain) - 2, 3):  # words joined as in names: snake_case, camelCase, kebab-case, paths, CONSTANTS
+            three = plain[k : k + 3]
+            snake = "_".join(three)
+            ordinary += [snake.lower(), three[0].lower() + three[1].capitalize() + three[2].capitalize(), "-".join(three), "/".join(three), snake.upper(), snake.lower() + "_2024"]
     return train(random, ordinary)
 
 
