@@ -52,3 +52,14 @@ def crc_mod(column: str | Column, modulus: int) -> Column:
 
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+def hash_sample(df: DataFrame, key: str, size: int, seed: int = 1) -> DataFrame:
+    """About ``size`` rows (never more than twice that), chosen by the hash of their key; all rows of a smaller table.
+
+    A threshold on the hash keeps what each task returns small however many tasks there are."""
+    total = df.count()
+    if total <= size:
+        return df
+    span = 1 << 31
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(span)) < int(span * size / total)).limit(2 * size)

@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import materialize
+from trajlake.llm.common import hash_sample, materialize
 from trajlake.llm.components import connected_components
 
 COSINE = 0.93
-#: Vectors that k-means is fitted on, those with the smallest hash of their id; and the most cells.
+#: Vectors that k-means is fitted on (about; at most twice as many), and the most cells.
 SAMPLE = 20_000
 MAX_CELLS = 256
 #: Vectors of a cell, about, and of a block.
@@ -159,7 +159,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: s
 
 
 def _links_of(nodes: DataFrame, n: int, cosine: float, sample: int, max_cells: int, block_rows: int) -> DataFrame:
-    picked = nodes.orderBy(F.xxhash64("first_id"), "node").select("v").limit(sample).collect()
+    picked = hash_sample(nodes, "node", sample).select("v").collect()
     centres = spherical_kmeans(unit(np.array([r["v"] for r in picked], float)), max(1, min(max_cells, -(-n // CELL_ROWS))))
     placed = nodes.select("node", F.col("label").cast("string").alias("label"), "copies", "v").mapInArrow(_assign(centres, cosine), "node long, label string, copies long, cell int, home boolean, u array<double>")
     placed = materialize(placed)

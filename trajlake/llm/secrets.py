@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajlake.llm.common import hash_sample
+
 #: Fixed patterns of the base: kind, expression, least length of what is measured.
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -25,7 +27,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{20,}", re.ASCII)
-#: Documents whose texts give the labelled samples, those with the smallest hash of their id; and words taken from each.
+#: Documents whose texts give the labelled samples (about; at most twice as many), and words taken from each.
 SAMPLE_DOCS = 2_000
 SAMPLE_WORDS = 100
 #: Random strings added to those that the patterns find.
@@ -114,14 +116,14 @@ def model_spans(text: str, base: list[tuple[str, int, int]], model: SecretModel)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> SecretModel:
-    """Train on at most ``sample_docs`` texts and ``sample_words`` words spread over each; fewer or none leave the seeded
+    """Train on about ``sample_docs`` texts (at most twice as many) and ``sample_words`` words spread over each; fewer or none leave the seeded
     strings and the smoothing to decide."""
     words = F.split("text", "[\\x20\\x09-\\x0D]+")
     stride = lambda w: F.greatest(F.lit(1), F.ceil(F.size(w) / sample_words).cast("int"))
     chosen_of = lambda w, step: F.filter(w, lambda x, i: i % step == 0)
     spread = F.transform(F.array(F.struct(words.alias("w"), stride(words).alias("s"))), lambda v: chosen_of(v["w"], v["s"]))[0]  # split once a text
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    rows = chosen.select(spread.alias("w")).collect()
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = hash_sample(base, "id", sample_docs).where("text is not null").select(spread.alias("w")).collect()
     random, ordinary = random_strings(RANDOM_STRINGS), plain_forms()
     for (found,) in rows:
         plain = []
