@@ -147,8 +147,8 @@ def action_name_match(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT o.task_id, o.pos, max(CASE WHEN c.task_id IS NULL THEN NULL ELSE ((abs(o.quantity - c.quantity) < 0.001)::INT + (abs(o.discount - c.discount) < 0.001)::INT) / 2 END) AS best
- FROM ord o LEFT JOIN ord c ON c.task_id = o.task_id AND c.name = o.name AND c.called GROUP BY o.task_id, o.pos)
+    """WITH r AS (SELECT *, row_number() OVER () AS rid FROM ord), p AS (SELECT o.task_id, o.rid, max(CASE WHEN c.task_id IS NULL THEN NULL ELSE ((abs(o.quantity - c.quantity) < 0.001)::INT + (abs(o.discount - c.discount) < 0.001)::INT) / 2 END) AS best
+ FROM r o LEFT JOIN r c ON c.task_id = o.task_id AND c.name = o.name AND c.called GROUP BY o.task_id, o.rid)
  SELECT task_id, round(sum(coalesce(best, 0.0)) / count(*), 9) AS parameter_accuracy FROM p GROUP BY task_id""",
     "ord",
 )
@@ -374,3 +374,443 @@ def schema_hallucination_check(spark, d):
 def unknown_tool_anti(spark, d):
     known = spark.createDataFrame([("click",), ("signup",)], "name string")
     return event_messages(spark, d).where("kind = 'call'").join(known, "name", "left_anti").select("event_id", "name")
+
+
+# --- message text -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT traj_id, count(*) AS n_messages, string_agg(role || ': ' || content, chr(10) ORDER BY idx) AS transcript FROM conv GROUP BY traj_id", "conv")
+def history_transcript(spark, d):
+    grouped = conversation_messages(spark, d).groupBy("traj_id").agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list(F.struct("idx", "role", "content"))).alias("m"))
+    return grouped.select("traj_id", "n_messages", text.transcript(F.col("m")).alias("transcript"))
+
+
+@query(
+    """WITH m AS (SELECT *, min(idx) FILTER (role NOT IN ('system', 'assistant')) OVER (PARTITION BY traj_id) AS f, max(idx) FILTER (role NOT IN ('system', 'user')) OVER (PARTITION BY traj_id) AS l FROM conv)
+ SELECT traj_id, idx, role FROM m WHERE NOT (role = 'assistant' AND idx < coalesce(f, 2147483647)) AND NOT (role = 'user' AND idx > coalesce(l, -1))""",
+    "conv",
+)
+def sft_head_tail_trim(spark, d):
+    return sequence.trim_ends(conversation_messages(spark, d)).select("traj_id", "idx", "role")
+
+
+@query(
+    """WITH g AS (SELECT *, CASE WHEN role = 'tool' AND lag(role) OVER (PARTITION BY traj_id ORDER BY idx) = 'tool' THEN 0 ELSE 1 END AS s FROM evt),
+ h AS (SELECT *, sum(s) OVER (PARTITION BY traj_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS grp FROM g),
+ m AS (SELECT traj_id, min(idx) AS idx, arg_min(role, idx) AS role, string_agg(content, '' ORDER BY idx) AS content FROM h GROUP BY traj_id, grp),
+ w AS (SELECT *, min(idx) FILTER (role <> 'assistant') OVER (PARTITION BY traj_id) AS f, max(idx) FILTER (role <> 'user') OVER (PARTITION BY traj_id) AS l FROM m)
+ SELECT traj_id, idx, role, content FROM w WHERE NOT (role = 'assistant' AND idx < coalesce(f, 2147483647)) AND NOT (role = 'user' AND idx > coalesce(l, -1))""",
+    "evt",
+)
+def sft_merge_tool_results(spark, d):
+    rows = event_messages(spark, d).withColumn("user_side", F.lit(False))
+    return sequence.merge_tool_results(rows).select("traj_id", F.col("idx").cast("long").alias("idx"), "role", "content")
+
+
+@query("SELECT conv_id AS traj_id, turn AS idx, role, text AS content FROM conversations WHERE role IN ('system', 'user', 'assistant') AND conv_id % 5 <> 0")
+def sft_project(spark, d):
+    rows = conversation_messages(spark, d).withColumn("valid", F.when(F.col("traj_id") % 5 == 0, False))
+    return rows.where(F.coalesce("valid", F.lit(True)) & F.col("role").isin("system", "user", "assistant")).select("traj_id", "idx", "role", "content")
+
+
+@query("SELECT event_id, name AS call_name, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM evt WHERE kind = 'call'", "evt")
+def tool_call_extract_first(spark, d):
+    call = text.first_tool_call(F.col("content"))
+    rows = event_messages(spark, d).withColumn("call", call).where("call is not null")
+    return rows.select("event_id", F.col("call.name").alias("call_name"), F.get_json_object("call.arguments", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT traj_id, count(*) AS n_calls, string_agg(name, ',' ORDER BY idx) AS names FROM evt WHERE kind = 'call' GROUP BY traj_id", "evt")
+def tool_call_extract_all(spark, d):
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "content"))), lambda m: m["content"]), "\n")
+    whole = event_messages(spark, d).groupBy("traj_id").agg(joined.alias("content"))
+    calls = text.all_tool_calls(F.col("content"))
+    return whole.select("traj_id", F.size(calls).cast("long").alias("n_calls"), F.array_join(F.transform(calls, lambda c: c["name"]), ",").alias("names"))
+
+
+@query("SELECT event_id, content AS rendered FROM evt WHERE kind = 'call'", "evt")
+def tool_call_roundtrip(spark, d):
+    rows = event_messages(spark, d).where("kind = 'call'").withColumn("call", text.first_tool_call(F.col("content")))
+    return rows.select("event_id", text.render_tool_call(F.col("call.name"), F.regexp_replace("call.arguments", '":', '": ')).alias("rendered"))
+
+
+@query(
+    r"""SELECT doc_id, md5(regexp_replace(regexp_replace('a' || chr(10) || chr(10) || left(text, 200), '(?s)<think>.*?</think>', '', 'g') || chr(10) || chr(10) || 'b', '\n{3,}', chr(10) || chr(10), 'g')) AS cleaned
+ FROM documents WHERE lang = 'en'"""
+)
+def strip_think_and_squeeze(spark, d):
+    raw = F.concat(F.lit("  a\n\n"), F.lit("<think>plan\n\n</think>"), F.substring("text", 1, 200), F.lit("\n\n<thought>x</thought>b \n"))
+    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(text.remove_think_tags(raw)).alias("cleaned"))
+
+
+@query(
+    """SELECT event_id, is_error AS strict_error, is_error OR content LIKE '%Error:%' AS any_error, regexp_matches(lower(content), 'error|not found|invalid|failed|does not exist|no such|cannot|unable to|exception') AS word_error FROM evt""",
+    "evt",
+)
+def error_predicates(spark, d):
+    c = F.col("content")
+    return event_messages(spark, d).select("event_id", text.is_error_result(c).alias("strict_error"), text.contains_error(c).alias("any_error"), text.has_error_word(c).alias("word_error"))
+
+
+TEMPLATED = """t AS (SELECT event_id, name, 'Error: order #W' || event_id || ' of user_x_' || traj_id || ' on 2024-01-' || lpad(CAST(event_id % 28 + 1 AS VARCHAR), 2, '0') || ' cost ' || (event_id % 50) || ' not found' AS message FROM evt WHERE kind = 'result'),
+ u AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(message, '\\b[a-z]+_[a-z]+_\\d+\\b', '{user_id}', 'g'), '#W\\d+', '{order_id}', 'g'), '\\d{4}-\\d{2}-\\d{2}', '{date}', 'g'), '\\b\\d+\\b', '{amount}', 'g') AS error FROM t)""".replace("\\\\", "\\")
+
+
+def _failures(spark, d):
+    day = F.lpad((F.col("event_id") % 28 + 1).cast("string"), 2, "0")
+    message = F.concat(F.lit("Error: order #W"), F.col("event_id").cast("string"), F.lit(" of user_x_"), F.col("traj_id").cast("string"), F.lit(" on 2024-01-"), day, F.lit(" cost "), (F.col("event_id") % 50).cast("string"), F.lit(" not found"))
+    return event_messages(spark, d).where("kind = 'result'").select("event_id", "name", "traj_id", message.alias("message"))
+
+
+@query(f"WITH {TEMPLATED} SELECT event_id, error FROM u", "evt")
+def error_template(spark, d):
+    return _failures(spark, d).select("event_id", text.error_template(F.col("message")).alias("error"))
+
+
+@query(
+    f"""WITH {TEMPLATED}, r AS (SELECT *, row_number() OVER (PARTITION BY name, error ORDER BY event_id) AS place FROM u)
+ SELECT 'shop' AS domain, name AS tool, error, count(*) AS count, string_agg(message, '|' ORDER BY event_id) FILTER (place <= 3) AS examples FROM r GROUP BY name, error""",
+    "evt",
+)
+def error_db_build(spark, d):
+    rows = _failures(spark, d).select(F.lit("shop").alias("domain"), F.col("name").alias("tool"), "message", F.col("event_id").alias("seq"))
+    return errors.build_error_db(rows, 3).withColumn("examples", F.array_join("examples", "|"))
+
+
+@query(f"WITH {TEMPLATED}, g AS (SELECT name, error, count(*) AS n FROM u GROUP BY name, error) SELECT 'shop' AS domain, count(DISTINCT name) AS n_tools, count(*) AS n_errors, CAST(sum(n) AS BIGINT) AS total FROM g", "evt")
+def error_db_stats(spark, d):
+    rows = _failures(spark, d).select(F.lit("shop").alias("domain"), F.col("name").alias("tool"), "message", F.col("event_id").alias("seq"))
+    return errors.error_db_stats(errors.build_error_db(rows))
+
+
+@query(
+    """WITH m AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'missing 1 required argument' WHEN 1 THEN 'validation error: item not found' WHEN 2 THEN 'balance is not enough' ELSE 'service is down' END AS message FROM evt)
+ SELECT event_id, event_id % 4 IN (0, 2) AS recoverable FROM m""",
+    "evt",
+)
+def recoverable_error_filter(spark, d):
+    kind = F.col("event_id") % 4
+    message = F.when(kind == 0, "missing 1 required argument").when(kind == 1, "validation error: item not found").when(kind == 2, "balance is not enough").otherwise("service is down")
+    return event_messages(spark, d).select("event_id", text.is_recoverable(message).alias("recoverable"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split(text, '.'), lambda s: trim(s, ' ') <> '')) > 5 OR length(text) > 300 AS too_long FROM documents WHERE lang = 'en'")
+def user_reply_rules(spark, d):
+    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", text.reply_too_long(F.col("text")).alias("too_long"))
+
+
+# --- injection and pruning ------------------------------------------------------------------------------------------
+
+POINTS = "p AS (SELECT * FROM (SELECT *, lead(role) OVER (PARTITION BY traj_id ORDER BY idx) AS nr, lead(is_error) OVER (PARTITION BY traj_id ORDER BY idx) AS ne FROM (SELECT * REPLACE (CASE WHEN kind = 'text' THEN 'tool' ELSE role END AS role) FROM evt)) WHERE kind = 'call' AND nr = 'tool' AND NOT ne)"
+PICKED = """c AS (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY md5(traj_id || ':' || idx || ':7'), idx) AS rk, CAST('0x' || substring(md5(traj_id || ':' || idx || ':8'), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM p),
+ k AS (SELECT * FROM c WHERE rk <= 3 AND u < 0.6)"""
+
+
+def _points(spark, d):
+    """Texts count as tool results here, so that calls have answers without an error."""
+    rows = event_messages(spark, d).withColumn("role", F.when(F.col("kind") == "text", "tool").otherwise(F.col("role")))
+    return rows.withColumn("call_name", text.first_tool_call(F.col("content"))["name"])
+
+
+@query(f"WITH {POINTS} SELECT traj_id, idx, name FROM p", "evt")
+def injection_points(spark, d):
+    return inject.injection_points(_points(spark, d)).select("traj_id", F.col("idx").cast("long").alias("idx"), "name")
+
+
+@query(f"WITH {POINTS}, {PICKED} SELECT traj_id, count(*) AS n_errors FROM k GROUP BY traj_id", "evt")
+def inject_counts(spark, d):
+    return inject.choose_points(inject.injection_points(_points(spark, d)), 3, 0.6, 7).groupBy("traj_id").agg(F.count("*").alias("n_errors"))
+
+
+@query(
+    f"""WITH {POINTS}, {PICKED}, s AS (SELECT e.traj_id, e.idx, part, CASE WHEN k.idx IS NULL THEN CASE WHEN e.kind = 'text' THEN 'tool' ELSE e.role END WHEN part = 1 THEN 'tool' ELSE 'assistant' END AS role,
+ CASE WHEN k.idx IS NULL OR part = 2 THEN e.content WHEN part = 1 THEN 'Error: bad ' || e.name ELSE 'wrong ' || e.name END AS content
+ FROM evt e LEFT JOIN k ON k.traj_id = e.traj_id AND k.idx = e.idx, (VALUES (0), (1), (2)) v(part) WHERE part = 0 OR k.idx IS NOT NULL)
+ SELECT traj_id, row_number() OVER (PARTITION BY traj_id ORDER BY idx, part) - 1 AS idx, role, content FROM s""",
+    "evt",
+)
+def inject_splice(spark, d):
+    rows = _points(spark, d)
+    chosen = inject.choose_points(inject.injection_points(rows), 3, 0.6, 7)
+    errors_of = chosen.select("traj_id", "idx", F.concat(F.lit("wrong "), "name").alias("wrong"), F.concat(F.lit("Error: bad "), "name").alias("error"), F.col("content").alias("recovery"))
+    return inject.splice(rows, errors_of).select("traj_id", F.col("idx").cast("long").alias("idx"), "role", "content")
+
+
+@query(
+    """WITH c AS (SELECT traj_id, list_reduce(list_prepend(0, list((event_id % 3 = 0)::INT ORDER BY idx)), lambda a, x: CASE WHEN x = 1 AND a // 10 < 8 AND a % 10 < 2 THEN (a // 10 + 1) * 10 + a % 10 + 1 ELSE (a // 10) * 10 END) AS a FROM evt WHERE kind = 'call' GROUP BY traj_id)
+ SELECT traj_id, a // 10 AS n_injected FROM c""",
+    "evt",
+)
+def online_injection_fold(spark, d):
+    calls = event_messages(spark, d).where("kind = 'call'").groupBy("traj_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", (F.col("event_id") % 3 == 0).alias("w")))), lambda c: c["w"]).alias("w"))
+    made = inject.online_injection(F.col("w"), 8, 2)
+    return calls.select("traj_id", F.size(F.filter(made, lambda x: x)).alias("n_injected"))
+
+
+@query(
+    """SELECT c.traj_id, c.idx, c.role, CASE WHEN c.idx = 3 AND c.traj_id % 2 = 0 THEN 'fixed' ELSE c.content END AS content FROM conv c WHERE NOT (c.traj_id % 2 = 0 AND c.idx >= 1 AND c.idx < 3)""",
+    "conv",
+)
+def prune_segments(spark, d):
+    rows = conversation_messages(spark, d)
+    segments = rows.where("traj_id % 2 = 0 AND idx = 1").select("traj_id", F.col("idx").alias("start_idx"), F.lit(3).cast("long").alias("fix_idx"), F.lit("fixed").alias("corrected"))
+    return inject.prune_segments(rows, segments)
+
+
+@query(
+    """WITH v AS (SELECT doc_id % 200 AS segment_id, doc_id // 200 % 2 + 1 AS round, quality = 1 AS yes FROM labels), r AS (SELECT segment_id, round, count(*) AS n, count(*) FILTER (yes) AS y FROM v GROUP BY ALL),
+ u AS (SELECT segment_id, arg_min(y > 0, round) FILTER (y = 0 OR y = n) AS p, min(round) FILTER (y = 0 OR y = n) AS rd, arg_max(2 * y > n, round) AS lp, max(round) AS lr FROM r GROUP BY segment_id)
+ SELECT segment_id, coalesce(p, lp) AS prune, coalesce(rd, lr) AS decided_round FROM u"""
+)
+def vote_decision(spark, d):
+    votes = table(spark, d, "labels").select((F.col("doc_id") % 200).alias("segment_id"), (F.floor(F.col("doc_id") / 200) % 2 + 1).alias("round"), F.col("doc_id").alias("agent_id"), (F.col("quality") == 1).alias("should_prune"))
+    return inject.vote_decisions(votes)
+
+
+@query(
+    """WITH x AS (SELECT traj_id, max(idx) FILTER (kind = 'call') AS l FROM evt GROUP BY traj_id) SELECT traj_id, l + 1 AS kept FROM x WHERE l IS NOT NULL""",
+    "evt",
+)
+def truncate_at_last_call(spark, d):
+    m = event_messages(spark, d).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("idx", "role", (F.col("kind") == "call").alias("has_call")))).alias("m"))
+    return m.select("traj_id", F.size(sequence.truncate_at_last_call(F.col("m"))).cast("long").alias("kept")).where("kept is not null")
+
+
+@query(
+    """SELECT traj_id, string_agg(role || '=' || left(content, 20), ';' ORDER BY idx) AS context FROM (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY idx DESC) AS back FROM evt) WHERE back <= 6 GROUP BY traj_id""",
+    "evt",
+)
+def context_last_k(spark, d):
+    m = event_messages(spark, d).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("idx", "role", "content"))).alias("m"))
+    tail = text.context_tail(F.col("m"), 6, 20)
+    return m.select("traj_id", F.array_join(F.transform(tail, lambda x: F.concat(x["role"], F.lit("="), x["content"])), ";").alias("context"))
+
+
+@query(
+    """WITH e AS (SELECT traj_id, idx FROM evt WHERE is_error) SELECT e.traj_id, e.idx AS mark_idx, coalesce(min(m.idx), -1) AS first_idx FROM e LEFT JOIN evt m ON m.traj_id = e.traj_id AND m.idx > e.idx AND m.role = 'assistant' GROUP BY ALL""",
+    "evt",
+)
+def first_answer_after_error(spark, d):
+    rows = event_messages(spark, d)
+    out = sequence.first_after(rows, rows.where("is_error").select("traj_id", F.col("idx").alias("mark_idx")), F.col("role") == "assistant")
+    return out.select("traj_id", F.col("mark_idx").cast("long").alias("mark_idx"), F.coalesce(F.col("first_idx").cast("long"), F.lit(-1).cast("long")).alias("first_idx"))
+
+
+# --- joins ----------------------------------------------------------------------------------------------------------
+
+ATTEMPTS = "a AS (SELECT source || '-' || domain AS task, row_number() OVER (PARTITION BY source, domain ORDER BY task_id) AS attempt, reward FROM lab)"
+
+
+def _attempts(spark, d):
+    w = Window.partitionBy("source", "domain").orderBy("task_id")
+    return labelled_runs(spark, d).select(F.concat_ws("-", "source", "domain").alias("task"), F.row_number().over(w).cast("long").alias("attempt"), "reward")
+
+
+@query(f"WITH {ATTEMPTS}, l AS (SELECT task, max(attempt) AS last FROM a GROUP BY task), s AS (SELECT a.* FROM a JOIN l ON a.task = l.task AND a.attempt = l.last WHERE a.reward <> 0) SELECT f.task, f.attempt AS failed, s.attempt AS succeeded FROM a f JOIN s ON f.task = s.task WHERE f.reward = 0 AND f.attempt < s.attempt", "lab")
+def contrast_pairs(spark, d):
+    rows = _attempts(spark, d)
+    last = rows.groupBy("task").agg(F.max_by(F.struct("attempt", "reward"), "attempt").alias("s")).where(F.col("s.reward") != 0)
+    return rows.where("reward = 0").join(last, "task").where(F.col("attempt") < F.col("s.attempt")).select("task", F.col("attempt").alias("failed"), F.col("s.attempt").alias("succeeded"))
+
+
+@query(f"WITH {ATTEMPTS} SELECT task, max(attempt) AS attempt, arg_max(reward, attempt) AS reward FROM a GROUP BY task", "lab")
+def last_attempt_success(spark, d):
+    return _attempts(spark, d).groupBy("task").agg(F.max("attempt").alias("attempt"), F.max_by("reward", "attempt").alias("reward"))
+
+
+@query("SELECT d.doc_id, d.lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def resume_anti_join(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query(
+    """WITH keys AS (SELECT CAST(task_id AS VARCHAR) AS key, task_id, 0 AS prio FROM lab UNION ALL SELECT CAST(row_number() OVER (ORDER BY task_id) - 1 AS VARCHAR), task_id, 1 FROM lab),
+ k AS (SELECT key, arg_max(task_id, prio) AS task_id FROM keys GROUP BY key) SELECT c.conv_id, k.task_id FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN k ON k.key = CAST(c.conv_id AS VARCHAR)""",
+    "lab",
+)
+def simulation_task_dual_key(spark, d):
+    tasks = labelled_runs(spark, d).select("task_id")
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("task_id")) - 1
+    keys = tasks.select(F.col("task_id").cast("string").alias("key"), "task_id", F.lit(0).alias("prio")).unionByName(tasks.select(place.cast("string").alias("key"), "task_id", F.lit(1).alias("prio")))
+    chosen = keys.groupBy("key").agg(F.max_by("task_id", "prio").alias("task_id"))
+    sims = table(spark, d, "conversations").select("conv_id").distinct()
+    return sims.join(chosen, sims["conv_id"].cast("string") == chosen["key"], "left").select("conv_id", "task_id")
+
+
+@query("SELECT lang AS domain, doc_id % 50 AS task, count(DISTINCT source) AS n_models, string_agg(source || ':' || doc_id, ',' ORDER BY source, doc_id) AS responses FROM documents GROUP BY ALL")
+def cogroup_responses(spark, d):
+    docs = table(spark, d, "documents").select(F.col("lang").alias("domain"), (F.col("doc_id") % 50).alias("task"), "source", "doc_id")
+    listed = F.array_sort(F.collect_list(F.struct("source", "doc_id")))
+    return docs.groupBy("domain", "task").agg(F.countDistinct("source").alias("n_models"), F.array_join(F.transform(listed, lambda r: F.concat_ws(":", r["source"], r["doc_id"].cast("string"))), ",").alias("responses"))
+
+
+@query("SELECT p_partkey, 'Dear {customer}, ' || p_name || ' of ' || p_brand || ' costs {price}' AS filled FROM part")
+def template_fill(spark, d):
+    values = F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", text.fill_template(F.lit("Dear {customer}, {name} of {brand} costs {price}"), values).alias("filled"))
+
+
+@query("SELECT s_suppkey, 'city=' || n_name || ';name=' || s_name AS args FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def param_substitute(spark, d):
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    rows = table(spark, d, "supplier").join(nations, "s_nationkey", "left")
+    args = F.transform_values(F.create_map(F.lit("city"), F.lit("<CITY>"), F.lit("name"), F.col("s_name")), lambda k, v: F.coalesce(F.element_at(F.create_map(F.lit("city"), F.col("n_name")), k), v))
+    return rows.select("s_suppkey", F.array_join(F.transform(F.map_entries(args), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("args"))
+
+
+@query("SELECT c.c_custkey, coalesce(o.last_order, g.o) AS order_key FROM customer c LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS last_order FROM orders GROUP BY 1) o ON o.o_custkey = c.c_custkey, (SELECT min(o_orderkey) AS o FROM orders) g")
+def own_orders_or_any(spark, d):
+    orders = table(spark, d, "orders")
+    own = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("last_order"))
+    first = orders.agg(F.min("o_orderkey").alias("o"))  # one row
+    return table(spark, d, "customer").select("c_custkey").join(own, "c_custkey", "left").crossJoin(F.broadcast(first)).select("c_custkey", F.coalesce("last_order", "o").alias("order_key"))
+
+
+# --- reports and statistics ------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH c AS (SELECT name, count(*) FILTER (NOT called AND discount < 5) AS missing, count(*) FILTER (NOT called AND discount >= 5) AS wrong_params FROM ord GROUP BY name) SELECT name AS action, missing, wrong_params FROM c ORDER BY missing DESC, name LIMIT 10""",
+    "ord",
+)
+def missing_wrong_topk(spark, d):
+    checks = order_actions(spark, d).select(F.lit("all").alias("domain"), F.col("name").alias("action"), F.col("called").cast("double").alias("score"), (F.col("discount") >= 5).alias("found"))
+    return metrics.failure_counts(checks).orderBy(F.desc("missing"), "action").limit(10).select("action", "missing", "wrong_params")
+
+
+@query("SELECT lang AS domain, source AS termination, count(*) AS n FROM documents GROUP BY ALL")
+def termination_histogram(spark, d):
+    return table(spark, d, "documents").groupBy(F.col("lang").alias("domain"), F.col("source").alias("termination")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT domain, task_id, rn AS rank FROM (SELECT domain, task_id, row_number() OVER (PARTITION BY domain ORDER BY task_id) AS rn FROM lab WHERE reward = 0) WHERE rn <= 10", "lab")
+def failure_report_rows(spark, d):
+    failed = labelled_runs(spark, d).where("reward = 0").withColumn("order", -F.col("task_id"))
+    return metrics.top_per_key(failed, "domain", "order", "source", 10).select("domain", "task_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("WITH p AS (SELECT task_id, string_agg(name, '>' ORDER BY name, quantity, discount) AS pattern FROM ord GROUP BY task_id) SELECT pattern, count(*) AS n, count(*) / sum(count(*)) OVER () AS frequency FROM p GROUP BY pattern", "ord")
+def pattern_distributions(spark, d):
+    ordered = F.array_sort(F.collect_list(F.struct("name", "quantity", "discount")))
+    p = order_actions(spark, d).groupBy("task_id").agg(F.array_join(F.transform(ordered, lambda c: c["name"]), ">").alias("pattern"))
+    g = p.groupBy("pattern").agg(F.count("*").alias("n"))
+    return g.withColumn("frequency", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+
+
+@query("SELECT 'brand' AS param, p_brand AS value, count(*) AS n FROM part GROUP BY p_brand UNION ALL SELECT 'size', CAST(p_size AS VARCHAR), count(*) FROM part GROUP BY p_size UNION ALL SELECT 'segment', c_mktsegment, count(*) FROM customer GROUP BY c_mktsegment")
+def param_histograms(spark, d):
+    part, customer = table(spark, d, "part"), table(spark, d, "customer")
+    pair = lambda name, c: F.struct(F.lit(name).alias("param"), c.alias("value"))
+    both = part.select(F.explode(F.array(pair("brand", F.col("p_brand")), pair("size", F.col("p_size").cast("string")))).alias("p")).unionByName(customer.select(pair("segment", F.col("c_mktsegment")).alias("p")))
+    return both.select("p.*").where("value is not null AND value <> ''").groupBy("param", "value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier")
+def table_cardinalities(spark, d):
+    out = None
+    for name in ("customer", "orders", "part", "supplier"):
+        one = table(spark, d, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT c_mktsegment AS segment, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn FROM customer) WHERE rn <= 10")
+def first_n_samples(spark, d):
+    rank = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey"))
+    return table(spark, d, "customer").withColumn("rn", rank).where("rn <= 10").select(F.col("c_mktsegment").alias("segment"), "c_custkey")
+
+
+@query(
+    """SELECT role AS component, CAST(sum(length(content) // 4) AS BIGINT) AS tokens, round(sum(length(content) // 4) * 3.0 / 1000000, 9) AS cost, round(sum(length(content) // 4) * 100.0 / sum(sum(length(content) // 4)) OVER (), 9) AS percent FROM conv GROUP BY role""",
+    "conv",
+)
+def token_cost_breakdown(spark, d):
+    g = conversation_messages(spark, d).groupBy(F.col("role").alias("component")).agg(F.sum(F.floor(F.length("content") / 4)).alias("tokens"))
+    return g.select("component", "tokens", F.round(F.col("tokens") * 3.0 / 1000000, 9).alias("cost"), F.round(F.col("tokens") * 100.0 / F.sum("tokens").over(Window.partitionBy(F.lit(1))), 9).alias("percent"))
+
+
+@query(
+    """SELECT source, count(*) AS records, CAST(sum(n_chars) AS BIGINT) AS counted, CAST(sum(doc_id % 4) AS BIGINT) AS corrections, round(CASE WHEN sum(n_chars) = 0 THEN 0 ELSE sum(doc_id % 4) / sum(n_chars) END, 12) AS rate FROM documents GROUP BY source"""
+)
+def synthetic_run_aggregate(spark, d):
+    g = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("records"), F.sum("n_chars").alias("counted"), F.sum(F.col("doc_id") % 4).alias("corrections"))
+    return g.withColumn("rate", F.round(scoring.ratio(F.col("corrections"), F.col("counted"), 0.0), 12))
+
+
+@query("SELECT domain, is_error AS skipped, count(*) AS n FROM lab GROUP BY ALL", "lab")
+def conversion_stats(spark, d):
+    return labelled_runs(spark, d).groupBy("domain", F.col("is_error").alias("skipped")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM lab GROUP BY source", "lab")
+def merge_stats(spark, d):
+    g = labelled_runs(spark, d).groupBy("source").agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+
+
+@query("SELECT count(DISTINCT source) AS n_models, count(DISTINCT lang) AS n_domains, count(*) AS n_trajectories FROM documents")
+def extraction_summary(spark, d):
+    return table(spark, d, "documents").agg(F.countDistinct("source").alias("n_models"), F.countDistinct("lang").alias("n_domains"), F.count("*").alias("n_trajectories"))
+
+
+# --- sampling ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT task_id FROM lab ORDER BY md5(task_id || ':42'), task_id LIMIT 100", "lab")
+def uniform_sample(spark, d):
+    return sampling.sample_without_replacement(labelled_runs(spark, d).select("task_id"), 100, "task_id", 42)
+
+
+@query(
+    """WITH w AS (SELECT p_partkey, sum(p_size) OVER (ORDER BY p_partkey) AS hi, p_size, sum(p_size) OVER () AS total FROM part), u AS (SELECT i AS draw, CAST('0x' || substring(md5(i || ':5'), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM range(500) t(i))
+ SELECT u.draw, w.p_partkey FROM u JOIN w ON u.u >= (w.hi - w.p_size) / w.total AND u.u < w.hi / w.total"""
+)
+def weighted_sample_with_replacement(spark, d):
+    return sampling.sample_with_replacement(table(spark, d, "part").select("p_partkey", "p_size"), 500, "p_size", "p_partkey", 5).select("draw", "p_partkey")
+
+
+@query(
+    """WITH r AS (SELECT task_id FROM lab WHERE domain = 'en'), s AS (SELECT task_id FROM lab WHERE domain <> 'en'), n AS (SELECT (SELECT count(*) FROM r) AS r, (SELECT count(*) FROM s) AS s)
+ SELECT 'real' AS side, task_id FROM (SELECT task_id, row_number() OVER (ORDER BY md5(task_id || ':3'), task_id) AS k FROM r), n WHERE k <= least(CAST(floor((n.r + n.s) * 0.3) AS BIGINT), n.r)
+ UNION ALL SELECT 'synthetic', task_id FROM (SELECT task_id, row_number() OVER (ORDER BY md5(task_id || ':3'), task_id) AS k FROM s), n WHERE k <= least(CAST(floor((n.r + n.s) * 0.7) AS BIGINT), n.s)""",
+    "lab",
+)
+def ratio_merge(spark, d):
+    rows = labelled_runs(spark, d)
+    real = rows.where("domain = 'en'").select(F.lit("real").alias("side"), "task_id")
+    synthetic = rows.where("domain <> 'en'").select(F.lit("synthetic").alias("side"), "task_id")
+    return sampling.ratio_merge(real, synthetic, 0.3, "task_id", 3)
+
+
+@query("WITH r AS (SELECT task_id, row_number() OVER (ORDER BY md5(task_id || ':42'), task_id) AS k FROM lab) SELECT scale, task_id FROM r, (VALUES (20), (50), (100), (200)) s(scale) WHERE k <= scale", "lab")
+def scaling_subsets(spark, d):
+    return sampling.scaling_subsets(labelled_runs(spark, d).select("task_id"), (20, 50, 100, 200, 10**12), "task_id", 42)
+
+
+@query("SELECT domain, task_id FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY md5(task_id || ':9'), task_id) AS k FROM lab) WHERE (domain = 'en' AND k <= 30) OR (domain = 'fr' AND k <= 10)", "lab")
+def stratified_configs(spark, d):
+    return sampling.stratified_sample(labelled_runs(spark, d), "domain", {"en": 30, "fr": 10}, "task_id", 9).select("domain", "task_id")
+
+
+@query("SELECT n_nationkey, 103 // 25 + (row_number() OVER (ORDER BY n_nationkey) <= 103 % 25)::INT AS allocated FROM nation")
+def proportional_alloc(spark, d):
+    return sampling.proportional_allocation(table(spark, d, "nation").select("n_nationkey"), 103, "n_nationkey")
+
+
+@query("SELECT task_id, copy FROM lab, range(1, 4) r(copy) WHERE copy <= task_id % 4", "lab")
+def repeat_by_weight(spark, d):
+    out = sampling.repeat_by_weight(labelled_runs(spark, d).select("task_id"), F.col("task_id") % 4)
+    return out.select("task_id", F.col("copy").cast("long").alias("copy"))
+
+
+@query("SELECT task_id, 1 + CAST(floor(CAST('0x' || substring(md5(task_id || ':2'), 1, 8) AS BIGINT) / 4294967296.0 * 3) AS INTEGER) AS n_errors FROM lab WHERE CAST('0x' || substring(md5(task_id || ':1'), 1, 8) AS BIGINT) / 4294967296.0 < 0.4", "lab")
+def bernoulli_error_gate(spark, d):
+    return sampling.bernoulli(labelled_runs(spark, d).select("task_id"), 0.4, "task_id", 1).select("task_id", sampling.error_count("task_id", 3, 2).alias("n_errors"))
+
+
+@query("SELECT 'full' AS dataset, count(*) AS n FROM lab UNION ALL SELECT 'no_errors', count(*) FROM lab WHERE NOT is_error UNION ALL SELECT 'only_success', count(*) FROM lab WHERE NOT is_error AND reward > 0", "lab")
+def experiment_datasets(spark, d):
+    rows = labelled_runs(spark, d).select("task_id", "reward", "is_error")
+    parts = {"good": rows.where("NOT is_error AND reward > 0"), "weak": rows.where("NOT is_error AND reward <= 0"), "errors": rows.where("is_error")}
+    mix = sampling.experiment_mix(parts, {"full": ("good", "weak", "errors"), "no_errors": ("good", "weak"), "only_success": ("good",)})
+    return mix.groupBy("dataset").agg(F.count("*").alias("n"))
