@@ -37,7 +37,7 @@ def choose_points(points: DataFrame, most: int, rate: float, seed: int) -> DataF
 def corrupt_text(value: Column, mode: Column) -> Column:
     """A wrong value of the same kind: numbers are moved, identifiers keep their form, other text is cut, doubled or reversed."""
     number = value.try_cast("long")
-    moved = F.element_at(F.array(*map(F.lit, (10, -10, 50, -50, 100, -100))), F.pmod(mode, F.lit(6)) + 1)
+    moved = F.element_at(F.array(*map(F.lit, (10, -10, 50, -50, 100, -100))), (F.pmod(mode, F.lit(6)) + 1).cast("int"))
     digits = F.regexp_replace(value, "[0-9]", "9")
     other = F.when(F.pmod(mode, F.lit(3)) == 0, F.concat(value, F.lit("_x"))).when(F.pmod(mode, F.lit(3)) == 1, F.reverse(value)).otherwise(F.substring(value, 2, 1 << 20))
     formed = F.when(digits != value, digits).otherwise(F.concat(value, F.lit("0")))
@@ -49,7 +49,7 @@ def corrupt_json_value(value: Column, mode: Column) -> Column:
     """``corrupt_text`` for JSON text: lists lose their last element, objects their first key, numbers are scaled."""
     as_list = F.from_json(value, "array<string>")
     as_map = F.from_json(value, "map<string,string>")
-    scaled = F.element_at(F.array(*map(F.lit, (0.5, 0.8, 1.2, 1.5))), F.pmod(mode, F.lit(4)) + 1)
+    scaled = F.element_at(F.array(*map(F.lit, (0.5, 0.8, 1.2, 1.5))), (F.pmod(mode, F.lit(4)) + 1).cast("int"))
     return (
         F.when(value.startswith("["), F.to_json(F.slice(as_list, F.lit(1), F.greatest(F.lit(0), F.size(as_list) - 1))))
         .when(value.startswith("{"), F.to_json(F.map_filter(as_map, lambda k, v: k != F.map_keys(as_map)[0])))
@@ -59,7 +59,7 @@ def corrupt_json_value(value: Column, mode: Column) -> Column:
 
 
 def error_message(param: Column, wrong: Column, mode: Column) -> Column:
-    text = F.element_at(F.array(*map(F.lit, ERROR_MESSAGES)), F.pmod(mode, F.lit(len(ERROR_MESSAGES))) + 1)
+    text = F.element_at(F.array(*map(F.lit, ERROR_MESSAGES)), (F.pmod(mode, F.lit(len(ERROR_MESSAGES))) + 1).cast("int"))
     return F.replace(F.replace(text, F.lit("{param}"), param), F.lit("{wrong}"), wrong)
 
 

@@ -814,3 +814,69 @@ def experiment_datasets(spark, d):
     parts = {"good": rows.where("NOT is_error AND reward > 0"), "weak": rows.where("NOT is_error AND reward <= 0"), "errors": rows.where("is_error")}
     mix = sampling.experiment_mix(parts, {"full": ("good", "weak", "errors"), "no_errors": ("good", "weak"), "only_success": ("good",)})
     return mix.groupBy("dataset").agg(F.count("*").alias("n"))
+
+
+# --- streams replayed as tables, generation -----------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_errors FROM events GROUP BY 1")
+def tumbling_error_rate(spark, d):
+    from trajlake.streaming.jobs import tumbling_error_rate as windows
+
+    return windows(table(spark, d, "events"))
+
+
+@query(
+    """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ h AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_errors FROM h GROUP BY user_id, k"""
+)
+def session_trajectories(spark, d):
+    from trajlake.streaming.jobs import sessions
+
+    return sessions(table(spark, d, "events"))
+
+
+@query("SELECT source AS task_id, count(*) AS attempts, count(*) FILTER (reward <= 0) AS failures, count(*) FILTER (reward <= 0) / count(*) AS fail_rate FROM lab GROUP BY source", "lab")
+def stateful_failure_history(spark, d):
+    from trajlake.streaming.jobs import failure_history as history
+
+    return history(labelled_runs(spark, d).select(F.col("source").alias("task_id"), "reward"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'A required parameter was missing; I will include it and retry.' WHEN event_id % 3 = 1 THEN 'The input was not valid; I will correct its format and retry.'
+ ELSE 'The balance did not suffice; I will check the payment method and retry.' END AS recovery FROM evt WHERE kind = 'result'""",
+    "evt",
+)
+def llm_recovery_stub(spark, d):
+    kind = F.col("event_id") % 3
+    message = F.when(kind == 0, "missing required argument").when(kind == 1, "invalid date").otherwise("insufficient funds")
+    return event_messages(spark, d).where("kind = 'result'").select("event_id", inject.recovery_thought(message).alias("recovery"))
+
+
+@query("SELECT conv_id AS traj_id, 'Analyse:' AS summary FROM conversations GROUP BY conv_id")
+def analysis_rows_stub(spark, d):
+    from trajlake.operators.provider import RuleProvider, analysis_rows, parsed_answer
+
+    grouped = conversation_messages(spark, d).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("idx", "role", "content"))).alias("m"))
+    rows = analysis_rows(grouped.select("traj_id", text.transcript(F.col("m")).alias("transcript")), RuleProvider())
+    return rows.select("traj_id", parsed_answer(F.col("messages")[1]["content"], "summary string, length int")["summary"].alias("summary"))
+
+
+@query("SELECT event_id, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) + CASE event_id % 6 WHEN 0 THEN 10 WHEN 1 THEN -10 WHEN 2 THEN 50 WHEN 3 THEN -50 WHEN 4 THEN 100 ELSE -100 END AS VARCHAR) AS wrong FROM evt WHERE kind = 'call'", "evt")
+def value_corruption(spark, d):
+    return event_messages(spark, d).where("kind = 'call'").select("event_id", inject.corrupt_text(F.get_json_object("props", "$.k"), F.col("event_id")).alias("wrong"))
+
+
+@query("SELECT p_brand AS brand, CAST(p_size AS VARCHAR) AS size, count(*) >= 1 AS known FROM part GROUP BY ALL HAVING count(*) >= 3")
+def parameter_pairs(spark, d):
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_size").cast("string").alias("size")).agg(F.count("*").alias("n")).where("n >= 3").select("brand", "size", (F.col("n") >= 1).alias("known"))
+
+
+@query()
+def task_instantiation(spark, d):
+    from trajlake.operators.generate import instantiate, parameter_draws, parameter_space
+
+    space = parameter_space(table(spark, d, "part"), ["p_brand", "p_size", "p_type"])
+    templates = spark.createDataFrame([(0, "Find {p_brand} in size {p_size}."), (1, "Exchange the {p_type} by {p_brand}.")], "template_id long, text string")
+    return instantiate(templates, parameter_draws(space, 200, 5), 6)
