@@ -782,7 +782,7 @@ def ratio_merge(spark, d):
     return sampling.ratio_merge(real, synthetic, 0.3, "task_id", 3)
 
 
-@query("WITH r AS (SELECT task_id, row_number() OVER (ORDER BY md5(task_id || ':42'), task_id) AS k FROM lab) SELECT scale, task_id FROM r, (VALUES (20), (50), (100), (200)) s(scale) WHERE k <= scale", "lab")
+@query("WITH r AS (SELECT task_id, row_number() OVER (ORDER BY md5(task_id || ':42'), task_id) AS k FROM lab) SELECT scale, task_id FROM r, (VALUES (20), (50), (100), (200)) s(scale) WHERE k <= scale AND scale <= (SELECT count(*) FROM lab)", "lab")
 def scaling_subsets(spark, d):
     return sampling.scaling_subsets(labelled_runs(spark, d).select("task_id"), (20, 50, 100, 200, 10**12), "task_id", 42)
 

@@ -16,7 +16,7 @@ def write_jsonl(rows: DataFrame, path: str, append: bool = False, ascii_only: bo
         rows.write.mode(mode).json(path)
         return
     line = F.to_json(F.struct("*"))
-    units = F.transform(F.regexp_extract_all(line, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "([0-9a-f]{4})", r"\\\\u$1")))
+    units = F.transform(F.regexp_extract_all(line, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "([0-9a-f]{4})", r"\\u$1")))
     rows.select(F.array_join(units, "").alias("value")).write.mode(mode).text(path)
 
 
