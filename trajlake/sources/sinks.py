@@ -32,7 +32,7 @@ def write_accepted_rejected(rows: DataFrame, reason: str, folder: str) -> DataFr
 def write_partitioned(rows: DataFrame, path: str, *keys: str) -> None:
     """A folder for each combination of keys (task, run, domain, attempt); rows are brought together by key first, so
     that a task writes few files, and salted so that a frequent key is not one task."""
-    salted = rows.repartition(*[F.col(k) for k in keys], F.pmod(F.xxhash64(F.struct("*")), F.lit(16)))
+    salted = rows.repartition(*[F.col(k) for k in keys], F.pmod(F.xxhash64(F.to_json(F.struct(*rows.columns))), F.lit(16)))
     salted.write.mode("overwrite").partitionBy(*keys).json(path)
 
 
