@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +32,22 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = (row["n"], row["h"])
     named = edges.groupBy("u").agg(F.min("v").alias("v"))
     return nodes.join(named, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Indices of edges (a[k], b[k]) that span the same components, by union-find."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        p, q = find(x), find(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            kept.append(k)
+    return kept

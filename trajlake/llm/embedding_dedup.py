@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.llm.common import hash_sample, materialize
-from trajlake.llm.components import connected_components
+from trajlake.llm.components import connected_components, forest
 
 COSINE = 0.93
 #: Vectors that k-means is fitted on (about; at most twice as many), and the most cells.
@@ -81,25 +81,6 @@ def _assign(centres: np.ndarray, cosine: float):
     return run
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Indices of edges (a[k], b[k]) that span the same components, by union-find."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        p, q = find(x), find(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            kept.append(k)
-    return kept
-
-
 def _product(cosine: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group["side"] == 0], group[group["side"] == 1]

@@ -7,8 +7,8 @@
    whose chance of agreement is the weighted Jaccard similarity, and hashes them band by band.
 3. Exact copies are collapsed first; then texts that share a band are candidates.  A bucket is not expanded into its
    pairs: its members are compared with one pivot, the member with the most company over all bands (the likely
-   original).  What a pivot leaves unlinked is compared with the other members except where the triangle inequality
-   of the Jaccard distance rules a link out or both are already in one component, so no link found by the bands is lost.
+   original).  What a pivot leaves unlinked is then compared with all other members of its buckets, block by block as
+   products of matrices that return a spanning forest, so no link found by the bands is lost and no pairs are made.
 4. Candidates are verified on their whole texts by exact weighted Jaccard similarity of at least 0.8; links make
    components.  The texts of a pivot's candidates are dealt over as many tasks as their bytes need.
 """
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.llm.common import materialize
-from trajlake.llm.components import connected_components
-from trajlake.llm.textops import BLOCK_BYTES, as_strings, blocks, grams, hashes, mix, spans
+from trajlake.llm.components import connected_components, forest
+from trajlake.llm.textops import as_strings, blocks, grams, hashes, mix, spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -32,8 +32,10 @@ BANDS, ROWS = 12, 4
 DEPTH, CELLS, CHUNK = 3, 1 << 16, 1 << 13
 #: Pooled draws (r, beta, c) of the sampler; a shingle picks one for each sample by hash.
 POOL = 1 << 16
-#: Bytes of candidate texts for one comparison task.
-TASK_BYTES = 8 << 20
+#: Bytes of a pivot's candidate texts, and their number, for one comparison group.
+TASK_BYTES, TASK_TEXTS = 8 << 20, 256
+#: Texts, and bytes of them, in a block of a group that its pivot did not settle.
+BLOCK_TEXTS, BLOCK_TEXT_BYTES = 256, 4 << 20
 U64 = np.uint64
 
 
@@ -190,7 +192,7 @@ def _compare(frequencies: Frequencies):
 def verify(pairs: DataFrame, texts: DataFrame, frequencies: Frequencies) -> DataFrame:
     """(x, p, sim) for the pairs (x, p); ``texts``: (id, text, size) of all documents that occur in them."""
     members = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("member")), "x")
-    load = pairs.join(texts.select(F.col("id").alias("x"), "size"), "x").groupBy("p").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / TASK_BYTES)).cast("int").alias("salts"))
+    load = pairs.join(texts.select(F.col("id").alias("x"), "size"), "x").groupBy("p").agg(F.greatest(F.ceil(F.count("*") / TASK_TEXTS), F.ceil(F.sum("size") / TASK_BYTES), F.lit(1)).cast("int").alias("salts"))
     load = materialize(load)
     salted = members.join(load, "p").select("x", "p", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), "member")
     pivots = load.join(texts.select(F.col("id").alias("p"), F.col("text").alias("pivot")), "p")
@@ -198,19 +200,78 @@ def verify(pairs: DataFrame, texts: DataFrame, frequencies: Frequencies) -> Data
     return salted.groupBy("p", "salt").cogroup(pivots.groupBy("pivot_id", "pivot_salt")).applyInPandas(_compare(frequencies), "x long, p long, sim double")
 
 
-def remaining_pairs(placed: DataFrame, checked: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (x, p) of a bucket that its pivot did not settle and that can still be links."""
+def _units(texts: pd.Series, frequencies: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, element, weight): a shingle that occurs n times is n elements, so that common elements give the sum
+    of the smaller weights."""
+    docs, elements, weights = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0)]
+    for first, _, doc, shingles, counts in shingle_sets(as_strings(pa.array(list(texts), pa.large_string()))):
+        unit = frequencies.weights(shingles, counts) / counts
+        number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        docs.append(first + np.repeat(doc, counts))
+        elements.append(np.repeat(shingles, counts) + (number.astype(U64) << U64(48)))
+        weights.append(np.repeat(unit, counts))
+    return np.concatenate(docs), np.concatenate(elements), np.concatenate(weights)
+
+
+def _cross(frequencies: Frequencies, similarity: float, columns: int = 4096):
+    def run(loose: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": [], "b": []}).astype("int64")
+        if not len(loose) or not len(others):
+            return none
+        d1, e1, w1 = _units(loose["text_y"], frequencies)
+        d2, e2, w2 = _units(others["text_x"], frequencies)
+        total1, total2 = np.bincount(d1, w1, len(loose)), np.bincount(d2, w2, len(others))
+        shared = np.intersect1d(e1, e2)
+        common = np.zeros((len(loose), len(others)))
+        c1, c2 = np.searchsorted(shared, e1), np.searchsorted(shared, e2)
+        in1 = np.append(shared, U64(0))[c1] == e1 if len(shared) else np.zeros(len(e1), bool)
+        in2 = np.append(shared, U64(0))[c2] == e2 if len(shared) else np.zeros(len(e2), bool)
+        d1, c1, w1, d2, c2 = d1[in1], c1[in1], w1[in1], d2[in2], c2[in2]
+        o1, o2 = np.argsort(c1, kind="stable"), np.argsort(c2, kind="stable")
+        d1, c1, w1, d2, c2 = d1[o1], c1[o1], w1[o1], d2[o2], c2[o2]
+        for at in range(0, len(shared), columns):  # bounded parts of the two matrices
+            width = min(columns, len(shared) - at)
+            x, y = np.zeros((len(loose), width)), np.zeros((len(others), width))
+            a, b = np.searchsorted(c1, [at, at + width])
+            x[d1[a:b], c1[a:b] - at] = w1[a:b]
+            a, b = np.searchsorted(c2, [at, at + width])
+            y[d2[a:b], c2[a:b] - at] = 1
+            common += x @ y.T
+        union = total1[:, None] + total2[None, :] - common
+        ids, partners = loose["y"].to_numpy(), others["x"].to_numpy()
+        linked = (common >= similarity * union) & (union > 0) & (ids[:, None] != partners[None, :])
+        i, j = np.nonzero(linked)
+        kept = forest(ids[i], partners[j])
+        return pd.DataFrame({"a": ids[i[kept]], "b": partners[j[kept]]})
+
+    return run
+
+
+def remaining_links(placed: DataFrame, checked: DataFrame, links: DataFrame, texts: DataFrame, frequencies: Frequencies, similarity: float) -> DataFrame:
+    """Links (a, b) between what the pivots left unlinked and the other members of the pivots' buckets.
+
+    All buckets of a pivot are one group.  Its unlinked members meet the group in blocks of ``BLOCK_TEXTS`` texts or
+    ``BLOCK_TEXT_BYTES``; a block pair is a few matrix products and returns a spanning forest of its links."""
     classes = connected_components(links)
     members = (
-        placed.join(checked.select(F.col("x").alias("node"), "p", "sim"), ["node", "p"], "left")
+        placed.where("node <> p").select("p", "node").distinct()
+        .join(checked.select(F.col("x").alias("node"), "p", "sim"), ["node", "p"])
         .join(classes, "node", "left")
-        .select("b", "node", "p", (1 - F.coalesce("sim", F.lit(1.0))).alias("d"), F.coalesce("component", "node").alias("component"))
+        .join(texts.select(F.col("id").alias("node"), "size"), "node")
+        .select("p", "node", "size", (F.col("sim") < similarity).alias("loose"), F.coalesce("component", "node").alias("component"))
     )
-    reach = 1 - similarity
-    loose = members.where((F.col("node") != F.col("p")) & (F.col("d") > reach)).select("b", F.col("node").alias("y"), F.col("d").alias("dy"), F.col("component").alias("cy"))
-    others = members.where("node <> p")
-    pairs = loose.join(others, "b").where((F.col("component") != F.col("cy")) & (F.abs(F.col("d") - F.col("dy")) <= reach + 1e-9) & ((F.col("d") <= reach) | (F.col("node") > F.col("y"))))
-    return pairs.select(F.col("node").alias("x"), F.col("y").alias("p")).distinct()
+    bytes_of = lambda flag: F.sum(F.when(flag, F.col("size")).otherwise(0))
+    number = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_TEXT_BYTES), F.lit(1)).cast("int")
+    groups = members.groupBy("p").agg(F.count("*").alias("n"), F.count_if("loose").alias("n_loose"), F.sum("size").alias("all_bytes"), bytes_of(F.col("loose")).alias("loose_bytes"), F.min("component").alias("low"), F.max("component").alias("high"))
+    groups = groups.where("n_loose > 0 AND n > 1 AND low <> high").select("p", number(F.col("n_loose"), F.col("loose_bytes")).alias("rows"), number(F.col("n"), F.col("all_bytes")).alias("cols"))
+    placed_members = materialize(members.join(groups, "p").select("p", "node", "loose", "rows", "cols"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed_members.where("loose").select("p", "node", block("rows").alias("r"), spread("cols").alias("c"))
+    right = placed_members.select("p", "node", block("cols").alias("c"), spread("rows").alias("r"))
+    left = left.join(texts.select(F.col("id").alias("node"), F.col("text").alias("text_y")), "node").select("p", "r", "c", F.col("node").alias("y"), "text_y")
+    right = right.join(texts.select(F.col("id").alias("node"), F.col("text").alias("text_x")), "node").select(F.col("p").alias("p2"), F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("node").alias("x"), "text_x")
+    return left.groupBy("p", "r", "c").cogroup(right.groupBy("p2", "r2", "c2")).applyInPandas(_cross(frequencies, similarity), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,8 +298,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     texts = candidate_texts(base, nodes, placed)
     checked = materialize(verify(first, texts, frequencies))
     links = checked.where(F.col("sim") >= similarity).select(F.col("x").alias("a"), F.col("p").alias("b"))
-    rest = materialize(remaining_pairs(placed, checked, links, similarity))
-    more = verify(rest, texts, frequencies).where(F.col("sim") >= similarity).select(F.col("x").alias("a"), F.col("p").alias("b"))
+    more = materialize(remaining_links(placed, checked, links, texts, frequencies, similarity))
     classes = connected_components(links.unionByName(more))
     named = nodes.select("node", "digest", "first_id").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.min_by("node", F.struct(F.coalesce("first_id", last), "node")).alias("head"))
