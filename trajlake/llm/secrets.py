@@ -2,7 +2,7 @@
 
 The patterns find assignments, access keys and hexadecimal strings.  The models cover the rest: candidate strings
 (runs of ``[A-Za-z0-9_+/=-]``) are scored under a first-order Markov model of random strings and one of ordinary
-identifiers, both with add-one smoothing over character pairs; a candidate whose ratio is high enough is a secret.
+identifiers, both smoothed by single characters; a candidate whose ratio is high enough is a secret.
 The models are trained from labelled samples: random strings are the values the patterns find, with seeded strings
 over the usual alphabets; identifiers are the other words of the sampled texts, also joined as names in code are.
 """
@@ -33,8 +33,10 @@ SAMPLE_WORDS = 100
 #: Random strings added to those that the patterns find.
 RANDOM_STRINGS = 4_000
 #: Least log-likelihood ratio of a secret: over the whole string, and for each character pair on average.
-LEAST_RATIO = 30.0
-LEAST_MEAN = 1.5
+LEAST_RATIO = 25.0
+LEAST_MEAN = 1.0
+#: Weight of single characters in the smoothing of a pair.
+BACKOFF = 5.0
 
 _OTHER, _DIGIT = re.compile(r"[^A-Za-z0-9_+/=-]"), re.compile(r"[0-9]")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-"
@@ -86,8 +88,10 @@ def plain_forms() -> list[str]:
 
 def train(random: list[str], ordinary: list[str]) -> SecretModel:
     def model(strings):
-        counts = _pair_counts(strings) + 1.0
-        return np.log(counts / counts.sum(axis=1, keepdims=True))
+        counts = _pair_counts(strings)
+        single = counts.sum(axis=0) + 1.0
+        single /= single.sum()
+        return np.log((counts + BACKOFF * single[None, :]) / (counts.sum(axis=1, keepdims=True) + BACKOFF))
 
     return SecretModel(model(random) - model(ordinary))
 
