@@ -6,7 +6,7 @@ P(Binomial(n, budget) <= false rejections) on the labelled holdout stays at or b
 grid is fixed in advance, so testing in order needs no further correction (fixed-sequence testing), and Bonferroni
 covers rules and strata.  ``budget`` is alpha / rules, so all rules together reject at most a share ``alpha`` of a
 stratum's good documents, in every stratum at once, with confidence 1 - delta.  Among certified cutoffs the one
-that rejects the most bad documents net of good ones is used; a rule that gains nothing stays off.
+that rejects the most bad documents, less ``WORTH`` for each good one, is used; a rule that gains nothing stays off.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from trajlake.llm.common import materialize
 ALPHA = 0.05
 #: Most risk that any stratum breaks that promise.
 DELTA = 0.05
+#: Bad documents that must go for each good one that goes too.
+WORTH = 5
 #: Rules: the statistic and its cutoffs from lenient to strict; a text fails where the statistic exceeds the cutoff.
 RULES = {
     "symbols_per_word": (3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.2, 0.1),
@@ -141,13 +143,14 @@ def certified_cutoffs(statistics: DataFrame, labels: DataFrame, alpha: float = A
             counts += [F.count_if(fails & good).alias(f"{rule}_{i}_g"), F.count_if(fails & ~good).alias(f"{rule}_{i}_b")]
     wide = values.groupBy("stratum").agg(*counts)
     points = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(float(cut)).alias("cutoff"), F.col(f"{rule}_{i}_g").alias("false_rejects"), F.col(f"{rule}_{i}_b").alias("bad_rejects")) for rule, grid in rules.items() for i, cut in enumerate(grid)])
-    long = wide.select("stratum", "n_good", F.count("*").over(_all()).alias("strata"), F.explode(points).alias("p")).select("stratum", "n_good", "strata", "p.*")
+    counted = wide.withColumn("strata", F.count("*").over(_all()))  # before the points are spread
+    long = counted.select("stratum", "n_good", "strata", F.explode(points).alias("p")).select("stratum", "n_good", "strata", "p.*")
     p_value = binomial_tail(F.col("n_good"), F.col("false_rejects"), alpha / len(rules))
     tested = long.withColumn("passes", p_value <= F.lit(delta) / (F.col("strata") * len(rules)))
     from pyspark.sql import Window
 
     walk = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    gain = F.col("bad_rejects") - F.col("false_rejects")
+    gain = F.col("bad_rejects") - WORTH * F.col("false_rejects")
     certified = tested.withColumn("certified", F.min("passes").over(walk)).where("certified").where(gain > 0)
     return certified.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(gain, -F.col("step"))).alias("cutoff"))
 
