@@ -14,6 +14,8 @@ automaton that its texts can reach.  Shards own histories by hash; the bigrams o
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,15 +29,15 @@ U64 = np.uint64
 END, START = U64(0x5E17D4A1C3B29F07), U64(0x1C0FFEE5D15EA5E1)
 HOT_SHARE = 1e-4
 #: Stored bytes of a file split that make one block (text is two to three times larger), and tokens that make one shard.
-BLOCK_SPLIT_BYTES = 16 << 20
-SHARD_TOKENS = 2_000_000
+BLOCK_SPLIT_BYTES = 4 << 20
+SHARD_TOKENS = 1_000_000
 
 
 def block_column(spark, id_col: str) -> Column:
     """Block of a row: its scan partition, cut by hash where splits are large.  The same for every scan of the same files."""
     split = spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB")
-    number = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split)
-    parts = max(1, -(-int(number) // BLOCK_SPLIT_BYTES))
+    number, unit = re.match(r"(\d+)\s*([kmgt]?)", split.lower()).groups()
+    parts = max(1, -(-int(number) * 1024 ** " kmgt".index(unit or " ") // BLOCK_SPLIT_BYTES))
     return F.spark_partition_id().cast("long") * parts + F.pmod(F.xxhash64(id_col), F.lit(parts))
 
 
@@ -65,8 +67,8 @@ class BlockTokens:
         self.lengths = np.concatenate([np.zeros(0, np.int64), *counts])
         self.trains = np.repeat(trains, self.lengths)
         self.words = np.unique(np.concatenate([word, none if not len(word) else np.array([START, END])]))
-        self.word = np.searchsorted(self.words, word)
-        self.history = np.searchsorted(self.words, history)
+        self.word = np.searchsorted(self.words, word).astype(np.int32)
+        self.history = np.searchsorted(self.words, history).astype(np.int32)
 
     def word_counts(self) -> np.ndarray:
         """Training counts of ``words``; for the start, of training texts."""
@@ -92,7 +94,7 @@ class BlockTokens:
 
 def _blocks_of(batches, names=("block", "text", "trains")):
     """Collect the rows of a partition by block: (block, texts, trains)."""
-    held: dict[int, list] = {}
+    held: dict[int, list] = {}  # texts stay as Arrow arrays; only the block at work has token arrays
     for batch in batches:
         ids = batch.column("block").to_numpy(zero_copy_only=False)
         for b in np.unique(ids):
