@@ -11,6 +11,8 @@ that rejects the most bad documents, less ``WORTH`` for each good one, is used;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +62,8 @@ def _covered_words(words: Column) -> Column:
     return _once(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
 
 
-def text_statistics(docs: DataFrame, text: Column) -> DataFrame:
-    """``docs`` with the counts the rules need (all long); null text: no words."""
+def _counts(text: Column) -> dict[str, Column]:
+    """The counts the rules need (all long), in structs by what they are taken from; null text: no words."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     words = F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
@@ -75,18 +77,19 @@ def text_statistics(docs: DataFrame, text: Column) -> DataFrame:
     )
     line_counts = _once(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     count_of = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
-    return docs.withColumns({"_w": measures, "_l": line_counts, "n_symbols": count_of("[#*$%&|<>]+"), "n_capitals": count_of("[A-Z]+")})
+    return {"_w": measures, "_l": line_counts, "n_symbols": count_of("[#*$%&|<>]+"), "n_capitals": count_of("[A-Z]+")}
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
     """One row for each document: id, stratum (null: empty string), the counts of the rules."""
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("")
     kept = docs.select(F.col(id_col).alias("doc_id"), stratum.alias("stratum"), F.col(text_col).alias("text"))
-    return text_statistics(kept, F.col("text")).select("doc_id", "stratum", "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_lines", "_l.n_dup_lines", "_w.n_repeat_words", "n_capitals")
+    return kept.withColumns(_counts(F.col("text"))).select("doc_id", "stratum", "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_lines", "_l.n_dup_lines", "_w.n_repeat_words", "n_capitals")
 
 
-def rule_values() -> dict[str, Column]:
-    ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+def rule_values(count: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """The statistic of each rule, from the counts by name."""
+    ratio = lambda a, b: count(a) / F.greatest(count(b), F.lit(1))
     return {
         "symbols_per_word": ratio("n_symbols", "n_words"),
         "capital_share": ratio("n_capitals", "word_chars"),
@@ -135,16 +138,14 @@ def certified_cutoffs(statistics: DataFrame, labels: DataFrame, alpha: float = A
     with another value does not count.  One aggregation over the labelled rows; what follows has strata x grid rows."""
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_q")).where("quality = _q").drop("_q")
     values = statistics.select("doc_id", "stratum", *[v.alias(k) for k, v in rule_values().items()]).join(marks, "doc_id")
-    good = F.col("quality") == 1
-    counts = [F.count_if(good).alias("n_good")]
-    for rule, grid in rules.items():
-        for i, cut in enumerate(grid):
-            fails = F.col(rule) > cut
-            counts += [F.count_if(fails & good).alias(f"{rule}_{i}_g"), F.count_if(fails & ~good).alias(f"{rule}_{i}_b")]
-    wide = values.groupBy("stratum").agg(*counts)
-    points = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(float(cut)).alias("cutoff"), F.col(f"{rule}_{i}_g").alias("false_rejects"), F.col(f"{rule}_{i}_b").alias("bad_rejects")) for rule, grid in rules.items() for i, cut in enumerate(grid)])
+    grid = [(rule, i, float(cut)) for rule, cuts in rules.items() for i, cut in enumerate(cuts)]
+    counts = ["count_if(quality = 1) AS n_good"]
+    for rule, i, cut in grid:
+        counts += [f"count_if({rule} > {cut}D AND quality = {q}) AS {rule}_{i}_{q}" for q in (0, 1)]
+    wide = values.groupBy("stratum").agg(*map(F.expr, counts))
+    points = ", ".join(f"struct('{rule}' AS rule, {i} AS step, {cut}D AS cutoff, {rule}_{i}_1 AS false_rejects, {rule}_{i}_0 AS bad_rejects)" for rule, i, cut in grid)
     counted = wide.withColumn("strata", F.count("*").over(_all()))  # before the points are spread
-    long = counted.select("stratum", "n_good", "strata", F.explode(points).alias("p")).select("stratum", "n_good", "strata", "p.*")
+    long = counted.select("stratum", "n_good", "strata", F.explode(F.expr(f"array({points})")).alias("p")).select("stratum", "n_good", "strata", "p.*")
     p_value = binomial_tail(F.col("n_good"), F.col("false_rejects"), alpha / len(rules))
     tested = long.withColumn("passes", p_value <= F.lit(delta) / (F.col("strata") * len(rules)))
     from pyspark.sql import Window
@@ -161,12 +162,19 @@ def _all():
     return Window.partitionBy(F.lit(1))
 
 
+def _wide(cutoffs: DataFrame, rules: dict[str, tuple[float, ...]]) -> DataFrame:
+    """A row for each stratum, a column for each rule's cutoff."""
+    return cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_c_{r}") for r in rules])
+
+
+def _base_failed(count: Callable[[str], Column] = F.col) -> Column:
+    return (count("n_words") < 20) | (100 * count("n_repeat_words") > 30 * count("n_words"))
+
+
 def judge(statistics: DataFrame, cutoffs: DataFrame, rules: dict[str, tuple[float, ...]] = RULES) -> DataFrame:
     """``statistics`` with base_failed, rules_failed (array of rule names) and kept."""
-    wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_c_{r}") for r in rules])
-    base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     fails = F.array_compact(F.array(*[F.when(v > F.col(f"_c_{r}"), F.lit(r)) for r, v in rule_values().items() if r in rules]))
-    joined = statistics.join(wide, "stratum", "left").withColumns({"base_failed": base_failed, "rules_failed": fails})
+    joined = statistics.join(_wide(cutoffs, rules), "stratum", "left").withColumns({"base_failed": _base_failed(), "rules_failed": fails})
     return joined.withColumn("kept", ~F.col("base_failed") & (F.size("rules_failed") == 0)).drop(*[f"_c_{r}" for r in rules])
 
 
@@ -186,8 +194,16 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
 
     The cases are those of ``quality_rules``."""
     cutoffs = materialize(certified_cutoffs(materialize(document_statistics(docs, id_col, text_col, stratum_col)), labels, alpha, delta))
-    packed = docs.select(F.struct("*").alias("row"))
     stratum = F.coalesce(F.col("row")[stratum_col].cast("string"), F.lit("")) if stratum_col else F.lit("")
-    counted = text_statistics(packed.withColumn("stratum", stratum), F.col("row")[text_col])
-    flat = counted.select("row", "stratum", "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_lines", "_l.n_dup_lines", "_w.n_repeat_words", "n_capitals")
-    return judge(flat, cutoffs).where("kept").select("row.*")
+    packed = docs.select(F.struct("*").alias("row")).withColumn("stratum", stratum)
+    joined = packed.join(_wide(cutoffs, RULES), "stratum", "left")
+    counts = F.struct(*[c.alias(k) for k, c in _counts(F.col("row")[text_col]).items()])
+
+    def passes(v: Column) -> Column:
+        count = lambda name: v[name] if name in ("n_symbols", "n_capitals") else v["_l"][name] if "line" in name else v["_w"][name]
+        out = ~_base_failed(count)
+        for rule, x in rule_values(count).items():
+            out = out & ~F.coalesce(x > F.col(f"_c_{rule}"), F.lit(False))
+        return out
+
+    return joined.where(_once(counts, passes)).select("row.*")  # one expression: the text is measured once
