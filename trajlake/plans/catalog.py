@@ -443,6 +443,16 @@ def strip_think_and_squeeze(spark, d):
     return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(text.remove_think_tags(raw)).alias("cleaned"))
 
 
+@query(
+    r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace('a' || chr(10) || chr(10) || text, '(?s)<think>.*?</think>', '', 'g'), '(?s)<thinking>.*?</thinking>', '', 'g'), '(?s)<thought>.*?</thought>', '', 'g') || chr(10) || chr(10) || 'b', '\n{3,}', chr(10) || chr(10), 'g')) AS cleaned
+ FROM documents"""
+)
+def strip_think_and_squeeze_whole(spark, d):
+    """The whole text of every document."""
+    raw = F.concat(F.lit("  a\n\n"), F.lit("<think>plan\n\n</think>"), F.col("text"), F.lit("\n\n<thought>x</thought>b \n"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.remove_think_tags(raw)).alias("cleaned"))
+
+
 @query(
     """SELECT event_id, is_error AS strict_error, is_error OR content LIKE '%Error:%' AS any_error, regexp_matches(lower(content), 'error|not found|invalid|failed|does not exist|no such|cannot|unable to|exception') AS word_error FROM evt""",
     "evt",
@@ -586,6 +596,16 @@ def context_last_k(spark, d):
     return m.select("traj_id", F.array_join(F.transform(tail, lambda x: F.concat(x["role"], F.lit("="), x["content"])), ";").alias("context"))
 
 
+@query(
+    """SELECT traj_id, string_agg(role || '=' || left(content, 200), ';' ORDER BY idx) AS context FROM (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY idx DESC) AS back FROM evt) WHERE back <= 6 GROUP BY traj_id""",
+    "evt",
+)
+def context_last_k_whole(spark, d):
+    """With the operator's own 200 characters a message, so that calls keep their name and arguments."""
+    m = event_messages(spark, d).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("idx", "role", "content"))).alias("m"))
+    return m.select("traj_id", F.array_join(F.transform(text.context_tail(F.col("m")), lambda x: F.concat(x["role"], F.lit("="), x["content"])), ";").alias("context"))
+
+
 @query(
     """WITH e AS (SELECT traj_id, idx FROM evt WHERE is_error) SELECT e.traj_id, e.idx AS mark_idx, coalesce(min(m.idx), -1) AS first_idx FROM e LEFT JOIN evt m ON m.traj_id = e.traj_id AND m.idx > e.idx AND m.role = 'assistant' GROUP BY ALL""",
     "evt",
