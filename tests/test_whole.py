@@ -23,3 +23,24 @@ def test_context_keeps_calls_whole(spark):
     rows = catalog.QUERIES["context_last_k_whole"](spark, DATA).collect()
     calls = [m for r in rows for m in r["context"].split(";") if m.startswith("assistant=")]
     assert calls and all(m.endswith("</tool_call>") and '"arguments"' in m for m in calls)
+
+
+@needs_data
+def test_every_document_has_a_reply_verdict(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert catalog.QUERIES["user_reply_rules_all"](spark, DATA).select("doc_id").exceptAll(docs.select("doc_id")).count() == 0
+    assert catalog.QUERIES["user_reply_rules_all"](spark, DATA).count() == docs.count()
+
+
+@needs_data
+def test_scores_hold_every_language(spark):
+    langs = {r["lang"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("lang").distinct().collect()}
+    rows = catalog.QUERIES["scores_pivot_all_domains"](spark, DATA).collect()
+    assert langs < set(rows[0].asDict()) and all(any(r[k] for r in rows) for k in langs)
+
+
+def test_projection_follows_the_validator_and_not_the_id(spark, tmp_path):
+    good = [(5, 0, "system", "s"), (5, 1, "user", "u"), (5, 2, "assistant", "a")]
+    bad = [(6, 0, "user", "u"), (6, 1, "assistant", "a"), (7, 0, "system", "s"), (7, 1, "user", " ")]
+    spark.createDataFrame(good + bad, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert sorted(tuple(r) for r in catalog.QUERIES["sft_project_valid"](spark, str(tmp_path)).collect()) == good

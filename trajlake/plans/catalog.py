@@ -75,6 +75,19 @@ def scores_pivot_zero_filled(spark, d):
     return metrics.scores_pivot(metrics.scores_by_run(metrics.run_results(labelled_runs(spark, d)), domains, 4), domains)
 
 
+@query(
+    f"""WITH {RUNS}, spine AS (SELECT dom.domain, r.run_id FROM (VALUES ('en'), ('fr'), ('de'), ('es'), ('xx')) dom(domain), (VALUES (0), (1), (2), (3)) r(run_id)),
+ scores AS (SELECT s.domain, s.run_id, CAST(round(CAST(coalesce(runs.success_rate, 0.0) AS DECIMAL(38,12)), 2) AS DOUBLE) AS score FROM spine s LEFT JOIN runs ON runs.domain = s.domain AND runs.run_id = s.run_id)
+ SELECT run_id, max(score) FILTER (domain = 'en') AS en, max(score) FILTER (domain = 'fr') AS fr, max(score) FILTER (domain = 'de') AS de, max(score) FILTER (domain = 'es') AS es, max(score) FILTER (domain = 'xx') AS xx,
+ CAST(round(CAST(sum(score) / 5 AS DECIMAL(38,12)), 2) AS DOUBLE) AS avg_per_run FROM scores GROUP BY run_id""",
+    "lab",
+)
+def scores_pivot_all_domains(spark, d):
+    """All four languages; 'xx' has no runs and shows the zero filling."""
+    domains = ["en", "fr", "de", "es", "xx"]
+    return metrics.scores_pivot(metrics.scores_by_run(metrics.run_results(labelled_runs(spark, d)), domains, 4), domains)
+
+
 @query("SELECT source, domain, count(*) AS num_tasks, count(*) FILTER (reward > 0) AS num_success FROM lab GROUP BY source, domain", "lab")
 def source_split_summary(spark, d):
     return metrics.run_results(labelled_runs(spark, d), ("source", "domain")).select("source", "domain", "num_tasks", "num_success")
@@ -413,6 +426,19 @@ def sft_project(spark, d):
     return rows.where(F.coalesce("valid", F.lit(True)) & F.col("role").isin("system", "user", "assistant")).select("traj_id", "idx", "role", "content")
 
 
+@query(
+    """WITH o AS (SELECT *, CASE WHEN (row_number() OVER (PARTITION BY traj_id ORDER BY idx) = 1 AND role <> 'system') OR coalesce(trim(content), '') = '' THEN 1 END AS why FROM conv),
+ v AS (SELECT *, count(why) OVER (PARTITION BY traj_id) = 0 AS valid FROM o) SELECT traj_id, idx, role, content FROM v WHERE valid AND role IN ('system', 'user', 'assistant')""",
+    "conv",
+)
+def sft_project_valid(spark, d):
+    """Messages of the conversations that the validator passes; one without a verdict counts as valid."""
+    rows = conversation_messages(spark, d)
+    verdicts = role_sequence_valid(spark, d).select("traj_id", "valid")
+    joined = rows.join(verdicts, "traj_id", "left")
+    return joined.where(F.coalesce("valid", F.lit(True)) & F.col("role").isin("system", "user", "assistant")).select("traj_id", "idx", "role", "content")
+
+
 @query("SELECT event_id, name AS call_name, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM evt WHERE kind = 'call'", "evt")
 def tool_call_extract_first(spark, d):
     call = text.first_tool_call(F.col("content"))
@@ -509,6 +535,12 @@ def user_reply_rules(spark, d):
     return table(spark, d, "documents").where("lang = 'en'").select("doc_id", text.reply_too_long(F.col("text")).alias("too_long"))
 
 
+@query("SELECT doc_id, len(list_filter(string_split(text, '.'), lambda s: trim(s, ' ') <> '')) > 5 OR length(text) > 300 AS too_long FROM documents")
+def user_reply_rules_all(spark, d):
+    """A verdict for every document, whatever its language."""
+    return table(spark, d, "documents").select("doc_id", text.reply_too_long(F.col("text")).alias("too_long"))
+
+
 # --- injection and pruning ------------------------------------------------------------------------------------------
 
 POINTS = "p AS (SELECT * FROM (SELECT *, lead(role) OVER (PARTITION BY traj_id ORDER BY idx) AS nr, lead(is_error) OVER (PARTITION BY traj_id ORDER BY idx) AS ne FROM (SELECT * REPLACE (CASE WHEN kind = 'text' THEN 'tool' ELSE role END AS role) FROM evt)) WHERE kind = 'call' AND nr = 'tool' AND NOT ne)"
