@@ -4,8 +4,11 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from trajlake.operators import errors
 from trajlake.plans import catalog
+from trajlake.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -44,3 +47,21 @@ def test_projection_follows_the_validator_and_not_the_id(spark, tmp_path):
     bad = [(6, 0, "user", "u"), (6, 1, "assistant", "a"), (7, 0, "system", "s"), (7, 1, "user", " ")]
     spark.createDataFrame(good + bad, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert sorted(tuple(r) for r in catalog.QUERIES["sft_project_valid"](spark, str(tmp_path)).collect()) == good
+
+
+def test_error_examples_are_all_kept(spark):
+    rows = spark.range(100).select(F.lit("d").alias("domain"), F.lit("t").alias("tool"), F.concat(F.lit("Error: #W"), (F.col("id") % 50).cast("string")).alias("message"), F.col("id").alias("seq"))
+    table = errors.error_examples(rows)
+    assert sorted((r["example"], r["first_seq"], r["n"]) for r in table.collect()) == sorted((f"Error: #W{k}", k, 2) for k in range(50))
+    assert {r["n"] for r in errors.merge_error_examples(table, table).collect()} == {4}
+    db = errors.build_error_db(rows, 7).collect()
+    assert [(r["count"], r["examples"]) for r in db] == [(100, [f"Error: #W{k}" for k in range(7)])]
+
+
+def test_error_stream_keeps_all_examples(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id")).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = jobs.event_stream(spark, str(tmp_path / "in"), per_trigger=1).select(F.lit("d").alias("domain"), F.lit("t").alias("tool"), F.concat(F.lit("Error: "), F.col("event_id").cast("string")).alias("message"), F.col("event_id").alias("seq"))
+    jobs.maintain_error_db(stream, str(tmp_path / "db"), str(tmp_path / "ck")).awaitTermination()
+    assert spark.read.parquet(str(sorted((tmp_path / "db").glob("examples-v*"))[-1])).count() == 40
+    assert spark.read.parquet(str(sorted((tmp_path / "db").glob("v*"))[-1])).first()["count"] == 40

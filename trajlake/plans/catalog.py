@@ -513,10 +513,16 @@ def error_db_build(spark, d):
     return errors.build_error_db(rows, 3).withColumn("examples", F.array_join("examples", "|"))
 
 
+@query(f"WITH {TEMPLATED} SELECT 'shop' AS domain, name AS tool, error, message AS example, min(event_id) AS first_seq, count(*) AS n FROM u GROUP BY name, error, message", "evt")
+def error_db_examples(spark, d):
+    rows = _failures(spark, d).select(F.lit("shop").alias("domain"), F.col("name").alias("tool"), "message", F.col("event_id").alias("seq"))
+    return errors.error_examples(rows)
+
+
 @query(f"WITH {TEMPLATED}, g AS (SELECT name, error, count(*) AS n FROM u GROUP BY name, error) SELECT 'shop' AS domain, count(DISTINCT name) AS n_tools, count(*) AS n_errors, CAST(sum(n) AS BIGINT) AS total FROM g", "evt")
 def error_db_stats(spark, d):
     rows = _failures(spark, d).select(F.lit("shop").alias("domain"), F.col("name").alias("tool"), "message", F.col("event_id").alias("seq"))
-    return errors.error_db_stats(errors.build_error_db(rows))
+    return errors.error_db_stats(errors.error_counts(rows))
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trajlake.operators.errors import build_error_db, merge_error_db
+from trajlake.operators.errors import error_examples, merge_error_examples, preview_error_db
 
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -71,15 +71,16 @@ def breaker_states(results: DataFrame, threshold: int = 50) -> DataFrame:
 def maintain_error_db(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Adds every micro-batch of results (domain, tool, message, seq) to the template table at ``path``.
 
-    Versions are folders named by batch, so a batch that runs twice writes the same version and readers never see a
+    ``examples-v*`` holds every example, ``v*`` the counts with a preview.  Versions are folders named by batch, so a batch that runs twice writes the same version and readers never see a
     half-written one."""
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = build_error_db(batch)
+        new = error_examples(batch)
         if number:
-            new = merge_error_db(spark.read.parquet(f"{path}/v{number - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+            new = merge_error_examples(spark.read.parquet(f"{path}/examples-v{number - 1}"), new)
+        new.write.mode("overwrite").parquet(f"{path}/examples-v{number}")
+        preview_error_db(spark.read.parquet(f"{path}/examples-v{number}")).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
