@@ -3,8 +3,8 @@
 The patterns find assignments, access keys and hexadecimal strings.  The models cover the rest: candidate strings
 (runs of ``[A-Za-z0-9_+/=-]``) are scored under a first-order Markov model of random strings and one of ordinary
 identifiers, both smoothed by single characters; a candidate whose ratio is high enough is a secret.
-The models are trained from labelled samples: random strings are the values the patterns find, with seeded strings
-over the usual alphabets; identifiers are the other words of the sampled texts, also joined as names in code are.
+The models are trained from labelled samples: random strings are the values that the patterns find in the whole of the
+sampled texts, with seeded strings over the usual alphabets; identifiers are the other words of the sampled texts, also joined as names in code are.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.llm.common import hash_sample
@@ -29,7 +29,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{20,}", re.ASCII)
 #: Documents whose texts give the labelled samples (about; at most twice as many), and words taken from each.
 SAMPLE_DOCS = 2_000
-SAMPLE_WORDS = 100
+SAMPLE_WORDS = 400
 #: Random strings added to those that the patterns find.
 RANDOM_STRINGS = 4_000
 #: Least log-likelihood ratio of a secret: over the whole string, and for each character pair on average.
@@ -87,8 +87,11 @@ def plain_forms() -> list[str]:
 
 
 def train(random: list[str], ordinary: list[str]) -> SecretModel:
-    def model(strings):
-        counts = _pair_counts(strings)
+    return _train(_pair_counts(random), _pair_counts(ordinary))
+
+
+def _train(random: np.ndarray, ordinary: np.ndarray) -> SecretModel:
+    def model(counts):
         single = counts.sum(axis=0) + 1.0
         single /= single.sum()
         return np.log((counts + BACKOFF * single[None, :]) / (counts.sum(axis=1, keepdims=True) + BACKOFF))
@@ -119,32 +122,42 @@ def model_spans(text: str, base: list[tuple[str, int, int]], model: SecretModel)
     return found
 
 
+def pattern_values(text: Column) -> Column:
+    """The strings that the patterns find anywhere in a text: an assignment's value, an access key, a hexadecimal string.
+    A hexadecimal string that an assignment's value is or holds counts once."""
+    java = lambda p, flags="": F.lit(flags + p.pattern)
+    assigned = F.filter(F.regexp_extract_all(text, java(ASSIGN, "(?i)"), F.lit(2)), lambda v: F.length(v) >= ASSIGN_LEAST)
+    access = F.filter(F.regexp_extract_all(text, java(ACCESS), F.lit(0)), lambda v: F.length(v) >= ACCESS_LEAST)
+    rest = F.filter(F.concat(access, F.regexp_extract_all(text, java(HEX), F.lit(0))), lambda v: ~F.exists(assigned, lambda a: F.contains(a, v)))
+    return F.concat(assigned, rest)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> SecretModel:
-    """Train on about ``sample_docs`` texts (at most twice as many) and ``sample_words`` words spread over each; fewer or none leave the seeded
-    strings and the smoothing to decide."""
+    """Train on about ``sample_docs`` texts (at most twice as many): all values of the patterns in them, and ``sample_words``
+    words spread over each; fewer or none leave the seeded strings and the smoothing to decide."""
     words = F.split("text", "[\\x20\\x09-\\x0D]+")
     stride = lambda w: F.greatest(F.lit(1), F.ceil(F.size(w) / sample_words).cast("int"))
     chosen_of = lambda w, step: F.filter(w, lambda x, i: i % step == 0)
     spread = F.transform(F.array(F.struct(words.alias("w"), stride(words).alias("s"))), lambda v: chosen_of(v["w"], v["s"]))[0]  # split once a text
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = hash_sample(base, "id", sample_docs).where("text is not null").select(spread.alias("w")).collect()
-    random, ordinary = random_strings(RANDOM_STRINGS), plain_forms()
-    for (found,) in rows:
+    rows = hash_sample(base, "id", sample_docs).where("text is not null").select(spread.alias("w"), pattern_values(F.col("text")).alias("v")).collect()
+    random, ordinary = _pair_counts(random_strings(RANDOM_STRINGS)), _pair_counts(plain_forms())
+    for found, values in rows:  # counted text by text, so that the driver holds no list of all words
+        random += _pair_counts([v for v in values if len(v) >= 20 and any(c.isdigit() for c in v)])
         plain = []
         for word in found:
-            if len(word) >= 20 and base_spans("token=" + word):
-                if any(c.isdigit() for c in word):
-                    random.append(word)
-                    continue
+            if len(word) >= 20 and base_spans(word):
+                continue
             word = _OTHER.sub("", word)
             if len(word) > 1 and not _DIGIT.search(word):
                 plain.append(word)
-        ordinary += plain
+        names = []
         for k in range(0, len(plain) - 2, 3):  # words joined as in names: snake_case, camelCase, kebab-case, paths, CONSTANTS
             three = plain[k : k + 3]
             snake = "_".join(three)
-            ordinary += [snake.lower(), three[0].lower() + three[1].capitalize() + three[2].capitalize(), "-".join(three), "/".join(three), snake.upper(), snake.lower() + "_2024"]
-    return train(random, ordinary)
+            names += [snake.lower(), three[0].lower() + three[1].capitalize() + three[2].capitalize(), "-".join(three), "/".join(three), snake.upper(), snake.lower() + "_2024"]
+        ordinary += _pair_counts(plain + names)
+    return _train(random, ordinary)
 
 
 def scan(docs: DataFrame, model: SecretModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
