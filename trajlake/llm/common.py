@@ -1,48 +1,92 @@
-"""Shared folder, materialised tables and Arrow helpers for the operators of this subpackage."""
+"""Shared folder, materialised tables and small helpers for the operators of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Removes a query's shuffle files when the query ends; a table that was written needs none of them again.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: dict[str, str] = {}
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """The folder that the driver and all executors share.
+
+    ``spark.checkpoint.dir`` of the session, or the checkpoint folder set on its context.  Where neither is set, only a
+    session that runs in this one process gets a folder of its own; on a cluster that is an error, since executors
+    would write to disks that others cannot read.
+    """
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not place:
+        if not (sc.master or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
         place = tempfile.mkdtemp(prefix="trajlake-")
         sc.setCheckpointDir(place)
     return place
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trajlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes when the driver's process ends."""
+    place = shared_dir(spark)
+    if place not in _folders:
+        _folders[place] = f"{place}/trajlake-{uuid.uuid4().hex}"
+        atexit.register(_delete, spark, _folders[place])
+    return _folders[place]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session has ended: its folder stays
+        return
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
 
+def materialize(df: DataFrame, observation: Observation | None = None, *measures: Column) -> DataFrame:
+    """Write ``df`` to a new table in the shared folder and read it again: cuts lineage, survives lost executors.
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function of one batch that returns one batch."""
+    ``observation`` receives ``measures`` of the rows as they are written, so that no second job is needed for them.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    try:
+        before = spark.conf.get(CLEAN_SHUFFLES, None)
+        spark.conf.set(CLEAN_SHUFFLES, "true")
+    except PySparkException:  # a setting this Spark doesn't have
+        before = "absent"
+    try:
+        (df.observe(observation, *measures) if observation else df).write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        elif before != "absent":
+            spark.conf.set(CLEAN_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no result will read again."""
+    for df in tables:
+        found = _paths.pop(id(df), None)
+        if found:
+            _delete(df.sparkSession, found[1])
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc_mod(column: str | Column, modulus: int) -> Column:
@@ -50,10 +94,6 @@ def crc_mod(column: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string") if isinstance(column, str) else column), F.lit(modulus))
 
 
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFFFFFF
-
-
 def hash_sample(df: DataFrame, key: str, size: int, seed: int = 1) -> DataFrame:
     """About ``size`` rows (never more than twice that), chosen by the hash of their key; all rows of a smaller table.
 
@@ -63,3 +103,27 @@ def hash_sample(df: DataFrame, key: str, size: int, seed: int = 1) -> DataFrame:
         return df
     span = 1 << 31
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(span)) < int(span * size / total)).limit(2 * size)
+
+
+def tree_sums(parts: DataFrame, dtype: str, lots: int = 64) -> DataFrame:
+    """Sum of the arrays in ``sums`` (binary, of ``dtype``) by ``key`` (int): first of the partitions in each of ``lots``
+    lots, then of the lots, so that no task holds an array of every partition."""
+    kind = np.dtype(dtype)
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(group["sums"].iloc[0], kind).copy()
+        for part in group["sums"].iloc[1:]:
+            total += np.frombuffer(part, kind)
+        return pd.DataFrame({"key": [group["key"].iloc[0]], "lot": [group["lot"].iloc[0]], "sums": [total.tobytes()]})
+
+    lotted = parts.select("key", F.pmod(F.spark_partition_id(), F.lit(lots)).cast("int").alias("lot"), "sums")
+    first = lotted.groupBy("key", "lot").applyInPandas(add, "key int, lot int, sums binary")
+    return first.groupBy("key").applyInPandas(add, "key int, lot int, sums binary").drop("lot")
+
+
+def union_all(frames: Iterable[DataFrame]) -> DataFrame:
+    """The rows of one or more tables of equal columns."""
+    out = None
+    for frame in frames:
+        out = frame if out is None else out.unionByName(frame)
+    return out

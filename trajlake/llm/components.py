@@ -3,35 +3,41 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import materialize
+from trajlake.llm.common import discard, materialize
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b: long); a component is named by its smallest node.
 
-    Every step is a grouped minimum and a join; rounds grow with the logarithm of the longest chain.  Nothing but two
-    sums per round reaches the driver.  Rows with a null end are ignored.
+    Every step is a grouped minimum and a join.  A round writes its links together with the number of those that it
+    moved; the rounds end when none moved, which is when every component is a star (their number grows with the
+    logarithm of the longest chain).  Nothing but that number reaches the driver.  Rows with a null end are ignored;
+    repeated links and links of a node to itself change nothing; no links give no rows.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    before = None
-    for _ in range(most_rounds):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    ends = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges, moved = materialize(ends), 1
+    while moved:
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(lowest, "u")
-        small = joined.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small)
-        row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (row["n"], row["h"]) == before:
-            break
-        before = (row["n"], row["h"])
-    named = edges.groupBy("u").agg(F.min("v").alias("v"))
-    return nodes.join(named, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
+        # large star: the larger neighbours of a node go to its lowest neighbour
+        large = both.where("v > u").join(lowest, "u").groupBy(F.col("v").alias("u"), F.col("m").alias("v")).agg(F.max(F.col("m") != F.col("u")).alias("moved"))
+        # small star: a node's smaller neighbours go to the lowest of them
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.max("moved").alias("any"))
+        ahead = F.col("v") != F.col("m")
+        pair = F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"), F.lit(True).alias("moved"))
+        own = F.struct(F.col("u"), F.col("m").alias("v"), (F.col("moved") | ahead).alias("moved"))
+        small = large.join(low, "u").select(F.explode(F.when(ahead, F.array(own, pair)).otherwise(F.array(own))).alias("e"))
+        stars = small.select("e.*").groupBy("u", "v").agg(F.max("moved").alias("moved"))
+        seen = Observation()
+        after = materialize(stars, seen, F.count_if("moved").alias("moved"))
+        moved = seen.get.get("moved", 0)
+        discard(edges)
+        edges = after.select("u", "v") if not moved else after
+    members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return members.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[int]:

@@ -7,21 +7,25 @@
    whose chance of agreement is the weighted Jaccard similarity, and hashes them band by band.
 3. Exact copies are collapsed first; then texts that share a band are candidates.  A bucket is not expanded into its
    pairs: its members are compared with one pivot, the member with the most company over all bands (the likely
-   original).  What a pivot leaves unlinked is then compared with all other members of its buckets, block by block as
-   products of matrices that return a spanning forest, so no link found by the bands is lost and no pairs are made.
-4. Candidates are verified on their whole texts by exact weighted Jaccard similarity of at least 0.8; links make
-   components.  The texts of a pivot's candidates are dealt over as many tasks as their bytes need.
+   original).  Members that no link to a pivot brings into the pivot's class are then compared with all other members
+   of their buckets, block by block as products of matrices that return a spanning forest, so no link found by the
+   bands is lost and no pairs are made.  Texts whose total weights alone rule out the similarity never meet.
+4. Candidates are verified on their whole texts by weighted Jaccard similarity of at least 0.8 (exact for the weights
+   that the sketch gives); links make components.  A pivot's candidates are dealt over as many tasks as their bytes
+   need before any text moves.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import materialize
+from trajlake.llm.common import discard, materialize, tree_sums
 from trajlake.llm.components import connected_components, forest
 from trajlake.llm.textops import as_strings, blocks, grams, hashes, mix, spans
 
@@ -92,16 +96,10 @@ def document_frequencies(docs: DataFrame) -> Frequencies:
                     cells[row] += np.bincount(_cell(shingles, row), minlength=CELLS)
         if n:
             chunks = [c.tobytes() for c in cells.reshape(-1, CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(chunks)), pa.int32()), pa.array([np.array([n]).tobytes(), *chunks], pa.binary())], names=["chunk", "cells"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(group["cells"].iloc[0], np.int64).copy()
-        for c in group["cells"].iloc[1:]:
-            total += np.frombuffer(c, np.int64)
-        return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "cells": [total.tobytes()]})
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(chunks)), pa.int32()), pa.array([np.array([n]).tobytes(), *chunks], pa.binary())], names=["key", "sums"])
 
-    schema = "chunk int, cells binary"
-    rows = {r["chunk"]: np.frombuffer(r["cells"], np.int64) for r in docs.select("text").mapInArrow(count, schema).groupBy("chunk").applyInPandas(add, schema).collect()}
+    found = tree_sums(docs.select("text").mapInArrow(count, "key int, sums binary"), "int64").collect()
+    rows = {r["key"]: np.frombuffer(r["sums"], np.int64) for r in found}
     if not rows:
         return Frequencies(0, np.zeros((DEPTH, CELLS)))
     n = int(rows.pop(-1)[0])
@@ -139,25 +137,31 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, frequencies: Frequencies) -> DataFrame:
-    """(id, digest, size, bands array<long>): bands is empty for a text without words."""
+    """(id, digest, size, weight, bands array<long>): bands is empty, and weight (of all shingles) 0, for a text without words."""
 
     def run(batches):
         sampler = Sampler(BANDS * ROWS)
         for batch in batches:
             texts = as_strings(batch.column("text"))
             bands: list = [[]] * batch.num_rows
+            total = np.zeros(batch.num_rows)
             for first, n, doc, shingles, counts in shingle_sets(texts):
-                present, tags = sampler.tags(doc, n, shingles, frequencies.weights(shingles, counts))
+                weights = frequencies.weights(shingles, counts)
+                total[first : first + n] = np.bincount(doc, weights, n)
+                present, tags = sampler.tags(doc, n, shingles, weights)
                 grouped = tags.reshape(len(tags), BANDS, ROWS).astype(U64)
                 h = np.arange(BANDS, dtype=U64)[None, :] * U64(0x9E3779B97F4A7C15)
                 for row in range(ROWS):
                     h = mix(h ^ (grouped[:, :, row] + U64(0x632BE59BD9B4E019)))
                 for d, keys in zip(present.tolist(), h.view(np.int64), strict=True):
                     bands[first + d] = keys
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), batch.column("size"), pa.array(bands, pa.list_(pa.int64()))], names=["id", "digest", "size", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("digest"), batch.column("size"), pa.array(total), pa.array(bands, pa.list_(pa.int64()))],
+                names=["id", "digest", "size", "weight", "bands"],
+            )
 
     measured = docs.select("id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").cast("long").alias("size"), "text")
-    return measured.mapInArrow(run, "id long, digest binary, size long, bands array<long>")
+    return measured.mapInArrow(run, "id long, digest binary, size long, weight double, bands array<long>")
 
 
 def _compare(frequencies: Frequencies):
@@ -190,14 +194,15 @@ def _compare(frequencies: Frequencies):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, frequencies: Frequencies) -> DataFrame:
-    """(x, p, sim) for the pairs (x, p); ``texts``: (id, text, size) of all documents that occur in them."""
-    members = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("member")), "x")
-    load = pairs.join(texts.select(F.col("id").alias("x"), "size"), "x").groupBy("p").agg(F.greatest(F.ceil(F.count("*") / TASK_TEXTS), F.ceil(F.sum("size") / TASK_BYTES), F.lit(1)).cast("int").alias("salts"))
-    load = materialize(load)
-    salted = members.join(load, "p").select("x", "p", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), "member")
+    """(x, p, sim) for the pairs (x, p, size of x); ``texts``: (id, text) of all documents that occur in them.
+
+    A pivot's pairs are dealt by x over as many lots as their texts need; texts join the lots, never the bare pivot."""
+    load = materialize(pairs.groupBy("p").agg(F.greatest(F.ceil(F.count("*") / TASK_TEXTS), F.ceil(F.sum("size") / TASK_BYTES), F.lit(1)).cast("int").alias("salts")))
+    salted = pairs.join(load, "p").select("x", "p", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"))
+    members = salted.join(texts.select(F.col("id").alias("x"), F.col("text").alias("member")), "x")
     pivots = load.join(texts.select(F.col("id").alias("p"), F.col("text").alias("pivot")), "p")
     pivots = pivots.select(F.col("p").alias("pivot_id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("pivot_salt"), "pivot")
-    return salted.groupBy("p", "salt").cogroup(pivots.groupBy("pivot_id", "pivot_salt")).applyInPandas(_compare(frequencies), "x long, p long, sim double")
+    return members.groupBy("p", "salt").cogroup(pivots.groupBy("pivot_id", "pivot_salt")).applyInPandas(_compare(frequencies), "x long, p long, sim double")
 
 
 def _units(texts: pd.Series, frequencies: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,31 +252,36 @@ def _cross(frequencies: Frequencies, similarity: float, columns: int = 4096):
     return run
 
 
-def remaining_links(placed: DataFrame, checked: DataFrame, links: DataFrame, texts: DataFrame, frequencies: Frequencies, similarity: float) -> DataFrame:
-    """Links (a, b) between what the pivots left unlinked and the other members of the pivots' buckets.
-
-    All buckets of a pivot are one group.  Its unlinked members meet the group in blocks of ``BLOCK_TEXTS`` texts or
-    ``BLOCK_TEXT_BYTES``; a block pair is a few matrix products and returns a spanning forest of its links."""
-    classes = connected_components(links)
-    members = (
-        placed.where("node <> p").select("p", "node").distinct()
-        .join(checked.select(F.col("x").alias("node"), "p", "sim"), ["node", "p"])
-        .join(classes, "node", "left")
-        .join(texts.select(F.col("id").alias("node"), "size"), "node")
-        .select("p", "node", "size", (F.col("sim") < similarity).alias("loose"), F.coalesce("component", "node").alias("component"))
-    )
-    bytes_of = lambda flag: F.sum(F.when(flag, F.col("size")).otherwise(0))
-    number = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_TEXT_BYTES), F.lit(1)).cast("int")
-    groups = members.groupBy("p").agg(F.count("*").alias("n"), F.count_if("loose").alias("n_loose"), F.sum("size").alias("all_bytes"), bytes_of(F.col("loose")).alias("loose_bytes"), F.min("component").alias("low"), F.max("component").alias("high"))
-    groups = groups.where("n_loose > 0 AND n > 1 AND low <> high").select("p", number(F.col("n_loose"), F.col("loose_bytes")).alias("rows"), number(F.col("n"), F.col("all_bytes")).alias("cols"))
-    placed_members = materialize(members.join(groups, "p").select("p", "node", "loose", "rows", "cols"))
-    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed_members.where("loose").select("p", "node", block("rows").alias("r"), spread("cols").alias("c"))
-    right = placed_members.select("p", "node", block("cols").alias("c"), spread("rows").alias("r"))
-    left = left.join(texts.select(F.col("id").alias("node"), F.col("text").alias("text_y")), "node").select("p", "r", "c", F.col("node").alias("y"), "text_y")
-    right = right.join(texts.select(F.col("id").alias("node"), F.col("text").alias("text_x")), "node").select(F.col("p").alias("p2"), F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("node").alias("x"), "text_x")
-    return left.groupBy("p", "r", "c").cogroup(right.groupBy("p2", "r2", "c2")).applyInPandas(_cross(frequencies, similarity), "a long, b long")
+def remaining_links(placed: DataFrame, links: DataFrame, texts: DataFrame, frequencies: Frequencies, similarity: float) -> DataFrame:
+    """Links (a, b) between the members of a pivot's buckets that the pivots' links leave apart.
+
+    Every node takes the label of the linked pivot with the most company (a pivot may be its own), so equal labels mean
+    one class.  Members whose label is not their pivot's meet the pivot's whole group, in blocks of ``BLOCK_TEXTS`` texts
+    or ``BLOCK_TEXT_BYTES`` and only where the classes of total weight allow the similarity; a block pair is a few
+    matrix products and returns a spanning forest of its links."""
+    own = placed.select(F.col("p").alias("node"), "p", F.col("p_company").alias("company")).distinct()
+    linked = placed.join(links.select(F.col("a").alias("node"), F.col("b").alias("p")), ["node", "p"], "left_semi").select("node", "p", F.col("p_company").alias("company"))
+    labels = own.unionByName(linked).groupBy("node").agg(F.max_by("p", F.struct("company", "p")).alias("label"))
+    labels = materialize(labels)
+    members = placed.join(labels, "node", "left").join(labels.select(F.col("node").alias("p"), F.col("label").alias("p_label")), "p")
+    step = math.log(1 / similarity) * (1 + 1e-9)
+    members = members.select("p", "node", "size", F.floor(F.log("weight") / step).cast("int").alias("k"), (~F.col("label").eqNullSafe(F.col("p_label"))).alias("apart"))
+    blocks_for = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_TEXT_BYTES), F.lit(1)).cast("int")
+    tallies = members.groupBy("p", "k").agg(F.count_if("apart").alias("n_apart"), blocks_for(F.count_if("apart"), F.sum(F.when(F.col("apart"), F.col("size")).otherwise(0))).alias("rows"), blocks_for(F.count("*"), F.sum("size")).alias("cols"))
+    groups = tallies.groupBy("p").agg(F.sum("n_apart").alias("n_apart"), F.map_from_entries(F.collect_list(F.struct("k", F.struct("n_apart", "rows", "cols")))).alias("tally")).where("n_apart > 0")
+    met = materialize(members.join(groups.drop("n_apart"), "p"))
+    at = lambda k: F.try_element_at("tally", k)
+    near = F.explode(F.array(*[F.col("k") + d for d in (-1, 0, 1)]))
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = met.where("apart").select("*", near.alias("k2")).where(at(F.col("k2")).isNotNull())
+    left = left.select("p", "node", "k", "k2", block(at(F.col("k"))["rows"]).alias("r"), spread(at(F.col("k2"))["cols"]).alias("c"))
+    right = met.select("*", near.alias("k1")).where(at(F.col("k1"))["n_apart"] > 0)
+    right = right.select("p", "node", "k1", "k", spread(at(F.col("k1"))["rows"]).alias("r"), block(at(F.col("k"))["cols"]).alias("c"))
+    left = left.join(texts.select(F.col("id").alias("node"), F.col("text").alias("text_y")), "node").withColumnRenamed("node", "y")
+    right = right.join(texts.select(F.col("id").alias("node"), F.col("text").alias("text_x")), "node")
+    right = right.select(F.col("p").alias("p_"), "k1", F.col("k").alias("k_"), F.col("r").alias("r_"), F.col("c").alias("c_"), F.col("node").alias("x"), "text_x")
+    return left.groupBy("p", "k", "k2", "r", "c").cogroup(right.groupBy("p_", "k1", "k_", "r_", "c_")).applyInPandas(_cross(frequencies, similarity), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,39 +290,55 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
     Null counts as empty text; equal texts, empty ones too, are one class; a text without words links with nothing
     else.  Of repeated rows one is kept.  A row with a null id is in the class of its text, and is kept only if no row
-    of the class has an id (class_id is null then).  An empty table gives an empty result; other columns are ignored.
+    of the class has an id (class_id is null then).  Texts of any length are compared whole; a tie between pivots goes
+    to the lower node.  An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     frequencies = document_frequencies(base)
     signed = materialize(signatures(base, frequencies))
     last = F.lit(2**63 - 1)
-    distinct = signed.groupBy("digest").agg(F.min("id").alias("first_id"), F.min_by("bands", F.coalesce("id", last)).alias("bands"), F.max("size").alias("size"))
+    distinct = signed.groupBy("digest").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"), F.max("size").alias("size"), F.max("weight").alias("weight"))
     nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
-    rows = nodes.select("node", F.explode("bands").alias("b"))
-    sizes = rows.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(rows.join(sizes, "b"))
-    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
-    pivots = shared.join(company, "node").groupBy("b").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("p"))
-    placed = materialize(shared.join(pivots, "b").select("b", "node", "p"))
-    first = materialize(placed.where("node <> p").select(F.col("node").alias("x"), "p").distinct())
+    placed = candidates(nodes, similarity)
     texts = candidate_texts(base, nodes, placed)
-    checked = materialize(verify(first, texts, frequencies))
+    pairs = placed.where("fits").select(F.col("node").alias("x"), "p", "size")
+    checked = materialize(verify(pairs, texts, frequencies))
     links = checked.where(F.col("sim") >= similarity).select(F.col("x").alias("a"), F.col("p").alias("b"))
-    more = materialize(remaining_links(placed, checked, links, texts, frequencies, similarity))
+    more = materialize(remaining_links(placed, links, texts, frequencies, similarity))
     classes = connected_components(links.unionByName(more))
     named = nodes.select("node", "digest", "first_id").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.min_by("node", F.struct(F.coalesce("first_id", last), "node")).alias("head"))
-    named = named.join(heads, "component").select("digest", "first_id", "class_id", (F.col("node") == F.col("head")).alias("leads"))
+    named = materialize(named.join(heads, "component").select("digest", "first_id", "class_id", (F.col("node") == F.col("head")).alias("leads")))
+    discard(nodes, placed, texts, checked, more)
     copies = signed.groupBy("digest", "id").agg(F.count("*").cast("int").alias("copies")).join(named, "digest")
     stays = F.col("leads") & F.col("id").eqNullSafe(F.col("first_id"))
     return copies.withColumn("stays", stays).select("id", "digest", "class_id", F.posexplode(F.sequence(F.lit(1), "copies")).alias("k", "_n"), "stays").select("id", "digest", "class_id", (F.col("stays") & (F.col("k") == 0)).alias("kept"))
 
 
+def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(p, node, size, weight, p_company, fits): the members of the buckets of each pivot, but for the pivot itself, once.
+
+    fits: the total weights allow the similarity.  A bucket's rows meet its pivot in a join of two plain tables, which
+    Spark splits where one bucket is very large."""
+    rows = nodes.select("node", "size", "weight", F.explode("bands").alias("b"))
+    sizes = rows.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(rows.join(sizes, "b"))
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    best = shared.join(company, "node").groupBy("b").agg(F.max_by(F.struct("node", "weight", "company"), F.struct("company", -F.col("node"))).alias("best"))
+    pivots = materialize(best.select("b", F.col("best.node").alias("p"), F.col("best.weight").alias("p_weight"), F.col("best.company").alias("p_company")))
+    fits = F.least("weight", "p_weight") >= similarity * (1 - 1e-9) * F.greatest("weight", "p_weight")
+    met = shared.join(pivots, "b").where("node <> p").select("p", "node", "size", "weight", "p_company", fits.alias("fits"))
+    placed = materialize(met.distinct())
+    discard(shared, pivots)
+    return placed
+
+
 def candidate_texts(base: DataFrame, nodes: DataFrame, placed: DataFrame) -> DataFrame:
-    """(id, text, size) of the nodes that have candidates, one text each, written once for all comparisons."""
-    wanted = nodes.join(placed.select("node").distinct(), "node", "left_semi").select("node", "digest", F.col("first_id").alias("want"), "size")
+    """(id, text) of the nodes that have candidates, one text each, written once for all comparisons."""
+    has = placed.select(F.explode(F.array("node", "p")).alias("node")).distinct()
+    wanted = nodes.join(has, "node", "left_semi").select("node", "digest", F.col("first_id").alias("want"))
     keyed = base.withColumn("digest", F.unhex(F.md5("text")))
-    found = keyed.join(wanted, [keyed["id"].eqNullSafe(wanted["want"]), keyed["digest"] == wanted["digest"]]).select(F.col("node").alias("id"), "text", "size")
+    found = keyed.join(wanted, [keyed["id"].eqNullSafe(wanted["want"]), keyed["digest"] == wanted["digest"]]).select(F.col("node").alias("id"), "text")
     return materialize(found.dropDuplicates(["id"]))
 
 

@@ -13,10 +13,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from trajlake.llm.common import crc_mod, materialize
+from trajlake.llm.common import crc_mod, discard, materialize, tree_sums
 from trajlake.llm.textops import as_strings, blocks, hashes, spans
 
 #: Random Fourier features, the kernel's width in standard deviations, and the ridge penalty for each training row.
@@ -128,8 +130,6 @@ def pool_adjacent(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in levels]) if levels else np.zeros(0)
 
 
-
-
 def fit(features: DataFrame, labels: DataFrame, seed: int = 5) -> QualityModel | None:
     """Train on the labelled rows of ``features`` (id, x); ``labels``: doc_id, quality 0/1, training rows only.
 
@@ -144,18 +144,17 @@ def fit(features: DataFrame, labels: DataFrame, seed: int = 5) -> QualityModel |
     model = QualityModel(np.array([sums[f"m{k}"] for k in range(d)]), np.where(scale > 1e-9, scale, 1.0), np.zeros(FEATURES + 1), np.array([0.0, 1.0]), np.array([0.0, 1.0]), seed)
 
     def partial(batches):
-        total = np.zeros((FEATURES + 1, FEATURES + 2))
+        total = None
         for batch in batches:
             x = np.asarray(batch.column("x").flatten()).reshape(-1, d)
             z = model.fourier(x)
-            total += z.T @ np.concatenate([z, np.asarray(batch.column("y"))[:, None]], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array([t.tobytes() for t in total], pa.binary())], names=["i", "sums"])
+            part = z.T @ np.concatenate([z, np.asarray(batch.column("y"))[:, None]], axis=1)
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array([t.tobytes() for t in total], pa.binary())], names=["key", "sums"])
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [group["i"].iloc[0]], "sums": [np.sum([np.frombuffer(b) for b in group["sums"]], axis=0).tobytes()]})
-
-    parts = rows.where("not calibrates").select("x", "y").mapInArrow(partial, "i int, sums binary")
-    whole = np.stack([np.frombuffer(r["sums"]) for r in sorted(parts.groupBy("i").applyInPandas(add, "i int, sums binary").collect(), key=lambda r: r["i"])])
+    parts = tree_sums(rows.where("not calibrates").select("x", "y").mapInArrow(partial, "key int, sums binary"), "float64")
+    whole = np.stack([np.frombuffer(r["sums"]) for r in sorted(parts.collect(), key=lambda r: r["key"])])
     model.weights = np.linalg.solve(whole[:, :-1] + RIDGE * sums["n"] * np.eye(FEATURES + 1), whole[:, -1])
 
     def raw(batches):
@@ -170,6 +169,7 @@ def fit(features: DataFrame, labels: DataFrame, seed: int = 5) -> QualityModel |
         rate = float(good.sum() / n.sum())
         model.points = RANGE[0] + (np.array([r["bin"] for r in counted]) + 0.5) * (RANGE[1] - RANGE[0]) / BINS
         model.values = pool_adjacent((good + rate) / (n + 1), n)
+    discard(rows)
     return model
 
 
@@ -193,7 +193,8 @@ def training_labels(labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) of every row, learnt from ``labels`` outside the held-out quarter.
 
-    Null and empty texts have statistics of zero and get a score like any other.  Repeated rows and null ids give a
+    Null and empty texts have statistics of zero and get a score like any other; long ones are measured whole.  Equal
+    statistics get equal scores, and a score of exactly the threshold is predicted 1.  Repeated rows and null ids give a
     row each.  Without usable labels the score is 0.5 throughout.  An empty table gives an empty result.
     """
     features = materialize(document_features(docs, id_col, text_col))
@@ -203,15 +204,26 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score at least ``least``, all columns as they were; learnt as in ``classify``.
 
-    Without usable labels nothing is rejected."""
-    model = fit(materialize(document_features(docs, id_col, text_col)), training_labels(labels))
+    Every text is measured once: rows are written with their statistics and read again when the model is there.
+    Without usable labels nothing is rejected; an empty table gives an empty result."""
+    at = docs.columns.index(text_col)
+    packed = docs.select(F.struct("*").alias("row"))
+
+    def measure(batches):
+        for batch in batches:
+            x = statistics(as_strings(pc.struct_field(batch.column("row"), [at])))
+            offsets = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1)))], names=["row", "x"])
+
+    schema = StructType([*packed.schema.fields, StructField("x", ArrayType(DoubleType()))])
+    measured = materialize(packed.mapInArrow(measure, schema))
+    model = fit(measured.select(F.col("row")[id_col].alias("id"), "x"), training_labels(labels))
     if model is None:
-        return docs
+        return measured.select("row.*")
 
-    def run(batches):
+    def keep(batches):
         for batch in batches:
-            if batch.num_rows:
-                score = model.score(statistics(as_strings(batch.column(batch.schema.get_field_index(text_col)))))
-                yield batch.filter(pa.array(score >= least))
+            score = model.score(np.asarray(batch.column("x").flatten()).reshape(-1, len(NAMES)))
+            yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(score >= least))], names=["row"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return measured.mapInArrow(keep, packed.schema).select("row.*")

@@ -11,7 +11,6 @@ that rejects the most bad documents, less ``WORTH`` for each good one, is used;
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,16 +79,20 @@ def _counts(text: Column) -> dict[str, Column]:
     return {"_w": measures, "_l": line_counts, "n_symbols": count_of("[#*$%&|<>]+"), "n_capitals": count_of("[A-Z]+")}
 
 
+#: The counts, by their places among the columns of ``_counts``.
+COUNTS = ("_w.n_words", "_w.word_chars", "n_symbols", "_l.n_lines", "_l.n_dup_lines", "_w.n_repeat_words", "n_capitals")
+
+
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
     """One row for each document: id, stratum (null: empty string), the counts of the rules."""
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("")
     kept = docs.select(F.col(id_col).alias("doc_id"), stratum.alias("stratum"), F.col(text_col).alias("text"))
-    return kept.withColumns(_counts(F.col("text"))).select("doc_id", "stratum", "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_lines", "_l.n_dup_lines", "_w.n_repeat_words", "n_capitals")
+    return kept.withColumns(_counts(F.col("text"))).select("doc_id", "stratum", *COUNTS)
 
 
-def rule_values(count: Callable[[str], Column] = F.col) -> dict[str, Column]:
-    """The statistic of each rule, from the counts by name."""
-    ratio = lambda a, b: count(a) / F.greatest(count(b), F.lit(1))
+def rule_values() -> dict[str, Column]:
+    """The statistic of each rule, from the counts."""
+    ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return {
         "symbols_per_word": ratio("n_symbols", "n_words"),
         "capital_share": ratio("n_capitals", "word_chars"),
@@ -167,8 +170,8 @@ def _wide(cutoffs: DataFrame, rules: dict[str, tuple[float, ...]]) -> DataFrame:
     return cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_c_{r}") for r in rules])
 
 
-def _base_failed(count: Callable[[str], Column] = F.col) -> Column:
-    return (count("n_words") < 20) | (100 * count("n_repeat_words") > 30 * count("n_words"))
+def _base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
 def judge(statistics: DataFrame, cutoffs: DataFrame, rules: dict[str, tuple[float, ...]] = RULES) -> DataFrame:
@@ -190,20 +193,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they were; no row moves between partitions for it.
+    """The rows of ``docs`` that the rules keep, all columns as they were.
 
-    The cases are those of ``quality_rules``."""
-    cutoffs = materialize(certified_cutoffs(materialize(document_statistics(docs, id_col, text_col, stratum_col)), labels, alpha, delta))
+    Every text is measured once: rows are written with their counts, the cutoffs are taken from the counts of labelled
+    rows, and the rows are read again.  No text is shuffled.  The cases are those of ``quality_rules``."""
     stratum = F.coalesce(F.col("row")[stratum_col].cast("string"), F.lit("")) if stratum_col else F.lit("")
     packed = docs.select(F.struct("*").alias("row")).withColumn("stratum", stratum)
-    joined = packed.join(_wide(cutoffs, RULES), "stratum", "left")
-    counts = F.struct(*[c.alias(k) for k, c in _counts(F.col("row")[text_col]).items()])
-
-    def passes(v: Column) -> Column:
-        count = lambda name: v[name] if name in ("n_symbols", "n_capitals") else v["_l"][name] if "line" in name else v["_w"][name]
-        out = ~_base_failed(count)
-        for rule, x in rule_values(count).items():
-            out = out & ~F.coalesce(x > F.col(f"_c_{rule}"), F.lit(False))
-        return out
-
-    return joined.where(_once(counts, passes)).select("row.*")  # one expression: the text is measured once
+    measured = materialize(packed.withColumns(_counts(F.col("row")[text_col])).select("row", F.col("row")[id_col].alias("doc_id"), "stratum", *COUNTS))
+    cutoffs = materialize(certified_cutoffs(measured.drop("row"), labels, alpha, delta))
+    return judge(measured, cutoffs).where("kept").select("row.*")

@@ -2,23 +2,27 @@
 
 The patterns find assignments, access keys and hexadecimal strings.  The models cover the rest: candidate strings
 (runs of ``[A-Za-z0-9_+/=-]``) are scored under a first-order Markov model of random strings and one of ordinary
-identifiers, both smoothed by single characters; a candidate whose ratio is high enough is a secret.
+identifiers, both smoothed by single characters; a candidate whose ratio reaches the cutoff is a secret.
 The models are trained from labelled samples: random strings are the values that the patterns find in the whole of the
-sampled texts, with seeded strings over the usual alphabets; identifiers are the other words of the sampled texts, also joined as names in code are.
+sampled texts, with seeded strings over the usual alphabets; identifiers are the other words of the sampled texts, also
+joined as names in code are.  A quarter of the sampled texts is held out: the cutoff is the least ratio that at most a
+share ``FALSE_RATE`` of its ordinary strings reaches (and never below ln(1 / FALSE_RATE), which by Markov's inequality
+bounds that share under the model itself).
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import hash_sample
+from trajlake.llm.common import discard, hash_sample, materialize, tree_sums
 
 #: Fixed patterns of the base: kind, expression, least length of what is measured.
 KINDS = ("assign", "access", "hex", "markov")
@@ -32,9 +36,10 @@ SAMPLE_DOCS = 2_000
 SAMPLE_WORDS = 400
 #: Random strings added to those that the patterns find.
 RANDOM_STRINGS = 4_000
-#: Least log-likelihood ratio of a secret: over the whole string, and for each character pair on average.
-LEAST_RATIO = 25.0
-LEAST_MEAN = 1.0
+#: Share of held-out ordinary strings that may pass for secrets, and the bins of log-likelihood ratios they are counted in.
+FALSE_RATE = 1e-4
+RATIO_BINS = np.arange(-400.0, 400.25, 0.25)
+LEAST_LENGTH = 20
 #: Weight of single characters in the smoothing of a pair.
 BACKOFF = 5.0
 
@@ -46,22 +51,40 @@ _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
 
 @dataclass
 class SecretModel:
-    """Log-likelihood ratios, random against ordinary, of character pairs."""
+    """Log-likelihood ratios, random against ordinary, of character pairs, and the least ratio of a secret.
+
+    recall and false_rate: of held-out pattern values and ordinary strings of ``LEAST_LENGTH`` characters or more, the
+    shares that reach the cutoff (nan where there are none)."""
 
     ratio: np.ndarray
+    cutoff: float = -float(np.log(FALSE_RATE))
+    recall: float = float("nan")
+    false_rate: float = float("nan")
 
     def score(self, text: str) -> tuple[float, float]:
+        """Log-likelihood ratio of the whole string, and for each character pair on average."""
         codes = _CODE[np.frombuffer(text.encode("ascii"), np.uint8)]
         pairs = self.ratio[codes[:-1], codes[1:]]
         return float(pairs.sum()), float(pairs.mean())
 
     def is_secret(self, text: str) -> bool:
-        """Random enough, and mixed as keys are: letters with digits, or upper with lower case."""
-        kinds = [any(c.isdigit() for c in text), any(c.isupper() for c in text), any(c.islower() for c in text)]
-        if sum(kinds) < 2:
-            return False
-        total, mean = self.score(text)
-        return total >= LEAST_RATIO and mean >= LEAST_MEAN
+        """At least as likely to be random as the cutoff asks; a tie with it counts."""
+        return self.score(text)[0] >= self.cutoff
+
+    def histogram(self, strings: list[str]) -> np.ndarray:
+        """Counts of the strings' ratios by bin."""
+        scores = [self.score(s)[0] for s in strings]
+        return np.histogram(np.clip(scores, RATIO_BINS[0], RATIO_BINS[-1]), RATIO_BINS)[0]
+
+    def calibrated(self, random: np.ndarray, ordinary: np.ndarray) -> SecretModel:
+        """With the cutoff for these held-out counts of ratios."""
+        above = lambda counts: np.append(counts[::-1].cumsum()[::-1], 0)  # noqa: E731  strings at or above each bin edge
+        cutoff = self.cutoff
+        if ordinary.sum():
+            fine = above(ordinary) <= FALSE_RATE * ordinary.sum()
+            cutoff = max(cutoff, float(RATIO_BINS[np.argmax(fine)]))
+        share = lambda counts: float(counts[RATIO_BINS[:-1] >= cutoff].sum() / counts.sum()) if counts.sum() else float("nan")
+        return SecretModel(self.ratio, cutoff, share(random), share(ordinary))
 
 
 def _pair_counts(strings: list[str]) -> np.ndarray:
@@ -87,7 +110,11 @@ def plain_forms() -> list[str]:
 
 
 def train(random: list[str], ordinary: list[str]) -> SecretModel:
-    return _train(_pair_counts(random), _pair_counts(ordinary))
+    """A model of the given samples; every fourth string is held out for the cutoff."""
+    kept = lambda strings: [s for k, s in enumerate(strings) if k % 4]
+    held = lambda strings: [s for s in strings[::4] if len(s) >= LEAST_LENGTH and not _OTHER.search(s)]
+    model = _train(_pair_counts(kept(random)), _pair_counts(kept(ordinary)))
+    return model.calibrated(model.histogram(held(random)), model.histogram(held(ordinary)))
 
 
 def _train(random: np.ndarray, ordinary: np.ndarray) -> SecretModel:
@@ -115,9 +142,12 @@ def ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 def model_spans(text: str, base: list[tuple[str, int, int]], model: SecretModel) -> list[tuple[str, int, int]]:
     """Candidates outside the patterns' spans that the models call secret."""
     taken = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in taken]
+    reach = list(accumulate((b for _, b in taken), max))  # the furthest end among the spans so far
     found = []
     for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in taken) and model.is_secret(m.group()):
+        before = bisect_left(starts, m.end())  # spans that start before the candidate ends
+        if (not before or reach[before - 1] <= m.start()) and model.is_secret(m.group()):
             found.append(("markov", m.start(), m.end()))
     return found
 
@@ -132,39 +162,67 @@ def pattern_values(text: Column) -> Column:
     return F.concat(assigned, rest)
 
 
+def _samples(words: list[str], values: list[str]) -> tuple[list[str], list[str]]:
+    """Random and ordinary strings of one text."""
+    random = [v for v in values if len(v) >= LEAST_LENGTH and any(c.isdigit() for c in v)]
+    plain = []
+    for word in words:
+        if len(word) >= LEAST_LENGTH and base_spans(word):
+            continue
+        word = _OTHER.sub("", word)
+        if len(word) > 1 and not _DIGIT.search(word):
+            plain.append(word)
+    names = []
+    for k in range(0, len(plain) - 2, 3):  # words joined as in names: snake_case, camelCase, kebab-case, paths, CONSTANTS
+        three = plain[k : k + 3]
+        snake = "_".join(three)
+        names += [snake.lower(), three[0].lower() + three[1].capitalize() + three[2].capitalize(), "-".join(three), "/".join(three), snake.upper(), snake.lower() + "_2024"]
+    return random, plain + names
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> SecretModel:
     """Train on about ``sample_docs`` texts (at most twice as many): all values of the patterns in them, and ``sample_words``
-    words spread over each; fewer or none leave the seeded strings and the smoothing to decide."""
+    words spread over each; fewer or none leave the seeded strings and the smoothing to decide.
+
+    Tasks count character pairs and ratios; only those tables of fixed size reach the driver."""
     words = F.split("text", "[\\x20\\x09-\\x0D]+")
     stride = lambda w: F.greatest(F.lit(1), F.ceil(F.size(w) / sample_words).cast("int"))
     chosen_of = lambda w, step: F.filter(w, lambda x, i: i % step == 0)
     spread = F.transform(F.array(F.struct(words.alias("w"), stride(words).alias("s"))), lambda v: chosen_of(v["w"], v["s"]))[0]  # split once a text
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = hash_sample(base, "id", sample_docs).where("text is not null").select(spread.alias("w"), pattern_values(F.col("text")).alias("v")).collect()
-    random, ordinary = _pair_counts(random_strings(RANDOM_STRINGS)), _pair_counts(plain_forms())
-    for found, values in rows:  # counted text by text, so that the driver holds no list of all words
-        random += _pair_counts([v for v in values if len(v) >= 20 and any(c.isdigit() for c in v)])
-        plain = []
-        for word in found:
-            if len(word) >= 20 and base_spans(word):
-                continue
-            word = _OTHER.sub("", word)
-            if len(word) > 1 and not _DIGIT.search(word):
-                plain.append(word)
-        names = []
-        for k in range(0, len(plain) - 2, 3):  # words joined as in names: snake_case, camelCase, kebab-case, paths, CONSTANTS
-            three = plain[k : k + 3]
-            snake = "_".join(three)
-            names += [snake.lower(), three[0].lower() + three[1].capitalize() + three[2].capitalize(), "-".join(three), "/".join(three), snake.upper(), snake.lower() + "_2024"]
-        ordinary += _pair_counts(plain + names)
-    return _train(random, ordinary)
+    held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4)) == 0, F.lit(False))
+    sample = materialize(hash_sample(base, "id", sample_docs).where("text is not null").select(held.alias("held"), spread.alias("w"), pattern_values(F.col("text")).alias("v")))
+
+    def counted(of):
+        def run(batches):
+            total = [0.0, 0.0]
+            for batch in batches:
+                for w, v in zip(batch.column("w").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                    total = [t + of(strings) for t, strings in zip(total, _samples(w, v), strict=True)]
+            if not np.isscalar(total[0]):
+                yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([np.asarray(t, float).tobytes() for t in total], pa.binary())], names=["key", "sums"])
+
+        return run
+
+    def sums(rows: DataFrame, of, start: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        found = {r["key"]: np.frombuffer(r["sums"]) for r in tree_sums(rows.select("w", "v").mapInArrow(counted(of), "key int, sums binary"), "float64").collect()}
+        return [own + found[k].reshape(own.shape) if k in found else own for k, own in enumerate(start)]
+
+    seeded, forms = random_strings(RANDOM_STRINGS), plain_forms()
+    kept = lambda strings: [s for k, s in enumerate(strings) if k % 4]
+    model = _train(*sums(sample.where("not held"), _pair_counts, (_pair_counts(kept(seeded)), _pair_counts(kept(forms)))))
+    long = lambda strings: [s for s in strings if len(s) >= LEAST_LENGTH and not _OTHER.search(s)]
+    model = model.calibrated(*sums(sample.where("held"), lambda strings: model.histogram(long(strings)), (np.zeros(len(RATIO_BINS) - 1), model.histogram(long(forms[::4])).astype(float))))
+    discard(sample)
+    return model
 
 
 def scan(docs: DataFrame, model: SecretModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id, spans array<struct<kind, start, end>> by start, in code points, end exclusive.
 
     Null and empty texts have no spans; repeated rows, null ids and other columns do not matter; an empty table gives
-    an empty result.  Texts are scanned whole.
+    an empty result.  Texts are scanned whole, in time in proportion to their length; spans that start together are
+    ordered by kind as listed.
     """
     model = model or fit(docs, id_col, text_col)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

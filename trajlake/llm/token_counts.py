@@ -11,6 +11,8 @@ starts with ``U+2581``.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 
 SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words that a task remembers before it starts again.
+BYTE_PIECE = re.compile("<0x[0-9A-F]{2}>")
+#: Words that a task remembers before it starts again, and the longest of them: together they bound its memory.
 MEMO_WORDS = 1_000_000
+MEMO_CHARACTERS = 64
 
 
 def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], int]:
@@ -42,44 +46,46 @@ class UnigramCounter:
                 self.automaton.add_word(piece, (len(piece), float(score)))
         self.automaton.make_automaton()
         self.unknown_score = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
-        self.bytes = {p for p, _ in vocabulary if len(p) == 6 and p.startswith("<0x") and p.endswith(">")}
+        self.bytes = frozenset(int(p[3:5], 16) for p, _ in vocabulary if BYTE_PIECE.fullmatch(p))
+        self.longest = max((len(p) for p, _ in vocabulary), default=1)
         self.memo: dict[str, int] = {}
         self.memo_words = memo_words
 
     def count_word(self, word: str) -> int:
-        """Pieces of one word, its mark included."""
-        n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        single = [False] * n
-        for end, (length, score) in self.automaton.iter(word):
-            ends[end].append((length, score))
-            if length == 1:
-                single[end] = True
-        best, pieces, tail = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)  # tail: start of the unknown run that ends here, plus 1
-        for end in range(n):
-            matches = ends[end]
-            if not single[end]:
+        """Pieces of one word, its mark included; time and memory in proportion to its length.
+
+        A place keeps its best score, its pieces and, inside a run of unknown characters, the pieces before the run,
+        the run's bytes and whether the vocabulary has them all.  No piece reaches back further than the longest one,
+        so only that many places are kept."""
+        ring = self.longest + 1
+        best, pieces = [0.0] * ring, [0] * ring
+        runs: list[tuple[int, int, bool] | None] = [None] * ring  # pieces before the run, its bytes, all known
+        found = self.automaton.iter(word)
+        ahead = next(found, None)
+        for end, character in enumerate(word):
+            matches = []
+            while ahead is not None and ahead[0] == end:
+                matches.append(ahead[1])
+                ahead = next(found, None)
+            matches.sort(key=lambda m: -m[0])
+            if not matches or matches[-1][0] != 1:
                 matches.append((0, self.unknown_score))
-            found = False
-            for length, score in sorted(matches, key=lambda m: -(m[0] or 1)):
-                start = end + 1 - (length or 1)
+            here, top = (end + 1) % ring, None
+            for length, score in matches:
+                start = (end + 1 - (length or 1)) % ring
                 total = best[start] + score
-                if not found or total > best[end + 1]:
-                    found = True
-                    best[end + 1] = total
+                if top is None or total > top:
+                    top = total
                     if length:
-                        pieces[end + 1], tail[end + 1] = pieces[start] + 1, 0
-                    elif tail[start]:  # the run of unknown characters goes on: counted from its start
-                        tail[end + 1] = tail[start]
-                        pieces[end + 1] = pieces[tail[start] - 1] + self.unknown_pieces(word[tail[start] - 1 : end + 1])
-                    else:
-                        tail[end + 1] = start + 1
-                        pieces[end + 1] = pieces[start] + self.unknown_pieces(word[end])
-        return pieces[n]
-
-    def unknown_pieces(self, text: str) -> int:
-        raw = text.encode()
-        return len(raw) if self.bytes and all(f"<0x{b:02X}>" in self.bytes for b in set(raw)) else 1
+                        result = pieces[start] + 1, None
+                    else:  # the run of unknown characters begins or goes on
+                        before, size, known = runs[start] or (pieces[start], 0, bool(self.bytes))
+                        raw = character.encode()
+                        run = before, size + len(raw), known and self.bytes.issuperset(raw)
+                        result = before + (run[1] if run[2] else 1), run
+            best[here] = top
+            pieces[here], runs[here] = result
+        return pieces[len(word) % ring]
 
     def count(self, text: str) -> int:
         if not text:
@@ -92,10 +98,15 @@ class UnigramCounter:
         except KeyError:
             if len(memo) > self.memo_words:
                 memo = self.memo = {}
+            total = 0
             for w in words:
-                if w not in memo:
-                    memo[w] = self.count_word(SPACE_MARK + w)
-            return sum(map(memo.__getitem__, words))
+                n = memo.get(w)
+                if n is None:
+                    n = self.count_word(SPACE_MARK + w)
+                    if len(w) <= MEMO_CHARACTERS:
+                        memo[w] = n
+                total += n
+            return total
 
 
 _here: dict[str, UnigramCounter] = {}
@@ -110,7 +121,8 @@ def counter(path: str) -> UnigramCounter:
 def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens) for each row; null counts as empty text (no tokens).
 
-    Repeated rows and null ids give a row each, an empty table an empty result; other columns are ignored.
+    Texts of any length are counted whole, in time and memory in proportion to them.  Equal scores are decided as the
+    library decides them (see above).  Repeated rows and null ids give a row each, an empty table an empty result; other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 

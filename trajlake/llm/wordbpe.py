@@ -19,8 +19,9 @@ import numpy as np
 LEAF = 2048
 #: Characters of a blank-free run that the library gets in one piece.
 LONG_RUN = 8192
-#: Runs that a task remembers before it starts again: bounds its memory.
+#: Runs that a task remembers before it starts again, and the bytes of runs and ids: together they bound its memory.
 MEMO_RUNS = 1_000_000
+MEMO_BYTES = 128 << 20
 
 
 def load(path: str):
@@ -77,6 +78,7 @@ class WordBpe:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.ids: dict[str, bytes] = {"": b""}
+        self.held = 0  # bytes in the memo
 
     def encode_unit(self, unit: str) -> list[int]:
         """Tokens of one pre-token, or of a part of one, without cutting it."""
@@ -109,6 +111,7 @@ class WordBpe:
         new = [r for r in dict.fromkeys(runs) if r not in known]
         for run in [r for r in new if len(r) > LONG_RUN]:
             known[run] = np.array(self.encode_run(run), "<u4").tobytes()
+            self.held += 4 * len(run) + len(known[run])
         new = [r for r in new if len(r) <= LONG_RUN]
         for k in range(0, len(new), 4096):
             some = new[k : k + 4096]
@@ -117,6 +120,7 @@ class WordBpe:
             at = np.searchsorted(np.fromiter((o[0] for o in done.offsets), np.int64, len(done)), starts).tolist()
             raw = memoryview(np.array(done.ids, "<u4").tobytes())
             known.update((r, bytes(raw[4 * a : 4 * b])) for r, a, b in zip(some, at, at[1:], strict=False))
+            self.held += int(starts[-1]) + len(raw)
 
     def runs(self, text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")
@@ -134,8 +138,8 @@ class WordBpe:
 
     def learn_all(self, texts: list[list[str]]) -> None:
         """Learn what many texts need at once; a single call of the library then covers them."""
-        if len(self.ids) > self.memo_runs:
-            self.ids = {"": b""}
+        if len(self.ids) > self.memo_runs or self.held > MEMO_BYTES:
+            self.ids, self.held = {"": b""}, 0
         known = self.ids
         missing = {r for runs in texts for r in runs if r not in known}
         if missing:
