@@ -10,33 +10,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.llm import near_dedup, packing, quality_classifier, quality_rules, secrets
-from trajlake.llm.common import materialize, table
+from trajlake.llm.common import discard, materialize, table
 from trajlake.llm.queries import word_tokenizer
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or a certified cutoff go."""
+    """Documents that fail the base rule or a certified cutoff go.
+
+    So do null and empty texts, which have no words; a null language is a stratum of its own; rows that repeat, or whose
+    id is null, are judged like any others.  An empty table stays empty."""
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents more likely bad than good go."""
+    """Documents more likely bad than good go.
+
+    Without usable labels none does.  Null texts count as empty and are scored; equal texts share their fate."""
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def apply_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: the one with the smallest id."""
+    """One document of each class of near-duplicates stays: the one with the smallest id.
+
+    Null and empty texts are one class; of repeated rows one stays; a row with a null id stays only if its class has no id."""
     return near_dedup.keep_one(docs)
 
 
 def apply_secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; every document stays, and n_chars follows its text."""
+    """Secrets are masked in the text; every document stays, and n_chars, where there is one, follows its text.
+
+    Null texts stay null with their n_chars; empty ones stay empty."""
     masked = secrets.redact(docs)
-    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return masked.select(docs.columns)
 
 
 def apply_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as pieces of packed sequences."""
+    """Documents as pieces of packed sequences.
+
+    A null or empty text is a document of the end id alone; repeated rows and null ids are packed like any others."""
     return packing.pack(docs, word_tokenizer()).withColumnRenamed("id", "doc_id")
 
 
@@ -56,7 +69,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        kept = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialize(docs)
+            kept = materialize(kept)
+            discard(docs)
+        docs = kept
     return docs
