@@ -1,25 +1,36 @@
-"""Language-model scores from a weighted backoff automaton over smoothed bigrams.
-
-States are the histories (one word, or the start of a text) and a root without history.  A state has an arc for every
-word seen after it, weighing log10 of its interpolated absolute-discounting probability, and a failure arc to the root
-weighing log10(D T(h) / c(h)); the root's arcs weigh the add-one unigram probability, unknown words together as one.
-A text is traversed once from left to right, carrying the state and adding up the arcs' weights.
-
-The automaton grows with the corpus, so no task ever holds it.  Texts are handled in blocks of bounded size.  Every
-block sends the words and bigrams it contains, with its training counts, to the shards that own them; a shard adds
-up the counts of all blocks and returns to each block what it asked for.  So a block gets exactly the part of the
-automaton that its texts can reach.  Shards own histories by hash; the bigrams of frequent histories (at least
-``HOT_SHARE`` of all tokens, so at most 1 / HOT_SHARE of them) are spread over all shards by both words.
+"""Language-model scores from a weighted backoff automaton over smoothed n-grams of orders one to three.
+
+An n-gram of two or three words belongs to the model if it occurs at least ``KEEP`` times in the training texts.  The
+states are the root, which has no history, and every word (or the start of a text) and every bigram that some kept
+n-gram continues.  With c for counts, D for an order's absolute discount and g(h) for the share of h's occurrences
+that its kept continuations and their discounts leave over:
+
+* the root has an arc for every word, weighing log10 of its add-one probability (unknown words share one);
+* a state h has an arc for every kept h w, weighing log10((c(h w) - D) / c(h) + g(h) P(w | shorter h)), which leads to
+  the longest end of h w that is a state;
+* a state's failure arc leads to the state of the next shorter history and weighs log10 g(h).
+
+A text is traversed once from left to right: the walk carries a state, takes failure arcs until there is an arc for the
+next word, takes that and adds up the weights.  All texts of a block walk side by side.  A long text walks in several
+lanes; a lane reads the two words before its own first, after which it is in the state that the whole walk would be in.
+
+The automaton grows with the corpus, so no task ever holds it.  Texts become blocks of tokens, written once.  Every
+block sends its distinct words, then its bigrams, then those trigrams whose two bigrams are kept, with its training
+counts, to the shards that own them; a shard adds up the counts of all blocks and returns to each block what it asked
+for.  So a block gets exactly the part of the automaton that its texts can reach.  Shards own histories by hash; the
+n-grams of frequent histories (at least ``HOT_SHARE`` of all tokens, so at most 1 / HOT_SHARE of them) are spread over
+all shards.  The number of shards follows the number of tokens.
 """
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trajlake.llm.common import crc_mod, materialize
@@ -27,222 +38,403 @@ from trajlake.llm.textops import as_strings, blocks, hashes, mix, spans
 
 U64 = np.uint64
 END, START = U64(0x5E17D4A1C3B29F07), U64(0x1C0FFEE5D15EA5E1)
+ODD = U64(0x9E3779B97F4A7C15)
+#: Least training count of a bigram or trigram of the model.
+KEEP = 2
 HOT_SHARE = 1e-4
-#: Stored bytes of a file split that make one block (text is two to three times larger), and tokens that make one shard.
-BLOCK_SPLIT_BYTES = 4 << 20
+#: Bytes of text that make one block, about (a longer text is one block), and tokens that make one shard.
+BLOCK_BYTES = 6 << 20
 SHARD_TOKENS = 1_000_000
+#: Tokens of a lane of the walk.
+LANE = 512
 
 
-def block_column(spark, id_col: str) -> Column:
-    """Block of a row: its scan partition, cut by hash where splits are large.  The same for every scan of the same files."""
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB")
-    number, unit = re.match(r"(\d+)\s*([kmgt]?)", split.lower()).groups()
-    parts = max(1, -(-int(number) * 1024 ** " kmgt".index(unit or " ") // BLOCK_SPLIT_BYTES))
-    return F.spark_partition_id().cast("long") * parts + F.pmod(F.xxhash64(id_col), F.lit(parts))
+def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-class BlockTokens:
-    """Words and bigrams of a block of texts, in an order that depends only on the set of texts."""
+BLOCK = "block long, n_texts long, n_tokens long, n_words long, ids binary, no_id binary, trains binary, lengths binary, words binary, word_counts binary, tokens binary"
+_BLOCK = [(n, pa.binary() if t == "binary" else pa.int64()) for n, t in (c.split() for c in BLOCK.split(", "))]
 
-    def __init__(self, texts: pa.Array, trains: np.ndarray):
-        history, word, counts = [], [], []
-        for _, raw, offsets in blocks(texts):
+
+def _tokenise(batches):
+    """Blocks: the rows' ids and lengths, the distinct word hashes with their training counts, and tokens as their indices."""
+    block = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        ids, trains = batch.column("id"), batch.column("trains").to_numpy(zero_copy_only=False)
+        no_id = np.asarray(ids.is_null())
+        numbers = ids.fill_null(0).to_numpy()
+        for first, raw, offsets in blocks(as_strings(batch.column("text")), BLOCK_BYTES):
             starts, ends, at = spans(raw, offsets)
-            h = hashes(raw, starts, ends)
             n = np.diff(at)
             stops = np.cumsum(n + 1) - 1
-            tokens = np.empty(len(h) + len(n), U64)
-            mask = np.ones(len(tokens), bool)
-            mask[stops] = False
-            tokens[mask] = h
-            tokens[stops] = END
-            before = np.empty(len(tokens), U64)
-            before[1:] = tokens[:-1]
-            before[stops - n] = START
-            history.append(before)
-            word.append(tokens)
-            counts.append(n + 1)
-        none = np.zeros(0, U64)
-        history, word = np.concatenate([none, *history]), np.concatenate([none, *word])
-        self.lengths = np.concatenate([np.zeros(0, np.int64), *counts])
-        self.trains = np.repeat(trains, self.lengths)
-        self.words = np.unique(np.concatenate([word, none if not len(word) else np.array([START, END])]))
-        self.word = np.searchsorted(self.words, word).astype(np.int32)
-        self.history = np.searchsorted(self.words, history).astype(np.int32)
-
-    def word_counts(self) -> np.ndarray:
-        """Training counts of ``words``; for the start, of training texts."""
-        out = np.bincount(self.word, self.trains, len(self.words)).astype(np.int64)
-        out[self.words == START] = int(self.trains[self.words[self.history] == START].sum()) if len(self.word) else 0
-        return out
-
-    def pairs(self, shards: int, hot: np.ndarray) -> None:
-        """Distinct bigrams, ordered by shard, history and word; ``pair``: of each token."""
-        codes = self.history.astype(np.int64) * len(self.words) + self.word
-        distinct, inverse = np.unique(codes, return_inverse=True)
-        first, second = distinct // max(1, len(self.words)), distinct % max(1, len(self.words))
-        h, w = self.words[first], self.words[second]
-        owner = np.where(np.isin(h, hot), mix(h * U64(31) + w), mix(h)) >> U64(16)
+            tokens = np.full(len(starts) + len(n), END, U64)
+            inside = np.ones(len(tokens), bool)
+            inside[stops] = False
+            tokens[inside] = hashes(raw, starts, ends)
+            words, index = np.unique(np.append(tokens, START), return_inverse=True)
+            index = index[:-1].astype(np.uint32)
+            rows = slice(first, first + len(n))
+            counts = np.bincount(index, np.repeat(trains[rows], n + 1), len(words)).astype(np.int64)
+            counts[words == START] = trains[rows].sum()
+            parts = [numbers[rows].astype(np.int64), no_id[rows], trains[rows].astype(bool), (n + 1).astype(np.int64), words, counts, index]
+            yield _batch([(block, len(n), len(index), len(words), *[p.tobytes() for p in parts])], _BLOCK)
+            block += 1
+
+
+class Block:
+    """Tokens of a block, its distinct bigrams, and what it asks the shards for."""
+
+    def __init__(self, row):
+        read = lambda name, kind: np.frombuffer(row[name], kind)
+        self.words, self.token = read("words", U64), read("tokens", np.uint32).astype(np.int64)
+        self.lengths = read("lengths", np.int64)
+        self.trains = np.repeat(read("trains", bool), self.lengths).astype(np.float64)
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        self.start = int(np.searchsorted(self.words, START))
+        history = np.empty_like(self.token)
+        history[1:] = self.token[:-1]
+        history[self.begin] = self.start
+        codes, self.pair = np.unique(history * len(self.words) + self.token, return_inverse=True)
+        self.history, self.word = codes // len(self.words), codes % len(self.words)
+
+    def bigrams(self, shards: int, hot: np.ndarray) -> Grams:
+        counts = np.bincount(self.pair, self.trains, len(self.word))
+        return Grams(self.words[self.history], self.words[self.word], counts, shards, hot)
+
+    def trigrams(self, kept: np.ndarray, shards: int, hot: np.ndarray, names: np.ndarray) -> Grams:
+        """Trigrams whose bigrams are both ``kept``; ``names``: hashes of the bigrams.
+
+        A kept bigram that no such trigram continues is asked for with the start as its next word, which never follows
+        anything: it may be a state all the same."""
+        inner = np.ones(len(self.token), bool)
+        inner[self.begin] = False
+        at = np.flatnonzero(inner)
+        at = at[kept[self.pair[at - 1]]]
+        both = kept[self.pair[at]]
+        alone = np.setdiff1d(self.pair[at - 1], self.pair[at[both] - 1])
+        at = at[both]
+        size = len(self.words)
+        codes, index = np.unique(np.append(self.pair[at - 1] * size + self.token[at], alone * size + self.start), return_inverse=True)
+        index = index[: len(at)]
+        self.context, self.third = codes // size, codes % size
+        self.second = np.zeros(len(codes), np.int64)  # the bigram that ends the trigram
+        self.second[index] = self.pair[at]
+        counts = np.bincount(index, self.trains[at], len(codes))
+        return Grams(names[self.context], self.words[self.third], counts, shards, hot)
+
+
+class Grams:
+    """Distinct n-grams of a block as history and word hashes, dealt to shards; ``place`` is their order in the requests."""
+
+    def __init__(self, history: np.ndarray, word: np.ndarray, counts: np.ndarray, shards: int, hot: np.ndarray):
+        short = word >> U64(24)  # 40 bits beside the history tell a shard's n-grams apart
+        self.names = gram_names(history, short)
+        self.hot = np.isin(history, hot)
+        owner = np.where(self.hot, mix(self.names ^ ODD), mix(history)) >> U64(16)
         shard = (owner % U64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.pair, self.shard = place[inverse], shard[order]
-        self.first, self.second = first[order], second[order]
-        self.pair_counts = np.bincount(self.pair, self.trains, len(order)).astype(np.uint32)
-
-
-def _blocks_of(batches, names=("block", "text", "trains")):
-    """Collect the rows of a partition by block: (block, texts, trains)."""
-    held: dict[int, list] = {}  # texts stay as Arrow arrays; only the block at work has token arrays
-    for batch in batches:
-        ids = batch.column("block").to_numpy(zero_copy_only=False)
-        for b in np.unique(ids):
-            on = pa.array(np.flatnonzero(ids == b))
-            held.setdefault(int(b), []).append((as_strings(batch.column("text").take(on)), batch.column("trains").take(on).to_numpy(zero_copy_only=False)))
-    for b, parts in held.items():
-        yield b, pa.concat_arrays([t for t, _ in parts]), np.concatenate([t for _, t in parts]).astype(np.float64)
+        self.place = np.lexsort((short, history, shard))
+        self.shard, self.history, self.short, self.counts = shard[self.place], history[self.place], short[self.place], counts[self.place].astype(np.uint32)
+        fresh = np.ones(len(shard), bool)
+        fresh[1:] = (self.history[1:] != self.history[:-1]) | (self.shard[1:] != self.shard[:-1])
+        self.head = np.flatnonzero(fresh)
+        self.each = np.diff(np.append(self.head, len(shard)))
+
+    def requests(self, block: int) -> list[tuple]:
+        cuts = np.flatnonzero(np.diff(self.shard, prepend=-1, append=-1)) if len(self.shard) else np.zeros(1, int)
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            c, d = np.searchsorted(self.head, [a, b])
+            short = self.short[a:b]
+            parts = [self.history[self.head[c:d]], self.each[c:d].astype(np.uint32), short.astype(np.uint32), (short >> U64(32)).astype(np.uint8), self.counts[a:b]]
+            rows.append((int(self.shard[a]), block, *[p.tobytes() for p in parts]))
+        return rows
+
+    def answers(self, rows: pd.DataFrame, hot: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each n-gram, in the order they were given in: the count if it is kept, and its history's number of kept
+        continuations and their count."""
+        rows = rows.sort_values("shard")
+        read = lambda name: np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(b, np.int64) for b in rows[name]]])
+        counts, kinds, sums = read("counts"), np.repeat(read("kinds"), self.each), np.repeat(read("sums"), self.each)
+        for h in np.unique(self.history[self.hot[self.place]]).view(np.int64).tolist():
+            on = self.history == np.int64(h).view(U64)
+            kinds[on], sums[on] = hot[h]
+        out = []
+        for x in (counts, kinds, sums):
+            own = np.empty_like(x)
+            own[self.place] = x
+            out.append(own)
+        return tuple(out)
+
+
+def gram_names(history: np.ndarray, short: np.ndarray) -> np.ndarray:
+    return mix(history + short * ODD)
+
+
+REQUEST = "shard int, block long, histories binary, lens binary, low binary, high binary, counts binary"
+_REQUEST = [("shard", pa.int32()), ("block", pa.int64()), *[(n, pa.binary()) for n in ("histories", "lens", "low", "high", "counts")]]
+ANSWER = "block long, shard int, counts binary, kinds binary, sums binary, n1 long, n2 long, hot array<long>, hot_kinds array<long>, hot_sums array<long>, top array<long>"
 
 
 def _word_requests(shards: int):
     def run(batches):
-        for block, texts, trains in _blocks_of(batches):
-            tokens = BlockTokens(texts, trains)
-            counts = tokens.word_counts()
-            shard = (mix(tokens.words) % U64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(k, block, tokens.words[order[a:b]].tobytes(), counts[order[a:b]].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "block", "words", "counts"])
+        for batch in batches:
+            for block, words, counts in zip(*[batch.column(n).to_pylist() for n in ("block", "words", "word_counts")], strict=True):
+                order, cuts = word_order(np.frombuffer(words, U64), shards)
+                words, counts = np.frombuffer(words, U64)[order], np.frombuffer(counts, np.int64)[order]
+                rows = [(k, block, words[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+                yield _batch(rows, [("shard", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
 
     return run
 
 
+def word_order(words: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a block asks for its words, and where each shard's begin."""
+    shard = (mix(words) % U64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
 def _word_answers(group: pd.DataFrame) -> pd.DataFrame:
     """Counts over all blocks for every block's words; the row of block -1 has the shard's totals and frequent words."""
     words = [np.frombuffer(b, U64) for b in group["words"]]
-    counts = np.concatenate([np.frombuffer(b, np.int64) for b in group["counts"]])
     distinct, inverse = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, inverse, np.concatenate([np.frombuffer(b, np.int64) for b in group["counts"]]))
     answer = np.split(total[inverse], np.cumsum([len(w) for w in words])[:-1])
     token = distinct != START
     top = np.argsort(-total)[: int(1 / HOT_SHARE)]
-    out = [(int(b), int(group["shard"].iloc[0]), a.tobytes(), 0, 0, [], []) for b, a in zip(group["block"], answer, strict=True)]
-    out.append((-1, int(group["shard"].iloc[0]), b"", int(total[token].sum()), int((total[token] > 0).sum()), distinct[top].view(np.int64).tolist(), total[top].tolist()))
+    shard = int(group["shard"].iloc[0])
+    out = [(int(b), shard, a.tobytes(), 0, 0, [], []) for b, a in zip(group["block"], answer, strict=True)]
+    out.append((-1, shard, b"", int(total[token].sum()), int((total[token] > 0).sum()), distinct[top].view(np.int64).tolist(), total[top].tolist()))
     return pd.DataFrame(out, columns=["block", "shard", "counts", "n", "v", "top", "top_n"])
 
 
-def _pair_requests(shards: int, hot: np.ndarray):
-    def run(batches):
-        for block, texts, trains in _blocks_of(batches):
-            t = BlockTokens(texts, trains)
-            t.pairs(shards, hot)
-            cuts = np.flatnonzero(np.concatenate([[True], t.shard[1:] != t.shard[:-1], [True]])) if len(t.shard) else np.zeros(1, int)
-            for lot in range(0, len(cuts) - 1, 64):
-                rows = []
-                for a, b in zip(cuts[lot : lot + 64], cuts[lot + 1 : lot + 65], strict=False):
-                    first = t.first[a:b]
-                    begin = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-                    words = t.words[t.second[a:b]] >> U64(16)
-                    rows.append(
-                        (int(t.shard[a]), block, t.words[first[begin]].tobytes(), np.diff(np.concatenate([begin, [b - a]])).astype(np.uint32).tobytes(), words.astype(np.uint32).tobytes(), (words >> U64(32)).astype(np.uint16).tobytes(), t.pair_counts[a:b].tobytes())
-                    )
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=["shard", "block", "histories", "lens", "low", "high", "counts"])
-
-    return run
-
+def _gram_answers(hot: np.ndarray, frequent: float):
+    """Counts over all blocks for every block's n-grams, 0 for those that are not kept; the row of block -1 has the numbers
+    of n-grams seen once and twice, the shard's part of the frequent histories, and n-grams that will be such."""
 
-def _pair_answers(hot: np.ndarray):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         lens = [np.frombuffer(b, np.uint32) for b in group["lens"]]
         unique = [np.frombuffer(b, U64) for b in group["histories"]]
         history = np.concatenate([np.repeat(u, n) for u, n in zip(unique, lens, strict=True)])
-        word = np.concatenate([np.frombuffer(b, np.uint32) for b in group["low"]]).astype(U64) | (np.concatenate([np.frombuffer(b, np.uint16) for b in group["high"]]).astype(U64) << U64(32))
-        key = mix(history + word * U64(0x9E3779B97F4A7C15))
-        del word
-        distinct, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([np.frombuffer(b, np.uint32) for b in group["counts"]]), len(distinct)).astype(np.uint32)
+        short = np.concatenate([np.frombuffer(b, np.uint32) for b in group["low"]]).astype(U64)
+        short |= np.concatenate([np.frombuffer(b, np.uint8) for b in group["high"]]).astype(U64) << U64(32)
+        distinct, at, inverse = np.unique(gram_names(history, short), return_index=True, return_inverse=True)
+        del short
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, inverse, np.concatenate([np.frombuffer(b, np.uint32) for b in group["counts"]]).astype(np.int64))
+        kept = np.where(total >= KEEP, total, 0)
         names, owner = np.unique(history[at], return_inverse=True)
-        types = np.bincount(owner, total > 0, len(names)).astype(np.uint32)
-        answer = np.split(total[inverse], np.cumsum([int(n.sum()) for n in lens])[:-1])
-        out = [(int(b), int(group["shard"].iloc[0]), a.tobytes(), types[np.searchsorted(names, u)].tobytes(), 0, 0, [], []) for b, a, u in zip(group["block"], answer, unique, strict=True)]
+        kinds = np.bincount(owner, kept > 0, len(names)).astype(np.int64)
+        sums = np.zeros(len(names), np.int64)
+        np.add.at(sums, owner, kept)
+        answer = np.split(kept[inverse], np.cumsum([int(n.sum()) for n in lens])[:-1])
+        shard = int(group["shard"].iloc[0])
+        out = []
+        for b, a, u in zip(group["block"], answer, unique, strict=True):
+            k = np.searchsorted(names, u)
+            out.append((int(b), shard, a.tobytes(), kinds[k].tobytes(), sums[k].tobytes(), 0, 0, [], [], [], []))
         own = np.isin(names, hot)
-        out.append((-1, int(group["shard"].iloc[0]), b"", b"", int((total == 1).sum()), int((total == 2).sum()), names[own].view(np.int64).tolist(), types[own].astype(np.int64).tolist()))
-        return pd.DataFrame(out, columns=["block", "shard", "counts", "types", "n1", "n2", "hot", "hot_types"])
+        lists = [x.view(np.int64).tolist() for x in (names[own], kinds[own], sums[own], distinct[kept > frequent])]
+        out.append((-1, shard, b"", b"", b"", int((total == 1).sum()), int((total == 2).sum()), *lists))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
 
     return run
 
 
-def _traverse(shards: int, word_shards: int, hot: np.ndarray, hot_types: np.ndarray, n_tokens: int, vocabulary: int, discount: float):
-    order_hot = np.argsort(hot)
-
-    def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs):
-            return pd.DataFrame({"id": [], "trains": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
-        t = BlockTokens(as_strings(pa.array(docs["text"], pa.large_string())), docs["trains"].to_numpy(float))
-        t.pairs(shards, hot)
-        own = np.argsort((mix(t.words) % U64(word_shards)).astype(np.int64), kind="stable")
-        of_words = answers[answers["kind"] == 0].sort_values("shard")
-        counts = np.empty(len(t.words), np.int64)
-        counts[own] = np.concatenate([np.frombuffer(b, np.int64) for b in of_words["counts"]])
-        of_pairs = answers[answers["kind"] == 1].sort_values("shard")
-        together = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(b, np.uint32) for b in of_pairs["counts"]]])
-        types = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(b, np.uint32) for b in of_pairs["types"]]]).astype(float)
-        if len(together) != len(t.first):
-            raise ValueError("a block changed between two scans: the input's partitioning must be stable")
-        begins = np.flatnonzero(np.concatenate([[True], (t.first[1:] != t.first[:-1]) | (t.shard[1:] != t.shard[:-1])])) if len(t.first) else np.zeros(0, int)
-        per_pair = np.repeat(types, np.diff(np.concatenate([begins, [len(t.first)]])))
-        names = t.words[t.first]
-        if len(hot) and len(names):
-            k = order_hot[np.minimum(np.searchsorted(hot[order_hot], names), len(hot) - 1)]
-            per_pair = np.where(hot[k] == names, hot_types[k], per_pair)
-        root = (counts + 1.0) / (n_tokens + vocabulary + 1.0)
-        seen = counts[t.first].astype(float)
-        lower = root[t.second]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            arc = np.where(seen > 0, (np.maximum(together - discount, 0) + discount * per_pair * lower) / seen, lower)
-        arcs = np.log10(arc)[t.pair]
-        base = np.log10(root)[t.word]
-        begin = np.concatenate([[0], np.cumsum(t.lengths)[:-1]])
-        add = lambda x: np.add.reduceat(x, begin)
-        return pd.DataFrame({"id": docs["id"], "trains": docs["trains"], "n_tokens": t.lengths, "n_known": add((counts[t.word] > 0).astype(np.int64)), "base_score": add(base), "score": add(arcs)})
+@dataclass
+class Order:
+    """What is known of an order's n-grams in all shards: shards, frequent histories with their continuations, discount."""
+
+    shards: int
+    hot: np.ndarray
+    hot_sums: dict[int, tuple[int, int]]
+    discount: float
+
+
+def _order(answers: DataFrame, shards: int, hot: np.ndarray) -> Order:
+    """Sums of the shards' own rows; frequent histories number at most 1 / HOT_SHARE."""
+    own = answers.where("block = -1")
+    ones = own.agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
+    n1, n2 = int(ones["n1"] or 0), int(ones["n2"] or 0)
+    rows = own.select(F.explode(F.arrays_zip("hot", "hot_kinds", "hot_sums")).alias("t")).groupBy("t.hot").agg(F.sum("t.hot_kinds").alias("k"), F.sum("t.hot_sums").alias("s")).collect()
+    return Order(shards, hot, {r["hot"]: (r["k"], r["s"]) for r in rows}, n1 / (n1 + 2 * n2) if n1 else 0.5)
+
+
+class Automaton:
+    """The part of the model that a block's texts can reach, in arrays.
+
+    State 0 is the root, 1 + w that of the word w, 1 + len(words) + g that of the bigram g."""
+
+    def __init__(self, block: Block, counts: np.ndarray, bigrams: tuple, trigrams: tuple, discounts: tuple[float, float], n_tokens: int, vocabulary: int):
+        size, pairs = len(block.words), len(block.word)
+        self.size = size
+        together, kinds, sums = bigrams
+        self.root = (counts + 1.0) / (n_tokens + vocabulary + 1.0)
+        keeps = np.zeros(size, bool)  # words that are states
+        rest = np.ones(size)
+        on = np.flatnonzero(kinds > 0)
+        keeps[block.history[on]] = True
+        rest[block.history[on]] = (counts[block.history[on]] - sums[on] + discounts[0] * kinds[on]) / counts[block.history[on]]
+        arcs = np.flatnonzero(together > 0)
+        h, w = block.history[arcs], block.word[arcs]
+        p2 = np.zeros(pairs)
+        p2[arcs] = (together[arcs] - discounts[0]) / counts[h] + rest[h] * self.root[w]
+        joint, more, total = trigrams
+        goes_on = np.zeros(pairs, bool)  # bigrams that are states
+        left = np.ones(pairs)
+        on = np.flatnonzero(more > 0)
+        goes_on[block.context[on]] = True
+        left[block.context[on]] = (together[block.context[on]] - total[on] + discounts[1] * more[on]) / together[block.context[on]]
+        long = np.flatnonzero(joint > 0)
+        c, last = block.context[long], block.second[long]
+        p3 = (joint[long] - discounts[1]) / together[c] + left[c] * p2[last]
+        word_state = np.where(keeps, np.arange(size) + 1, 0)
+        pair_state = np.where(goes_on, 1 + size + np.arange(pairs), word_state[block.word])
+        keys = np.concatenate([(1 + h) * size + w, (1 + size + c) * size + block.third[long]])
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], -1)
+        self.weight = np.append(np.log10(np.concatenate([p2[arcs], p3]))[order], 0.0)
+        self.next = np.append(np.concatenate([pair_state[arcs], pair_state[last]])[order], 0)
+        self.root_weight, self.root_next = np.log10(self.root), word_state
+        self.fail_weight = np.log10(np.concatenate([[1.0], rest, left]))
+        self.fail_to = np.concatenate([np.zeros(1 + size, np.int64), word_state[block.word]])
+        self.first = int(word_state[block.start])
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of reading ``word`` in ``state``, and the states it leads to."""
+        state, weight, after = state.copy(), np.zeros(len(state)), np.zeros(len(state), np.int64)
+        todo = np.arange(len(state))
+        while len(todo):
+            rooted = state[todo] == 0
+            done = todo[rooted]
+            weight[done] += self.root_weight[word[done]]
+            after[done] = self.root_next[word[done]]
+            todo = todo[~rooted]
+            key = state[todo] * self.size + word[todo]
+            at = np.searchsorted(self.keys[:-1], key)
+            hit = self.keys[at] == key
+            done, arc = todo[hit], at[hit]
+            weight[done] += self.weight[arc]
+            after[done] = self.next[arc]
+            todo = todo[~hit]
+            weight[todo] += self.fail_weight[state[todo]]
+            state[todo] = self.fail_to[state[todo]]
+        return weight, after
+
+    def walk(self, tokens: np.ndarray, lengths: np.ndarray, lane: int = LANE) -> np.ndarray:
+        """The weight of every token; texts of ``lengths`` lie one behind the other in ``tokens``."""
+        per = -(-lengths // lane)
+        text = np.repeat(np.arange(len(lengths)), per)
+        number = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        begin = (np.cumsum(lengths) - lengths)[text] + number * lane
+        size = np.minimum(lane, lengths[text] - number * lane)
+        run_in = np.where(number > 0, 2, 0)
+        begin, size = begin - run_in, size + run_in
+        order = np.argsort(-size, kind="stable")
+        begin, size, run_in = begin[order], size[order], run_in[order]
+        state = np.where(run_in > 0, 0, self.first)
+        out = np.zeros(len(tokens))
+        active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")  # lanes longer than each step
+        for k, n in enumerate(active.tolist()):
+            place = begin[:n] + k
+            weight, state[:n] = self.step(state[:n], tokens[place])
+            own = k >= run_in[:n]
+            out[place[own]] = weight[own]
+        return out
+
+
+def _trigram_requests(two: Order, shards: int, hot: np.ndarray):
+    def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, row in rows.iterrows():
+            block = Block(row)
+            grams = block.bigrams(two.shards, two.hot)
+            kept = grams.answers(answers, two.hot_sums)[0] > 0
+            out += block.trigrams(kept, shards, hot, grams.names).requests(int(row["block"]))
+        return pd.DataFrame(out, columns=[n for n, _ in _REQUEST])
 
     return run
 
 
-def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _bigram_requests(shards: int, hot: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows = Block(row).bigrams(shards, hot).requests(row["block"])
+                for a in range(0, len(rows), 256):
+                    yield _batch(rows[a : a + 256], _REQUEST)
+
+    return run
+
+
+SCORES = "id long, trains boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _traverse(word_shards: int, two: Order, three: Order, n_tokens: int, vocabulary: int):
+    def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")})]
+        for _, row in rows.iterrows():
+            block = Block(row)
+            of = lambda kind: answers[answers["kind"] == kind]
+            counts = np.empty(len(block.words), np.int64)
+            counts[word_order(block.words, word_shards)[0]] = np.concatenate([np.frombuffer(b, np.int64) for b in of(1).sort_values("shard")["counts"]])
+            grams = block.bigrams(two.shards, two.hot)
+            bigrams = grams.answers(of(2), two.hot_sums)
+            trigrams = block.trigrams(bigrams[0] > 0, three.shards, three.hot, grams.names).answers(of(3), three.hot_sums)
+            model = Automaton(block, counts, bigrams, trigrams, (two.discount, three.discount), n_tokens, vocabulary)
+            weights = model.walk(block.token, block.lengths)
+            add = lambda x: np.add.reduceat(x, block.begin)  # noqa: E731, B023
+            ids = pd.array(np.frombuffer(row["ids"], np.int64), "Int64")
+            ids[np.frombuffer(row["no_id"], bool)] = pd.NA
+            known = (counts[block.token] > 0).astype(np.int64)
+            out.append(pd.DataFrame({"id": ids, "trains": np.frombuffer(row["trains"], bool), "n_tokens": block.lengths, "n_known": add(known), "base_score": add(model.root_weight[block.token]), "score": add(weights)}))
+        return pd.concat(out[1:], ignore_index=True) if len(out) > 1 else out[0]
+
+    return run
+
+
+def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(id, trains, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
     ``trains``: true for the rows to learn from (null: false).  Null and empty texts have the end as their one token.
-    Repeated rows are texts of their own; null ids give a row each; an empty table gives an empty result; other columns
-    are ignored.  With no training rows every token is unknown.  ``docs`` must scan in the same partitions each time, as
-    a table of files does.
+    Texts of any length are scored whole (one text is never split over blocks).  Repeated rows are texts of their own;
+    null ids give a row each; an empty table gives an empty result; other columns are ignored.  With no training rows
+    every token is unknown.  The rows may come in any partitioning: they are read once.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
-    base = base.withColumn("block", block_column(spark, "id"))
-    source = base.select("block", "text", "trains")
-    word_shards = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = source.mapInArrow(_word_requests(word_shards), "shard int, block long, words binary, counts binary")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
+    seen = Observation()
+    source = materialize(base.mapInArrow(_tokenise, BLOCK), seen, F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words"))
+    shards_for = lambda n: max(1, -(-int(n or 0) // shard_tokens))
+    shards, word_shards = shards_for(seen.get.get("tokens")), shards_for(seen.get.get("words"))
+
+    asked = source.select("block", "words", "word_counts").mapInArrow(_word_requests(word_shards), "shard int, block long, words binary, counts binary")
     words = materialize(asked.groupBy("shard").applyInPandas(_word_answers, "block long, shard int, counts binary, n long, v long, top array<long>, top_n array<long>"))
-    totals = words.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    own = words.where("block = -1")
+    totals = own.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(totals["n"] or 0), int(totals["v"] or 0)
-    frequent = words.where("block = -1").select(F.explode(F.arrays_zip("top", "top_n")).alias("t")).where(F.col("t.top_n") > HOT_SHARE * max(n, 1)).select("t.top").collect()
-    hot = np.array([r["top"] for r in frequent], np.int64).view(U64)
-    shards = max(16, -(-n // SHARD_TOKENS))
-    asked = source.mapInArrow(_pair_requests(shards, hot), "shard int, block long, histories binary, lens binary, low binary, high binary, counts binary")
-    pairs = materialize(asked.groupBy("shard").applyInPandas(_pair_answers(hot), "block long, shard int, counts binary, types binary, n1 long, n2 long, hot array<long>, hot_types array<long>"))
-    ones = pairs.where("block = -1").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
-    n1, n2 = int(ones["n1"] or 0), int(ones["n2"] or 0)
-    discount = n1 / (n1 + 2 * n2) if n1 else 0.5
-    rows = pairs.where("block = -1").select(F.explode(F.arrays_zip("hot", "hot_types")).alias("t")).groupBy("t.hot").agg(F.sum("t.hot_types").alias("n")).collect()
-    hot_types = dict(zip([r["hot"] for r in rows], [r["n"] for r in rows], strict=True))
-    types = np.array([hot_types.get(int(h), 0) for h in hot.view(np.int64)], float)
-    answers = words.where("block >= 0").select("block", "shard", F.lit(0).alias("kind"), "counts", F.lit(None).cast("binary").alias("types"))
-    answers = answers.unionByName(pairs.where("block >= 0").select("block", "shard", F.lit(1).alias("kind"), "counts", "types"))
-    answers = answers.select(F.col("block").alias("of_block"), "shard", "kind", "counts", "types")
-    run = _traverse(shards, word_shards, hot, types, n, v, discount)
-    out = base.groupBy("block").cogroup(answers.groupBy("of_block")).applyInPandas(run, "id long, trains boolean, n_tokens long, n_known long, base_score double, score double")
+    frequent = hot_share * max(n, 1)
+    often = own.select(F.explode(F.arrays_zip("top", "top_n")).alias("t")).where(F.col("t.top_n") > frequent).select("t.top").collect()
+    hot = np.array([r["top"] for r in often], np.int64).view(U64)
+
+    asked = source.mapInArrow(_bigram_requests(shards, hot), REQUEST)
+    pairs = materialize(asked.groupBy("shard").applyInPandas(_gram_answers(hot, frequent), ANSWER))
+    two = _order(pairs, shards, hot)
+    often = pairs.where("block = -1").select(F.explode("top").alias("top")).collect()
+    hot = np.array([r["top"] for r in often], np.int64).view(U64)
+
+    own = lambda df: df.where("block >= 0").withColumnRenamed("block", "of_block")
+    asked = source.groupBy("block").cogroup(own(pairs).select("of_block", "shard", "counts", "kinds", "sums").groupBy("of_block")).applyInPandas(_trigram_requests(two, shards, hot), REQUEST)
+    triples = materialize(asked.groupBy("shard").applyInPandas(_gram_answers(hot, float("inf")), ANSWER))
+    three = _order(triples, shards, hot)
+
+    none = F.lit(None).cast("binary")
+    answers = own(words).select("of_block", "shard", F.lit(1).alias("kind"), "counts", none.alias("kinds"), none.alias("sums"))
+    for kind, found in ((2, pairs), (3, triples)):
+        answers = answers.unionByName(own(found).select("of_block", "shard", F.lit(kind).alias("kind"), "counts", "kinds", "sums"))
+    out = source.groupBy("block").cogroup(answers.groupBy("of_block")).applyInPandas(_traverse(word_shards, two, three, n, v), SCORES)
     return out.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
