@@ -218,7 +218,7 @@ def test_vectors_equal_brute_force(spark):
     labels = np.tile(rng.integers(0, 3, 40), 5).tolist() + np.tile(rng.integers(0, 3, 5), 3).tolist()
     rows = [(k, v.tolist(), int(l)) for k, (v, l) in enumerate(zip(vectors, labels, strict=True))]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
-    out = {r["id"]: r for r in embedding_dedup.near_duplicate_vectors(frame, block_rows=16, max_cells=8).collect()}
+    out = {r["id"]: r for r in embedding_dedup.near_duplicate_vectors(frame, block_rows=16, cell_rows=10).collect()}
     unit = embedding_dedup.unit(vectors)
     link = (unit @ unit.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels)[None, :])
     np.fill_diagonal(link, False)

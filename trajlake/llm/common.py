@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Removes a query's shuffle files when the query ends; a table that was written needs none of them again.
-CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _folders: dict[str, str] = {}
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
@@ -53,25 +52,34 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame, observation: Observation | None = None, *measures: Column) -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session with other settings for a while (dots of their names as two underscores); unknown ones are left out."""
+    names = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name, value in names.items():
+            with suppress(PySparkException):  # a setting this Spark doesn't have
+                spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            with suppress(PySparkException):
+                spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def materialize(df: DataFrame, observation: Observation | None = None, *measures: Column, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it again: cuts lineage, survives lost executors.
 
     ``observation`` receives ``measures`` of the rows as they are written, so that no second job is needed for them.
+    The shuffle files of the write go with it, since nothing reads them again.  ``batch_rows``: rows that Python workers
+    get at once, for rows that are large.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
-    try:
-        before = spark.conf.get(CLEAN_SHUFFLES, None)
-        spark.conf.set(CLEAN_SHUFFLES, "true")
-    except PySparkException:  # a setting this Spark doesn't have
-        before = "absent"
-    try:
+    more = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(batch_rows)} if batch_rows else {}
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **more):
         (df.observe(observation, *measures) if observation else df).write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEAN_SHUFFLES)
-        elif before != "absent":
-            spark.conf.set(CLEAN_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (out, path)
     return out

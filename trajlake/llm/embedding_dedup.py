@@ -3,9 +3,13 @@
 Vectors are compared only within their label.  Equal vectors are collapsed first.  Spherical k-means, fitted on a
 bounded sample, gives every vector a home cell.  A link has an angle of at most arccos(0.93), so a vector can only
 have a partner in another cell if it lies that near to the plane between the two centres: it is a guest there.  With
-guests no link is lost at a cell's border.  A cell's vectors are dealt into blocks by hash, and every pair of blocks
-is one product of two matrices in double precision; a product returns counts of links and a spanning forest of them,
-never the pairs.
+guests no link is lost at a cell's border.
+
+A cell's vectors are packed into blocks, one row each, by their angle to the centre in steps of the link's angle (a
+shell), and by hash where a shell is large; the guests that a block has in another cell are packed likewise.  By the
+triangle inequality only blocks of the same or neighbouring shells can hold links.  Home blocks meet each other and the
+cell's guests once; every meeting is one product of two matrices in double precision and returns counts of links and a
+spanning forest of them, never the pairs.
 """
 
 from __future__ import annotations
@@ -16,20 +20,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import hash_sample, materialize
+from trajlake.llm.common import discard, hash_sample, materialize, union_all
 from trajlake.llm.components import connected_components, forest
 
 COSINE = 0.93
-#: Vectors that k-means is fitted on (about; at most twice as many), and the most cells.
+#: Vectors that k-means is fitted on (about; at most twice as many), the bytes they may take, and those a cell is fitted on.
 SAMPLE = 20_000
-MAX_CELLS = 256
-#: Vectors of a cell, about, and of a block.
+SAMPLE_BYTES = 32 << 20
+FITTED_ROWS = 8
+#: Vectors of one label in a cell, about; in a block; and of the blocks that meet in one task.
 CELL_ROWS = 2_000
 BLOCK_ROWS = 1_000
+MEETING_ROWS = 16_000
 ROUNDS = 8
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no finite row is lost to a square's range."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -56,79 +64,111 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return rows.where(F.col("label").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0.0))
 
 
-def _assign(centres: np.ndarray, cosine: float):
-    reach = float(np.sqrt(1 - cosine**2)) + 1e-9
-    apart = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)
+def _shells(near: np.ndarray, cosine: float) -> np.ndarray:
+    """Steps of the link's angle from a centre, for cosines with it."""
+    return (np.arccos(np.clip(near, -1, 1)) / (np.arccos(cosine) * (1 + 1e-9) + 1e-12)).astype(np.int32)
+
 
+def _assign(centres: np.ndarray, cosine: float):
     def run(batches):
         for batch in batches:
             x = unit(np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1))
             near = x @ centres.T
             home = np.argmax(near, axis=1)
-            gap = near[np.arange(len(x)), home][:, None] - near
-            guest = gap <= reach * apart[home]
-            guest[np.arange(len(x)), home] = True
-            guest &= np.arange(len(centres))[None, :] <= home[:, None]  # a pair meets in the lower of its two cells
-            row, cell = np.nonzero(guest)
-            take = pa.array(row)
-            flat = pa.array(x[row].reshape(-1))
-            offsets = pa.array(np.arange(0, len(row) * x.shape[1] + 1, x.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node").take(take), batch.column("label").take(take), batch.column("copies").take(take), pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), pa.ListArray.from_arrays(offsets, flat)],
-                names=["node", "label", "copies", "cell", "home", "u"],
-            )
+            offsets = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
+            own = [pa.array(home.astype(np.int32)), pa.array(_shells(near[np.arange(len(x)), home], cosine)), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1)))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("node", "label", "copies")], *own], names=["node", "label", "copies", "cell", "shell", "u"])
+
+    return run
+
+
+PACK = "label string, cell int, shell int, n int, nodes binary, copies binary, units binary"
+
+
+def _pack(group: pd.DataFrame) -> pd.DataFrame:
+    first = group.iloc[0]
+    parts = [group["node"].to_numpy(np.int64).tobytes(), group["copies"].to_numpy(np.int64).tobytes(), np.stack(group["u"].to_list()).tobytes()]
+    return pd.DataFrame([(first["label"], first["cell"], first["shell"], len(group), *parts)], columns=[c.split()[0] for c in PACK.split(", ")])
+
+
+def _guests(centres: np.ndarray, cosine: float):
+    """The vectors of a block that may have partners in a lower cell (a pair meets in the lower of its two cells)."""
+    reach = float(np.sqrt(1 - cosine**2)) + 1e-9
+    apart = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)
+    names = [c.split()[0] for c in PACK.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = np.frombuffer(row["units"]).reshape(row["n"], -1)
+                nodes, copies = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["copies"], np.int64)
+                near, home = x @ centres.T, row["cell"]
+                guest = near[:, [home]] - near <= reach * apart[home]
+                found = []
+                for cell in np.flatnonzero(guest[:, :home].any(axis=0)).tolist():
+                    on = np.flatnonzero(guest[:, cell])
+                    shells = _shells(near[on, cell], cosine)
+                    for shell in np.unique(shells).tolist():
+                        k = on[shells == shell]
+                        found.append((row["label"], cell, shell, len(k), nodes[k].tobytes(), copies[k].tobytes(), x[k].tobytes()))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), *[pa.int32()] * 3, *[pa.binary()] * 3), strict=True)], names=names)
 
     return run
 
 
 def _product(cosine: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["side"] == 0], group[group["side"] == 1]
-        same = not len(right) and bool(group["same"].iloc[0])
-        right = left if same else right
-        if not len(left) or not len(right):
-            return pd.DataFrame({"node": [], "n": [], "other": []}).astype({"node": "int64", "n": "int64", "other": "float64"})
-        x, y = np.stack(left["u"].to_list()), np.stack(right["u"].to_list())
-        links = x @ y.T >= cosine
-        links &= left["home"].to_numpy()[:, None] | right["home"].to_numpy()[None, :]  # two guests meet elsewhere
-        if same:
-            np.fill_diagonal(links, False)
-        a, b = np.nonzero(np.triu(links)) if same else np.nonzero(links)
-        ids, others = left["node"].to_numpy(), right["node"].to_numpy()
-        counts = [pd.DataFrame({"node": ids, "n": links @ right["copies"].to_numpy()})]
-        if not same:
-            counts.append(pd.DataFrame({"node": others, "n": links.T @ left["copies"].to_numpy()}))
-        kept = forest(ids[a], others[b])
-        edges = pd.DataFrame({"node": ids[a[kept]], "n": 0, "other": others[b[kept]].astype(float)})
-        out = pd.concat([*counts, edges], ignore_index=True)
-        return out[(out["n"] > 0) | out["other"].notna()]
+    def run(batches):
+        for batch in batches:
+            nodes, counts, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row in batch.to_pylist():
+                x = np.frombuffer(row["units"]).reshape(row["n"], -1)
+                y = np.frombuffer(row["units2"]).reshape(row["n2"], -1)
+                ids, partners = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["nodes2"], np.int64)
+                links = x @ y.T >= cosine
+                if row["same"]:
+                    np.fill_diagonal(links, False)
+                if not links.any():
+                    continue
+                sides = [(ids, links @ np.frombuffer(row["copies2"], np.int64))]
+                if not row["same"]:
+                    sides.append((partners, np.frombuffer(row["copies"], np.int64) @ links))
+                for who, n in sides:
+                    nodes.append(who[n > 0])
+                    counts.append(n[n > 0])
+                    others.append(np.full(int((n > 0).sum()), -1))
+                a, b = np.nonzero(np.triu(links) if row["same"] else links)
+                kept = forest(ids[a], partners[b])
+                nodes.append(ids[a[kept]])
+                counts.append(np.zeros(len(kept), np.int64))
+                others.append(partners[b[kept]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (nodes, counts, others)], names=["node", "n", "other"])
 
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample: int = SAMPLE, max_cells: int = MAX_CELLS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample: int = SAMPLE, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
     Rows with a null label, and vectors that are null, zero, or hold null or non-finite components, link with nothing.
-    Vectors of different lengths never link.  Repeated rows with one id count as several vectors of that id; a null id
-    gets component_id from its partners, or null.  An empty table gives an empty result; other columns are ignored.
+    Vectors of different lengths never link; finite components may be of any size.  Repeated rows with one id count as
+    several vectors of that id; a null id gets component_id from its partners, or null.  A vector as near to two centres
+    is at home in the first; a cosine of exactly the threshold is a link.  An empty table gives an empty result; other
+    columns are ignored, whatever their names.
     """
     rows = usable(vectors, id_col, vector_col, label_col)
     grouped = rows.groupBy("label", "v").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
     nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()))
-    links: list[DataFrame] = []
-    for row in nodes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect():
-        links.append(_links_of(nodes.where(F.size("v") == row["d"]), row["n"], cosine, sample, max_cells, block_rows))
+    sizes = nodes.groupBy(F.size("v").alias("d"), "label").agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).orderBy("d").collect()
+    links = [_links_of(nodes.where(F.size("v") == r["d"]), r["d"], r["n"], cosine, sample, cell_rows, block_rows) for r in sizes]
     if links:
-        found = links[0]
-        for more in links[1:]:
-            found = found.unionByName(more)
-        found = materialize(found)
+        found = union_all(links)
         counts = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
-        classes = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").cast("long").alias("b")))
+        classes = connected_components(found.where("other >= 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
         named = nodes.join(counts, "node", "left").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
         heads = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        named = named.join(heads, "component").select("label", "v", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        named = materialize(named.join(heads, "component").select("label", "v", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+        discard(nodes, *links)
     else:
         named = nodes.select("label", "v", F.col("first_id").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
     plain = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
@@ -139,15 +179,26 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: s
     return joined.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
-def _links_of(nodes: DataFrame, n: int, cosine: float, sample: int, max_cells: int, block_rows: int) -> DataFrame:
-    picked = hash_sample(nodes, "node", sample).select("v").collect()
-    centres = spherical_kmeans(unit(np.array([r["v"] for r in picked], float)), max(1, min(max_cells, -(-n // CELL_ROWS))))
-    placed = nodes.select("node", F.col("label").cast("string").alias("label"), "copies", "v").mapInArrow(_assign(centres, cosine), "node long, label string, copies long, cell int, home boolean, u array<double>")
+def _links_of(nodes: DataFrame, d: int, n: int, cosine: float, sample: int, cell_rows: int, block_rows: int) -> DataFrame:
+    """(node, n, other) of nodes with ``d`` components, at most ``n`` of a label: numbers of links, and links of a forest."""
+    sample = max(FITTED_ROWS, min(sample, SAMPLE_BYTES // (8 * d)))
+    picked = hash_sample(nodes, "node", sample).select("v").collect()  # bounded by rows and by bytes
+    centres = spherical_kmeans(unit(np.array([r["v"] for r in picked], float)), max(1, min(-(-n // cell_rows), len(picked) // FITTED_ROWS)))
+    placed = nodes.select("node", F.col("label").cast("string").alias("label"), "copies", "v").mapInArrow(_assign(centres, cosine), "node long, label string, copies long, cell int, shell int, u array<double>")
     placed = materialize(placed)
-    blocks = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    dealt = placed.join(blocks, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    spread = dealt.select("node", "label", "copies", "cell", "home", "u", "block", other)
-    low, high = F.least("block", "o"), F.greatest("block", "o")
-    spread = spread.select("node", "label", "copies", "cell", "home", "u", low.alias("low"), high.alias("high"), (F.col("block") > F.col("o")).cast("int").alias("side"), (F.col("block") == F.col("o")).alias("same"))
-    return spread.groupBy("label", "cell", "low", "high").applyInPandas(_product(cosine), "node long, n long, other double")
+    parts = placed.groupBy("label", "cell", "shell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+    dealt = placed.join(parts, ["label", "cell", "shell"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    packed = dealt.select("node", "label", "copies", "cell", "shell", "u", "part").groupBy("label", "cell", "shell", "part").applyInPandas(_pack, PACK)
+    homes = materialize(packed.withColumn("block", F.monotonically_increasing_id()))
+    guests = materialize(homes.drop("block").mapInArrow(_guests(centres, cosine), PACK).withColumn("block", F.lit(None).cast("long")), batch_rows=16)
+    packs = homes.unionByName(guests).withColumn("lot", F.xxhash64("block", "nodes"))
+    lots = packs.groupBy("label", "cell").agg(F.ceil(F.sum("n") / MEETING_ROWS).cast("int").alias("lots"))
+    left = homes.join(lots, ["label", "cell"]).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+    right = packs.join(lots, ["label", "cell"]).withColumn("lot", F.pmod("lot", F.col("lots")).cast("int")).drop("lots")
+    right = right.withColumn("shell", F.explode(F.array(*[F.col("shell") + k for k in (-1, 0, 1)])))
+    right = right.select("label", "cell", "shell", "lot", *[F.col(c).alias(f"{c}2") for c in ("block", "n", "nodes", "copies", "units")])
+    met = left.join(right, ["label", "cell", "shell", "lot"]).where("block2 is null OR block <= block2")
+    met = met.select("n", "nodes", "copies", "units", "n2", "nodes2", "copies2", "units2", F.col("block2").eqNullSafe(F.col("block")).alias("same"))
+    out = materialize(met.mapInArrow(_product(cosine), "node long, n long, other long"), batch_rows=16)
+    discard(placed, homes, guests)
+    return out
