@@ -337,7 +337,7 @@ def test_redaction(spark):
 
 def test_shards_are_exact_and_uniform(spark):
     docs = spark.range(1003).select(F.col("id").alias("doc_id"), F.concat(F.lit("é"), F.col("id").cast("string")).alias("text")).repartition(7)
-    out = sharding.shuffle_shards(docs, 8, cell_rows=40).collect()
+    out = sharding.shuffle_shards(docs, 8, cell_rows=40, part_rows=9).collect()
     assert sorted(r["id"] for r in out) == list(range(1003))
     slots = collections.defaultdict(list)
     for r in out:
@@ -347,8 +347,45 @@ def test_shards_are_exact_and_uniform(spark):
     sizes = sorted(len(v) for v in slots.values())
     assert sizes[-1] - sizes[0] <= 1 and len(slots) == 8
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
-    matrix = np.mean([sharding.communication_matrix([10, 30], np.array([20, 12, 8]), s) for s in range(3000)], axis=0)
-    assert np.allclose(matrix, np.outer([10, 30], [20, 12, 8]) / 40, atol=0.15)
+
+
+def whole_shuffle(rows, per_part, cells, seed):
+    """The place of each row, from the operator's own draws."""
+    parts = -(-rows // per_part)
+    nodes = [(0, parts, np.array(cells))]
+    while any(b - a > 1 for a, b, _ in nodes):
+        nodes = [c for a, b, n in nodes for c in (sharding.split_node(a, b, n, rows, per_part, seed) if b - a > 1 else [(a, b, n)])]
+    assert np.array_equal(np.sum([n for _, _, n in nodes], axis=0), cells)
+    cell = np.concatenate([sharding.scatter_cells(a, n, seed) for a, _, n in nodes])
+    place, starts = np.empty(rows, int), np.cumsum(cells) - cells
+    for c in range(len(cells)):
+        on = np.flatnonzero(cell == c)
+        place[on] = starts[c] + sharding.settle_order(c, len(on), seed)
+    return tuple(place.tolist())
+
+
+@pytest.mark.parametrize("fan_out", [2, 32])
+def test_every_permutation_is_equally_likely(monkeypatch, fan_out):
+    monkeypatch.setattr(sharding, "FAN_OUT", fan_out)
+    tries = 24 * 500
+    found = collections.Counter(whole_shuffle(4, 1, [2, 1, 1], seed) for seed in range(tries))
+    assert len(found) == 24
+    chi = sum((n - 500) ** 2 / 500 for n in found.values())
+    assert chi < 49.7  # 99.9 % of the distribution with 23 degrees of freedom
+
+
+def test_large_draws_follow_the_distribution():
+    rng = np.random.default_rng(30)
+    for good, bad, draws in ((30, 50, 20), (5, 3, 4), (400, 10, 100), (0, 5, 3), (7, 0, 3)):
+        mine = np.array([sharding.large_hypergeometric(rng, good, bad, draws) for _ in range(6000)])
+        theirs = np.random.default_rng(31).hypergeometric(good, bad, draws, 6000)
+        assert abs(mine.mean() - draws * good / (good + bad)) < 0.06 * max(1, theirs.std())
+        assert mine.std() == pytest.approx(theirs.std(), rel=0.06, abs=1e-9)
+        assert max(0, draws - bad) <= mine.min() and mine.max() <= min(draws, good)
+    counts = np.array([40, 20, 10, 30])
+    means = np.mean([sharding.split_counts(rng, counts, 25, most=25) for _ in range(6000)], axis=0)
+    assert np.allclose(means, counts / 4, atol=0.15)
+    assert sharding.split_counts(rng, np.array([10**10, 3 * 10**10]), 10**9).sum() == 10**9
 
 
 def test_hash_order_is_no_identity(spark):
