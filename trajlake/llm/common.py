@@ -93,6 +93,14 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, found[1])
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables materialised inside are deleted at the end, but for those that the caller puts into the list."""
+    before, kept = set(_paths), []
+    yield kept
+    discard(*[df for key, (df, _) in list(_paths.items()) if key not in before and not any(df is k for k in kept)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,10 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from trajlake.llm.common import crc_mod, discard, materialize, tree_sums
 from trajlake.llm.textops import as_strings, blocks, hashes, spans
@@ -204,26 +202,19 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score at least ``least``, all columns as they were; learnt as in ``classify``.
 
-    Every text is measured once: rows are written with their statistics and read again when the model is there.
-    Without usable labels nothing is rejected; an empty table gives an empty result."""
-    at = docs.columns.index(text_col)
-    packed = docs.select(F.struct("*").alias("row"))
-
-    def measure(batches):
-        for batch in batches:
-            x = statistics(as_strings(pc.struct_field(batch.column("row"), [at])))
-            offsets = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1)))], names=["row", "x"])
-
-    schema = StructType([*packed.schema.fields, StructField("x", ArrayType(DoubleType()))])
-    measured = materialize(packed.mapInArrow(measure, schema))
-    model = fit(measured.select(F.col("row")[id_col].alias("id"), "x"), training_labels(labels))
+    Texts are measured twice, for the model and for the verdict: writing and reading whole rows with their statistics
+    between the two was measured to cost more.  Without usable labels nothing is rejected; an empty table gives an empty
+    result."""
+    features = materialize(document_features(docs, id_col, text_col))
+    model = fit(features, training_labels(labels))
+    discard(features)
     if model is None:
-        return measured.select("row.*")
+        return docs
 
-    def keep(batches):
+    def run(batches):
         for batch in batches:
-            score = model.score(np.asarray(batch.column("x").flatten()).reshape(-1, len(NAMES)))
-            yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(score >= least))], names=["row"])
+            if batch.num_rows:
+                score = model.score(statistics(as_strings(batch.column(batch.schema.get_field_index(text_col)))))
+                yield batch.filter(pa.array(score >= least))
 
-    return measured.mapInArrow(keep, packed.schema).select("row.*")
+    return docs.mapInArrow(run, docs.schema)
