@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.llm import near_dedup, packing, quality_classifier, quality_rules, secrets
-from trajlake.llm.common import discard, materialize, table
+from trajlake.llm.common import discard, materialize, scratch, table
 from trajlake.llm.queries import word_tokenizer
 
 
@@ -68,10 +68,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        kept = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            kept = materialize(kept)
-            discard(docs)
-        docs = kept
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch() as kept:
+            rows = materialize(stage(spark, docs, sf_dir))
+            kept.append(rows)
+        discard(docs)
+        docs = rows
+    return STAGES[-1][1](spark, docs, sf_dir)
