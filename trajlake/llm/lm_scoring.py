@@ -43,8 +43,10 @@ ODD = U64(0x9E3779B97F4A7C15)
 KEEP = 2
 HOT_SHARE = 1e-4
 #: Bytes of text that make one block, about (a longer text is one block), and tokens that make one shard.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_TOKENS = 1_000_000
+#: Rows of texts, and blocks, that a Python worker gets at once.
+TEXT_BATCH, BLOCK_BATCH = 1_000, 4
 #: Tokens of a lane of the walk.
 LANE = 512
 
@@ -60,27 +62,40 @@ _BLOCK = [(n, pa.binary() if t == "binary" else pa.int64()) for n, t in (c.split
 
 def _tokenise(batches):
     """Blocks: the rows' ids and lengths, the distinct word hashes with their training counts, and tokens as their indices."""
-    block = TaskContext.get().partitionId() << 32
+    block, held, size = TaskContext.get().partitionId() << 32, [], 0
     for batch in batches:
-        ids, trains = batch.column("id"), batch.column("trains").to_numpy(zero_copy_only=False)
-        no_id = np.asarray(ids.is_null())
-        numbers = ids.fill_null(0).to_numpy()
-        for first, raw, offsets in blocks(as_strings(batch.column("text")), BLOCK_BYTES):
-            starts, ends, at = spans(raw, offsets)
-            n = np.diff(at)
-            stops = np.cumsum(n + 1) - 1
-            tokens = np.full(len(starts) + len(n), END, U64)
-            inside = np.ones(len(tokens), bool)
-            inside[stops] = False
-            tokens[inside] = hashes(raw, starts, ends)
-            words, index = np.unique(np.append(tokens, START), return_inverse=True)
-            index = index[:-1].astype(np.uint32)
-            rows = slice(first, first + len(n))
-            counts = np.bincount(index, np.repeat(trains[rows], n + 1), len(words)).astype(np.int64)
-            counts[words == START] = trains[rows].sum()
-            parts = [numbers[rows].astype(np.int64), no_id[rows], trains[rows].astype(bool), (n + 1).astype(np.int64), words, counts, index]
-            yield _batch([(block, len(n), len(index), len(words), *[p.tobytes() for p in parts])], _BLOCK)
-            block += 1
+        held.append((batch.column("id"), as_strings(batch.column("text")), batch.column("trains").to_numpy(zero_copy_only=False)))
+        size += held[-1][1].nbytes
+        if size >= BLOCK_BYTES:
+            yield from (found := list(_blocks_of(held, block)))
+            block, held, size = block + len(found), [], 0
+    if held:
+        yield from _blocks_of(held, block)
+
+
+def _blocks_of(held: list[tuple], block: int):
+    ids = pa.concat_arrays([i for i, _, _ in held])
+    trains = np.concatenate([t for _, _, t in held])
+    no_id, numbers = np.asarray(ids.is_null()), ids.fill_null(0).to_numpy()
+    for first, raw, offsets in blocks(pa.concat_arrays([t for _, t, _ in held]), 2 * BLOCK_BYTES):
+        starts, ends, at = spans(raw, offsets)
+        n = np.diff(at)
+        stops = np.cumsum(n + 1) - 1
+        tokens = np.full(len(starts) + len(n), END, U64)
+        inside = np.ones(len(tokens), bool)
+        inside[stops] = False
+        tokens[inside] = hashes(raw, starts, ends)
+        places, found = pd.factorize(np.append(tokens, START))
+        order = np.argsort(found)
+        rank = np.empty(len(found), np.uint32)
+        rank[order] = np.arange(len(found), dtype=np.uint32)
+        words, index = found[order], rank[places[:-1]]
+        rows = slice(first, first + len(n))
+        counts = np.bincount(index, np.repeat(trains[rows], n + 1), len(words)).astype(np.int64)
+        counts[words == START] = trains[rows].sum()
+        parts = [numbers[rows].astype(np.int64), no_id[rows], trains[rows].astype(bool), (n + 1).astype(np.int64), words, counts, index]
+        yield _batch([(block, len(n), len(index), len(words), *[p.tobytes() for p in parts])], _BLOCK)
+        block += 1
 
 
 class Block:
@@ -101,7 +116,7 @@ class Block:
 
     def bigrams(self, shards: int, hot: np.ndarray) -> Grams:
         counts = np.bincount(self.pair, self.trains, len(self.word))
-        return Grams(self.words[self.history], self.words[self.word], counts, shards, hot)
+        return Grams(self.history, self.words[self.history], self.words[self.word], counts, shards, hot)
 
     def trigrams(self, kept: np.ndarray, shards: int, hot: np.ndarray, names: np.ndarray) -> Grams:
         """Trigrams whose bigrams are both ``kept``; ``names``: hashes of the bigrams.
@@ -122,20 +137,26 @@ class Block:
         self.second = np.zeros(len(codes), np.int64)  # the bigram that ends the trigram
         self.second[index] = self.pair[at]
         counts = np.bincount(index, self.trains[at], len(codes))
-        return Grams(names[self.context], self.words[self.third], counts, shards, hot)
+        return Grams(self.context, names[self.context], self.words[self.third], counts, shards, hot)
 
 
 class Grams:
-    """Distinct n-grams of a block as history and word hashes, dealt to shards; ``place`` is their order in the requests."""
+    """Distinct n-grams of a block as history and word hashes, dealt to shards; ``place`` is their order in the requests.
 
-    def __init__(self, history: np.ndarray, word: np.ndarray, counts: np.ndarray, shards: int, hot: np.ndarray):
+    ``group``: numbers of the histories; n-grams of one history stand together."""
+
+    def __init__(self, group: np.ndarray, history: np.ndarray, word: np.ndarray, counts: np.ndarray, shards: int, hot: np.ndarray):
         short = word >> U64(24)  # 40 bits beside the history tell a shard's n-grams apart
         self.names = gram_names(history, short)
-        self.hot = np.isin(history, hot)
-        owner = np.where(self.hot, mix(self.names ^ ODD), mix(history)) >> U64(16)
-        shard = (owner % U64(shards)).astype(np.int64)
-        self.place = np.lexsort((short, history, shard))
-        self.shard, self.history, self.short, self.counts = shard[self.place], history[self.place], short[self.place], counts[self.place].astype(np.uint32)
+        heads = np.flatnonzero(np.diff(group, prepend=-1))
+        each = np.diff(np.append(heads, len(group)))
+        often = np.isin(history[heads], hot)
+        small = np.uint16 if shards <= 1 << 16 else np.int64  # sorted by radix
+        shard = np.repeat(((mix(history[heads]) >> U64(16)) % U64(shards)).astype(small), each)
+        self.hot = np.repeat(often, each)
+        shard[self.hot] = ((mix(self.names[self.hot] ^ ODD) >> U64(16)) % U64(shards)).astype(small)
+        self.place = np.argsort(shard, kind="stable")
+        self.shard, self.history, self.short, self.counts = shard[self.place].astype(np.int64), history[self.place], short[self.place], counts[self.place].astype(np.uint32)
         fresh = np.ones(len(shard), bool)
         fresh[1:] = (self.history[1:] != self.history[:-1]) | (self.shard[1:] != self.shard[:-1])
         self.head = np.flatnonzero(fresh)
@@ -200,8 +221,7 @@ def _word_answers(group: pd.DataFrame) -> pd.DataFrame:
     """Counts over all blocks for every block's words; the row of block -1 has the shard's totals and frequent words."""
     words = [np.frombuffer(b, U64) for b in group["words"]]
     distinct, inverse = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, inverse, np.concatenate([np.frombuffer(b, np.int64) for b in group["counts"]]))
+    total = np.bincount(inverse, np.concatenate([np.frombuffer(b, np.int64) for b in group["counts"]])).astype(np.int64)  # exact below 2 ** 53
     answer = np.split(total[inverse], np.cumsum([len(w) for w in words])[:-1])
     token = distinct != START
     top = np.argsort(-total)[: int(1 / HOT_SHARE)]
@@ -221,15 +241,15 @@ def _gram_answers(hot: np.ndarray, frequent: float):
         history = np.concatenate([np.repeat(u, n) for u, n in zip(unique, lens, strict=True)])
         short = np.concatenate([np.frombuffer(b, np.uint32) for b in group["low"]]).astype(U64)
         short |= np.concatenate([np.frombuffer(b, np.uint8) for b in group["high"]]).astype(U64) << U64(32)
-        distinct, at, inverse = np.unique(gram_names(history, short), return_index=True, return_inverse=True)
+        distinct, inverse = np.unique(gram_names(history, short), return_inverse=True)
         del short
-        total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, inverse, np.concatenate([np.frombuffer(b, np.uint32) for b in group["counts"]]).astype(np.int64))
+        of = np.empty(len(distinct), U64)
+        of[inverse] = history
+        total = np.bincount(inverse, np.concatenate([np.frombuffer(b, np.uint32) for b in group["counts"]])).astype(np.int64)  # exact below 2 ** 53
         kept = np.where(total >= KEEP, total, 0)
-        names, owner = np.unique(history[at], return_inverse=True)
+        names, owner = np.unique(of, return_inverse=True)
         kinds = np.bincount(owner, kept > 0, len(names)).astype(np.int64)
-        sums = np.zeros(len(names), np.int64)
-        np.add.at(sums, owner, kept)
+        sums = np.bincount(owner, kept, len(names)).astype(np.int64)
         answer = np.split(kept[inverse], np.cumsum([int(n.sum()) for n in lens])[:-1])
         shard = int(group["shard"].iloc[0])
         out = []
@@ -406,12 +426,12 @@ def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", tex
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
     seen = Observation()
-    source = materialize(base.mapInArrow(_tokenise, BLOCK), seen, F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words"))
+    source = materialize(base.mapInArrow(_tokenise, BLOCK), seen, F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words"), batch_rows=TEXT_BATCH)
     shards_for = lambda n: max(1, -(-int(n or 0) // shard_tokens))
     shards, word_shards = shards_for(seen.get.get("tokens")), shards_for(seen.get.get("words"))
 
     asked = source.select("block", "words", "word_counts").mapInArrow(_word_requests(word_shards), "shard int, block long, words binary, counts binary")
-    words = materialize(asked.groupBy("shard").applyInPandas(_word_answers, "block long, shard int, counts binary, n long, v long, top array<long>, top_n array<long>"))
+    words = materialize(asked.groupBy("shard").applyInPandas(_word_answers, "block long, shard int, counts binary, n long, v long, top array<long>, top_n array<long>"), batch_rows=BLOCK_BATCH)
     own = words.where("block = -1")
     totals = own.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(totals["n"] or 0), int(totals["v"] or 0)
@@ -420,7 +440,7 @@ def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", tex
     hot = np.array([r["top"] for r in often], np.int64).view(U64)
 
     asked = source.mapInArrow(_bigram_requests(shards, hot), REQUEST)
-    pairs = materialize(asked.groupBy("shard").applyInPandas(_gram_answers(hot, frequent), ANSWER))
+    pairs = materialize(asked.groupBy("shard").applyInPandas(_gram_answers(hot, frequent), ANSWER), batch_rows=BLOCK_BATCH)
     two = _order(pairs, shards, hot)
     often = pairs.where("block = -1").select(F.explode("top").alias("top")).collect()
     hot = np.array([r["top"] for r in often], np.int64).view(U64)
