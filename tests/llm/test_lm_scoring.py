@@ -29,35 +29,16 @@ def brute_force(rows):
             two.update(zip(padded, padded[1:]))
             three.update(zip(padded, padded[1:], padded[2:]))
     n, v = sum(one.values()), len(one)
-    kept2 = {g: c for g, c in two.items() if c >= 2}
-    kept3 = {g: c for g, c in three.items() if c >= 2}
-    ones = lambda counts: (sum(c == 1 for c in counts), sum(c == 2 for c in counts))
-    n1, n2 = ones(two.values())
-    d2 = n1 / (n1 + 2 * n2) if n1 else 0.5
-    n1, n2 = ones([c for g, c in three.items() if g[:2] in kept2 and g[1:] in kept2])
-    d3 = n1 / (n1 + 2 * n2) if n1 else 0.5
     history = one + starts
-    after2, after3 = collections.defaultdict(list), collections.defaultdict(list)
-    for g, c in kept2.items():
-        after2[g[0]].append(c)
-    for g, c in kept3.items():
-        after3[g[:2]].append(c)
 
     def p1(w):
         return (one[w] + 1) / (n + v + 1)
 
     def p2(h, w):
-        if not after2[h]:
-            return p1(w)
-        rest = (history[h] - sum(after2[h]) + d2 * len(after2[h])) / history[h]
-        return (max(kept2.get((h, w), 0) - d2, 0) / history[h] if (h, w) in kept2 else 0) + rest * p1(w)
+        return (two[(h, w)] + 5 * p1(w)) / (history[h] + 5)
 
     def p3(g, h, w):
-        if not after3[(g, h)]:
-            return p2(h, w)
-        c = kept2[(g, h)]
-        rest = (c - sum(after3[(g, h)]) + d3 * len(after3[(g, h)])) / c
-        return ((kept3[(g, h, w)] - d3) / c if (g, h, w) in kept3 else 0) + rest * p2(h, w)
+        return (three[(g, h, w)] + 5 * p2(h, w)) / (two[(g, h)] + 5)
 
     out = {}
     for k, (_, text, _) in enumerate(rows):
@@ -78,11 +59,11 @@ def rows():
     return [(k, t, zlib.crc32(str(k).encode()) % 7 != 2) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("hot_share, shard_tokens, lane", [(1e-4, 10**6, 512), (0.02, 700, 3), (2.0, 1500, 17)])
-def test_scores_equal_brute_force(spark, rows, monkeypatch, hot_share, shard_tokens, lane):
+@pytest.mark.parametrize("shard_tokens, lane", [(10**6, 512), (700, 3)])
+def test_scores_equal_brute_force(spark, rows, monkeypatch, shard_tokens, lane):
     monkeypatch.setattr(lm_scoring.Automaton.walk, "__defaults__", (lane,))
     docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string").repartition(5)
-    out = lm_scoring.score_documents(docs, lm_scoring.training_rows(), hot_share=hot_share, shard_tokens=shard_tokens).collect()
+    out = lm_scoring.score_documents(docs, lm_scoring.training_rows(), shard_tokens=shard_tokens).collect()
     want = brute_force(rows)
     assert len(out) == len(rows)
     for r in out:
@@ -112,25 +93,16 @@ def test_probabilities_of_a_state_add_up_to_one(rows):
         lm_scoring.TaskContext.get = original
     block = lm_scoring.Block(row)
     counts = np.frombuffer(row["word_counts"], np.int64)
-    none = np.zeros(0, np.uint64)
-
-    def answers(grams, given):
-        kept = np.where(given >= 2, given, 0).astype(np.int64)
-        names, owner = np.unique(grams, return_inverse=True)
-        return kept, np.bincount(owner, kept > 0)[owner].astype(np.int64), np.bincount(owner, kept)[owner].astype(np.int64)
-
     together = np.bincount(block.pair, minlength=len(block.word))
-    two = answers(block.history, together)
-    names = block.bigrams(1, none).names
-    block.trigrams(two[0] > 0, 1, none, names)
+    block.trigrams(block.bigrams()[0])
     seen = collections.Counter()
-    for a, n in zip(block.begin.tolist(), block.lengths.tolist()):
+    for a, n in zip(block.begin.tolist(), block.lengths.tolist(), strict=True):
         seen.update((block.pair[i - 1], block.token[i]) for i in range(a + 1, a + n))
-    three = answers(block.context, np.array([seen[(c, t)] for c, t in zip(block.context.tolist(), block.third.tolist())]))
+    joint = np.array([seen[(c, t)] for c, t in zip(block.context.tolist(), block.third.tolist(), strict=True)])
     words = np.flatnonzero(np.arange(len(block.words)) != block.start)
     n, v = int(counts[words].sum()), int((counts[words] > 0).sum())
-    model = lm_scoring.Automaton(block, counts, two, three, (0.6, 0.7), n, v)
-    for state in np.unique(model.next).tolist() + [model.first]:
+    model = lm_scoring.Automaton(block, counts, together, joint, n, v, (2.0, 3.0))
+    for state in [*np.unique(model.next).tolist()[::3], model.first]:
         weight, _ = model.step(np.full(len(words), state), words)
         rest, at = 1.0, state  # what the failure arcs leave to the root, whose own rest is for unknown words
         while at:

@@ -1,31 +1,27 @@
 """Language-model scores from a weighted backoff automaton over smoothed n-grams of orders one to three.
 
-An n-gram of two or three words belongs to the model if it occurs at least ``KEEP`` times in the training texts.  The
-states are the root, which has no history, and every word (or the start of a text) and every bigram that some kept
-n-gram continues.  With c for counts, D for an order's absolute discount and g(h) for the share of h's occurrences
-that its kept continuations and their discounts leave over:
+The states are the root, which has no history, every word (and the start of a text) and every bigram that occurs in the
+training texts.  With c for training counts and h' for a history without its first word, the model is hierarchical with
+Dirichlet smoothing, P(w | h) = (c(h w) + B P(w | h')) / (c(h) + B), and as an automaton:
 
 * the root has an arc for every word, weighing log10 of its add-one probability (unknown words share one);
-* a state h has an arc for every kept h w, weighing log10((c(h w) - D) / c(h) + g(h) P(w | shorter h)), which leads to
-  the longest end of h w that is a state;
-* a state's failure arc leads to the state of the next shorter history and weighs log10 g(h).
+* a state h has an arc for every h w that occurs, weighing log10 P(w | h), which leads to the longest end of h w that is
+  a state;
+* a state's failure arc leads to the state of the next shorter history and weighs log10(B / (c(h) + B)).
 
 A text is traversed once from left to right: the walk carries a state, takes failure arcs until there is an arc for the
 next word, takes that and adds up the weights.  All texts of a block walk side by side.  A long text walks in several
 lanes; a lane reads the two words before its own first, after which it is in the state that the whole walk would be in.
 
 The automaton grows with the corpus, so no task ever holds it.  Texts become blocks of tokens, written once.  Every
-block sends its distinct words, then its bigrams, then those trigrams whose two bigrams are kept, with its training
-counts, to the shards that own them; a shard adds up the counts of all blocks and returns to each block what it asked
-for.  So a block gets exactly the part of the automaton that its texts can reach.  Shards own histories by hash; the
-n-grams of frequent histories (at least ``HOT_SHARE`` of all tokens, so at most 1 / HOT_SHARE of them) are spread over
-all shards.  The number of shards follows the number of tokens.
+block sends its distinct words, bigrams and trigrams, with its training counts, to the shards that own them by hash; a
+shard adds up the counts of all blocks and returns to each block what it asked for.  So a block gets exactly the part of
+the automaton that its texts can reach, a frequent history is spread over all shards, and an n-gram is asked for once a
+block.  The number of shards follows the number of tokens.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,9 +35,10 @@ from trajlake.llm.textops import as_strings, blocks, hashes, mix, spans
 U64 = np.uint64
 END, START = U64(0x5E17D4A1C3B29F07), U64(0x1C0FFEE5D15EA5E1)
 ODD = U64(0x9E3779B97F4A7C15)
-#: Least training count of a bigram or trigram of the model.
-KEEP = 2
-HOT_SHARE = 1e-4
+#: Weight of the shorter history's probability against the counts of a history, for bigrams and trigrams.
+CONCENTRATION = (5.0, 5.0)
+#: Bits that tell a shard's n-grams apart; the bits above them choose the shard.
+NAME_BITS = 40
 #: Bytes of text that make one block, about (a longer text is one block), and tokens that make one shard.
 BLOCK_BYTES = 4 << 20
 SHARD_TOKENS = 1_000_000
@@ -114,88 +111,51 @@ class Block:
         codes, self.pair = np.unique(history * len(self.words) + self.token, return_inverse=True)
         self.history, self.word = codes // len(self.words), codes % len(self.words)
 
-    def bigrams(self, shards: int, hot: np.ndarray) -> Grams:
-        counts = np.bincount(self.pair, self.trains, len(self.word))
-        return Grams(self.history, self.words[self.history], self.words[self.word], counts, shards, hot)
-
-    def trigrams(self, kept: np.ndarray, shards: int, hot: np.ndarray, names: np.ndarray) -> Grams:
-        """Trigrams whose bigrams are both ``kept``; ``names``: hashes of the bigrams.
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Names and training counts of the distinct bigrams."""
+        names = mix(self.words[self.history] * ODD + self.words[self.word])
+        return names, np.bincount(self.pair, self.trains, len(self.word))
 
-        A kept bigram that no such trigram continues is asked for with the start as its next word, which never follows
-        anything: it may be a state all the same."""
+    def trigrams(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names and training counts of the distinct trigrams; ``names``: of the bigrams.  A trigram is its first bigram
+        (``context``), its last word (``third``) and its last bigram (``second``)."""
         inner = np.ones(len(self.token), bool)
         inner[self.begin] = False
         at = np.flatnonzero(inner)
-        at = at[kept[self.pair[at - 1]]]
-        both = kept[self.pair[at]]
-        alone = np.setdiff1d(self.pair[at - 1], self.pair[at[both] - 1])
-        at = at[both]
         size = len(self.words)
-        codes, index = np.unique(np.append(self.pair[at - 1] * size + self.token[at], alone * size + self.start), return_inverse=True)
-        index = index[: len(at)]
+        codes, index = np.unique(self.pair[at - 1] * size + self.token[at], return_inverse=True)
         self.context, self.third = codes // size, codes % size
-        self.second = np.zeros(len(codes), np.int64)  # the bigram that ends the trigram
+        self.second = np.zeros(len(codes), np.int64)
         self.second[index] = self.pair[at]
-        counts = np.bincount(index, self.trains[at], len(codes))
-        return Grams(self.context, names[self.context], self.words[self.third], counts, shards, hot)
-
-
-class Grams:
-    """Distinct n-grams of a block as history and word hashes, dealt to shards; ``place`` is their order in the requests.
-
-    ``group``: numbers of the histories; n-grams of one history stand together."""
-
-    def __init__(self, group: np.ndarray, history: np.ndarray, word: np.ndarray, counts: np.ndarray, shards: int, hot: np.ndarray):
-        short = word >> U64(24)  # 40 bits beside the history tell a shard's n-grams apart
-        self.names = gram_names(history, short)
-        heads = np.flatnonzero(np.diff(group, prepend=-1))
-        each = np.diff(np.append(heads, len(group)))
-        often = np.isin(history[heads], hot)
-        small = np.uint16 if shards <= 1 << 16 else np.int64  # sorted by radix
-        shard = np.repeat(((mix(history[heads]) >> U64(16)) % U64(shards)).astype(small), each)
-        self.hot = np.repeat(often, each)
-        shard[self.hot] = ((mix(self.names[self.hot] ^ ODD) >> U64(16)) % U64(shards)).astype(small)
-        self.place = np.argsort(shard, kind="stable")
-        self.shard, self.history, self.short, self.counts = shard[self.place].astype(np.int64), history[self.place], short[self.place], counts[self.place].astype(np.uint32)
-        fresh = np.ones(len(shard), bool)
-        fresh[1:] = (self.history[1:] != self.history[:-1]) | (self.shard[1:] != self.shard[:-1])
-        self.head = np.flatnonzero(fresh)
-        self.each = np.diff(np.append(self.head, len(shard)))
-
-    def requests(self, block: int) -> list[tuple]:
-        cuts = np.flatnonzero(np.diff(self.shard, prepend=-1, append=-1)) if len(self.shard) else np.zeros(1, int)
-        rows = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            c, d = np.searchsorted(self.head, [a, b])
-            short = self.short[a:b]
-            parts = [self.history[self.head[c:d]], self.each[c:d].astype(np.uint32), short.astype(np.uint32), (short >> U64(32)).astype(np.uint8), self.counts[a:b]]
-            rows.append((int(self.shard[a]), block, *[p.tobytes() for p in parts]))
-        return rows
-
-    def answers(self, rows: pd.DataFrame, hot: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each n-gram, in the order they were given in: the count if it is kept, and its history's number of kept
-        continuations and their count."""
-        rows = rows.sort_values("shard")
-        read = lambda name: np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(b, np.int64) for b in rows[name]]])
-        counts, kinds, sums = read("counts"), np.repeat(read("kinds"), self.each), np.repeat(read("sums"), self.each)
-        for h in np.unique(self.history[self.hot[self.place]]).view(np.int64).tolist():
-            on = self.history == np.int64(h).view(U64)
-            kinds[on], sums[on] = hot[h]
-        out = []
-        for x in (counts, kinds, sums):
-            own = np.empty_like(x)
-            own[self.place] = x
-            out.append(own)
-        return tuple(out)
-
-
-def gram_names(history: np.ndarray, short: np.ndarray) -> np.ndarray:
-    return mix(history + short * ODD)
-
-
-REQUEST = "shard int, block long, histories binary, lens binary, low binary, high binary, counts binary"
-_REQUEST = [("shard", pa.int32()), ("block", pa.int64()), *[(n, pa.binary()) for n in ("histories", "lens", "low", "high", "counts")]]
-ANSWER = "block long, shard int, counts binary, kinds binary, sums binary, n1 long, n2 long, hot array<long>, hot_kinds array<long>, hot_sums array<long>, top array<long>"
+        return mix(names[self.context] * ODD + self.words[self.third]), np.bincount(index, self.trains[at], len(codes))
+
+
+def gram_order(names: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a block asks for its n-grams, by shard, and their shards in that order."""
+    shard = (names >> U64(NAME_BITS)) % U64(shards)
+    shard = shard.astype(np.uint16 if shards <= 1 << 16 else np.int64)  # small numbers are sorted by radix
+    order = np.argsort(shard, kind="stable")
+    return order, shard[order].astype(np.int64)
+
+
+def gram_requests(block: int, names: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple]:
+    order, shard = gram_order(names, shards)
+    keys, counts = names[order] & U64((1 << NAME_BITS) - 1), counts[order].astype(np.uint32)
+    low, high = keys.astype(np.uint32), (keys >> U64(32)).astype(np.uint8)
+    cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else np.zeros(1, int)
+    return [(int(shard[a]), block, low[a:b].tobytes(), high[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def gram_counts(names: np.ndarray, shards: int, rows: pd.DataFrame) -> np.ndarray:
+    """The corpus' counts of a block's n-grams from the shards' answers."""
+    out = np.empty(len(names), np.int64)
+    out[gram_order(names, shards)[0]] = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(b, np.int64) for b in rows.sort_values("shard")["counts"]]])
+    return out
+
+
+REQUEST = "shard int, block long, low binary, high binary, counts binary"
+_REQUEST = [("shard", pa.int32()), ("block", pa.int64()), *[(n, pa.binary()) for n in ("low", "high", "counts")]]
+ANSWER = "block long, shard int, counts binary"
 
 
 def _word_requests(shards: int):
@@ -217,70 +177,33 @@ def word_order(words: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their counts in sum (exact below 2 ** 53), and for each key the sum."""
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    total = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
+    return distinct, total, total[inverse]
+
+
 def _word_answers(group: pd.DataFrame) -> pd.DataFrame:
-    """Counts over all blocks for every block's words; the row of block -1 has the shard's totals and frequent words."""
+    """Counts over all blocks for every block's words; the row of block -1 has the shard's tokens and distinct words."""
     words = [np.frombuffer(b, U64) for b in group["words"]]
-    distinct, inverse = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([np.frombuffer(b, np.int64) for b in group["counts"]])).astype(np.int64)  # exact below 2 ** 53
-    answer = np.split(total[inverse], np.cumsum([len(w) for w in words])[:-1])
+    distinct, total, answer = _sums(np.concatenate(words), np.concatenate([np.frombuffer(b, np.int64) for b in group["counts"]]))
     token = distinct != START
-    top = np.argsort(-total)[: int(1 / HOT_SHARE)]
     shard = int(group["shard"].iloc[0])
-    out = [(int(b), shard, a.tobytes(), 0, 0, [], []) for b, a in zip(group["block"], answer, strict=True)]
-    out.append((-1, shard, b"", int(total[token].sum()), int((total[token] > 0).sum()), distinct[top].view(np.int64).tolist(), total[top].tolist()))
-    return pd.DataFrame(out, columns=["block", "shard", "counts", "n", "v", "top", "top_n"])
-
-
-def _gram_answers(hot: np.ndarray, frequent: float):
-    """Counts over all blocks for every block's n-grams, 0 for those that are not kept; the row of block -1 has the numbers
-    of n-grams seen once and twice, the shard's part of the frequent histories, and n-grams that will be such."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        lens = [np.frombuffer(b, np.uint32) for b in group["lens"]]
-        unique = [np.frombuffer(b, U64) for b in group["histories"]]
-        history = np.concatenate([np.repeat(u, n) for u, n in zip(unique, lens, strict=True)])
-        short = np.concatenate([np.frombuffer(b, np.uint32) for b in group["low"]]).astype(U64)
-        short |= np.concatenate([np.frombuffer(b, np.uint8) for b in group["high"]]).astype(U64) << U64(32)
-        distinct, inverse = np.unique(gram_names(history, short), return_inverse=True)
-        del short
-        of = np.empty(len(distinct), U64)
-        of[inverse] = history
-        total = np.bincount(inverse, np.concatenate([np.frombuffer(b, np.uint32) for b in group["counts"]])).astype(np.int64)  # exact below 2 ** 53
-        kept = np.where(total >= KEEP, total, 0)
-        names, owner = np.unique(of, return_inverse=True)
-        kinds = np.bincount(owner, kept > 0, len(names)).astype(np.int64)
-        sums = np.bincount(owner, kept, len(names)).astype(np.int64)
-        answer = np.split(kept[inverse], np.cumsum([int(n.sum()) for n in lens])[:-1])
-        shard = int(group["shard"].iloc[0])
-        out = []
-        for b, a, u in zip(group["block"], answer, unique, strict=True):
-            k = np.searchsorted(names, u)
-            out.append((int(b), shard, a.tobytes(), kinds[k].tobytes(), sums[k].tobytes(), 0, 0, [], [], [], []))
-        own = np.isin(names, hot)
-        lists = [x.view(np.int64).tolist() for x in (names[own], kinds[own], sums[own], distinct[kept > frequent])]
-        out.append((-1, shard, b"", b"", b"", int((total == 1).sum()), int((total == 2).sum()), *lists))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
+    parts = np.split(answer, np.cumsum([len(w) for w in words])[:-1])
+    out = [(int(b), shard, a.tobytes(), 0, 0) for b, a in zip(group["block"], parts, strict=True)]
+    out.append((-1, shard, b"", int(total[token].sum()), int((total[token] > 0).sum())))
+    return pd.DataFrame(out, columns=["block", "shard", "counts", "n", "v"])
 
-    return run
-
-
-@dataclass
-class Order:
-    """What is known of an order's n-grams in all shards: shards, frequent histories with their continuations, discount."""
-
-    shards: int
-    hot: np.ndarray
-    hot_sums: dict[int, tuple[int, int]]
-    discount: float
 
-
-def _order(answers: DataFrame, shards: int, hot: np.ndarray) -> Order:
-    """Sums of the shards' own rows; frequent histories number at most 1 / HOT_SHARE."""
-    own = answers.where("block = -1")
-    ones = own.agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
-    n1, n2 = int(ones["n1"] or 0), int(ones["n2"] or 0)
-    rows = own.select(F.explode(F.arrays_zip("hot", "hot_kinds", "hot_sums")).alias("t")).groupBy("t.hot").agg(F.sum("t.hot_kinds").alias("k"), F.sum("t.hot_sums").alias("s")).collect()
-    return Order(shards, hot, {r["hot"]: (r["k"], r["s"]) for r in rows}, n1 / (n1 + 2 * n2) if n1 else 0.5)
+def _gram_answers(group: pd.DataFrame) -> pd.DataFrame:
+    """Counts over all blocks for every block's n-grams."""
+    low = [np.frombuffer(b, np.uint32) for b in group["low"]]
+    keys = np.concatenate(low).astype(U64)
+    keys |= np.concatenate([np.frombuffer(b, np.uint8) for b in group["high"]]).astype(U64) << U64(32)
+    answer = _sums(keys, np.concatenate([np.frombuffer(b, np.uint32) for b in group["counts"]]))[2]
+    parts = np.split(answer, np.cumsum([len(x) for x in low])[:-1])
+    return pd.DataFrame({"block": group["block"], "shard": group["shard"], "counts": [a.tobytes() for a in parts]})
 
 
 class Automaton:
@@ -288,38 +211,24 @@ class Automaton:
 
     State 0 is the root, 1 + w that of the word w, 1 + len(words) + g that of the bigram g."""
 
-    def __init__(self, block: Block, counts: np.ndarray, bigrams: tuple, trigrams: tuple, discounts: tuple[float, float], n_tokens: int, vocabulary: int):
+    def __init__(self, block: Block, counts: np.ndarray, together: np.ndarray, joint: np.ndarray, n_tokens: int, vocabulary: int, weights: tuple[float, float] = CONCENTRATION):
+        """``counts`` of words, ``together`` of bigrams and ``joint`` of trigrams are the corpus' own."""
         size, pairs = len(block.words), len(block.word)
         self.size = size
-        together, kinds, sums = bigrams
+        b2, b3 = weights
         self.root = (counts + 1.0) / (n_tokens + vocabulary + 1.0)
-        keeps = np.zeros(size, bool)  # words that are states
-        rest = np.ones(size)
-        on = np.flatnonzero(kinds > 0)
-        keeps[block.history[on]] = True
-        rest[block.history[on]] = (counts[block.history[on]] - sums[on] + discounts[0] * kinds[on]) / counts[block.history[on]]
-        arcs = np.flatnonzero(together > 0)
-        h, w = block.history[arcs], block.word[arcs]
-        p2 = np.zeros(pairs)
-        p2[arcs] = (together[arcs] - discounts[0]) / counts[h] + rest[h] * self.root[w]
-        joint, more, total = trigrams
-        goes_on = np.zeros(pairs, bool)  # bigrams that are states
-        left = np.ones(pairs)
-        on = np.flatnonzero(more > 0)
-        goes_on[block.context[on]] = True
-        left[block.context[on]] = (together[block.context[on]] - total[on] + discounts[1] * more[on]) / together[block.context[on]]
-        long = np.flatnonzero(joint > 0)
-        c, last = block.context[long], block.second[long]
-        p3 = (joint[long] - discounts[1]) / together[c] + left[c] * p2[last]
-        word_state = np.where(keeps, np.arange(size) + 1, 0)
-        pair_state = np.where(goes_on, 1 + size + np.arange(pairs), word_state[block.word])
-        keys = np.concatenate([(1 + h) * size + w, (1 + size + c) * size + block.third[long]])
-        order = np.argsort(keys)
-        self.keys = np.append(keys[order], -1)
-        self.weight = np.append(np.log10(np.concatenate([p2[arcs], p3]))[order], 0.0)
-        self.next = np.append(np.concatenate([pair_state[arcs], pair_state[last]])[order], 0)
+        history = counts[block.history]
+        p2 = (together + b2 * self.root[block.word]) / (history + b2)
+        p3 = (joint + b3 * p2[block.second]) / (together[block.context] + b3)
+        word_state = np.where((counts > 0) & (block.words != END), np.arange(size) + 1, 0)  # nothing follows the end
+        pair_state = np.where((together > 0) & (word_state[block.word] > 0), 1 + size + np.arange(pairs), word_state[block.word])
+        two, three = np.flatnonzero(together > 0), np.flatnonzero(joint > 0)
+        keys = np.concatenate([(1 + block.history[two]) * size + block.word[two], (1 + size + block.context[three]) * size + block.third[three]])  # in order
+        self.keys = np.append(keys, -1)
+        self.weight = np.append(np.log10(np.concatenate([p2[two], p3[three]])), 0.0)
+        self.next = np.append(np.concatenate([pair_state[two], pair_state[block.second[three]]]), 0)
         self.root_weight, self.root_next = np.log10(self.root), word_state
-        self.fail_weight = np.log10(np.concatenate([[1.0], rest, left]))
+        self.fail_weight = np.log10(np.concatenate([[1.0], b2 / (counts + b2), b3 / (together + b3)]))
         self.fail_to = np.concatenate([np.zeros(1 + size, np.int64), word_state[block.word]])
         self.first = int(word_state[block.start])
 
@@ -366,24 +275,15 @@ class Automaton:
         return out
 
 
-def _trigram_requests(two: Order, shards: int, hot: np.ndarray):
-    def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in rows.iterrows():
-            block = Block(row)
-            grams = block.bigrams(two.shards, two.hot)
-            kept = grams.answers(answers, two.hot_sums)[0] > 0
-            out += block.trigrams(kept, shards, hot, grams.names).requests(int(row["block"]))
-        return pd.DataFrame(out, columns=[n for n, _ in _REQUEST])
-
-    return run
-
-
-def _bigram_requests(shards: int, hot: np.ndarray):
+def _gram_requests(shards: int, order: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                rows = Block(row).bigrams(shards, hot).requests(row["block"])
+                block = Block(row)
+                names, counts = block.bigrams()
+                if order == 3:
+                    names, counts = block.trigrams(names)
+                rows = gram_requests(row["block"], names, counts, shards)
                 for a in range(0, len(rows), 256):
                     yield _batch(rows[a : a + 256], _REQUEST)
 
@@ -393,7 +293,7 @@ def _bigram_requests(shards: int, hot: np.ndarray):
 SCORES = "id long, trains boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _traverse(word_shards: int, two: Order, three: Order, n_tokens: int, vocabulary: int):
+def _traverse(word_shards: int, shards: int, n_tokens: int, vocabulary: int):
     def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")})]
         for _, row in rows.iterrows():
@@ -401,10 +301,10 @@ def _traverse(word_shards: int, two: Order, three: Order, n_tokens: int, vocabul
             of = lambda kind: answers[answers["kind"] == kind]
             counts = np.empty(len(block.words), np.int64)
             counts[word_order(block.words, word_shards)[0]] = np.concatenate([np.frombuffer(b, np.int64) for b in of(1).sort_values("shard")["counts"]])
-            grams = block.bigrams(two.shards, two.hot)
-            bigrams = grams.answers(of(2), two.hot_sums)
-            trigrams = block.trigrams(bigrams[0] > 0, three.shards, three.hot, grams.names).answers(of(3), three.hot_sums)
-            model = Automaton(block, counts, bigrams, trigrams, (two.discount, three.discount), n_tokens, vocabulary)
+            names, _ = block.bigrams()
+            together = gram_counts(names, shards, of(2))
+            joint = gram_counts(block.trigrams(names)[0], shards, of(3))
+            model = Automaton(block, counts, together, joint, n_tokens, vocabulary)
             weights = model.walk(block.token, block.lengths)
             add = lambda x: np.add.reduceat(x, block.begin)  # noqa: E731, B023
             ids = pd.array(np.frombuffer(row["ids"], np.int64), "Int64")
@@ -416,7 +316,7 @@ def _traverse(word_shards: int, two: Order, three: Order, n_tokens: int, vocabul
     return run
 
 
-def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(id, trains, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
     ``trains``: true for the rows to learn from (null: false).  Null and empty texts have the end as their one token.
@@ -429,33 +329,17 @@ def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", tex
     source = materialize(base.mapInArrow(_tokenise, BLOCK), seen, F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words"), batch_rows=TEXT_BATCH)
     shards_for = lambda n: max(1, -(-int(n or 0) // shard_tokens))
     shards, word_shards = shards_for(seen.get.get("tokens")), shards_for(seen.get.get("words"))
-
     asked = source.select("block", "words", "word_counts").mapInArrow(_word_requests(word_shards), "shard int, block long, words binary, counts binary")
-    words = materialize(asked.groupBy("shard").applyInPandas(_word_answers, "block long, shard int, counts binary, n long, v long, top array<long>, top_n array<long>"), batch_rows=BLOCK_BATCH)
-    own = words.where("block = -1")
-    totals = own.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    words = materialize(asked.groupBy("shard").applyInPandas(_word_answers, f"{ANSWER}, n long, v long"), batch_rows=BLOCK_BATCH)
+    totals = words.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(totals["n"] or 0), int(totals["v"] or 0)
-    frequent = hot_share * max(n, 1)
-    often = own.select(F.explode(F.arrays_zip("top", "top_n")).alias("t")).where(F.col("t.top_n") > frequent).select("t.top").collect()
-    hot = np.array([r["top"] for r in often], np.int64).view(U64)
-
-    asked = source.mapInArrow(_bigram_requests(shards, hot), REQUEST)
-    pairs = materialize(asked.groupBy("shard").applyInPandas(_gram_answers(hot, frequent), ANSWER), batch_rows=BLOCK_BATCH)
-    two = _order(pairs, shards, hot)
-    often = pairs.where("block = -1").select(F.explode("top").alias("top")).collect()
-    hot = np.array([r["top"] for r in often], np.int64).view(U64)
-
-    own = lambda df: df.where("block >= 0").withColumnRenamed("block", "of_block")
-    asked = source.groupBy("block").cogroup(own(pairs).select("of_block", "shard", "counts", "kinds", "sums").groupBy("of_block")).applyInPandas(_trigram_requests(two, shards, hot), REQUEST)
-    triples = materialize(asked.groupBy("shard").applyInPandas(_gram_answers(hot, float("inf")), ANSWER))
-    three = _order(triples, shards, hot)
-
-    none = F.lit(None).cast("binary")
-    answers = own(words).select("of_block", "shard", F.lit(1).alias("kind"), "counts", none.alias("kinds"), none.alias("sums"))
-    for kind, found in ((2, pairs), (3, triples)):
-        answers = answers.unionByName(own(found).select("of_block", "shard", F.lit(kind).alias("kind"), "counts", "kinds", "sums"))
-    out = source.groupBy("block").cogroup(answers.groupBy("of_block")).applyInPandas(_traverse(word_shards, two, three, n, v), SCORES)
-    return out.withColumn("train_tokens", F.lit(n).cast("long"))
+    answers = words.where("block >= 0").select(F.col("block").alias("of_block"), "shard", F.lit(1).alias("kind"), "counts")
+    columns = source.select("block", "lengths", "trains", "words", "tokens")
+    for order in (2, 3):
+        found = materialize(columns.mapInArrow(_gram_requests(shards, order), REQUEST).groupBy("shard").applyInPandas(_gram_answers, ANSWER), batch_rows=BLOCK_BATCH)
+        answers = answers.unionByName(found.select(F.col("block").alias("of_block"), "shard", F.lit(order).alias("kind"), "counts"))
+    scored = source.drop("word_counts").groupBy("block").cogroup(answers.groupBy("of_block")).applyInPandas(_traverse(word_shards, shards, n, v), SCORES)
+    return scored.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
 def training_rows(id_col: str = "doc_id") -> Column:

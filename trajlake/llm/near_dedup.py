@@ -269,7 +269,8 @@ def remaining_links(placed: DataFrame, links: DataFrame, texts: DataFrame, frequ
     blocks_for = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_TEXT_BYTES), F.lit(1)).cast("int")
     tallies = members.groupBy("p", "k").agg(F.count_if("apart").alias("n_apart"), blocks_for(F.count_if("apart"), F.sum(F.when(F.col("apart"), F.col("size")).otherwise(0))).alias("rows"), blocks_for(F.count("*"), F.sum("size")).alias("cols"))
     groups = tallies.groupBy("p").agg(F.sum("n_apart").alias("n_apart"), F.map_from_entries(F.collect_list(F.struct("k", F.struct("n_apart", "rows", "cols")))).alias("tally")).where("n_apart > 0")
-    met = materialize(members.join(groups.drop("n_apart"), "p"))
+    groups = materialize(groups.drop("n_apart"))  # a plain table, so that Spark can split the join where one pivot has many members
+    met = materialize(members.join(groups, "p"))
     at = lambda k: F.try_element_at("tally", k)
     near = F.explode(F.array(*[F.col("k") + d for d in (-1, 0, 1)]))
     block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
