@@ -17,7 +17,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_think_tags_after_a_long_text_in_any_language(spark, tmp_path):
     long = "x" * 500
     spark.createDataFrame([(1, f"{long}<thinking>t\n</thinking>\n\n\n\nend", "de")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = catalog.QUERIES["strip_think_and_squeeze_whole"](spark, str(tmp_path)).collect()
+    got = catalog.QUERIES["strip_think_and_squeeze"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [(1, hashlib.md5(f"a\n\n{long}\n\nend\n\nb".encode()).hexdigest())]
 
 

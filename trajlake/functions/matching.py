@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trajlake.functions.text import once, one_json_value
+
 
 def values_match(expected: Column, actual: Column, tolerance: float = 0.001) -> Column:
     """Fuzzy equality of scalars given as text: equal, equal without case and outer blanks, one inside the other, or
@@ -32,46 +31,80 @@ def list_values_match(expected: Column, actual: Column) -> Column:
     return (F.size(expected) == F.size(actual)) & (as_set(expected) == as_set(actual))
 
 
-def _match(a, b) -> bool:
-    if isinstance(a, list) and isinstance(b, list):
-        return len(a) == len(b) and {str(x).lower() for x in a} == {str(x).lower() for x in b}
-    if isinstance(a, str) and isinstance(b, str):
-        p, q = a.strip().lower(), b.strip().lower()
-        return p == q or p in q or q in p
-    if isinstance(a, int | float) and isinstance(b, int | float):
-        return abs(a - b) < 0.001
-    return a == b or str(a).lower() == str(b).lower()
+def json_map(text: Column) -> Column:
+    """A JSON object's values by key, each as JSON text with its quotes, keys in the order of the text; null for anything
+    else, so for several objects in a row or a repeated key."""
+    parts = F.struct(F.try_parse_json(text).try_cast("map<string,variant>").alias("values"), F.json_object_keys(text).alias("keys"), one_json_value(text).alias("whole"))
 
+    def whole(v: Column) -> Column:
+        by_key = F.map_from_arrays(v["keys"], F.transform(v["keys"], lambda k: F.coalesce(F.to_json(F.try_element_at(v["values"], k)), F.lit("null"))))
+        return F.when(v["whole"] & v["values"].isNotNull(), by_key)
 
-def json_parameter_score(expected: Column, actual: Column) -> Column:
-    """``parameter_score`` for JSON objects with nested values: strict JSON; anything but an object scores 0."""
+    return once(parts, whole)
+
+
+def _quoted(value: Column) -> Column:
+    return F.startswith(value, F.lit('"'))
+
+
+def bare(value: Column) -> Column:
+    """JSON text without the quotes of a string."""
+    return F.when(_quoted(value), F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")[0]).otherwise(value)
 
-    def one(e, a) -> float:
-        try:
-            want, got = json.loads(e), json.loads(a)
-        except (TypeError, ValueError):
-            return 0.0
-        if not isinstance(want, dict) or not isinstance(got, dict):
-            return 0.0
-        return sum(k in got and _match(v, got[k]) for k, v in want.items()) / len(want) if want else 1.0
 
-    def scores(e: pd.Series, a: pd.Series) -> pd.Series:
-        return pd.Series([one(x, y) for x, y in zip(e, a, strict=True)], dtype="float64")
+def json_values_match(expected: Column, actual: Column, tolerance: float = 0.001) -> Column:
+    """``values_match`` for JSON texts, whose types decide: strings by equality without case and outer blanks or one
+    inside the other, numbers by their difference, lists of equal length as sets of lower-cased texts, all else by
+    lower-cased text."""
+    a, b = F.trim(F.lower(bare(expected))), F.trim(F.lower(bare(actual)))
+    x, y = expected.try_cast("double"), actual.try_cast("double")
+    number = lambda v: v.rlike("^-?[0-9]")
+    as_list = lambda v: F.from_json(v, "array<string>")
+    both = lambda test: test(expected) & test(actual)
+    lists = F.coalesce(list_values_match(as_list(expected), as_list(actual)), F.lit(False)) | (a == b)
+    return (
+        F.when(expected == actual, F.lit(True))
+        .when(both(_quoted), (a == b) | F.contains(a, b) | F.contains(b, a))
+        .when(both(number), F.abs(x - y) < tolerance)
+        .when(both(lambda v: F.startswith(v, F.lit("["))), lists)
+        .otherwise(a == b)
+    )
 
-    return F.pandas_udf(scores, "double")(expected, actual)
+
+def json_parameter_score(expected: Column, actual: Column) -> Column:
+    """``parameter_score`` for arguments as JSON text, with nested values: 1 for no expected arguments, 0 where the actual
+    ones are no object."""
+
+    def score(v: Column) -> Column:
+        want, got = v["want"], v["got"]
+        hit = F.filter(F.map_keys(want), lambda k: F.map_contains_key(got, k) & json_values_match(F.element_at(want, k), F.element_at(got, k)))
+        return F.when(want.isNull() | got.isNull(), 0.0).otherwise(F.size(hit) / F.size(want))
+
+    both = F.struct(json_map(expected).alias("want"), json_map(actual).alias("got"))
+    nothing = expected.isNull() | (F.regexp_replace(expected, r"\s", "") == "{}")
+    return F.when(nothing, 1.0).otherwise(once(both, score))
 
 
 def strict_json(text: Column) -> Column:
-    """Whether the whole text is one JSON value; built-in parsers accept what follows the first value."""
+    """Whether the whole text is one JSON value."""
+    return one_json_value(text)
+
+
+def arguments_match(expected: Column, actual: Column, compare: Column) -> Column:
+    """Whether an actual call's arguments (JSON text) agree with the expected ones in every name of ``compare``: the name
+    is there, and where a value is expected it is that value.  A null ``compare`` compares nothing."""
+
+    def agrees(v: Column) -> Column:
+        want, got = v["want"], v["got"]
+        same = lambda k: F.map_contains_key(got, k) & F.coalesce(F.try_element_at(want, k) == F.try_element_at(got, k), ~F.map_contains_key(want, k), F.lit(True))
+        return F.coalesce(F.forall(compare, same), F.lit(False))
 
-    def one(t) -> bool:
-        try:
-            json.loads(t)
-        except (TypeError, ValueError):
-            return False
-        return True
+    both = F.struct(json_map(expected).alias("want"), json_map(actual).alias("got"))
+    return F.when(compare.isNull(), F.lit(True)).otherwise(once(both, agrees))
 
-    def flags(t: pd.Series) -> pd.Series:
-        return t.map(one).astype(bool)
 
-    return F.pandas_udf(flags, "boolean")(text)
+def first_difference(correct: Column, wrong: Column) -> Column:
+    """The first argument, in the order of the correct ones, that both maps have with different values; else the first of
+    the wrong ones."""
+    differing = F.filter(F.map_keys(correct), lambda k: F.map_contains_key(wrong, k) & (F.element_at(correct, k) != F.element_at(wrong, k)))
+    return F.coalesce(F.get(differing, F.lit(0)), F.get(F.map_keys(wrong), F.lit(0)))

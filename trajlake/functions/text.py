@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ ID_TEMPLATES = (
 # End of fixed values.
 
 
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def any_of(words: tuple[str, ...]) -> str:
     """A pattern that finds any of the words; regular expression signs in them count as themselves."""
     import re
@@ -64,9 +71,45 @@ def render_tool_response(name: Column, result: Column) -> Column:
     return F.concat(F.lit('{"name": "'), name, F.lit('", "result": "'), result, F.lit('"}'))
 
 
+def one_json_value(content: Column) -> Column:
+    """Whether the whole text is one JSON value.
+
+    The built-in parsers accept whatever follows the first value, so the text must also be the first of exactly two
+    elements of a list.  An object with a repeated key does not count."""
+    elements = F.json_array_length(F.concat(F.lit("["), content, F.lit(",0]")))
+    return F.coalesce(F.try_parse_json(content).isNotNull() & (elements == 2), F.lit(False))
+
+
+def one_json_object(content: Column) -> Column:
+    return F.coalesce(F.startswith(content, F.lit("{")), F.lit(False)) & one_json_value(content)
+
+
 def response_result(content: Column) -> Column:
-    """``result`` of a tool message that is a JSON object; null otherwise."""
-    return F.when(F.startswith(content, F.lit("{")), F.get_json_object(content, "$.result"))
+    """``result`` of a tool message that is one JSON object; null otherwise, so for several objects in a row."""
+    return F.when(one_json_object(content), F.get_json_object(content, "$.result"))
+
+
+def tool_response(content: Column, need_name: bool = False) -> Column:
+    """(name, result) of a tool message that is one JSON object, with a name if ``need_name``; null otherwise."""
+    parts = F.struct(F.get_json_object(content, "$.name").alias("name"), F.get_json_object(content, "$.result").alias("result"))
+    fine = one_json_object(content)
+    return F.when(fine & F.get_json_object(content, "$.name").isNotNull() if need_name else fine, parts)
+
+
+def plausible_response(content: Column) -> Column:
+    """Whether a tool message may stand in training data: any text that does not begin like an object; a text whose first
+    object parses, whatever follows it; or one that was cut off behind the keys of a result."""
+    content = text_or_empty(content)
+    has = lambda key: F.contains(content, F.lit(f'"{key}"'))
+    cut_off = has("name") & (has("result") | has("error"))
+    return (content != "") & (~F.startswith(content, F.lit("{")) | F.try_parse_json(content).isNotNull() | cut_off)
+
+
+def well_formed_calls(content: Column) -> Column:
+    """At least one call, and every call one JSON object with a name and arguments."""
+    raw = F.regexp_extract_all(text_or_empty(content), F.lit(r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"), F.lit(1))
+    whole = lambda x: one_json_object(x) & F.get_json_object(x, "$.name").isNotNull() & F.get_json_object(x, "$.arguments").isNotNull()
+    return (F.size(raw) > 0) & F.forall(raw, whole)
 
 
 def has_error_word(content: Column) -> Column:
@@ -108,6 +151,15 @@ def remove_think_tags(content: Column) -> Column:
     return strip_text(F.regexp_replace(out, "\n{3,}", "\n\n"))
 
 
+def without_analysis(messages: Column) -> Column:
+    """(role, content, ...) messages: an assistant's text ends at the first analysis heading; what is empty then goes."""
+    marked = lambda m: (m["role"] == "assistant") & has_analysis(m["content"])
+    cut = F.transform(messages, lambda m: m.withField("content", F.when(marked(m), cut_analysis(m["content"])).otherwise(m["content"])))
+    flags = F.transform(messages, lambda m: F.coalesce(marked(m), F.lit(False)))
+    kept = F.filter(F.arrays_zip(cut.alias("m"), flags.alias("cut")), lambda x: ~(x["cut"] & (F.coalesce(x["m"]["content"], F.lit("")) == "")))
+    return F.transform(kept, lambda x: x["m"])
+
+
 def cut_analysis(content: Column) -> Column:
     """Text before the earliest analysis heading, stripped."""
     places = [F.nullif(F.locate(h, content), F.lit(0)) for h in ANALYSIS_CUTS]
@@ -177,8 +229,34 @@ def reply_too_long(reply: Column, sentences: int = 5, chars: int = 300) -> Colum
 
 
 def has_placeholder(value: Column) -> Column:
-    """``<..>``, ``{{..}}`` or an upper-case name of more than ten characters."""
-    return F.coalesce(value.rlike(r"^<.*>$|^\{\{.*\}\}$|^[A-Z][A-Z_]{10,}$"), F.lit(False))
+    """A text with ``<`` and ``>``, or ``{{`` and ``}}``, or one of more than ten characters without lower case and with
+    an underscore.  A list (as JSON text) has one if an element has ``<`` and ``>``."""
+    both = lambda text, a, b: F.contains(text, F.lit(a)) & F.contains(text, F.lit(b))
+    shouted = (F.upper(value) == value) & F.contains(value, F.lit("_")) & (F.length(value) > 10)
+    listed = F.exists(F.from_json(value, "array<string>"), lambda x: both(x, "<", ">"))
+    single = both(value, "<", ">") | both(value, "{{", "}}") | shouted
+    return F.coalesce(F.when(F.startswith(value, F.lit("[")), F.coalesce(listed, F.lit(False))).otherwise(single), F.lit(False))
+
+
+def fill_with_defaults(template: Column, values: Column, defaults: Column) -> Column:
+    """``{key}`` replaced by its value, else by its default, else by ``unknown``."""
+    filled = fill_template(fill_template(template, values), defaults)
+    return F.regexp_replace(filled, r"\{\w+\}", "unknown")
+
+
+#: What ``format_safe`` says where a template could not be filled.
+SAFE_SENTENCE = "Something went wrong with that call; I will correct it and retry with the right parameters."
+
+
+def format_safe(template: Column, values: Column) -> Column:
+    """``fill_template``, or a fixed sentence if a placeholder is left."""
+    filled = fill_template(template, values)
+    return F.when(filled.rlike(r"\{\w+\}"), F.lit(SAFE_SENTENCE)).otherwise(filled)
+
+
+def without_model_prefix(name: Column) -> Column:
+    """A model's name without the provider in front of it."""
+    return F.element_at(F.split(name, "/"), -1)
 
 
 def domain_of_path(path: Column) -> Column:

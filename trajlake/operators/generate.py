@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajlake.functions.text import fill_template, has_placeholder
-from trajlake.operators.sampling import shuffle_key, uniform
+from trajlake.operators.sampling import pick_weighted, shuffle_key, uniform, weighted_value
 
 
 def patterns(tasks: DataFrame) -> DataFrame:
     """(task_id, reason, tools, n_actions, frequency) from tasks (task_id, reason, actions array<struct<name>>)."""
-    total = F.count("*").over(Window.partitionBy(F.lit(1)))
-    return tasks.select("task_id", "reason", F.transform("actions", lambda a: a["name"]).alias("tools"), F.size("actions").alias("n_actions"), (1 / total).alias("frequency"))
+    total = tasks.count()
+    return tasks.select("task_id", "reason", F.transform("actions", lambda a: a["name"]).alias("tools"), F.size("actions").alias("n_actions"), F.lit(1 / max(1, total)).alias("frequency"))
 
 
 def parameter_space(table: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,8 +25,6 @@ def parameter_draws(space: DataFrame, n: int, seed: int) -> DataFrame:
     """(draw, params map): for each of ``n`` draws one value of every parameter, weighted by its count.
 
     Values are given their interval of [0, 1) within the parameter; draws find it by hash bucket."""
-    from trajlake.operators.sampling import cumulative_shares  # noqa: F401  the single-table form of the same rule
-
     running = Window.partitionBy("param").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("n").over(Window.partitionBy("param"))
     spans = space.withColumns({"high": F.sum("n").over(running) / total, "low": (F.sum("n").over(running) - F.col("n")) / total})
@@ -60,6 +58,35 @@ def persona_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "persona string, patience int, formality int, weight int")
 
 
+# Scenarios of varied tasks and their weights; overrides of two personas and one party size.
+DATE_SPANS = {"near_future": (1, 7, 0.2), "optimal_window": (14, 45, 0.5), "far_future": (90, 180, 0.3)}
+CABINS = {"basic_economy": 0.3, "economy": 0.5, "business": 0.2}
+PARTIES = {"1": 0.60, "2": 0.20, "3": 0.10, "4": 0.07, "5": 0.03}
+COMPLEXITIES = {"simple": 0.3, "medium": 0.5, "complex": 0.2}
+# End of fixed values.
+
+
+def diverse_configs(spark: SparkSession, n: int, routes: DataFrame, personas: DataFrame, base_date: str, seed: int) -> DataFrame:
+    """(config, persona, complexity, date, origin, destination, cabin, passengers) for ``n`` varied tasks.
+
+    ``routes``: origin, destination, weight.  ``personas``: persona, weight, cabins and party (arrays that a persona is
+    bound to, or null).  Dates lie a drawn number of days after ``base_date``."""
+    u = lambda k: uniform(F.col("config"), seed + k)
+    rows = spark.range(n).select(F.col("id").alias("config"), F.lit(1).alias("_all"))
+    rows = pick_weighted(rows, personas.withColumn("_all", F.lit(1)), ("_all",), "weight", "persona", "config", seed)
+    named = routes.select(F.lit(1).alias("_all"), F.concat_ws(">", "origin", "destination").alias("_route"), "origin", "destination", "weight")
+    rows = pick_weighted(rows, named, ("_all",), "weight", "_route", "config", seed + 1)
+    span = weighted_value({k: w for k, (_, _, w) in DATE_SPANS.items()}, u(2))
+    days = F.lit(0)
+    for name, (low, high, _) in DATE_SPANS.items():
+        days = F.when(span == name, F.lit(low) + F.floor(u(3) * (high - low + 1)).cast("int")).otherwise(days)
+    bound = lambda c, free, k: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.get(F.col(c), F.floor(u(k) * F.size(c)).cast("int"))).otherwise(free)
+    return rows.select(
+        "config", "persona", weighted_value(COMPLEXITIES, u(4)).alias("complexity"), dated(F.to_date(F.lit(base_date)), days).alias("date"), "origin", "destination",
+        bound("cabins", weighted_value(CABINS, u(5)), 6).alias("cabin"), bound("party", weighted_value(PARTIES, u(7)), 8).cast("int").alias("passengers"),
+    )
+
+
 def dated(base: Column, days: Column) -> Column:
     """A date ``days`` after an explicit base date, as text."""
     return F.date_format(F.date_add(base, days), "yyyy-MM-dd")

@@ -6,6 +6,8 @@ aggregation with partial sums.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,16 +27,17 @@ def agent_actions(actions: Column) -> Column:
     return F.filter(actions, lambda a: F.coalesce(a["requestor"], F.lit("")) != "user")
 
 
-def simulation_metrics(sims: DataFrame) -> DataFrame:
+def simulation_metrics(sims: DataFrame, score: Callable[[Column, Column], Column] = parameter_score) -> DataFrame:
     """Adds the metrics of a simulation.
 
-    Needs: reward double; expected array<struct<name, arguments map>>; calls array<struct<name, arguments map>>;
+    Needs: reward double; expected array<struct<name, arguments>>; calls array<struct<name, arguments>>, arguments being
+    maps of texts, or whatever ``score`` compares (``json_parameter_score``: JSON text);
     results array<string> in order; n_messages (assistant and user); expected_turns.  Ratios without a denominator are
     null inside the engine (``at_edge`` turns them into -1).
     """
     best = F.transform(
         "expected",
-        lambda e: F.array_max(F.transform(F.filter("calls", lambda c: c["name"] == e["name"]), lambda c: parameter_score(e["arguments"], c["arguments"]))),
+        lambda e: F.array_max(F.transform(F.filter("calls", lambda c: c["name"] == e["name"]), lambda c: score(e["arguments"], c["arguments"]))),
     )
     errors = F.transform("results", lambda r, i: F.struct(has_error_word(r).alias("bad"), (i < F.size("results") - 1).alias("inner")))
     success = F.coalesce(F.col("reward") > 0, F.lit(False))

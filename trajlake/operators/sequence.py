@@ -99,14 +99,15 @@ def running_fail_rate(attempts: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def merge_tool_results(messages: DataFrame) -> DataFrame:
-    """Runtime messages to training form: consecutive tool results become one message (texts joined without a sign),
-    tool traffic of the user side is skipped until the user speaks plainly, leading assistant and trailing user go.
+    """Runtime messages to training form: consecutive tool results become one message (texts joined without a sign); calls
+    of the user side go, and so do tool results until the user speaks plainly; leading assistant and trailing user go.
 
     Rows: traj_id, idx, role, content, user_side (a tool result or call of the user side)."""
     w = per_trajectory()
     clean_user = (F.col("role") == "user") & ~F.col("user_side")
     state = F.last(F.when(F.col("user_side"), F.lit(1)).when(clean_user, F.lit(0)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    kept = messages.withColumn("_skip", F.coalesce(state, F.lit(0))).where("_skip = 0").drop("_skip")
+    gone = F.col("user_side") | ((F.col("role") == "tool") & (F.col("_skip") == 1))
+    kept = messages.withColumn("_skip", F.coalesce(state, F.lit(0))).where(~gone).drop("_skip")
     before = F.lag("role").over(w)
     starts = F.when((F.col("role") == "tool") & (F.coalesce(before, F.lit("")) == "tool"), 0).otherwise(1)
     grouped = kept.withColumn("_group", starts)

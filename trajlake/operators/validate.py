@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlake.functions.matching import strict_json
+from trajlake.functions.text import once, one_json_object, one_json_value, plausible_response, well_formed_calls
 
 # Limits and rules of the formats.
 BANNED_TOOLS = {"airline": ("list_all_airports",), "retail": ("list_all_products",), "telecom": ("list_all_plans",)}
@@ -25,9 +25,9 @@ def first_reason(*checks: tuple[Column, str]) -> Column:
 
 
 def message_reason(role: Column, content: Column, call_name: Column, call_arguments: Column, result: Column) -> Column:
-    """Why a message is malformed; null for a good one."""
+    """Why a message is malformed; null for a good one.  A call's arguments must be one JSON object."""
     empty = F.coalesce(F.trim(content), F.lit("")) == ""
-    bad_call = F.contains(content, F.lit("<tool_call>")) & (call_name.isNull() | call_arguments.isNull())
+    bad_call = F.contains(content, F.lit("<tool_call>")) & (call_name.isNull() | ~one_json_object(call_arguments))
     return first_reason((~role.isin("system", "user", "assistant", "tool") | role.isNull(), "bad role"), (empty, "empty content"), ((role == "assistant") & bad_call, "bad tool call"), ((role == "tool") & result.isNull(), "bad tool result"))
 
 
@@ -42,7 +42,25 @@ def trajectory_reasons(messages: DataFrame) -> DataFrame:
 
 def sft_record_valid(messages: Column, tools: Column) -> Column:
     """Messages and tools are there, and tools is a JSON list (one strict value)."""
-    return messages.isNotNull() & F.coalesce(F.json_array_length(tools) >= 0, F.lit(False)) & strict_json(tools)
+    return messages.isNotNull() & F.coalesce(F.json_array_length(tools) >= 0, F.lit(False)) & one_json_value(tools)
+
+
+def extractor_format_ok(messages: Column) -> Column:
+    """(role, content) messages may be extracted: a system message first, calls well formed, tool messages plausible."""
+    call = lambda m: (m["role"] == "assistant") & F.coalesce(F.contains(m["content"], F.lit("<tool_call>")), F.lit(False))
+    fine = lambda m: F.when(call(m), well_formed_calls(m["content"])).when(m["role"] == "tool", plausible_response(m["content"])).otherwise(True)
+    return F.coalesce((F.size(messages) > 0) & (F.get(messages, F.lit(0))["role"] == "system") & F.forall(messages, fine), F.lit(False))
+
+
+def recovery_ok(messages: Column, most_errors: int = 8, most_in_a_row: int = 3) -> Column:
+    """The array form of ``sequence.recovery_check``'s verdict, over (role, content) messages."""
+    from trajlake.functions.text import is_error_response
+    from trajlake.operators.sequence import longest_error_run
+
+    bad = lambda m: (m["role"] == "tool") & is_error_response(m["content"])
+    flags = F.transform(F.filter(messages, lambda m: m["role"] == "tool"), lambda m: is_error_response(m["content"]))
+    answered = F.forall(F.transform(messages, lambda m, i: ~bad(m) | (F.coalesce(F.get(messages, i + 1)["role"], F.lit("assistant")) == "assistant")), lambda x: x)
+    return (F.size(F.filter(flags, lambda x: x)) <= most_errors) & (longest_error_run(flags) <= most_in_a_row) & answered
 
 
 def action_sequence_reasons(names: Column, n_messages: Column, domain: Column) -> Column:
@@ -113,3 +131,125 @@ def same_format(original: Column, changed: Column) -> Column:
     """A changed identifier keeps the form of the original (the four id patterns)."""
     checks = [r"^#W\d+$", r"^[A-Z0-9]{6}$", r"^[a-z]+_[a-z]+_\d+$", r"^[LPBCD]\d{4,}$"]
     return reduce(lambda a, p: a & (~original.rlike(p) | changed.rlike(p)), checks, F.lit(True))
+
+
+# Required parts of a task and of generated users and tasks.
+TASK_FIELDS = {"id": "string", "description": "object", "user_scenario": "object", "evaluation_criteria": "object"}
+SCENARIO_FIELDS = {"persona": "string", "instructions": "object"}
+INSTRUCTION_FIELDS = ("domain", "reason_for_call", "known_info", "task_instructions")
+CRITERIA_FIELDS = ("actions", "nl_assertions")
+USER_FIELDS = ("user_profile", "known_info", "unknown_info", "user_need", "difficulty_design")
+MOST_ROUNDS, MOST_UNKNOWN = 5, 5
+# End of fixed values.
+
+
+def _kind(json: Column) -> Column:
+    """string, object, list or other, from a value's JSON text."""
+    return F.when(F.startswith(json, F.lit('"')), "string").when(F.startswith(json, F.lit("{")), "object").when(F.startswith(json, F.lit("[")), "list").otherwise("other")
+
+
+def task_check(task: Column) -> Column:
+    """(valid, score, errors, warnings) of a task's JSON text.
+
+    Missing or mistyped top-level fields end the check: 25 and 10 hundredths each.  Below them a missing part costs 10, a
+    mistyped one 5, a short text 5, no actions 10, an action that is no object or has no name 5, one without arguments 2,
+    no assertions 5.  Text that is no JSON object lacks every field."""
+    from trajlake.functions.matching import json_map
+
+    none = F.create_map().cast("map<string,string>")
+    part = lambda m, k: F.coalesce(json_map(F.try_element_at(m, F.lit(k))), none)
+    texts_of = lambda m, k: F.coalesce(F.from_json(F.try_element_at(m, F.lit(k)), "array<string>"), F.array().cast("array<string>"))
+
+    def level1(top: Column) -> Column:
+        return once(F.struct(top.alias("top"), part(top, "user_scenario").alias("scenario"), part(top, "evaluation_criteria").alias("criteria")), level2)
+
+    def level2(v: Column) -> Column:
+        actions = texts_of(v["criteria"], "actions")
+        parts = [v["top"].alias("top"), v["scenario"].alias("scenario"), v["criteria"].alias("criteria"), part(v["scenario"], "instructions").alias("instructions"), actions.alias("actions"), F.size(texts_of(v["criteria"], "nl_assertions")).alias("n_assertions")]
+        return once(F.struct(*parts), counted)
+
+    def counted(v: Column) -> Column:
+        objects = F.filter(v["actions"], lambda a: F.startswith(a, F.lit("{")))
+        without = lambda k: F.size(F.filter(objects, lambda a: ~F.array_contains(F.json_object_keys(a), F.lit(k))))
+        numbers = F.struct((F.size(v["actions"]) - F.size(objects)).alias("strange"), without("name").alias("unnamed"), without("arguments").alias("unargued"))
+        return once(F.struct(v.alias("v"), numbers.alias("n")), lambda x: _task_verdict(x["v"], x["n"]))
+
+    return once(F.coalesce(json_map(task), none), level1)
+
+
+def _task_verdict(v: Column, n: Column) -> Column:
+    """The verdict of ``task_check`` from a task's parts (maps of JSON texts) and the numbers of its odd actions."""
+    lacks = lambda m, k: ~F.map_contains_key(m, F.lit(k))
+    mistyped = lambda m, k, kind: ~lacks(m, k) & (_kind(F.try_element_at(m, F.lit(k))) != kind)
+    short = lambda k, least: F.length(F.coalesce(F.from_json(F.concat(F.lit("["), F.try_element_at(v["instructions"], F.lit(k)), F.lit("]")), "array<string>")[0], F.lit(""))) < least
+    head, rest = [], []  # (holds, hundredths, text, is an error)
+    for k, kind in TASK_FIELDS.items():
+        head += [(lacks(v["top"], k), 25, f"Missing required field: {k}", True), (mistyped(v["top"], k, kind), 10, f"Field {k} should be {kind}", True)]
+    for k, kind in SCENARIO_FIELDS.items():
+        rest += [(lacks(v["scenario"], k), 10, f"Missing user_scenario.{k}", True), (mistyped(v["scenario"], k, kind), 5, f"user_scenario.{k} should be {kind}", True)]
+    rest += [(lacks(v["instructions"], k), 10, f"Missing instructions.{k}", True) for k in INSTRUCTION_FIELDS]
+    rest += [(lacks(v["criteria"], k), 10, f"Missing evaluation_criteria.{k}", True) for k in CRITERIA_FIELDS]
+    rest += [(short("reason_for_call", LEAST_REASON_CHARS), 5, "reason_for_call too short", False), (short("task_instructions", LEAST_INSTRUCTION_CHARS), 5, "task_instructions too short", False)]
+    rest += [(F.size(v["actions"]) == 0, 10, "actions is empty", False), (v["n_assertions"] == 0, 5, "nl_assertions is empty", False)]
+    empty = F.array().cast("array<string>")
+    texts = lambda some: F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, _, t, _ in some]))
+    loss = lambda some: sum((F.when(c, k).otherwise(0) for c, k, _, _ in some), F.lit(0))
+    counted = lambda c, text: F.when(c > 0, F.array(F.concat(c.cast("string"), F.lit(text)))).otherwise(empty)
+
+    def verdict(x: Column) -> Column:
+        broken = F.size(x["head"]) > 0
+        errors = F.when(broken, x["head"]).otherwise(F.concat(texts([r for r in rest if r[3]]), counted(n["strange"], " actions are no objects"), counted(n["unnamed"], " actions without name")))
+        warnings = F.when(broken, empty).otherwise(F.concat(texts([r for r in rest if not r[3]]), counted(n["unargued"], " actions without arguments")))
+        score = F.greatest(F.lit(0), 100 - F.when(broken, loss(head)).otherwise(loss(rest) + 5 * n["strange"] + 5 * n["unnamed"] + 2 * n["unargued"])) / 100
+        return once(errors, lambda e: F.struct((F.size(e) == 0).alias("valid"), score.alias("score"), e.alias("errors"), warnings.alias("warnings")))
+
+    return once(F.struct(texts(head).alias("head")), verdict)
+
+
+def user_info_problem(info: Column) -> Column:
+    """The first thing wrong with a generated user's JSON text; null if nothing is."""
+    from trajlake.functions.matching import json_map
+
+    items = F.coalesce(F.json_array_length(F.get_json_object(info, "$.unknown_info.items")), F.lit(0))
+
+    def reason(m: Column) -> Column:
+        missing = [(~F.map_contains_key(m, F.lit(k)), f"Missing {k}") for k in USER_FIELDS]
+        return first_reason(*missing, (items < 1, "unknown_info has no items"), (items > MOST_UNKNOWN, "unknown_info has too many items"))
+
+    return once(F.coalesce(json_map(info), F.create_map().cast("map<string,string>")), reason)
+
+
+def task_structure_problem(task: Column) -> Column:
+    """The first thing wrong with a generated task's JSON text (title, task_rounds, dependencies); null if nothing is.
+
+    One to five rounds, each with round_index, user_goal and a list tools_needed whose tools have a name; dependencies
+    name rounds that exist, and one without both ends is passed over."""
+    from trajlake.functions.matching import json_map
+
+    none = F.create_map().cast("map<string,string>")
+    lists = lambda m, k: F.from_json(F.try_element_at(m, F.lit(k)), "array<string>")
+    keyed = lambda m: F.transform(lists(m, "task_rounds"), lambda r: F.coalesce(json_map(r), none))
+    ends = lambda m: F.from_json(F.try_element_at(m, F.lit("dependencies")), "array<struct<from_round:int,to_round:int>>")
+    parts = lambda m: F.struct(m.alias("m"), keyed(m).alias("rounds"), ends(m).alias("ends"))
+    return once(F.coalesce(json_map(task), none), lambda m: once(parts(m), _structure_reason))
+
+
+def _structure_reason(v: Column) -> Column:
+    rounds = v["rounds"]
+    lacks = lambda k: F.exists(rounds, lambda r: ~F.map_contains_key(r, F.lit(k)))
+    tools = lambda r: F.try_element_at(r, F.lit("tools_needed"))
+    unnamed = F.exists(rounds, lambda r: F.exists(F.from_json(tools(r), "array<string>"), lambda t: ~F.coalesce(F.array_contains(F.json_object_keys(t), F.lit("tool_name")), F.lit(False))))
+    outside = lambda x: (x < 1) | (x > F.size(rounds))
+    loose = F.exists(v["ends"], lambda e: e["from_round"].isNotNull() & e["to_round"].isNotNull() & (outside(e["from_round"]) | outside(e["to_round"])))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return first_reason(
+        (~F.map_contains_key(v["m"], F.lit("title")), "Missing title"),
+        (~F.map_contains_key(v["m"], F.lit("task_rounds")), "Missing task_rounds"),
+        (~yes((F.size(rounds) >= 1) & (F.size(rounds) <= MOST_ROUNDS)), "not 1 to 5 rounds"),
+        (yes(lacks("round_index")), "Missing round_index"),
+        (yes(lacks("user_goal")), "Missing user_goal"),
+        (yes(lacks("tools_needed")), "Missing tools_needed"),
+        (yes(F.exists(rounds, lambda r: _kind(tools(r)) != "list")), "tools_needed is no list"),
+        (yes(unnamed), "tool without name"),
+        (yes(loose), "dependency outside the rounds"),
+    )

@@ -50,6 +50,23 @@ def order_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def native_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as native messages: calls with ids, results by the id of the call before them, user texts, of which every
+    seventh is a call of the user's side."""
+    rows = event_messages(spark, sf_dir)
+    so_far = Window.partitionBy("traj_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.concat(F.lit("c"), F.col("event_id").cast("string"))
+    call = lambda name, args: F.array(F.struct(own.alias("id"), name.alias("name"), args.alias("arguments")))
+    user_call = (F.col("kind") == "text") & (F.col("event_id") % 7 == 0)
+    last = F.last(F.when(F.col("kind") == "call", own), ignorenulls=True).over(so_far)
+    return rows.select(
+        "traj_id", "idx", "event_id", "role",
+        F.when(F.col("kind") == "result", F.concat(F.lit("Error: event "), F.col("event_id").cast("string"), F.lit(" failed"))).when(F.col("kind") == "text", F.col("content")).alias("content"),
+        F.when(F.col("kind") == "result", last).alias("tool_call_id"),
+        F.when(F.col("kind") == "call", call(F.col("name"), F.col("props"))).when(user_call, call(F.lit("self"), F.lit("{}"))).alias("tool_calls"),
+    )
+
+
 SQL = {
     "lab": """SELECT d.lang AS domain, d.source, CAST(d.doc_id % 3 AS INTEGER) AS run_id, d.doc_id AS task_id, CAST(l.quality AS DOUBLE) AS reward, l.toxic = 1 AS is_error
  FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
@@ -64,3 +81,6 @@ SQL = {
     "ord": """SELECT l_orderkey AS task_id, l_linenumber AS pos, l_returnflag || l_linestatus AS name, CAST(l_quantity AS BIGINT) AS quantity,
  CAST(round(l_discount * 100) AS BIGINT) AS discount, l_quantity > 25 AS called FROM lineitem""",
 }
+_SO_FAR = "OVER (PARTITION BY traj_id ORDER BY idx ROWS UNBOUNDED PRECEDING)"
+SQL["nat"] = f"""SELECT *, kind = 'text' AND event_id % 7 = 0 AS ucall, 'Error: event ' || event_id || ' failed' AS err,
+ coalesce(last_value(CASE WHEN kind = 'call' THEN name END IGNORE NULLS) {_SO_FAR}, 'unknown') AS call_name FROM ({SQL["evt"]})"""

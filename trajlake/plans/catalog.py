@@ -1,38 +1,15 @@
-"""Registered queries: each operator over the driver's tables, with the same result in SQL.
-
-``QUERIES`` and ``ORACLE_SQL`` are filled by ``query``; the SQL names the adapters' views as common table expressions.
-"""
+"""Registered queries: each operator over the driver's tables, with the same result in SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trajlake.functions import matching, scoring, text
 from trajlake.operators import errors, inject, metrics, sampling, sequence, validate
-from trajlake.plans.adapters import SQL, conversation_messages, event_messages, labelled_runs, order_actions, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *views: str):
-    """Register a function under its name, with its SQL over the given views."""
-
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            head = ", ".join(f"{v} AS ({SQL[v]})" for v in views)
-            body = sql.strip()
-            if head:
-                body = f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
-            ORACLE_SQL[fn.__name__] = body
-        return fn
-
-    return register
-
+from trajlake.operators.numbering import numbered
+from trajlake.plans.adapters import conversation_messages, event_messages, labelled_runs, order_actions, table
+from trajlake.plans.registry import ORACLE_SQL, QUERIES, query
 
 RUNS = """runs AS (SELECT domain, run_id, count(*) AS num_tasks, count(*) FILTER (reward > 0) AS num_success, avg(reward) AS avg_reward,
  count(*) FILTER (reward > 0) * 100 / count(*) AS success_rate FROM lab GROUP BY domain, run_id)"""
@@ -106,7 +83,6 @@ def sim_turn_efficiency(spark, d):
 def _event_sims(spark, d):
     """A simulation for each user: calls, results, and the expected calls click then purchase."""
     m = event_messages(spark, d)
-    arguments = F.map_from_arrays(F.array(F.lit("k")), F.array(F.get_json_object("props", "$.k")))
     ordered = lambda c: F.array_sort(F.collect_list(c))
     grouped = m.groupBy("traj_id").agg(
         F.transform(ordered(F.when(F.col("kind") == "call", F.struct("idx", "name", F.get_json_object("props", "$.k").alias("k")))), lambda c: F.struct(c["name"].alias("name"), F.create_map(F.lit("k"), c["k"]).alias("arguments"))).alias("calls"),
@@ -115,7 +91,6 @@ def _event_sims(spark, d):
         F.count_if(F.col("name") == "purchase").alias("n_purchase"),
     )
     expected = F.array(*[F.struct(F.lit(n).alias("name"), F.create_map(F.lit("k"), F.lit(v)).alias("arguments")) for n, v in (("click", "1"), ("purchase", "77"), ("refund", "3"))])
-    del arguments
     return grouped.withColumns({"reward": (F.col("n_purchase") % 2).cast("double"), "expected": expected, "expected_turns": F.lit(20)}).drop("n_purchase")
 
 
@@ -460,20 +435,11 @@ def tool_call_roundtrip(spark, d):
     return rows.select("event_id", text.render_tool_call(F.col("call.name"), F.regexp_replace("call.arguments", '":', '": ')).alias("rendered"))
 
 
-@query(
-    r"""SELECT doc_id, md5(regexp_replace(regexp_replace('a' || chr(10) || chr(10) || left(text, 200), '(?s)<think>.*?</think>', '', 'g') || chr(10) || chr(10) || 'b', '\n{3,}', chr(10) || chr(10), 'g')) AS cleaned
- FROM documents WHERE lang = 'en'"""
-)
-def strip_think_and_squeeze(spark, d):
-    raw = F.concat(F.lit("  a\n\n"), F.lit("<think>plan\n\n</think>"), F.substring("text", 1, 200), F.lit("\n\n<thought>x</thought>b \n"))
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(text.remove_think_tags(raw)).alias("cleaned"))
-
-
 @query(
     r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace('a' || chr(10) || chr(10) || text, '(?s)<think>.*?</think>', '', 'g'), '(?s)<thinking>.*?</thinking>', '', 'g'), '(?s)<thought>.*?</thought>', '', 'g') || chr(10) || chr(10) || 'b', '\n{3,}', chr(10) || chr(10), 'g')) AS cleaned
  FROM documents"""
 )
-def strip_think_and_squeeze_whole(spark, d):
+def strip_think_and_squeeze(spark, d):
     """The whole text of every document."""
     raw = F.concat(F.lit("  a\n\n"), F.lit("<think>plan\n\n</think>"), F.col("text"), F.lit("\n\n<thought>x</thought>b \n"))
     return table(spark, d, "documents").select("doc_id", F.md5(text.remove_think_tags(raw)).alias("cleaned"))
@@ -525,14 +491,18 @@ def error_db_stats(spark, d):
     return errors.error_db_stats(errors.error_counts(rows))
 
 
-@query(
-    """WITH m AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'missing 1 required argument' WHEN 1 THEN 'validation error: item not found' WHEN 2 THEN 'balance is not enough' ELSE 'service is down' END AS message FROM evt)
- SELECT event_id, event_id % 4 IN (0, 2) AS recoverable FROM m""",
-    "evt",
-)
+#: Messages of the recoverable and the other kinds, and some of neither: (message, recoverable).
+MESSAGES = (
+    ("Missing 1 required positional argument: 'user_id'", True), ("got an unexpected keyword argument 'x'", True), ("1 validation error for Order", True), ("Invalid date format", True), ("the status should be pending", True),
+    ("Payment amount does not add up, total price is 5", True), ("Number of passengers does not match", True), ("the items should match", True), ("Balance is not enough", True), ("Insufficient funds", True),
+    ("validation error: item not found", False), ("User does not exist", False), ("Tool get_x not found", False), ("order cannot be cancelled", False), ("service is down", False), ("", False),
+)
+
+
+@query(f"SELECT event_id, event_id % {len(MESSAGES)} IN ({', '.join(str(k) for k, (_, good) in enumerate(MESSAGES) if good)}) AS recoverable FROM evt", "evt")
 def recoverable_error_filter(spark, d):
-    kind = F.col("event_id") % 4
-    message = F.when(kind == 0, "missing 1 required argument").when(kind == 1, "validation error: item not found").when(kind == 2, "balance is not enough").otherwise("service is down")
+    """Every allowed and every denied pattern, denied ones beside allowed ones, and texts of neither kind."""
+    message = F.get(F.array(*[F.lit(m) for m, _ in MESSAGES]), (F.col("event_id") % len(MESSAGES)).cast("int"))
     return event_messages(spark, d).select("event_id", text.is_recoverable(message).alias("recoverable"))
 
 
@@ -688,8 +658,8 @@ def resume_anti_join(spark, d):
 )
 def simulation_task_dual_key(spark, d):
     tasks = labelled_runs(spark, d).select("task_id")
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("task_id")) - 1
-    keys = tasks.select(F.col("task_id").cast("string").alias("key"), "task_id", F.lit(0).alias("prio")).unionByName(tasks.select(place.cast("string").alias("key"), "task_id", F.lit(1).alias("prio")))
+    places = numbered(tasks, ["task_id"], "place").select(F.col("place").cast("string").alias("key"), "task_id", F.lit(1).alias("prio"))
+    keys = tasks.select(F.col("task_id").cast("string").alias("key"), "task_id", F.lit(0).alias("prio")).unionByName(places)
     chosen = keys.groupBy("key").agg(F.max_by("task_id", "prio").alias("task_id"))
     sims = table(spark, d, "conversations").select("conv_id").distinct()
     return sims.join(chosen, sims["conv_id"].cast("string") == chosen["key"], "left").select("conv_id", "task_id")
@@ -751,8 +721,7 @@ def failure_report_rows(spark, d):
 def pattern_distributions(spark, d):
     ordered = F.array_sort(F.collect_list(F.struct("name", "quantity", "discount")))
     p = order_actions(spark, d).groupBy("task_id").agg(F.array_join(F.transform(ordered, lambda c: c["name"]), ">").alias("pattern"))
-    g = p.groupBy("pattern").agg(F.count("*").alias("n"))
-    return g.withColumn("frequency", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    return p.groupBy("pattern").agg(F.count("*").alias("n")).withColumn("frequency", F.col("n") / F.lit(p.count()))
 
 
 @query("SELECT 'brand' AS param, p_brand AS value, count(*) AS n FROM part GROUP BY p_brand UNION ALL SELECT 'size', CAST(p_size AS VARCHAR), count(*) FROM part GROUP BY p_size UNION ALL SELECT 'segment', c_mktsegment, count(*) FROM customer GROUP BY c_mktsegment")
@@ -912,13 +881,14 @@ def llm_recovery_stub(spark, d):
     return event_messages(spark, d).where("kind = 'result'").select("event_id", inject.recovery_thought(message).alias("recovery"))
 
 
-@query("SELECT conv_id AS traj_id, 'Analyse:' AS summary FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS traj_id, 'Analyse:' AS summary, CAST(length(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) + 9 AS INTEGER) AS length FROM conversations GROUP BY conv_id")
 def analysis_rows_stub(spark, d):
     from trajlake.operators.provider import RuleProvider, analysis_rows, parsed_answer
 
     grouped = conversation_messages(spark, d).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("idx", "role", "content"))).alias("m"))
     rows = analysis_rows(grouped.select("traj_id", text.transcript(F.col("m")).alias("transcript")), RuleProvider())
-    return rows.select("traj_id", parsed_answer(F.col("messages")[1]["content"], "summary string, length int")["summary"].alias("summary"))
+    answer = parsed_answer(F.col("messages")[1]["content"], "summary string, length int")
+    return rows.select("traj_id", answer["summary"].alias("summary"), answer["length"].alias("length"))
 
 
 @query("SELECT event_id, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) + CASE event_id % 6 WHEN 0 THEN 10 WHEN 1 THEN -10 WHEN 2 THEN 50 WHEN 3 THEN -50 WHEN 4 THEN 100 ELSE -100 END AS VARCHAR) AS wrong FROM evt WHERE kind = 'call'", "evt")
@@ -926,15 +896,9 @@ def value_corruption(spark, d):
     return event_messages(spark, d).where("kind = 'call'").select("event_id", inject.corrupt_text(F.get_json_object("props", "$.k"), F.col("event_id")).alias("wrong"))
 
 
-@query("SELECT p_brand AS brand, CAST(p_size AS VARCHAR) AS size, count(*) >= 1 AS known FROM part GROUP BY ALL HAVING count(*) >= 3")
+@query("SELECT p_brand AS brand, CAST(p_size AS VARCHAR) AS size, count(*) AS n FROM part GROUP BY ALL HAVING count(*) >= 3")
 def parameter_pairs(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_size").cast("string").alias("size")).agg(F.count("*").alias("n")).where("n >= 3").select("brand", "size", (F.col("n") >= 1).alias("known"))
-
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_size").cast("string").alias("size")).agg(F.count("*").alias("n")).where("n >= 3")
 
-@query()
-def task_instantiation(spark, d):
-    from trajlake.operators.generate import instantiate, parameter_draws, parameter_space
 
-    space = parameter_space(table(spark, d, "part"), ["p_brand", "p_size", "p_type"])
-    templates = spark.createDataFrame([(0, "Find {p_brand} in size {p_size}."), (1, "Exchange the {p_type} by {p_brand}.")], "template_id long, text string")
-    return instantiate(templates, parameter_draws(space, 200, 5), 6)
+from trajlake.plans import checks, formats  # noqa: E402, F401  they register their queries beside these

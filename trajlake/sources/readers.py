@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from trajlake.functions.text import one_json_object
+from trajlake.operators.metrics import effective_reward
+from trajlake.operators.numbering import numbered
 from trajlake.sources import schemas
 
 
@@ -43,7 +46,7 @@ def simulations(results: DataFrame, *keep: str) -> DataFrame:
     """A row for each simulation; its reward is the top-level one unless that is null or zero.  Both places of the
     action checks are read."""
     sims = results.select(*keep, F.posexplode("simulations").alias("position", "s"))
-    reward = F.when(F.coalesce("s.reward", F.lit(0.0)) != 0, F.col("s.reward")).otherwise(F.col("s.reward_info.reward"))
+    reward = effective_reward(F.col("s.reward"), F.col("s.reward_info.reward"))
     checks = F.coalesce("s.reward_info.action_checks", "s.reward_info.action_reward_info.action_checks")
     return sims.select(*keep, "position", "s.task_id", reward.alias("reward"), "s.termination_reason", checks.alias("action_checks"), "s.messages")
 
@@ -61,22 +64,36 @@ def jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.json(path, schema=schema, mode="FAILFAST")
 
 
+def _checked_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """Lines (value, ...) that are not blank, with ``record``: null unless the line is one JSON object of the schema."""
+    options = {"columnNameOfCorruptRecord": "_bad"}
+    filled = lines.where(F.trim("value") != "").withColumn("_r", F.from_json("value", f"{schema}, _bad string", options))
+    return filled.withColumn("record", F.when(F.col("_r._bad").isNull() & one_json_object(F.trim("value")), F.col("_r"))).drop("_r")
+
+
 def jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Good lines only; a missing file is an empty table."""
+    """Good lines only, which hold one object each and nothing behind it; a missing file is an empty table."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.json(path, schema=schema, mode="DROPMALFORMED")
+    return _checked_lines(spark.read.text(path), schema).where("record is not null").select("record.*").drop("_bad")
 
 
 def jsonl_with_rejects(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad lines with file and number).  Lines are numbered within each file by their byte order."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
-    parsed = lines.where(F.trim("value") != "").withColumn("record", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    """(good rows, bad lines with file and number).
+
+    Lines are numbered within each file: a line's number in its split, and the lines of the file's splits before it, of
+    which there is one number a split.  No task numbers a whole file."""
     from pyspark.sql import Window
 
-    good = parsed.where("record._bad is null").select("record.*").drop("_bad")
-    numbered = lines.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("place")))
-    bad = numbered.where(F.trim("value") != "").withColumn("record", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})).where("record._bad is not null").select("file", "line", F.col("value").alias("text"))
+    place = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), place.alias("place"))
+    good = _checked_lines(lines, schema).where("record is not null").select("record.*").drop("_bad")
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("place"))
+    numbered_lines = lines.withColumn("line", own).join(offsets, ["file", "block"]).withColumn("line", (F.col("line") + F.col("offset")).cast("int"))
+    bad = _checked_lines(numbered_lines, schema).where("record is null").select("file", "line", F.col("value").alias("text"))
     return good, bad
 
 
@@ -97,9 +114,7 @@ def task_path(spark: SparkSession, path: str, domain: str, default: str | None =
 
 def replicated_tasks(rows: DataFrame, positions: list[str] | None = None, trials: int = 1, order: str = "id") -> DataFrame:
     """Tasks at the given positions (as text, all if None), each ``trials`` times."""
-    from pyspark.sql import Window
-
-    placed = rows.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) - 1)
+    placed = numbered(rows, [order], "position")
     chosen = placed if positions is None else placed.where(F.col("position").cast("string").isin(positions))
     return chosen.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
 
@@ -136,20 +151,27 @@ def whole_text(spark: SparkSession, path: str) -> str | None:
 def domain_database(spark: SparkSession, folder: str, overlay: bool = False) -> dict[str, DataFrame]:
     """Tables of ``db.json``, else of ``db.toml``; with ``overlay`` the JSON file's tables, and those it lacks from TOML.
 
-    A container may be a mapping (its keys become column ``key``) or a list; values stay JSON text in ``value``."""
-    text, toml = whole_text(spark, f"{folder}/db.json"), None
-    found: dict[str, Any] = json.loads(text) if text else {}
-    if not found or overlay:
-        toml = whole_text(spark, f"{folder}/db.toml")
-        found = {**(tomllib.loads(toml) if toml else {}), **found}
-    if text is None and toml is None:
+    A container may be a mapping (its keys become column ``key``) or a list; values stay JSON text in ``value``.  JSON is
+    taken apart by Spark, and only the containers' names reach the driver; TOML files, small by nature, are read by the
+    driver."""
+    out: dict[str, DataFrame] = {}
+    has_json, has_toml = _exists(spark, f"{folder}/db.json"), _exists(spark, f"{folder}/db.toml")
+    if not has_json and not has_toml:
         raise FileNotFoundError(folder)
-    out = {}
-    for name, container in found.items():
-        if not isinstance(container, dict | list):
-            continue
-        pairs = container.items() if isinstance(container, dict) else enumerate(container)
-        out[name] = spark.createDataFrame([(str(k), json.dumps(v, default=str)) for k, v in pairs], "key string, value string")
+    if has_json:
+        whole = spark.read.text(f"{folder}/db.json", wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+        names = whole.select(F.explode_outer(F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("name"), F.substring(F.ltrim(e["value"]), 1, 1).alias("head"))))).select("col.*").collect()
+        for name, head in names:
+            text = F.col("m")[name]
+            if head == "{":
+                out[name] = whole.select(F.explode(F.from_json(text, "map<string,string>")).alias("key", "value"))
+            elif head == "[":
+                out[name] = whole.select(F.posexplode(F.from_json(text, "array<string>")).alias("at", "value")).select(F.col("at").cast("string").alias("key"), "value")
+    if has_toml and (overlay or not has_json):
+        for name, container in tomllib.loads(whole_text(spark, f"{folder}/db.toml") or "").items():
+            if isinstance(container, dict | list) and name not in out:
+                pairs = container.items() if isinstance(container, dict) else enumerate(container)
+                out[name] = spark.createDataFrame([(str(k), json.dumps(v, default=str)) for k, v in pairs], "key string, value string")
     return out
 
 
@@ -187,9 +209,35 @@ def expand(value: Any, environment: dict[str, str] | None = None) -> Any:
     return value
 
 
+def settings(spark: SparkSession, path: str, environment: dict[str, str] | None = None) -> dict[str, Any]:
+    """A YAML (or JSON) file of settings with its variables filled in.  JSON needs nothing; YAML needs the ``yaml`` package."""
+    text = whole_text(spark, path)
+    if text is None:
+        raise FileNotFoundError(path)
+    if path.endswith(".json"):
+        return expand(json.loads(text), environment)
+    try:
+        import yaml
+    except ImportError as missing:
+        raise RuntimeError("YAML settings need the yaml package; JSON works without it") from missing
+    return expand(yaml.safe_load(text) or {}, environment)
+
+
+class _Config:
+    """Settings from a mapping: overrides that are not None win, unknown keys are refused."""
+
+    @classmethod
+    def load(cls, value: dict[str, Any], **overrides: Any):
+        given = expand(value) | {k: v for k, v in overrides.items() if v is not None}
+        unknown = set(given) - {f.name for f in fields(cls)}
+        if unknown:
+            raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+        return cls(**given)
+
+
 @dataclass
-class RunConfig:
-    """Settings of a run, with their defaults; unknown keys are refused."""
+class RunConfig(_Config):
+    """Settings of a run, with their defaults."""
 
     domains: list[str] = field(default_factory=lambda: ["airline", "retail", "telecom"])
     num_tasks: int | None = None
@@ -204,13 +252,65 @@ class RunConfig:
     seed: int = 42
     output_dir: str = "output"
 
-    @classmethod
-    def load(cls, value: dict[str, Any], **overrides: Any) -> RunConfig:
-        given = expand(value) | {k: v for k, v in overrides.items() if v is not None}
-        unknown = set(given) - {f.name for f in fields(cls)}
-        if unknown:
-            raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
-        return cls(**given)
+
+@dataclass
+class ModelConfig(_Config):
+    """A model behind an interface."""
+
+    base_url: str
+    model_id: str
+    max_tokens: int = 4096
+    api_key: str | None = None
+    extra_body: dict[str, Any] | None = None
+
+
+@dataclass
+class EvalConfig(_Config):
+    """Settings of an evaluation; ``agent`` and ``user`` may be given as mappings."""
+
+    task_name: str
+    agent: ModelConfig
+    user: ModelConfig
+    domains: list[str] = field(default_factory=lambda: ["airline", "retail", "telecom"])
+    num_trials: int = 1
+    num_runs: int = 1
+    max_concurrency: int = 64
+    eval_batch_size: int = 15
+    num_tasks: int | None = None
+    output_dir: str = "eval_results"
+    synthetic_testset_dir: str | None = None
+    compute_extended_metrics: bool = True
+    also_test_native: bool = False
+    native_num_runs: int = 4
+    synthetic_num_runs: int | None = None
+    save_trajectories: bool = True
+
+    def __post_init__(self) -> None:
+        for name in ("agent", "user"):
+            given = getattr(self, name)
+            if isinstance(given, dict):
+                setattr(self, name, ModelConfig.load(given))
+        if self.synthetic_num_runs is None:
+            self.synthetic_num_runs = self.num_runs
+
+
+@dataclass
+class GenerationConfig(_Config):
+    """Settings of task generation."""
+
+    model: str = "default"
+    api_base: str = "http://localhost:8000/v1"
+    api_key: str | None = None
+    task_designer_temperature: float = 0.7
+    scenario_writer_temperature: float = 0.8
+    criteria_writer_temperature: float = 0.6
+    num_tasks: int = 100
+    max_concurrent: int = 10
+    seed: int | None = None
+    complexity_weights: dict[str, float] = field(default_factory=lambda: {"simple": 0.3, "medium": 0.5, "complex": 0.2})
+    min_reason_length: int = 30
+    min_task_instructions_length: int = 50
+    require_all_actions: bool = True
 
 
 def redacted(value: Any) -> Any:

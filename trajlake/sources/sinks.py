@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict, is_dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajlake.sources.readers import redacted
+
 
 def write_jsonl(rows: DataFrame, path: str, append: bool = False, ascii_only: bool = False) -> None:
     """JSON lines in UTF-8; with ``ascii_only`` other characters become ``\\u`` escapes."""
@@ -21,12 +25,17 @@ def write_jsonl(rows: DataFrame, path: str, append: bool = False, ascii_only: bo
 
 
 def write_accepted_rejected(rows: DataFrame, reason: str, folder: str) -> DataFrame:
-    """Rows without a reason, rows with one, and counts by the reason's head; returns the counts."""
-    rows.where(F.col(reason).isNull()).drop(reason).write.mode("overwrite").json(f"{folder}/accepted")
-    rows.where(F.col(reason).isNotNull()).write.mode("overwrite").json(f"{folder}/rejected")
-    stats = rows.groupBy(F.coalesce(F.substring_index(reason, ":", 1), F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
-    stats.write.mode("overwrite").json(f"{folder}/stats")
-    return stats
+    """Rows without a reason, rows with one, and counts by the reason's head; returns the counts.  The input is computed
+    once: the rows are kept, on disk where memory does not suffice, until all three are written."""
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        kept.where(F.col(reason).isNull()).drop(reason).write.mode("overwrite").json(f"{folder}/accepted")
+        kept.where(F.col(reason).isNotNull()).write.mode("overwrite").json(f"{folder}/rejected")
+        stats = kept.groupBy(F.coalesce(F.substring_index(reason, ":", 1), F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+        stats.write.mode("overwrite").json(f"{folder}/stats")
+    finally:
+        kept.unpersist()
+    return rows.sparkSession.read.schema(stats.schema).json(f"{folder}/stats")
 
 
 def write_partitioned(rows: DataFrame, path: str, *keys: str) -> None:
@@ -72,10 +81,52 @@ def summary_json(domains: DataFrame, overall: DataFrame, scores: DataFrame) -> s
     return lines.replace('"@scores"', "{\n" + listed + "\n  }")
 
 
+def statistics_json(domains: DataFrame, overall: DataFrame, key: str = "domain") -> str:
+    """Statistics of each domain and of all, as JSON; as many rows as domains."""
+    body = {"domains": {r[key]: {k: v for k, v in r.asDict().items() if k != key} for r in domains.orderBy(key).collect()}, "overall": overall.first().asDict()}
+    return json.dumps(body, indent=2, ensure_ascii=False, default=str)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text to a file of any store that Spark writes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_config(spark: SparkSession, config: Any, path: str) -> None:
+    """A copy of settings beside a run's results, without its secrets, as JSON."""
+    value = asdict(config) if is_dataclass(config) else config
+    write_text(spark, json.dumps(redacted(value), indent=2, ensure_ascii=False), path)
+
+
+def write_analyses(rows: DataFrame, path: str) -> None:
+    """Analyses and contrasts (kind, task_id, attempt, reward, analysis) in a folder for each kind and task."""
+    write_partitioned(rows, path, "kind", "task_id")
+
+
 def markdown_table(rows: DataFrame, columns: list[str], title: str, most: int = 100) -> str:
-    """A report table of at most ``most`` rows."""
+    """A report table; where there are more than ``most`` rows its last line says how many are left out."""
+    found = rows.select(*columns).limit(most + 1).collect()
     head = f"## {title}\n\n| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n"
-    return head + "".join("| " + " | ".join("" if r[c] is None else str(r[c]) for c in columns) + " |\n" for r in rows.select(*columns).limit(most).collect())
+    body = "".join("| " + " | ".join("" if r[c] is None else str(r[c]) for c in columns) + " |\n" for r in found[:most])
+    return head + body + (f"\n{rows.count() - most} more rows are not shown.\n" if len(found) > most else "")
+
+
+def failure_report(statistics: DataFrame, terminations: DataFrame, actions: DataFrame, title: str, top: int = 10) -> str:
+    """A report of an evaluation: the domains from the worst on, why runs ended, and the actions that failed most.
+
+    ``statistics``, ``terminations`` and ``actions`` as the functions of ``operators.reports`` return them."""
+    parts = [f"# {title}\n"]
+    parts.append(markdown_table(statistics.orderBy("success_rate", "domain"), ["domain", "success_rate", "successful_tasks", "failed_tasks", "avg_steps", "max_steps_tasks"], "Domains"))
+    parts.append(markdown_table(terminations.orderBy("domain", F.desc("n"), "termination_reason"), ["domain", "termination_reason", "n"], "How runs ended"))
+    for column in ("missing", "wrong_parameters"):
+        worst = actions.where(F.col(column) > 0).orderBy(F.desc(column), "domain", "action").limit(top)
+        parts.append(markdown_table(worst, ["domain", "action", column], f"Top {top} actions by {column.replace('_', ' ')}"))
+    return "\n".join(parts)
 
 
 def text_report(metrics: dict[str, Any], title: str = "Metrics") -> str:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trajlake.operators.errors import error_examples, merge_error_examples, preview_error_db
+from trajlake.sources import readers, sinks
 
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -92,4 +93,17 @@ def run_to_end(frame: DataFrame, name: str, mode: str = "complete") -> DataFrame
     return frame.sparkSession.table(name)
 
 
-Stream = Callable[[DataFrame], DataFrame]
+def run_and_checkpoint(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, keys_path: str, checkpoint: str) -> StreamingQuery:
+    """Works through a stream of tasks (domain, task_id, trial), batch by batch: what earlier runs completed is left out,
+    results are appended, and only then the batch's keys are added to the completed ones.
+
+    A batch that runs twice after a crash finds its keys there, or works again what it had not finished."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        todo = readers.pending(batch, readers.completed(spark, keys_path)).persist()
+        work(todo).write.mode("append").json(out)
+        sinks.save_checkpoint(todo, keys_path)
+        todo.unpersist()
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
