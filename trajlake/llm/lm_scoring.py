@@ -40,10 +40,10 @@ CONCENTRATION = (5.0, 5.0)
 #: Bits that tell a shard's n-grams apart; the bits above them choose the shard.
 NAME_BITS = 40
 #: Bytes of text that make one block, about (a longer text is one block), and tokens that make one shard.
-BLOCK_BYTES = 4 << 20
-SHARD_TOKENS = 1_000_000
+BLOCK_BYTES = 3 << 20
+SHARD_TOKENS = 500_000
 #: Rows of texts, and blocks, that a Python worker gets at once.
-TEXT_BATCH, BLOCK_BATCH = 1_000, 4
+TEXT_BATCH, BLOCK_BATCH = 500, 2
 #: Tokens of a lane of the walk.
 LANE = 512
 
@@ -61,38 +61,43 @@ def _tokenise(batches):
     """Blocks: the rows' ids and lengths, the distinct word hashes with their training counts, and tokens as their indices."""
     block, held, size = TaskContext.get().partitionId() << 32, [], 0
     for batch in batches:
-        held.append((batch.column("id"), as_strings(batch.column("text")), batch.column("trains").to_numpy(zero_copy_only=False)))
-        size += held[-1][1].nbytes
+        texts = as_strings(batch.column("text"))
+        held.append((batch.column("id"), batch.column("trains").to_numpy(zero_copy_only=False), *_tokens(texts)))
+        size += texts.nbytes
         if size >= BLOCK_BYTES:
-            yield from (found := list(_blocks_of(held, block)))
-            block, held, size = block + len(found), [], 0
-    if held:
-        yield from _blocks_of(held, block)
+            yield _block(held, block)
+            block, held, size = block + 1, [], 0
+    if size or held:
+        yield _block(held, block)
 
 
-def _blocks_of(held: list[tuple], block: int):
-    ids = pa.concat_arrays([i for i, _, _ in held])
-    trains = np.concatenate([t for _, _, t in held])
-    no_id, numbers = np.asarray(ids.is_null()), ids.fill_null(0).to_numpy()
-    for first, raw, offsets in blocks(pa.concat_arrays([t for _, t, _ in held]), 2 * BLOCK_BYTES):
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts, each text's end included, and the tokens of each text; a megabyte at a time."""
+    found, lengths = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for _, raw, offsets in blocks(texts):
         starts, ends, at = spans(raw, offsets)
-        n = np.diff(at)
-        stops = np.cumsum(n + 1) - 1
+        n = np.diff(at) + 1
         tokens = np.full(len(starts) + len(n), END, U64)
         inside = np.ones(len(tokens), bool)
-        inside[stops] = False
+        inside[np.cumsum(n) - 1] = False
         tokens[inside] = hashes(raw, starts, ends)
-        places, found = pd.factorize(np.append(tokens, START))
-        order = np.argsort(found)
-        rank = np.empty(len(found), np.uint32)
-        rank[order] = np.arange(len(found), dtype=np.uint32)
-        words, index = found[order], rank[places[:-1]]
-        rows = slice(first, first + len(n))
-        counts = np.bincount(index, np.repeat(trains[rows], n + 1), len(words)).astype(np.int64)
-        counts[words == START] = trains[rows].sum()
-        parts = [numbers[rows].astype(np.int64), no_id[rows], trains[rows].astype(bool), (n + 1).astype(np.int64), words, counts, index]
-        yield _batch([(block, len(n), len(index), len(words), *[p.tobytes() for p in parts])], _BLOCK)
-        block += 1
+        found.append(tokens)
+        lengths.append(n)
+    return np.concatenate(found), np.concatenate(lengths)
+
+
+def _block(held: list[tuple], block: int) -> pa.RecordBatch:
+    ids = pa.concat_arrays([h[0] for h in held])
+    trains, tokens, lengths = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+    places, found = pd.factorize(np.append(tokens, START))
+    order = np.argsort(found)
+    rank = np.empty(len(found), np.uint32)
+    rank[order] = np.arange(len(found), dtype=np.uint32)
+    words, index = found[order], rank[places[:-1]]
+    counts = np.bincount(index, np.repeat(trains, lengths), len(words)).astype(np.int64)
+    counts[words == START] = trains.sum()
+    parts = [ids.fill_null(0).to_numpy().astype(np.int64), np.asarray(ids.is_null()), trains.astype(bool), lengths, words, counts, index]
+    return _batch([(block, len(ids), len(index), len(words), *[p.tobytes() for p in parts])], _BLOCK)
 
 
 class Block:
