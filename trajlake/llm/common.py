@@ -13,29 +13,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from trajlake.storage import shared_dir
+
 _folders: dict[str, str] = {}
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` of the session, or the checkpoint folder set on its context.  Where neither is set, only a
-    session that runs in this one process gets a folder of its own; on a cluster that is an error, since executors
-    would write to disks that others cannot read.
-    """
-    sc = spark.sparkContext
-    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not place:
-        if not (sc.master or "").startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        place = tempfile.mkdtemp(prefix="trajlake-")
-        sc.setCheckpointDir(place)
-    return place
-
-
 def _folder(spark: SparkSession) -> str:
     """This application's own folder in the shared one; it goes when the driver's process ends."""
     place = shared_dir(spark)
