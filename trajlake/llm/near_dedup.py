@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import discard, materialize, tree_sums
+from trajlake.llm.common import TEXT_ROWS, discard, materialize, tree_sums
 from trajlake.llm.components import connected_components, forest
 from trajlake.llm.textops import as_strings, blocks, grams, hashes, mix, spans
 
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     frequencies = document_frequencies(base)
-    signed = materialize(signatures(base, frequencies))
+    signed = materialize(signatures(base, frequencies), batch_rows=TEXT_ROWS)
     last = F.lit(2**63 - 1)
     distinct = signed.groupBy("digest").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"), F.max("size").alias("size"), F.max("weight").alias("weight"))
     nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import materialize
+from trajlake.llm.common import TEXT_ROWS, materialize
 from trajlake.llm.wordbpe import encode_column, encoder
 
 WINDOW = 2048
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, step: int =
     packed like any others.  An empty table gives an empty result.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = materialize(cut_documents(docs, tokenizer_path, window, step, id_col, text_col, end_id))
+    pieces = materialize(cut_documents(docs, tokenizer_path, window, step, id_col, text_col, end_id), batch_rows=TEXT_ROWS)
     per_part = pieces.groupBy("part", "kind").agg(F.count("*").alias("n"))
     before = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialize(per_part.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import crc_mod, discard, materialize, tree_sums
+from trajlake.llm.common import TEXT_ROWS, crc_mod, discard, materialize, tree_sums
 from trajlake.llm.textops import as_strings, blocks, hashes, spans
 
 #: Random Fourier features, the kernel's width in standard deviations, and the ridge penalty for each training row.
@@ -195,7 +195,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     statistics get equal scores, and a score of exactly the threshold is predicted 1.  Repeated rows and null ids give a
     row each.  Without usable labels the score is 0.5 throughout.  An empty table gives an empty result.
     """
-    features = materialize(document_features(docs, id_col, text_col))
+    features = materialize(document_features(docs, id_col, text_col), batch_rows=TEXT_ROWS)
     return score_features(features, fit(features, training_labels(labels)))
 
 
@@ -205,7 +205,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: st
     Texts are measured twice, for the model and for the verdict: writing and reading whole rows with their statistics
     between the two was measured to cost more.  Without usable labels nothing is rejected; an empty table gives an empty
     result."""
-    features = materialize(document_features(docs, id_col, text_col))
+    features = materialize(document_features(docs, id_col, text_col), batch_rows=TEXT_ROWS)
     model = fit(features, training_labels(labels))
     discard(features)
     if model is None:

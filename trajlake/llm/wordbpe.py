@@ -19,9 +19,10 @@ import numpy as np
 LEAF = 2048
 #: Characters of a blank-free run that the library gets in one piece.
 LONG_RUN = 8192
-#: Runs that a task remembers before it starts again, and the bytes of runs and ids: together they bound its memory.
-MEMO_RUNS = 1_000_000
-MEMO_BYTES = 128 << 20
+#: Runs that one generation of a task's memo holds, and the bytes of runs and ids: there are two generations, the one that
+#: is being filled and the one before it, so frequent runs stay known while memory stays bounded.
+MEMO_RUNS = 250_000
+MEMO_BYTES = 24 << 20
 
 
 def load(path: str):
@@ -78,7 +79,8 @@ class WordBpe:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.ids: dict[str, bytes] = {"": b""}
-        self.held = 0  # bytes in the memo
+        self.before: dict[str, bytes] = {}
+        self.held = 0  # bytes in the generation that is being filled
 
     def encode_unit(self, unit: str) -> list[int]:
         """Tokens of one pre-token, or of a part of one, without cutting it."""
@@ -139,11 +141,14 @@ class WordBpe:
     def learn_all(self, texts: list[list[str]]) -> None:
         """Learn what many texts need at once; a single call of the library then covers them."""
         if len(self.ids) > self.memo_runs or self.held > MEMO_BYTES:
-            self.ids, self.held = {"": b""}, 0
-        known = self.ids
+            self.before, self.ids, self.held = self.ids, {"": b""}, 0
+        known, before = self.ids, self.before
         missing = {r for runs in texts for r in runs if r not in known}
-        if missing:
-            self.learn(list(missing))
+        again = [r for r in missing if r in before]
+        known.update((r, before[r]) for r in again)
+        self.held += sum(map(len, again)) * 5
+        if len(again) < len(missing):
+            self.learn([r for r in missing if r not in before])
 
 
 _here: dict[str, WordBpe] = {}
