@@ -157,9 +157,9 @@ def pattern_values(text: Column) -> Column:
     A hexadecimal string that an assignment's value is or holds counts once."""
     java = lambda p, flags="": F.lit(flags + p.pattern)
     assigned = F.filter(F.regexp_extract_all(text, java(ASSIGN, "(?i)"), F.lit(2)), lambda v: F.length(v) >= ASSIGN_LEAST)
-    access = F.filter(F.regexp_extract_all(text, java(ACCESS), F.lit(0)), lambda v: F.length(v) >= ACCESS_LEAST)
-    rest = F.filter(F.concat(access, F.regexp_extract_all(text, java(HEX), F.lit(0))), lambda v: ~F.exists(assigned, lambda a: F.contains(a, v)))
-    return F.concat(assigned, rest)
+    rest = F.regexp_replace(text, F.lit("(?i)" + ASSIGN.pattern.replace("-]+)", f"-]{{{ASSIGN_LEAST},}})")), F.lit(" "))
+    access = F.filter(F.regexp_extract_all(rest, java(ACCESS), F.lit(0)), lambda v: F.length(v) >= ACCESS_LEAST)
+    return F.concat(assigned, access, F.regexp_extract_all(rest, java(HEX), F.lit(0)))
 
 
 def _samples(words: list[str], values: list[str]) -> tuple[list[str], list[str]]:
