@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trajlake.storage import shared_dir
 
 #: Rows of texts that a Python worker gets at once in passes over whole tables: bounds its memory.
-TEXT_ROWS = 2_000
+TEXT_ROWS = 1_000
 
 _folders: dict[str, str] = {}
 _paths: dict[int, tuple[DataFrame, str]] = {}

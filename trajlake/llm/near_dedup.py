@@ -37,9 +37,9 @@ DEPTH, CELLS, CHUNK = 3, 1 << 16, 1 << 13
 #: Pooled draws (r, beta, c) of the sampler; a shingle picks one for each sample by hash.
 POOL = 1 << 16
 #: Bytes of a pivot's candidate texts, and their number, for one comparison group.
-TASK_BYTES, TASK_TEXTS = 8 << 20, 256
+TASK_BYTES, TASK_TEXTS = 4 << 20, 128
 #: Texts, and bytes of them, in a block of a group that its pivot did not settle.
-BLOCK_TEXTS, BLOCK_TEXT_BYTES = 256, 4 << 20
+BLOCK_TEXTS, BLOCK_TEXT_BYTES = 128, 2 << 20
 U64 = np.uint64
 
 
