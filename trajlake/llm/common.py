@@ -54,23 +54,28 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
                 spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def materialize(df: DataFrame, observation: Observation | None = None, *measures: Column, batch_rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, observation: Observation | None = None, *measures: Column, batch_rows: int | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it again: cuts lineage, survives lost executors.
 
     ``observation`` receives ``measures`` of the rows as they are written, so that no second job is needed for them.
-    The shuffle files of the write go with it, since nothing reads them again.  ``batch_rows``: rows that Python workers
-    get at once, for rows that are large.
+    ``batch_rows``: rows that Python workers get at once, for rows that are large; ``compression`` of the files.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     more = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(batch_rows)} if batch_rows else {}
-    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **more):
-        (df.observe(observation, *measures) if observation else df).write.parquet(path)
+    with settings(spark, **more):
+        (df.observe(observation, *measures) if observation else df).write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (out, path)
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of what has been written: its cleaner waits for the driver's garbage collector,
+    which a driver with little to do runs rarely.  For operators whose shuffles are as large as their input."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that no result will read again."""
     for df in tables:

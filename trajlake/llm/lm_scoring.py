@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import crc_mod, materialize
+from trajlake.llm.common import crc_mod, free_shuffles, materialize
 from trajlake.llm.textops import as_strings, blocks, hashes, mix, spans
 
 U64 = np.uint64
@@ -53,7 +53,7 @@ def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-BLOCK = "block long, n_texts long, n_tokens long, n_words long, ids binary, no_id binary, trains binary, lengths binary, words binary, word_counts binary, tokens binary"
+BLOCK = "block long, n_texts long, n_tokens long, n_words long, ids binary, no_id binary, trains binary, lengths binary, words binary, word_counts binary, low binary, high binary"
 _BLOCK = [(n, pa.binary() if t == "binary" else pa.int64()) for n, t in (c.split() for c in BLOCK.split(", "))]
 
 
@@ -96,7 +96,8 @@ def _block(held: list[tuple], block: int) -> pa.RecordBatch:
     words, index = found[order], rank[places[:-1]]
     counts = np.bincount(index, np.repeat(trains, lengths), len(words)).astype(np.int64)
     counts[words == START] = trains.sum()
-    parts = [ids.fill_null(0).to_numpy().astype(np.int64), np.asarray(ids.is_null()), trains.astype(bool), lengths, words, counts, index]
+    low, high = index.astype(np.uint16), (index >> 16).astype(np.uint16)  # apart, so that what is mostly zero packs well
+    parts = [ids.fill_null(0).to_numpy().astype(np.int64), np.asarray(ids.is_null()), trains.astype(bool), lengths, words, counts, low, high]
     return _batch([(block, len(ids), len(index), len(words), *[p.tobytes() for p in parts])], _BLOCK)
 
 
@@ -105,7 +106,8 @@ class Block:
 
     def __init__(self, row):
         read = lambda name, kind: np.frombuffer(row[name], kind)
-        self.words, self.token = read("words", U64), read("tokens", np.uint32).astype(np.int64)
+        self.words = read("words", U64)
+        self.token = read("low", np.uint16).astype(np.int64) | (read("high", np.uint16).astype(np.int64) << 16)
         self.lengths = read("lengths", np.int64)
         self.trains = np.repeat(read("trains", bool), self.lengths).astype(np.float64)
         self.begin = np.cumsum(self.lengths) - self.lengths
@@ -154,7 +156,7 @@ def gram_requests(block: int, names: np.ndarray, counts: np.ndarray, shards: int
 def gram_counts(names: np.ndarray, shards: int, rows: pd.DataFrame) -> np.ndarray:
     """The corpus' counts of a block's n-grams from the shards' answers."""
     out = np.empty(len(names), np.int64)
-    out[gram_order(names, shards)[0]] = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(b, np.int64) for b in rows.sort_values("shard")["counts"]]])
+    out[gram_order(names, shards)[0]] = np.concatenate([np.zeros(0, np.int64), *[unpacked(b) for b in rows.sort_values("shard")["counts"]]])
     return out
 
 
@@ -196,7 +198,7 @@ def _word_answers(group: pd.DataFrame) -> pd.DataFrame:
     token = distinct != START
     shard = int(group["shard"].iloc[0])
     parts = np.split(answer, np.cumsum([len(w) for w in words])[:-1])
-    out = [(int(b), shard, a.tobytes(), 0, 0) for b, a in zip(group["block"], parts, strict=True)]
+    out = [(int(b), shard, packed(a), 0, 0) for b, a in zip(group["block"], parts, strict=True)]
     out.append((-1, shard, b"", int(total[token].sum()), int((total[token] > 0).sum())))
     return pd.DataFrame(out, columns=["block", "shard", "counts", "n", "v"])
 
@@ -208,7 +210,17 @@ def _gram_answers(group: pd.DataFrame) -> pd.DataFrame:
     keys |= np.concatenate([np.frombuffer(b, np.uint8) for b in group["high"]]).astype(U64) << U64(32)
     answer = _sums(keys, np.concatenate([np.frombuffer(b, np.uint32) for b in group["counts"]]))[2]
     parts = np.split(answer, np.cumsum([len(x) for x in low])[:-1])
-    return pd.DataFrame({"block": group["block"], "shard": group["shard"], "counts": [a.tobytes() for a in parts]})
+    return pd.DataFrame({"block": group["block"], "shard": group["shard"], "counts": [packed(a) for a in parts]})
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold them, behind one byte that says how many each takes."""
+    width = next(w for w in (1, 2, 4, 8) if not len(counts) or int(counts.max()) < 1 << (8 * w - (w == 8)))
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
 class Automaton:
@@ -305,7 +317,7 @@ def _traverse(word_shards: int, shards: int, n_tokens: int, vocabulary: int):
             block = Block(row)
             of = lambda kind: answers[answers["kind"] == kind]
             counts = np.empty(len(block.words), np.int64)
-            counts[word_order(block.words, word_shards)[0]] = np.concatenate([np.frombuffer(b, np.int64) for b in of(1).sort_values("shard")["counts"]])
+            counts[word_order(block.words, word_shards)[0]] = np.concatenate([unpacked(b) for b in of(1).sort_values("shard")["counts"]])
             names, _ = block.bigrams()
             together = gram_counts(names, shards, of(2))
             joint = gram_counts(block.trigrams(names)[0], shards, of(3))
@@ -329,19 +341,22 @@ def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", tex
     null ids give a row each; an empty table gives an empty result; other columns are ignored.  With no training rows
     every token is unknown.  The rows may come in any partitioning: they are read once.
     """
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
     seen = Observation()
-    source = materialize(base.mapInArrow(_tokenise, BLOCK), seen, F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words"), batch_rows=TEXT_BATCH)
+    source = materialize(base.mapInArrow(_tokenise, BLOCK), seen, F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words"), batch_rows=TEXT_BATCH, compression="zstd")
     shards_for = lambda n: max(1, -(-int(n or 0) // shard_tokens))
     shards, word_shards = shards_for(seen.get.get("tokens")), shards_for(seen.get.get("words"))
     asked = source.select("block", "words", "word_counts").mapInArrow(_word_requests(word_shards), "shard int, block long, words binary, counts binary")
-    words = materialize(asked.groupBy("shard").applyInPandas(_word_answers, f"{ANSWER}, n long, v long"), batch_rows=BLOCK_BATCH)
+    words = materialize(asked.groupBy("shard").applyInPandas(_word_answers, f"{ANSWER}, n long, v long"), batch_rows=BLOCK_BATCH, compression="zstd")
+    free_shuffles(spark)
     totals = words.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(totals["n"] or 0), int(totals["v"] or 0)
     answers = words.where("block >= 0").select(F.col("block").alias("of_block"), "shard", F.lit(1).alias("kind"), "counts")
-    columns = source.select("block", "lengths", "trains", "words", "tokens")
+    columns = source.select("block", "lengths", "trains", "words", "low", "high")
     for order in (2, 3):
-        found = materialize(columns.mapInArrow(_gram_requests(shards, order), REQUEST).groupBy("shard").applyInPandas(_gram_answers, ANSWER), batch_rows=BLOCK_BATCH)
+        found = materialize(columns.mapInArrow(_gram_requests(shards, order), REQUEST).groupBy("shard").applyInPandas(_gram_answers, ANSWER), batch_rows=BLOCK_BATCH, compression="zstd")
+        free_shuffles(spark)
         answers = answers.unionByName(found.select(F.col("block").alias("of_block"), "shard", F.lit(order).alias("kind"), "counts"))
     scored = source.drop("word_counts").groupBy("block").cogroup(answers.groupBy("of_block")).applyInPandas(_traverse(word_shards, shards, n, v), SCORES)
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))
