@@ -9,7 +9,7 @@ from trajlake.functions import matching, scoring, text
 from trajlake.operators import errors, inject, metrics, sampling, sequence, validate
 from trajlake.operators.numbering import numbered
 from trajlake.plans.adapters import conversation_messages, event_messages, labelled_runs, order_actions, table
-from trajlake.plans.registry import ORACLE_SQL, QUERIES, query
+from trajlake.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  QUERIES is read from here
 
 RUNS = """runs AS (SELECT domain, run_id, count(*) AS num_tasks, count(*) FILTER (reward > 0) AS num_success, avg(reward) AS avg_reward,
  count(*) FILTER (reward > 0) * 100 / count(*) AS success_rate FROM lab GROUP BY domain, run_id)"""

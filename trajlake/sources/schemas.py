@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+# Names of the domains and keys of the file formats.
+DOMAINS = ("airline", "retail", "telecom")
 TOOL_CALL = "struct<id:string,name:string,arguments:string>"
 MESSAGE = f"struct<role:string,content:string,tool_call_id:string,tool_calls:array<{TOOL_CALL}>,raw_data:struct<reasoning_content:string,thinking:string>>"
 ACTION_CHECK = "struct<action:struct<name:string,arguments:string>,score:double,found:boolean,reason:string>"
@@ -17,3 +19,4 @@ LEGACY = "system string, tools string, conversations array<struct<from:string,va
 TOOL_FILE = "type string, function struct<name:string,description:string,parameters:struct<properties:map<string,string>,required:array<string>>>"
 ERROR_DB = "domain string, tool string, error string, count long, examples array<string>"
 CHECKPOINT = "domain string, task_id string, trial int"
+# End of fixed values.
