@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager, suppress
@@ -73,6 +74,7 @@ def materialize(df: DataFrame, observation: Observation | None = None, *measures
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of what has been written: its cleaner waits for the driver's garbage collector,
     which a driver with little to do runs rarely.  For operators whose shuffles are as large as their input."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

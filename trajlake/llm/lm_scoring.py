@@ -40,10 +40,10 @@ CONCENTRATION = (5.0, 5.0)
 #: Bits that tell a shard's n-grams apart; the bits above them choose the shard.
 NAME_BITS = 40
 #: Bytes of text that make one block, about (a longer text is one block), and tokens that make one shard.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 6 << 20
 SHARD_TOKENS = 500_000
 #: Rows of texts, and blocks, that a Python worker gets at once.
-TEXT_BATCH, BLOCK_BATCH = 500, 2
+TEXT_BATCH, BLOCK_BATCH = 500, 1
 #: Tokens of a lane of the walk.
 LANE = 512
 
@@ -53,7 +53,7 @@ def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-BLOCK = "block long, n_texts long, n_tokens long, n_words long, ids binary, no_id binary, trains binary, lengths binary, words binary, word_counts binary, low binary, high binary"
+BLOCK = "block long, n_texts long, n_tokens long, n_words long, ids binary, no_id binary, trains binary, lengths binary, words binary, word_counts binary, bytes0 binary, bytes1 binary, bytes2 binary, bytes3 binary"
 _BLOCK = [(n, pa.binary() if t == "binary" else pa.int64()) for n, t in (c.split() for c in BLOCK.split(", "))]
 
 
@@ -90,14 +90,14 @@ def _block(held: list[tuple], block: int) -> pa.RecordBatch:
     ids = pa.concat_arrays([h[0] for h in held])
     trains, tokens, lengths = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
     places, found = pd.factorize(np.append(tokens, START))
-    order = np.argsort(found)
+    order = np.argsort(-np.bincount(places), kind="stable")  # frequent words get small numbers, whose bytes pack well
     rank = np.empty(len(found), np.uint32)
     rank[order] = np.arange(len(found), dtype=np.uint32)
     words, index = found[order], rank[places[:-1]]
     counts = np.bincount(index, np.repeat(trains, lengths), len(words)).astype(np.int64)
     counts[words == START] = trains.sum()
-    low, high = index.astype(np.uint16), (index >> 16).astype(np.uint16)  # apart, so that what is mostly zero packs well
-    parts = [ids.fill_null(0).to_numpy().astype(np.int64), np.asarray(ids.is_null()), trains.astype(bool), lengths, words, counts, low, high]
+    planes = index.view(np.uint8).reshape(-1, 4).T
+    parts = [ids.fill_null(0).to_numpy().astype(np.int64), np.asarray(ids.is_null()), trains.astype(bool), lengths, words, counts, *planes]
     return _batch([(block, len(ids), len(index), len(words), *[p.tobytes() for p in parts])], _BLOCK)
 
 
@@ -107,11 +107,11 @@ class Block:
     def __init__(self, row):
         read = lambda name, kind: np.frombuffer(row[name], kind)
         self.words = read("words", U64)
-        self.token = read("low", np.uint16).astype(np.int64) | (read("high", np.uint16).astype(np.int64) << 16)
+        self.token = np.stack([read(f"bytes{k}", np.uint8) for k in range(4)], axis=1).view(np.uint32)[:, 0].astype(np.int64)
         self.lengths = read("lengths", np.int64)
         self.trains = np.repeat(read("trains", bool), self.lengths).astype(np.float64)
         self.begin = np.cumsum(self.lengths) - self.lengths
-        self.start = int(np.searchsorted(self.words, START))
+        self.start = int(np.flatnonzero(self.words == START)[0])
         history = np.empty_like(self.token)
         history[1:] = self.token[:-1]
         history[self.begin] = self.start
@@ -353,7 +353,7 @@ def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id", tex
     totals = words.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(totals["n"] or 0), int(totals["v"] or 0)
     answers = words.where("block >= 0").select(F.col("block").alias("of_block"), "shard", F.lit(1).alias("kind"), "counts")
-    columns = source.select("block", "lengths", "trains", "words", "low", "high")
+    columns = source.select("block", "lengths", "trains", "words", *[f"bytes{k}" for k in range(4)])
     for order in (2, 3):
         found = materialize(columns.mapInArrow(_gram_requests(shards, order), REQUEST).groupBy("shard").applyInPandas(_gram_answers, ANSWER), batch_rows=BLOCK_BATCH, compression="zstd")
         free_shuffles(spark)
