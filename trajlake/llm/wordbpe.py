@@ -21,8 +21,8 @@ LEAF = 2048
 LONG_RUN = 8192
 #: Runs that one generation of a task's memo holds, and the bytes of runs and ids: there are two generations, the one that
 #: is being filled and the one before it, so frequent runs stay known while memory stays bounded.
-MEMO_RUNS = 250_000
-MEMO_BYTES = 24 << 20
+MEMO_RUNS = 500_000
+MEMO_BYTES = 48 << 20
 
 
 def load(path: str):
