@@ -73,7 +73,9 @@ def materialize(df: DataFrame, observation: Observation | None = None, *measures
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of what has been written: its cleaner waits for the driver's garbage collector,
-    which a driver with little to do runs rarely.  For operators whose shuffles are as large as their input."""
+    which a driver with little to do runs rarely, and the last query stays referenced until another has run.  For
+    operators whose shuffles are as large as their input."""
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
