@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.llm.common import TEXT_ROWS, materialize
-from trajlake.llm.wordbpe import encode_column, encoder
+from trajlake.llm.wordbpe import MEMO_RUNS, encode_column, encoder
 
 WINDOW = 2048
 #: Tokens of a length class; a window has WINDOW / STEP units.
@@ -116,12 +116,12 @@ def pack_histogram(counts: np.ndarray, depth: int = DEPTH) -> list[tuple[list[tu
     return plan
 
 
-def cut_documents(docs: DataFrame, tokenizer_path: str, window: int, step: int, id_col: str, text_col: str, end_id: int) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer_path: str, window: int, step: int, id_col: str, text_col: str, end_id: int, memo_runs: int = MEMO_RUNS) -> DataFrame:
     """A row for each piece, with its rank among the pieces of its class in its partition."""
 
     def run(batches):
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
-        enc, end = encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
+        enc, end = encoder(tokenizer_path, memo_runs), int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
             ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
@@ -143,14 +143,15 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int, step: int,
     return base.mapInArrow(run, "id long, start long, length long, ids_crc32 long, doc_tokens long, part int, kind int, rank long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, step: int = STEP, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, step: int = STEP, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, memo_runs: int = MEMO_RUNS) -> DataFrame:
     """Pieces of all documents with their sequence and offset.
 
     Null and empty texts are a document of the end id alone.  Repeated rows, and ids that are null or repeated, are
-    packed like any others.  An empty table gives an empty result.  Other columns are ignored.
+    packed like any others.  An empty table gives an empty result.  Other columns are ignored.  ``memo_runs``: what the encoder of a worker
+    remembers; it trades memory for speed and changes nothing else.
     """
     spark = docs.sparkSession
-    pieces = materialize(cut_documents(docs, tokenizer_path, window, step, id_col, text_col, end_id), batch_rows=TEXT_ROWS)
+    pieces = materialize(cut_documents(docs, tokenizer_path, window, step, id_col, text_col, end_id, memo_runs), batch_rows=TEXT_ROWS)
     per_part = pieces.groupBy("part", "kind").agg(F.count("*").alias("n"))
     before = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialize(per_part.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))))

@@ -19,10 +19,11 @@ import numpy as np
 LEAF = 2048
 #: Characters of a blank-free run that the library gets in one piece.
 LONG_RUN = 8192
-#: Runs that one generation of a task's memo holds, and the bytes of runs and ids: there are two generations, the one that
+#: Runs that one generation of a task's memo holds, and by its bytes: there are two generations, the one that
 #: is being filled and the one before it, so frequent runs stay known while memory stays bounded.
-MEMO_RUNS = 500_000
-MEMO_BYTES = 48 << 20
+MEMO_RUNS = 1_000_000
+#: Bytes that a generation may hold for each run of its limit.
+MEMO_BYTES_A_RUN = 100
 
 
 def load(path: str):
@@ -140,7 +141,7 @@ class WordBpe:
 
     def learn_all(self, texts: list[list[str]]) -> None:
         """Learn what many texts need at once; a single call of the library then covers them."""
-        if len(self.ids) > self.memo_runs or self.held > MEMO_BYTES:
+        if len(self.ids) > self.memo_runs or self.held > MEMO_BYTES_A_RUN * self.memo_runs:
             self.before, self.ids, self.held = self.ids, {"": b""}, 0
         known, before = self.ids, self.before
         missing = {r for runs in texts for r in runs if r not in known}
@@ -151,14 +152,14 @@ class WordBpe:
             self.learn([r for r in missing if r not in before])
 
 
-_here: dict[str, WordBpe] = {}
+_here: dict[tuple[str, int], WordBpe] = {}
 
 
-def encoder(path: str) -> WordBpe:
+def encoder(path: str, memo_runs: int = MEMO_RUNS) -> WordBpe:
     """The encoder of this worker process; its memo serves all tasks that run here."""
-    if path not in _here:
-        _here[path] = WordBpe(path)
-    return _here[path]
+    if (path, memo_runs) not in _here:
+        _here[path, memo_runs] = WordBpe(path, memo_runs)
+    return _here[path, memo_runs]
 
 
 def encode_column(enc: WordBpe, texts: list[str | None], group: int = 256):
