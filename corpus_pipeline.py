@@ -50,9 +50,12 @@ def apply_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents as pieces of packed sequences.
 
     A null or empty text is a document of the end id alone; repeated rows and null ids are packed like any others."""
-    return packing.pack(docs, word_tokenizer()).withColumnRenamed("id", "doc_id")
+    return packing.pack(docs, word_tokenizer(), memo_runs=MEMO_RUNS).withColumnRenamed("id", "doc_id")
 
 
+#: Runs that the packing stage's encoders remember: a quarter of the default, as workers of all stages share the executors.
+MEMO_RUNS = 250_000
+
 STAGES = [
     ("quality_rules", apply_quality_rules),
     ("quality_classifier", apply_quality_classifier),
