@@ -33,4 +33,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND rules_failed IS NULL AS kept, coalesce(rules_failed, '') AS rules_failed
 FROM s LEFT JOIN failed ON failed.rid = s.rid"""
 
-ORACLE_SQL = {"op3_quality_rules": QUALITY_RULES}
+def _code_rounds(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """Codebooks and codes of ``embeddings``, a group of tables for each round."""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v, len(embedding) // {parts} AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, (k - 1) // w AS part, (k - 1) % w AS place, floor(1024 * v[k])::BIGINT AS c
+  FROM (SELECT vec_id, v, w, unnest(range(1, len(v) + 1)) AS k FROM kept)),
+book0 AS MATERIALIZED (SELECT part, r.entry, place, c FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {entries}) r USING (vec_id))"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""near{k} AS MATERIALIZED (SELECT vec_id, part, min(far) AS far, arg_min(entry, (far, entry)) AS entry
+  FROM (SELECT x.vec_id, part, b.entry, sum((x.c - b.c) * (x.c - b.c))::BIGINT AS far FROM x JOIN book{k} b USING (part, place) GROUP BY ALL) GROUP BY ALL)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""book{k + 1} AS MATERIALIZED (SELECT part, b.entry, place, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, b.c)::BIGINT AS c
+  FROM book{k} b LEFT JOIN (SELECT part, n.entry, place, sum(x.c)::BIGINT AS s, count(*) AS n FROM near{k} n JOIN x USING (vec_id, part) GROUP BY ALL) m USING (part, entry, place))"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + f""",
+codes AS (SELECT vec_id, string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, lower(code) AS code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, place)) FROM book{rounds}) AS codebooks_sha256
+FROM codes JOIN kept USING (vec_id)"""
+    )
+
+
+ORACLE_SQL = {"op3_quality_rules": QUALITY_RULES,
+    "op11_vector_codes": _code_rounds(),
+}
