@@ -63,6 +63,32 @@ FROM codes JOIN kept USING (vec_id)"""
     )
 
 
+#: Turns of equal number come by the digest of role and text.  crc32 is not among DuckDB's functions: eight shifts for each
+#: bit of a digit, written as a table of 256 values and a walk over the decimal digits.
+PREFIX_TRIE = """
+WITH RECURSIVE bits AS (SELECT range AS i, range::BIGINT AS v, 0 AS k FROM range(256)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT i, v FROM bits WHERE k = 8),
+digits AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s, 4294967295::BIGINT AS c, 0 AS k FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT conv_id, s, xor(c >> 8, v), k + 1 FROM digits JOIN crc ON i = xor(c, ascii(s[k + 1])) & 255 WHERE k < len(s)),
+ids AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(c, 4294967295) % 6 AS h FROM digits WHERE k = len(s)),
+raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS MATERIALIZED (SELECT conv_id, sha256(length(role) || ':' || role || text) AS content, length(text) AS n_chars,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS k FROM raw),
+lead AS (SELECT ids.conv_id, ids.base, h, least(h, coalesce(n, 0)) AS n FROM ids LEFT JOIN (SELECT conv_id, count(*) AS n FROM t GROUP BY ALL) c ON c.conv_id = ids.base),
+turns AS (SELECT l.conv_id, t.k AS depth, content, n_chars FROM lead l JOIN t ON t.conv_id = l.base AND t.k <= l.n
+  UNION ALL SELECT l.conv_id, t.k - l.h + l.n, content, n_chars FROM lead l JOIN t ON t.conv_id = l.conv_id AND t.k > l.h),
+paths AS (SELECT conv_id, depth, n_chars, string_agg(content, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+ends AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM (SELECT conv_id, arg_max(path, depth) AS path FROM paths GROUP BY conv_id) GROUP BY path),
+nodes AS MATERIALIZED (SELECT path, depth, left(path, greatest(0, len(path) - 64)) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, min(n_chars) AS n_chars FROM paths GROUP BY path, depth),
+children AS MATERIALIZED (SELECT above, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above),
+steps AS (SELECT path, unnest(range(0, depth + 1)) AS d, (n_convs - 1) * n_chars AS saved, c.n IS NULL AS leaf FROM nodes LEFT JOIN children c ON c.above = nodes.path),
+sums AS (SELECT left(path, 64 * d) AS path, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM steps GROUP BY ALL)
+SELECT nodes.conv_id, nodes.depth::BIGINT AS depth, CASE WHEN nodes.depth > 0 THEN p.conv_id END AS parent_conv_id, nodes.n_convs, coalesce(c.n, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM nodes JOIN sums USING (path) LEFT JOIN ends USING (path) LEFT JOIN children c ON c.above = nodes.path LEFT JOIN nodes p ON p.path = nodes.above"""
+
 ORACLE_SQL = {"op3_quality_rules": QUALITY_RULES,
     "op11_vector_codes": _code_rounds(),
+    "op12_prefix_trie": PREFIX_TRIE,
 }

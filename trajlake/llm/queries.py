@@ -91,6 +91,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trajlake.llm.prefix_trie import rebuilt_trie
+
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_vector_codes": op11_vector_codes,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)
