@@ -21,6 +21,7 @@ from trajlake.functions.text import one_json_object
 from trajlake.operators.metrics import effective_reward
 from trajlake.operators.numbering import numbered
 from trajlake.sources import schemas
+from trajlake.sources.bigjson import SplitJson
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -33,19 +34,37 @@ def eval_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema=schemas.EVAL_FILE, multiLine=True).withColumn("path", F.col("_metadata.file_path"))
 
 
-def eval_directory(spark: SparkSession, root: str) -> DataFrame:
-    """``root/<model>/*.json`` without summaries; model from the folder, domain from the words of the file name."""
-    rows = eval_results(spark, f"{root}/*/*.json")
+def _from_path(rows: DataFrame) -> DataFrame:
+    """Model from the folder and domain from the words of the file name; summaries are left out."""
     name = F.element_at(F.split("path", "/"), -1)
     tokens = F.split(F.regexp_replace(name, r"\.json$", ""), "_")
     domain = F.coalesce(*[F.when(F.array_contains(tokens, d), F.lit(d)) for d in schemas.DOMAINS], F.element_at(tokens, -1))
     return rows.where(~name.startswith("summary")).withColumns({"model": F.element_at(F.split("path", "/"), -2), "domain": domain})
 
 
+def eval_directory(spark: SparkSession, root: str) -> DataFrame:
+    """``root/<model>/*.json`` without summaries; model from the folder, domain from the words of the file name."""
+    return _from_path(eval_results(spark, f"{root}/*/*.json"))
+
+
+def split_directory(spark: SparkSession, root: str) -> DataFrame:
+    """As ``eval_directory``, for files of any size: a row for each task and simulation (key, position, text, beside path,
+    model and domain), read by as many tasks as the files have ranges.  ``simulations`` and ``result_tasks`` take it."""
+    elements = SplitJson(spark, f"{root}/*/*.json").elements
+    return _from_path(elements.where(F.col("key").isin("tasks", "simulations")).select(F.col("file").alias("path"), "key", "position", "text"))
+
+
+def _members(results: DataFrame, key: str, kind: str, *keep: str) -> DataFrame:
+    """(keep, position, x) for each element of a results file's array, from whole files or split ones."""
+    if key in results.columns:
+        return results.select(*keep, F.posexplode(key).alias("position", "x"))
+    return results.where(F.col("key") == key).select(*keep, F.col("position").cast("int").alias("position"), F.from_json("text", kind).alias("x"))
+
+
 def simulations(results: DataFrame, *keep: str) -> DataFrame:
     """A row for each simulation; its reward is the top-level one unless that is null or zero.  Both places of the
     action checks are read."""
-    sims = results.select(*keep, F.posexplode("simulations").alias("position", "s"))
+    sims = _members(results, "simulations", schemas.SIMULATION, *keep).withColumnRenamed("x", "s")
     reward = effective_reward(F.col("s.reward"), F.col("s.reward_info.reward"))
     checks = F.coalesce("s.reward_info.action_checks", "s.reward_info.action_reward_info.action_checks")
     return sims.select(*keep, "position", "s.task_id", reward.alias("reward"), "s.termination_reason", checks.alias("action_checks"), "s.messages")
@@ -53,7 +72,7 @@ def simulations(results: DataFrame, *keep: str) -> DataFrame:
 
 def result_tasks(results: DataFrame, *keep: str) -> DataFrame:
     """A row for each (task, key): a task is found by its id and by its position; a position wins over an id."""
-    tasks = results.select(*keep, F.posexplode("tasks").alias("position", "t"))
+    tasks = _members(results, "tasks", schemas.EVAL_TASK, *keep).withColumnRenamed("x", "t")
     keys = F.array(F.struct(F.col("t.id").alias("key"), F.lit(0).alias("priority")), F.struct(F.col("position").cast("string").alias("key"), F.lit(1).alias("priority")))
     spread = tasks.select(*keep, "position", "t", F.explode(keys).alias("k")).select(*keep, "position", "t", "k.key", "k.priority")
     return spread.groupBy(*keep, "key").agg(F.max_by("t", F.struct("priority", "position")).alias("task"))
@@ -97,8 +116,11 @@ def jsonl_with_rejects(spark: SparkSession, path: str, schema: str) -> tuple[Dat
     return good, bad
 
 
-def tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Tasks from a JSON array (``.json``) or JSON lines (``.jsonl``)."""
+def tasks(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
+    """Tasks from a JSON array (``.json``) or JSON lines (``.jsonl``); with ``split`` one array is read by many tasks."""
+    if split and not path.endswith(".jsonl"):
+        kind = "struct<" + ", ".join(f"{name}:{rest}" for name, rest in (f.split(" ", 1) for f in schemas.TASK.split(", "))) + ">"
+        return SplitJson(spark, path).elements.select(F.from_json("text", kind).alias("t")).select("t.*")
     return spark.read.json(path, schema=schemas.TASK, multiLine=not path.endswith(".jsonl"))
 
 

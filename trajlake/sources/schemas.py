@@ -13,7 +13,8 @@ ACTION = "struct<action_id:string,name:string,arguments:string,compare_args:arra
 CRITERIA = f"struct<actions:array<{ACTION}>,communicate_info:array<string>,nl_assertions:array<string>,reward_basis:array<string>>"
 SCENARIO = "struct<persona:string,instructions:struct<domain:string,reason_for_call:string,known_info:string,task_instructions:string,unknown_info:string>>"
 TASK = f"id string, description struct<purpose:string,relevant_policies:string,notes:string>, user_scenario {SCENARIO}, initial_state string, evaluation_criteria {CRITERIA}, annotations string"
-EVAL_FILE = f"info struct<agent_info:struct<llm:string,llm_args:string>>, tasks array<struct<{', '.join(f'{p.split(" ", 1)[0]}:{p.split(" ", 1)[1]}' for p in ('id string', f'user_scenario {SCENARIO}', f'evaluation_criteria {CRITERIA}', 'expected_turns int'))}>>, simulations array<{SIMULATION}>"
+EVAL_TASK = f"struct<id:string,user_scenario:{SCENARIO},evaluation_criteria:{CRITERIA},expected_turns:int>"
+EVAL_FILE = f"info struct<agent_info:struct<llm:string,llm_args:string>>, tasks array<{EVAL_TASK}>, simulations array<{SIMULATION}>"
 SFT = "messages array<struct<role:string,content:string>>, tools string, metadata struct<source:string,domain:string,task_id:string,attempt:int,reward:double,termination:string>"
 LEGACY = "system string, tools string, conversations array<struct<from:string,value:string>>"
 TOOL_FILE = "type string, function struct<name:string,description:string,parameters:struct<properties:map<string,string>,required:array<string>>>"
