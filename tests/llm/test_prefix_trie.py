@@ -88,6 +88,13 @@ def test_role_and_text_do_not_run_together(spark):
     assert shown(prefix_trie.prefix_trie(given(spark, rows))) == plain_trie(original(rows))
 
 
+def test_hot_keys_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(keyed.is_hot, "__defaults__", (keyed.HOT_SHARE, 1))
+    monkeypatch.setattr(keyed.attach, "__defaults__", (keyed.HOT_SHARE, 1, True))
+    rows = [(c, t, "user", f"t{c % (t + 1)}") for c in range(60) for t in range(5)]
+    assert shown(prefix_trie.rebuilt_trie(given(spark, rows))) == plain_trie(plain_rebuilt(original(rows)))
+
+
 def test_one_very_long_conversation_and_many_copies(spark):
     long = [(1, t, "user", f"t{t % 7}") for t in range(700)]
     rows = long + [(2, t, "user", f"t{t % 7}") for t in range(650)] + [(c, 0, "user", "same") for c in range(1000, 1900)] + [(c, 1, "user", "end") for c in range(1000, 1300)]
@@ -128,8 +135,8 @@ def test_ranks_and_xors_go_on_across_partitions(spark):
 def test_attach_gives_hot_and_other_keys_alike(spark):
     rows = spark.createDataFrame([(k,) for k in [1] * 50 + [None] * 30 + [2, 3]], "k long")
     found = rows.groupBy("k").count().selectExpr("k", "count AS n", "coalesce(k, -1) * 10 AS v")
-    for share in (1, 3, 10_000):
-        out = keyed.attach(rows, found, ["k"], "n", 82, share)
+    for share, least in ((1, 0), (3, 0), (10_000, 0), (10_000, 1), (10_000, 1000)):
+        out = keyed.attach(rows, found, ["k"], "n", 82, share, least)
         assert sorted((r["k"] or -1, r["v"]) for r in out.collect()) == sorted([(1, 10)] * 50 + [(-1, -10)] * 30 + [(2, 20), (3, 30)])
 
 

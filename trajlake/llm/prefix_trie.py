@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trajlake.llm.common import discard, materialize, scratch
-from trajlake.llm.keyed import attach
+from trajlake.llm.keyed import attach, is_hot
 from trajlake.llm.running import ranked
 
 #: Characters of joined ids that travel as one row.
@@ -117,7 +117,8 @@ def roll_up(nodes: DataFrame) -> DataFrame:
         grown = state.join(gathered, ["p1", "p2"], "left").select(
             "p1", "p2", "depth", "a1", "a2", (F.col("leaves") + F.coalesce("_leaves", F.lit(0))).alias("leaves"), (F.col("saved") + F.coalesce("_saved", F.lit(0))).alias("saved"), F.coalesce("_asked", F.lit(0)).alias("asked")
         )
-        grown = materialize(grown)
+        seen = Observation()
+        grown = materialize(grown, seen, F.count_if(is_hot("asked", total)).alias("hot"))
         if last is not None:
             discard(last)
         last, step = grown, 2 * step
@@ -126,7 +127,7 @@ def roll_up(nodes: DataFrame) -> DataFrame:
         near = keep.where(F.col("depth") < step).withColumns({"a1": none, "a2": none})
         at_root = keep.where(F.col("depth") == step).withColumns({"a1": F.lit(0).cast("long"), "a2": F.lit(0).cast("long")})
         above = grown.where("asked > 0").select(F.col("p1").alias("a1"), F.col("p2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"), "asked")
-        far = attach(keep.where(F.col("depth") > step), above, ["a1", "a2"], "asked", total).drop("a1", "a2").withColumnsRenamed({"b1": "a1", "b2": "a2"})
+        far = attach(keep.where(F.col("depth") > step), above, ["a1", "a2"], "asked", total, some_hot=seen.get.get("hot", 1) > 0).drop("a1", "a2").withColumnsRenamed({"b1": "a1", "b2": "a2"})
         state = near.unionByName(at_root).unionByName(far)
     return state.select("p1", "p2", F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"))
 
