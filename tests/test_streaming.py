@@ -32,13 +32,6 @@ def test_append_once_and_resume(spark, events):
     assert spark.read.json(str(tmp / "out")).count() == 200
 
 
-def test_breaker(spark, events):
-    _, path, _ = events
-    stream = jobs.event_stream(spark, path, per_trigger=10).select(F.lit("s").alias("source"), F.col("event_id").alias("seq"), F.lit(True).alias("failed"))
-    out = jobs.run_to_end(jobs.breaker_states(stream, 50), "b", "update").collect()
-    assert any(r["open"] and r["consecutive"] == 200 for r in out)
-
-
 def test_error_db_stream(spark, events):
     _, path, tmp = events
     stream = jobs.event_stream(spark, path, per_trigger=1).where("event_type = 'error'").select(F.lit("d").alias("domain"), F.lit("t").alias("tool"), F.concat(F.lit("Error: "), F.col("event_id").cast("string")).alias("message"), F.col("event_id").alias("seq"))

@@ -52,23 +52,6 @@ def sessions(events: DataFrame, gap: str = "6 hours", delay: str = "1 hour") ->
     return timed.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("n_errors")).select("user_id", F.col("s.start").alias("session_start"), "n", "n_errors")
 
 
-def breaker_states(results: DataFrame, threshold: int = 50) -> DataFrame:
-    """(source, consecutive, open): failures in a row of each source, with state of two numbers per source.
-
-    ``results``: source, seq, failed."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, opened = state.get if state.exists else (0, False)
-        for pdf in batches:
-            for failed in pdf.sort_values("seq")["failed"]:
-                run = run + 1 if failed else 0
-                opened = opened or run >= threshold
-        state.update((run, opened))
-        yield pd.DataFrame({"source": [key[0]], "consecutive": [run], "open": [opened]})
-
-    return results.groupBy("source").applyInPandasWithState(step, "source string, consecutive long, open boolean", "run long, opened boolean", "update", GroupStateTimeout.NoTimeout)
-
-
 def maintain_error_db(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Adds every micro-batch of results (domain, tool, message, seq) to the template table at ``path``.
 
