@@ -30,11 +30,3 @@ def test_append_once_and_resume(spark, events):
     for _ in range(2):  # a restart adds nothing
         jobs.append_as_completed(jobs.event_stream(spark, path), str(tmp / "out"), str(tmp / "ck"), ["event_id"]).awaitTermination()
     assert spark.read.json(str(tmp / "out")).count() == 200
-
-
-def test_error_db_stream(spark, events):
-    _, path, tmp = events
-    stream = jobs.event_stream(spark, path, per_trigger=1).where("event_type = 'error'").select(F.lit("d").alias("domain"), F.lit("t").alias("tool"), F.concat(F.lit("Error: "), F.col("event_id").cast("string")).alias("message"), F.col("event_id").alias("seq"))
-    jobs.maintain_error_db(stream, str(tmp / "db"), str(tmp / "dbck")).awaitTermination()
-    last = sorted((tmp / "db").iterdir())[-1]
-    assert spark.read.parquet(str(last)).first()["count"] == 40

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trajlake.operators import errors
 from trajlake.plans import catalog
-from trajlake.streaming import jobs
+from trajlake.streaming import error_log, jobs
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -62,6 +62,6 @@ def test_error_stream_keeps_all_examples(spark, tmp_path):
     rows = spark.range(40).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id")).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = jobs.event_stream(spark, str(tmp_path / "in"), per_trigger=1).select(F.lit("d").alias("domain"), F.lit("t").alias("tool"), F.concat(F.lit("Error: "), F.col("event_id").cast("string")).alias("message"), F.col("event_id").alias("seq"))
-    jobs.maintain_error_db(stream, str(tmp_path / "db"), str(tmp_path / "ck")).awaitTermination()
-    assert spark.read.parquet(str(sorted((tmp_path / "db").glob("examples-v*"))[-1])).count() == 40
-    assert spark.read.parquet(str(sorted((tmp_path / "db").glob("v*"))[-1])).first()["count"] == 40
+    error_log.maintain_error_db(stream, str(tmp_path / "db"), str(tmp_path / "ck")).awaitTermination()
+    assert error_log.examples(spark, str(tmp_path / "db")).count() == 40
+    assert error_log.error_db(spark, str(tmp_path / "db")).first()["count"] == 40

@@ -23,7 +23,12 @@ def error_examples(results: DataFrame) -> DataFrame:
 
 def merge_error_examples(old: DataFrame, new: DataFrame) -> DataFrame:
     """All examples of both; numbers added up, the first place kept."""
-    return old.unionByName(new).groupBy(*KEYS, "example").agg(F.min("first_seq").alias("first_seq"), F.sum("n").alias("n"))
+    return merged_examples(old.unionByName(new))
+
+
+def merged_examples(examples: DataFrame) -> DataFrame:
+    """One row for each example of rows that may hold it several times."""
+    return examples.groupBy(*KEYS, "example").agg(F.min("first_seq").alias("first_seq"), F.sum("n").alias("n"))
 
 
 def error_counts(results: DataFrame) -> DataFrame:

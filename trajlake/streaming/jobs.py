@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from trajlake.operators.errors import error_examples, merge_error_examples, preview_error_db
-from trajlake.sources import readers, sinks
 
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -52,41 +45,8 @@ def sessions(events: DataFrame, gap: str = "6 hours", delay: str = "1 hour") ->
     return timed.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("n_errors")).select("user_id", F.col("s.start").alias("session_start"), "n", "n_errors")
 
 
-def maintain_error_db(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Adds every micro-batch of results (domain, tool, message, seq) to the template table at ``path``.
-
-    ``examples-v*`` holds every example, ``v*`` the counts with a preview.  Versions are folders named by batch, so a batch that runs twice writes the same version and readers never see a
-    half-written one."""
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = error_examples(batch)
-        if number:
-            new = merge_error_examples(spark.read.parquet(f"{path}/examples-v{number - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{path}/examples-v{number}")
-        preview_error_db(spark.read.parquet(f"{path}/examples-v{number}")).write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def run_to_end(frame: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Drive a stream over what is there now into an in-memory table (for tests and small results)."""
     query = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return frame.sparkSession.table(name)
-
-
-def run_and_checkpoint(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, keys_path: str, checkpoint: str) -> StreamingQuery:
-    """Works through a stream of tasks (domain, task_id, trial), batch by batch: what earlier runs completed is left out,
-    results are appended, and only then the batch's keys are added to the completed ones.
-
-    A batch that runs twice after a crash finds its keys there, or works again what it had not finished."""
-
-    def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        todo = readers.pending(batch, readers.completed(spark, keys_path)).persist()
-        work(todo).write.mode("append").json(out)
-        sinks.save_checkpoint(todo, keys_path)
-        todo.unpersist()
-
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
