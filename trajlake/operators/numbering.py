@@ -1,52 +1,43 @@
 """Running sums and row numbers over a whole table without a window over it in one task.
 
-Rows are cut into ranges of the order's first column at approximate quantiles.  A running sum inside a range is a
-window of that range; the sums of the ranges before it are a table of a few hundred numbers.
+Spark deals the rows by ranges of the whole order, whose bounds it samples, and sorts each range; equal keys may lie in
+two ranges.  The dealt rows are written once, so that a row's range and its place there stay what they are.  A number is
+the place plus the rows of the ranges before: a table of one row for each range, which is broadcast.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
 
-#: Ranges at most: what the driver holds, and tasks that share the work.
-RANGES = 256
+from trajlake.storage import written
 
 
-def _place(rows: DataFrame, column: str) -> Column:
-    """A number that grows with the column: itself, or a text's first six bytes."""
-    kind = rows.schema[column].dataType
-    if isinstance(kind, NumericType):
-        return F.col(column).cast("double")
-    if isinstance(kind, StringType):
-        head = F.substring(F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0"), 1, 12)
-        return F.conv(head, 16, 10).cast("double")
-    return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+def _dealt(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with their range (``_part``, rising with the order) and place in it (``_at``, from 0), nulls first."""
+    keys = [*order, "_tie"]
+    ranged = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+    return written(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
 
 
-def running_sum(rows: DataFrame, order: list[str], value: Column, name: str, ranges: int = RANGES) -> DataFrame:
+def _before(dealt: DataFrame, value: Column) -> DataFrame:
+    """(_part, _offset): the sum of ``value`` over all earlier ranges; a row for each range."""
+    ordered = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_part").agg(F.sum(value).alias("_s"))
+    return F.broadcast(sums.select("_part", F.coalesce(F.sum("_s").over(ordered), F.lit(0)).alias("_offset")))
+
+
+def running_sum(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
     """``rows`` with ``name``, the sum of ``value`` (a column of the rows) up to and with each row in the given order.
 
-    ``order`` should be unique; its first column (number, text or time) should not repeat much, since rows that share
-    it are one task's.  Nulls come first.  Two passes over the rows; the driver holds ``ranges`` numbers."""
-    place = _place(rows, order[0])
-    cuts = rows.agg(F.percentile_approx(place, [k / ranges for k in range(1, ranges)], 10 * ranges).alias("c")).first()["c"] or []
-    bounds = sorted(set(cuts))
-    split = F.when(place.isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= place)) + 1) if bounds else F.lit(0)
-    dealt = rows.withColumns({"_range": split, "_value": value})
-    sums = {r["_range"]: r["s"] for r in dealt.groupBy("_range").agg(F.sum("_value").alias("s")).collect()}
-    before, total = [], None
-    for k in sorted(sums):
-        if total is not None:
-            before += [F.lit(k), F.lit(total)]
-        total = sums[k] if total is None else total + sums[k]
-    offset = F.coalesce(F.try_element_at(F.create_map(*before), F.col("_range")), F.lit(0)) if before else F.lit(0)
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.withColumn(name, F.sum("_value").over(inside) + offset).drop("_range", "_value")
+    Nulls come first; rows of equal order come in any."""
+    dealt = _dealt(rows.withColumn("_value", value), order)
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumn("_inside", F.sum("_value").over(inside)).join(_before(dealt, F.col("_value")), "_part")
+    return summed.select(*rows.columns, (F.col("_inside") + F.col("_offset")).alias(name))
 
 
 def numbered(rows: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
-    """``rows`` with their place in the given order, from ``first``."""
-    out = running_sum(rows, order, F.lit(1).cast("long"), name)
-    return out.withColumn(name, (F.col(name) + (first - 1)).cast("long"))
+    """``rows`` with their place in the given order, from ``first``; no window at all."""
+    dealt = _dealt(rows, order)
+    return dealt.join(_before(dealt, F.lit(1)), "_part").select(*rows.columns, (F.col("_at") + F.col("_offset") + first).cast("long").alias(name))

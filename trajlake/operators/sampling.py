@@ -110,10 +110,27 @@ def scaling_subsets(rows: DataFrame, scales: tuple[int, ...], key: str, seed: in
 
 
 def stratified_sample(rows: DataFrame, stratum: str, shares: dict[str, int], key: str, seed: int) -> DataFrame:
-    """Up to ``shares[s]`` rows of each stratum."""
+    """Up to ``shares[s]`` rows of each stratum: those of the smallest hashes.
+
+    A threshold on the hash, chosen by the stratum's size, lets through a few more rows than are wanted; only those are
+    ranked, so no task sorts a stratum.  Where chance has let through too few, the threshold is raised."""
+    sizes = {r["s"]: r["n"] for r in rows.where(F.col(stratum).isin(*shares)).groupBy(F.col(stratum).alias("s")).agg(F.count("*").alias("n")).collect()}
+    bounds = {s: min(1.0, (n + 6 * n**0.5 + 20) / sizes[s]) for s, n in shares.items() if s in sizes}
+    if not bounds:
+        return rows.limit(0)
+    named = lambda values: F.element_at(F.create_map(*[x for s, v in values.items() for x in (F.lit(s), F.lit(v))]), F.col(stratum))
+    u = uniform(key, seed)
+    while True:
+        near = rows.where(F.col(stratum).isin(*bounds)).where(u < named(bounds))
+        if all(b == 1.0 for b in bounds.values()):
+            break
+        found = {r["s"]: r["n"] for r in near.groupBy(F.col(stratum).alias("s")).agg(F.count("*").alias("n")).collect()}
+        short = [s for s, b in bounds.items() if b < 1.0 and found.get(s, 0) < shares[s]]
+        if not short:
+            break
+        bounds |= {s: min(1.0, 2 * bounds[s]) for s in short}
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(shuffle_key(key, seed), key))
-    want = F.element_at(F.create_map(*[x for s, n in shares.items() for x in (F.lit(s), F.lit(n))]), F.col(stratum))
-    return rows.where(F.col(stratum).isin(*shares)).withColumn("_rank", rank).where(F.col("_rank") <= want).drop("_rank")
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= named({s: shares[s] for s in bounds})).drop("_rank")
 
 
 def sampled_configs(patterns: DataFrame, weights: dict[str, float], n: int, stratum: str, key: str, seed: int) -> DataFrame:
@@ -188,12 +205,19 @@ def endpoint(task_number: Column, endpoints: int) -> Column:
 def turn_order(rows: DataFrame, group: str, order: str, name: str = "place") -> DataFrame:
     """``rows`` with their place, from 0, when the groups take turns in alphabetical order.
 
-    A row's place follows from its number in its group and the sizes of all groups (few), so nothing is sorted as a whole."""
-    number = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    A row's place follows from its number in its group and the sizes of all groups (few); the numbers come from the order
+    of all rows by group, which no group's size makes one task's."""
     sizes = [(r[group], r["n"]) for r in rows.groupBy(group).agg(F.count("*").alias("n")).orderBy(group).collect()]
     before = sum((F.least(F.lit(n), F.col("_n") - 1) for _, n in sizes), F.lit(0))
     same = sum((((F.lit(n) >= F.col("_n")) & (F.lit(g) < F.col(group))).cast("int") for g, n in sizes), F.lit(0))
-    return rows.withColumn("_n", number).withColumn(name, (before + same).cast("long")).drop("_n")
+    starts, reached = [], 0
+    for g, n in sizes:
+        starts += [F.lit(g), F.lit(reached)]
+        reached += n
+    if not sizes:
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    placed = numbered(rows, [group, order], "_all", first=1)
+    return placed.withColumn("_n", F.col("_all") - F.element_at(F.create_map(*starts), F.col(group))).withColumn(name, (before + same).cast("long")).drop("_n", "_all")
 
 
 #: The data sets of the experiments, by the parts that they hold.
