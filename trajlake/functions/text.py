@@ -96,6 +96,26 @@ def tool_response(content: Column, need_name: bool = False) -> Column:
     return F.when(fine & F.get_json_object(content, "$.name").isNotNull() if need_name else fine, parts)
 
 
+def first_object(content: Column) -> Column:
+    """(text, end) of the JSON object that a text begins with, whatever follows it; null if it begins with none, is cut off
+    inside it, or what its brackets enclose is no JSON (or has a key twice).  ``end`` is the number of characters.
+
+    The text is read as tokens, which are whole strings, single brackets, and what lies between; a fold carries the place
+    and the depth, and the object ends where the depth comes back to zero."""
+    tokens = F.regexp_extract_all(content, F.lit(r'(?s)"(?:[^"\\]|\\.)*+"|[{}\[\]]|[^"{}\[\]]++|"'), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
+
+    def step(s: Column, token: Column) -> Column:
+        at = s["at"] + F.length(token)
+        depth = s["depth"] + F.when(token.isin("{", "["), 1).when(token.isin("}", "]"), -1).otherwise(0)
+        return F.struct(at.alias("at"), depth.alias("depth"), F.when(s["end"] > 0, s["end"]).when((depth == 0) & token.isin("}", "]"), at).otherwise(0).alias("end"))
+
+    end = F.aggregate(tokens, start, step)["end"]
+    found = once(end, lambda e: F.when(e > 0, F.struct(F.substring(content, F.lit(1), e).alias("text"), e.alias("end"))))
+    whole = once(found, lambda f: F.when(F.try_parse_json(f["text"]).isNotNull(), f))
+    return F.when(F.startswith(content, F.lit("{")), whole)
+
+
 def plausible_response(content: Column) -> Column:
     """Whether a tool message may stand in training data: any text that does not begin like an object; a text whose first
     object parses, whatever follows it; or one that was cut off behind the keys of a result."""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.functions.scoring import ratio
 from trajlake.functions.text import is_connection_error
+from trajlake.operators.numbering import numbered
 from trajlake.operators.sequence import error_runs
 
 # Counters of a synthetic record, and the reason that means a run was cut off.
@@ -153,8 +154,6 @@ def notes_statistics(tasks: DataFrame) -> DataFrame:
 def cost_report(usage: DataFrame, input_price: float, output_price: float) -> DataFrame:
     """(component, input_tokens, output_tokens, calls, cost, percentage) from (component, input_tokens, output_tokens);
     prices are for a million tokens.  Components are few: their total is a window over them."""
-    from pyspark.sql import Window
-
     sums = usage.groupBy("component").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("calls"))
     cost = F.col("input_tokens") / 1_000_000 * input_price + F.col("output_tokens") / 1_000_000 * output_price
     priced = sums.withColumn("cost", cost)
@@ -195,10 +194,24 @@ def tools_of_kinds(tasks: DataFrame, kinds: DataFrame) -> DataFrame:
 def top_examples(db: DataFrame, n: int, *keys: str) -> DataFrame:
     """(keys, examples): the ``n`` most frequent errors of each group as texts, ties by text.
 
-    First of each template's salt, then of the group, so that no task sorts a whole group."""
+    Spark keeps the first ``n`` of a group in every task before it shuffles, so a large group is no task's."""
     keys = keys or ("domain", "tool")
-    salted = db.withColumn("_salt", F.pmod(F.xxhash64("error"), F.lit(16)))
-    ranked = lambda c: F.slice(F.array_sort(c, lambda a, b: F.when(a["count"] != b["count"], F.when(a["count"] > b["count"], -1).otherwise(1)).when(a["error"] < b["error"], -1).when(a["error"] > b["error"], 1).otherwise(0)), 1, n)
-    parts = salted.groupBy(*keys, "_salt").agg(ranked(F.collect_list(F.struct("count", "error"))).alias("e"))
-    whole = parts.groupBy(*keys).agg(ranked(F.flatten(F.collect_list("e"))).alias("e"))
-    return whole.select(*keys, F.transform("e", lambda e: F.concat(e["error"], F.lit(" (occurred "), e["count"].cast("string"), F.lit(" times)"))).alias("examples"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), "error"))
+    first = db.withColumn("_place", place).where(F.col("_place") <= n)
+    told = F.concat(F.col("error"), F.lit(" (occurred "), F.col("count").cast("string"), F.lit(" times)"))
+    listed = F.array_sort(F.collect_list(F.struct("_place", told.alias("told"))))
+    return first.groupBy(*keys).agg(F.transform(listed, lambda e: e["told"]).alias("examples"))
+
+
+def response_chunks(rows: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
+    """(keys, chunk, responses): each group's rows in order, as lists of ``size`` columns' structs, the last one shorter.
+
+    Groups may be of any size: rows get their place in the order of all rows, a group's first place comes from a grouped
+    minimum, and only a chunk's rows meet."""
+    placed = numbered(rows.select(*keys, *order), [*keys, *order], "_place")
+    starts = placed.groupBy(*keys).agg(F.min("_place").alias("_start"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}"))
+    joined = placed.alias("r").join(starts.alias("s"), same).select(*[F.col(f"r.{c}").alias(c) for c in (*keys, *order)], (F.floor((F.col("_place") - F.col("_start")) / size)).cast("long").alias("chunk"))
+    return joined.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("responses"))

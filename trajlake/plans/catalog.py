@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trajlake.functions import matching, scoring, text
-from trajlake.operators import errors, inject, metrics, sampling, sequence, validate
+from trajlake.operators import errors, inject, metrics, reports, sampling, sequence, validate
 from trajlake.operators.numbering import numbered
 from trajlake.plans.adapters import conversation_messages, event_messages, labelled_runs, order_actions, table
 from trajlake.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  QUERIES is read from here
@@ -665,11 +665,16 @@ def simulation_task_dual_key(spark, d):
     return sims.join(chosen, sims["conv_id"].cast("string") == chosen["key"], "left").select("conv_id", "task_id")
 
 
-@query("SELECT lang AS domain, doc_id % 50 AS task, count(DISTINCT source) AS n_models, string_agg(source || ':' || doc_id, ',' ORDER BY source, doc_id) AS responses FROM documents GROUP BY ALL")
+@query(
+    """WITH r AS (SELECT lang AS domain, doc_id % 50 AS task, source, doc_id, (row_number() OVER (PARTITION BY lang, doc_id % 50 ORDER BY source, doc_id) - 1) // 16 AS chunk FROM documents)
+ SELECT domain, task, chunk, count(DISTINCT source) AS n_models, string_agg(source || ':' || doc_id, ',' ORDER BY source, doc_id) AS responses FROM r GROUP BY ALL"""
+)
 def cogroup_responses(spark, d):
+    """Responses of a task in lists of at most 16, however many there are."""
     docs = table(spark, d, "documents").select(F.col("lang").alias("domain"), (F.col("doc_id") % 50).alias("task"), "source", "doc_id")
-    listed = F.array_sort(F.collect_list(F.struct("source", "doc_id")))
-    return docs.groupBy("domain", "task").agg(F.countDistinct("source").alias("n_models"), F.array_join(F.transform(listed, lambda r: F.concat_ws(":", r["source"], r["doc_id"].cast("string"))), ",").alias("responses"))
+    chunks = reports.response_chunks(docs, ["domain", "task"], ["source", "doc_id"], 16)
+    told = F.array_join(F.transform("responses", lambda r: F.concat_ws(":", r["source"], r["doc_id"].cast("string"))), ",")
+    return chunks.select("domain", "task", "chunk", F.size(F.array_distinct(F.transform("responses", lambda r: r["source"]))).cast("long").alias("n_models"), told.alias("responses"))
 
 
 @query("SELECT p_partkey, 'Dear {customer}, ' || p_name || ' of ' || p_brand || ' costs {price}' AS filled FROM part")
@@ -901,4 +906,4 @@ def parameter_pairs(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_size").cast("string").alias("size")).agg(F.count("*").alias("n")).where("n >= 3")
 
 
-from trajlake.plans import checks, formats  # noqa: E402, F401  they register their queries beside these
+from trajlake.plans import checks, formats, surface  # noqa: E402, F401  they register their queries beside these
