@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlake.functions.text import is_error_response
+from trajlake.functions.text import first_tool_call, is_error_response, response_result
 from trajlake.operators.sampling import shuffle_key, uniform
 
 # The messages of an injected error and its recovery; {param}, {wrong}, {value}, {error} are filled in.
@@ -97,6 +97,21 @@ def splice(messages: DataFrame, injected: DataFrame) -> DataFrame:
     return spread.select("traj_id", number.alias("idx"), "m.role", "m.content")
 
 
+def splice_checked(messages: DataFrame, injected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages of ``splice`` for the trajectories that are still well formed, rejected (traj_id, reason)).
+
+    The spliced trajectories pass the same validator as any others, so an injection that breaks the order of roles or
+    writes a malformed call takes its trajectory out."""
+    from trajlake.operators.validate import message_reason, trajectory_reasons
+
+    spliced = splice(messages, injected)
+    call = first_tool_call(F.col("content"))
+    reason = message_reason(F.col("role"), F.col("content"), call["name"], call["arguments"], response_result(F.col("content")))
+    verdicts = trajectory_reasons(spliced.select("traj_id", "idx", "role", reason.alias("reason")))
+    rejected = verdicts.where("not valid").select("traj_id", "reason")
+    return spliced.join(rejected.select("traj_id"), "traj_id", "left_anti"), rejected
+
+
 def online_injection(flags: Column, most: int, most_in_a_row: int) -> Column:
     """Which of the proposed errors (booleans in call order) are made: at most ``most`` in all and ``most_in_a_row`` in
     succession, after which one call is left alone."""

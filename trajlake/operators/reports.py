@@ -215,3 +215,8 @@ def response_chunks(rows: DataFrame, keys: list[str], order: list[str], size: in
         same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}"))
     joined = placed.alias("r").join(starts.alias("s"), same).select(*[F.col(f"r.{c}").alias(c) for c in (*keys, *order)], (F.floor((F.col("_place") - F.col("_start")) / size)).cast("long").alias("chunk"))
     return joined.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("responses"))
+
+
+def correction_iterations(records: DataFrame, key: str) -> DataFrame:
+    """(key, place, iterations): every record's corrections in order, as a long table of any length."""
+    return records.select(key, F.posexplode("iterations_used").alias("place", "iterations"))

@@ -647,23 +647,32 @@ def category_sample(spark, d):
     return sampling.category_sample(table(spark, d, "part").select(F.col("p_brand").alias("category"), F.col("p_partkey").alias("api")), 5)
 
 
-ROUTES = (("AAA", "BBB", 1.0), ("CCC", "DDD", 3.0))
-PERSONAS = (("free", 1.0, None, None), ("thrifty", 1.0, ("basic_economy",), None), ("family", 2.0, None, ("3", "4", "5")))
+_CUT = "sum(w) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)"
 
 
 @query(
-    f"""WITH u AS (SELECT i AS config, {", ".join(f"{u_sql('i', 9 + k)} AS u{k}" for k in range(9))} FROM range(200) t(i)),
- p AS (SELECT *, CASE WHEN u0 < 0.5 THEN 'family' WHEN u0 < 0.75 THEN 'free' ELSE 'thrifty' END AS persona FROM u)
+    f"""WITH u AS (SELECT i AS config, {", ".join(f"{u_sql('i', 9 + k)} AS u{k}" for k in range(9))} FROM (SELECT unnest(range((SELECT count(*) FROM customer))) AS i)),
+ seg AS (SELECT k, {_CUT} / sum(w) OVER () AS high, ({_CUT} - w) / sum(w) OVER () AS low FROM (SELECT c_mktsegment AS k, count(*) AS w FROM customer GROUP BY 1)),
+ leg AS (SELECT n_nationkey, n_name AS origin, lead(n_name, 1, first_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS destination FROM (SELECT *, first_value(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS first_name FROM nation)),
+ rt AS (SELECT origin, destination, {_CUT} / sum(w) OVER () AS high, ({_CUT} - w) / sum(w) OVER () AS low FROM (SELECT origin, destination, origin || '>' || destination AS k, count(*) AS w FROM leg JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2)),
+ p AS (SELECT u.*, seg.k AS persona, origin, destination FROM u JOIN seg ON u0 >= seg.low AND u0 < seg.high JOIN rt ON u1 >= rt.low AND u1 < rt.high)
  SELECT config, persona, CASE WHEN u4 < 0.3 THEN 'simple' WHEN u4 < 0.8 THEN 'medium' ELSE 'complex' END AS complexity,
- strftime(DATE '2024-05-15' + CAST(CASE WHEN u2 < 0.2 THEN 1 + floor(u3 * 7) WHEN u2 < 0.7 THEN 14 + floor(u3 * 32) ELSE 90 + floor(u3 * 91) END AS INTEGER), '%Y-%m-%d') AS date,
- CASE WHEN u1 < 0.25 THEN 'AAA' ELSE 'CCC' END AS origin, CASE WHEN u1 < 0.25 THEN 'BBB' ELSE 'DDD' END AS destination,
- CASE WHEN persona = 'thrifty' THEN 'basic_economy' WHEN u5 < 0.3 THEN 'basic_economy' WHEN u5 < 0.8 THEN 'economy' ELSE 'business' END AS cabin,
- CASE WHEN persona = 'family' THEN 3 + CAST(floor(u8 * 3) AS INTEGER) WHEN u7 < 0.6 THEN 1 WHEN u7 < 0.8 THEN 2 WHEN u7 < 0.9 THEN 3 WHEN u7 < 0.97 THEN 4 ELSE 5 END AS passengers FROM p"""
+ strftime(DATE '2024-05-15' + CAST(CASE WHEN u2 < 0.2 THEN 1 + floor(u3 * 7) WHEN u2 < 0.7 THEN 14 + floor(u3 * 32) ELSE 90 + floor(u3 * 91) END AS INTEGER), '%Y-%m-%d') AS date, origin, destination,
+ CASE WHEN persona = 'MACHINERY' THEN 'basic_economy' WHEN u5 < 0.3 THEN 'basic_economy' WHEN u5 < 0.8 THEN 'economy' ELSE 'business' END AS cabin,
+ CASE WHEN persona = 'HOUSEHOLD' THEN 3 + CAST(floor(u8 * 3) AS INTEGER) WHEN u7 < 0.6 THEN 1 WHEN u7 < 0.8 THEN 2 WHEN u7 < 0.9 THEN 3 WHEN u7 < 0.97 THEN 4 ELSE 5 END AS passengers FROM p"""
 )
 def diverse_configs(spark, d):
-    routes = spark.createDataFrame(list(ROUTES), "origin string, destination string, weight double")
-    personas = spark.createDataFrame([(p, w, list(c) if c else None, list(n) if n else None) for p, w, c, n in PERSONAS], "persona string, weight double, cabins array<string>, party array<string>")
-    return generate.diverse_configs(spark, 200, routes, personas, "2024-05-15", 9)
+    """A task for each customer: personas by the market segments' sizes, routes within regions by the origins' suppliers."""
+    segment = F.col("c_mktsegment")
+    customers = table(spark, d, "customer")
+    personas = customers.groupBy(segment.alias("persona")).agg(F.count("*").cast("double").alias("weight"))
+    bound = lambda name, values: F.when(F.col("persona") == name, F.array(*map(F.lit, values)))
+    personas = personas.select("*", bound("MACHINERY", ["basic_economy"]).alias("cabins"), bound("HOUSEHOLD", ["3", "4", "5"]).alias("party"))
+    near = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    onward = F.coalesce(F.lead("n_name").over(near), F.first("n_name").over(near))
+    legs = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("origin"), onward.alias("destination"))
+    routes = table(spark, d, "supplier").join(legs, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("origin", "destination").agg(F.count("*").cast("double").alias("weight"))
+    return generate.diverse_configs(spark, customers.count(), routes, personas, "2024-05-15", 9)
 
 
 @query(

@@ -216,19 +216,18 @@ def pending(work: DataFrame, done: DataFrame) -> DataFrame:
     return work.join(done, ["domain", "task_id", "trial"], "left_anti")
 
 
-_VARIABLE = re.compile(r"\$\{(\w+)(?::-([^}]*))?\}")
+def expand(settings: Any, environment: dict[str, str] | None = None) -> Any:
+    """Settings with ``${NAME}`` and ``${NAME:-default}`` filled in from the environment (no value, no default: empty).
 
+    The settings' JSON text is filled in as a whole and parsed again: a default stands there as JSON already, a value of
+    the environment is escaped first.  What JSON does not know, such as a date, becomes text."""
+    known = os.environ if environment is None else environment
 
-def expand(value: Any, environment: dict[str, str] | None = None) -> Any:
-    """``${NAME}`` and ``${NAME:-default}`` in every text of a nested value."""
-    env = os.environ if environment is None else environment
-    if isinstance(value, str):
-        return _VARIABLE.sub(lambda m: env.get(m[1], m[2] or ""), value)
-    if isinstance(value, dict):
-        return {k: expand(v, env) for k, v in value.items()}
-    if isinstance(value, list):
-        return [expand(v, env) for v in value]
-    return value
+    def filled(found: re.Match[str]) -> str:
+        name, _, default = found["variable"].partition(":-")
+        return json.dumps(known[name])[1:-1] if name in known else default
+
+    return json.loads(re.sub(r"\$\{(?P<variable>\w+(:-[^}]*)?)\}", filled, json.dumps(settings, default=str)))
 
 
 def settings(spark: SparkSession, path: str, environment: dict[str, str] | None = None) -> dict[str, Any]:
@@ -245,6 +244,7 @@ def settings(spark: SparkSession, path: str, environment: dict[str, str] | None
     return expand(yaml.safe_load(text) or {}, environment)
 
 
+# The names of the settings below and their defaults are those of the settings files.
 class _Config:
     """Settings from a mapping: overrides that are not None win, unknown keys are refused."""
 
@@ -335,6 +335,9 @@ class GenerationConfig(_Config):
     require_all_actions: bool = True
 
 
+# End of fixed values.
+
+
 def redacted(value: Any) -> Any:
     """A nested setting without its secrets, for writing it down."""
     if isinstance(value, dict):
