@@ -40,6 +40,33 @@ def connected_components(links: DataFrame) -> DataFrame:
     return members.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def block_stars(links: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, of a column, row that stands for its component) for all rows and columns of a boolean matrix that have
+    links, but for the rows that stand for others; with ``same`` rows and columns are the same nodes.
+
+    Components grow by whole sets of rows and columns, so a dense block takes a few steps whatever its number of links."""
+    rows, cols = links.any(axis=1), np.zeros(links.shape[1], bool)
+    found = [np.zeros((0, 3), np.int64)]
+    for first in np.flatnonzero(rows).tolist():
+        if not rows[first]:
+            continue
+        rows[first] = False
+        ahead = np.array([first])
+        while len(ahead):
+            reached = links[ahead].any(axis=0)
+            if same:
+                ahead = np.flatnonzero(reached & rows)
+            else:
+                fresh = np.flatnonzero(reached & ~cols)
+                cols[fresh] = True
+                found.append(np.stack([fresh, np.ones_like(fresh), np.full_like(fresh, first)], axis=1))
+                ahead = np.flatnonzero(rows & links[:, fresh].any(axis=1)) if len(fresh) else fresh
+            rows[ahead] = False
+            found.append(np.stack([ahead, np.zeros_like(ahead), np.full_like(ahead, first)], axis=1))
+    out = np.concatenate(found)
+    return out[:, 0], out[:, 1].astype(bool), out[:, 2]
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     """Indices of edges (a[k], b[k]) that span the same components, by union-find."""
     parent: dict[int, int] = {}

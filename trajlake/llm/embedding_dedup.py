@@ -8,8 +8,8 @@ guests no link is lost at a cell's border.
 A cell's vectors are packed into blocks, one row each, by their angle to the centre in steps of the link's angle (a
 shell), and by hash where a shell is large; the guests that a block has in another cell are packed likewise.  By the
 triangle inequality only blocks of the same or neighbouring shells can hold links.  Home blocks meet each other and the
-cell's guests once; every meeting is one product of two matrices in double precision and returns counts of links and a
-spanning forest of them, never the pairs.
+cell's guests once; every meeting is one product of two matrices in double precision and returns counts of links and the
+stars of their components, never the pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.llm.common import discard, hash_sample, materialize, union_all
-from trajlake.llm.components import connected_components, forest
+from trajlake.llm.components import block_stars, connected_components
 
 COSINE = 0.93
 #: Vectors that k-means is fitted on (about; at most twice as many), the bytes they may take, and those a cell is fitted on.
@@ -94,7 +94,6 @@ def _pack(group: pd.DataFrame) -> pd.DataFrame:
 def _guests(centres: np.ndarray, cosine: float):
     """The vectors of a block that may have partners in a lower cell (a pair meets in the lower of its two cells)."""
     reach = float(np.sqrt(1 - cosine**2)) + 1e-9
-    apart = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)
     names = [c.split()[0] for c in PACK.split(", ")]
 
     def run(batches):
@@ -103,7 +102,8 @@ def _guests(centres: np.ndarray, cosine: float):
                 x = np.frombuffer(row["units"]).reshape(row["n"], -1)
                 nodes, copies = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["copies"], np.int64)
                 near, home = x @ centres.T, row["cell"]
-                guest = near[:, [home]] - near <= reach * apart[home]
+                apart = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres[home]))) + 1e-7  # rounding may only make more guests
+                guest = near[:, [home]] - near <= reach * apart
                 found = []
                 for cell in np.flatnonzero(guest[:, :home].any(axis=0)).tolist():
                     on = np.flatnonzero(guest[:, cell])
@@ -137,11 +137,10 @@ def _product(cosine: float):
                     nodes.append(who[n > 0])
                     counts.append(n[n > 0])
                     others.append(np.full(int((n > 0).sum()), -1))
-                a, b = np.nonzero(np.triu(links) if row["same"] else links)
-                kept = forest(ids[a], partners[b])
-                nodes.append(ids[a[kept]])
-                counts.append(np.zeros(len(kept), np.int64))
-                others.append(partners[b[kept]])
+                index, column, stands = block_stars(links, row["same"])
+                nodes.append(np.where(column, partners[np.minimum(index, len(partners) - 1)], ids[np.minimum(index, len(ids) - 1)]))
+                counts.append(np.zeros(len(index), np.int64))
+                others.append(ids[stands])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (nodes, counts, others)], names=["node", "n", "other"])
 
     return run
@@ -180,7 +179,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: s
 
 
 def _links_of(nodes: DataFrame, d: int, n: int, cosine: float, sample: int, cell_rows: int, block_rows: int) -> DataFrame:
-    """(node, n, other) of nodes with ``d`` components, at most ``n`` of a label: numbers of links, and links of a forest."""
+    """(node, n, other) of nodes with ``d`` components, at most ``n`` of a label: numbers of links, and links that span the components."""
     sample = max(FITTED_ROWS, min(sample, SAMPLE_BYTES // (8 * d)))
     picked = hash_sample(nodes, "node", sample).select("v").collect()  # bounded by rows and by bytes
     centres = spherical_kmeans(unit(np.array([r["v"] for r in picked], float)), max(1, min(-(-n // cell_rows), len(picked) // FITTED_ROWS)))
