@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, is_dataclass
 from typing import Any
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.sources.readers import redacted
+from trajlake.storage import remove
 
 
 def write_jsonl(rows: DataFrame, path: str, append: bool = False, ascii_only: bool = False) -> None:
@@ -45,6 +47,62 @@ def write_partitioned(rows: DataFrame, path: str, *keys: str) -> None:
     salted.write.mode("overwrite").partitionBy(*keys).json(path)
 
 
+def _store(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _leaves(store: Any, at: Any, depth: int) -> list[str]:
+    """Paths ``depth`` folders below a folder, as text from there; what begins with a dot or an underscore is passed over."""
+    names = [f.getPath() for f in store.listStatus(at)]
+    shown = [p for p in names if not p.getName().startswith(("_", "."))]
+    return [p.getName() for p in shown] if depth == 1 else [f"{p.getName()}/{rest}" for p in shown for rest in _leaves(store, p, depth - 1)]
+
+
+def write_runs(rows: DataFrame, path: str, *keys: str) -> list[str]:
+    """``write_partitioned``, so that a run's folder appears whole or not at all; the folders written, in order.
+
+    All runs are written to a folder beside them first; a failure there leaves nothing.  Then each is put in its place by
+    a rename, one run after the other; a run that is there already is exchanged.  ``restore_runs`` ends what a crash
+    between the renames has left: each run is then the old or the new one, and whole."""
+    spark = rows.sparkSession
+    work = f"{path}/_work-{uuid.uuid4().hex}"
+    try:
+        write_partitioned(rows, work, *keys)
+    except BaseException:
+        remove(spark, work)
+        raise
+    source, store = _store(spark, work)
+    runs = sorted(_leaves(store, source, len(keys)))
+    for run in runs:
+        place, old = _store(spark, f"{path}/{run}")[0], _store(spark, f"{work}/_old/{run}")[0]
+        store.mkdirs(place.getParent())
+        if store.exists(place):
+            store.mkdirs(old.getParent())
+            store.rename(place, old)
+        if not store.rename(_store(spark, f"{work}/{run}")[0], place):
+            raise RuntimeError(f"run {run} could not be put in its place")
+    remove(spark, work)
+    return runs
+
+
+def restore_runs(spark: SparkSession, path: str, keys: int = 1) -> list[str]:
+    """After a crash in ``write_runs``: puts back runs that had left their place when nothing had come instead, and deletes
+    the rest of the work; the runs put back."""
+    top, store = _store(spark, path)
+    back = []
+    for folder in [f.getPath() for f in store.listStatus(top)] if store.exists(top) else []:
+        if folder.getName().startswith("_work-"):
+            old = _store(spark, f"{path}/{folder.getName()}/_old")[0]
+            for run in _leaves(store, old, keys) if store.exists(old) else []:
+                place = _store(spark, f"{path}/{run}")[0]
+                if not store.exists(place):
+                    store.rename(_store(spark, f"{path}/{folder.getName()}/_old/{run}")[0], place)
+                    back.append(run)
+            remove(spark, f"{path}/{folder.getName()}")
+    return sorted(back)
+
+
 def write_failed(rows: DataFrame, path: str, sft_path: str | None = None) -> None:
     """Failed trajectories with their metadata; optionally the plain training form too."""
     meta = F.struct("task_id", "attempt", "reward", "termination")
