@@ -52,6 +52,10 @@ def application_dir(spark: SparkSession) -> str:
     key = (shared_dir(spark), spark.sparkContext.applicationId)
     if key not in _folders:
         _folders[key] = f"{key[0]}/trajlake-tables-{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(_folders[key])
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(at)
+        store.deleteOnExit(at)  # also where the session is stopped before the process ends
         atexit.register(remove, spark, _folders[key])
     return _folders[key]
 
