@@ -24,10 +24,15 @@ _paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def _folder(spark: SparkSession) -> str:
-    """This application's own folder in the shared one; it goes when the driver's process ends."""
+    """This application's own folder in the shared one; it goes when the driver's process ends, or its JVM does if the
+    session has been stopped before."""
     place = shared_dir(spark)
     if place not in _folders:
         _folders[place] = f"{place}/trajlake-{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(_folders[place])
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(at)
+        store.deleteOnExit(at)
         atexit.register(_delete, spark, _folders[place])
     return _folders[place]
 

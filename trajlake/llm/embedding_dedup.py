@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import discard, hash_sample, materialize, union_all
+from trajlake.llm.common import discard, hash_sample, materialize, scratch, union_all
 from trajlake.llm.components import block_stars, connected_components
 
 COSINE = 0.93
@@ -155,21 +155,22 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: s
     is at home in the first; a cosine of exactly the threshold is a link.  An empty table gives an empty result; other
     columns are ignored, whatever their names.
     """
-    rows = usable(vectors, id_col, vector_col, label_col)
-    grouped = rows.groupBy("label", "v").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
-    nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()))
-    sizes = nodes.groupBy(F.size("v").alias("d"), "label").agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).orderBy("d").collect()
-    links = [_links_of(nodes.where(F.size("v") == r["d"]), r["d"], r["n"], cosine, sample, cell_rows, block_rows) for r in sizes]
-    if links:
-        found = union_all(links)
-        counts = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
-        classes = connected_components(found.where("other >= 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
-        named = nodes.join(counts, "node", "left").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        heads = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        named = materialize(named.join(heads, "component").select("label", "v", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-        discard(nodes, *links)
-    else:
-        named = nodes.select("label", "v", F.col("first_id").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
+    with scratch() as kept:
+        rows = usable(vectors, id_col, vector_col, label_col)
+        grouped = rows.groupBy("label", "v").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+        nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()))
+        sizes = nodes.groupBy(F.size("v").alias("d"), "label").agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).orderBy("d").collect()
+        links = [_links_of(nodes.where(F.size("v") == r["d"]), r["d"], r["n"], cosine, sample, cell_rows, block_rows) for r in sizes]
+        if links:
+            found = union_all(links)
+            counts = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
+            classes = connected_components(found.where("other >= 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
+            named = nodes.join(counts, "node", "left").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            heads = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+            named = materialize(named.join(heads, "component").select("label", "v", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+        else:
+            named = nodes.select("label", "v", F.col("first_id").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
+        kept += [named if links else nodes]
     plain = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
     key = lambda: F.xxhash64(F.col("label"), F.col("v"))
     named = named.select(key().alias("key"), F.col("label").alias("label2"), F.col("v").alias("v2"), "component_id", "n_links")
