@@ -152,7 +152,8 @@ def choose_templates(points: DataFrame, db: DataFrame, seed: int, wanted: Column
 
 
 def rule_errors(points: DataFrame, db: DataFrame, seed: int) -> DataFrame:
-    """An error for each call: (key, domain, tool, arguments, wrong, error, recovery), arguments and wrong as JSON text.
+    """An error for each call: (key, domain, tool, arguments, wrong, error, recovery, template), arguments and wrong as JSON
+    text; template is null where the error is not of the database.
 
     A recoverable template of the database, filled with the call's arguments; else one argument corrupted and one of the
     three messages for it.  Calls without arguments, or whose arguments are no object, get none.  ``points``: key, domain,
@@ -168,7 +169,7 @@ def rule_errors(points: DataFrame, db: DataFrame, seed: int) -> DataFrame:
     message = F.replace(F.replace(pick(F.array(*map(F.lit, ERROR_MESSAGES)), F.col("_m")), F.lit("{param}"), F.col("_param")), F.lit("{wrong}"), text_or_empty(value))
     thought = F.concat(F.lit("The value '"), text_or_empty(value), F.lit("' for "), F.col("_param"), F.lit(" was wrong; it should be '"), bare(F.element_at("_a", F.col("_param"))), F.lit("'. I will correct it and retry."))
     error = F.when(F.col("template").isNull(), message).otherwise(fill)
-    return step.select("key", "domain", "tool", "arguments", render(F.col("_wrong")).alias("wrong"), error.alias("error"), F.when(F.col("template").isNull(), thought).otherwise(recovery_thought(fill)).alias("recovery"))
+    return step.select("key", "domain", "tool", "arguments", render(F.col("_wrong")).alias("wrong"), error.alias("error"), F.when(F.col("template").isNull(), thought).otherwise(recovery_thought(fill)).alias("recovery"), "template")
 
 
 def _options(templates: DataFrame, kind: str) -> DataFrame:

@@ -41,15 +41,17 @@ def overall_macro(spark, d):
 
 
 @query(
-    f"""WITH {RUNS}, spine AS (SELECT dom.domain, r.run_id FROM (VALUES ('en'), ('fr'), ('xx')) dom(domain), (VALUES (0), (1), (2), (3)) r(run_id)),
+    f"""WITH {RUNS}, spine AS (SELECT dom.domain, r.run_id FROM (SELECT DISTINCT domain FROM lab) dom, (VALUES (0), (1), (2), (3), (4)) r(run_id)),
  scores AS (SELECT s.domain, s.run_id, CAST(round(CAST(coalesce(runs.success_rate, 0.0) AS DECIMAL(38,12)), 2) AS DOUBLE) AS score FROM spine s LEFT JOIN runs ON runs.domain = s.domain AND runs.run_id = s.run_id)
- SELECT run_id, max(score) FILTER (domain = 'en') AS en, max(score) FILTER (domain = 'fr') AS fr, max(score) FILTER (domain = 'xx') AS xx,
- CAST(round(CAST((max(score) FILTER (domain = 'en') + max(score) FILTER (domain = 'fr') + max(score) FILTER (domain = 'xx')) / 3 AS DECIMAL(38,12)), 2) AS DOUBLE) AS avg_per_run FROM scores GROUP BY run_id""",
+ SELECT run_id, max(score) FILTER (domain = 'de') AS de, max(score) FILTER (domain = 'en') AS en, max(score) FILTER (domain = 'es') AS es, max(score) FILTER (domain = 'fr') AS fr,
+ CAST(round(CAST(sum(score) / 4 AS DECIMAL(38,12)), 2) AS DOUBLE) AS avg_per_run FROM scores GROUP BY run_id""",
     "lab",
 )
 def scores_pivot_zero_filled(spark, d):
-    domains = ["en", "fr", "xx"]
-    return metrics.scores_pivot(metrics.scores_by_run(metrics.run_results(labelled_runs(spark, d)), domains, 4), domains)
+    """All languages that occur, and a fifth run that no language has: zeros."""
+    runs = labelled_runs(spark, d)
+    domains = [r["domain"] for r in runs.select("domain").distinct().orderBy("domain").collect()]  # few languages
+    return metrics.scores_pivot(metrics.scores_by_run(metrics.run_results(runs), domains, 5), domains)
 
 
 @query(
@@ -395,10 +397,15 @@ def sft_merge_tool_results(spark, d):
     return sequence.merge_tool_results(rows).select("traj_id", F.col("idx").cast("long").alias("idx"), "role", "content")
 
 
-@query("SELECT conv_id AS traj_id, turn AS idx, role, text AS content FROM conversations WHERE role IN ('system', 'user', 'assistant') AND conv_id % 5 <> 0")
+@query(
+    "WITH v AS (SELECT traj_id, arg_max(role, idx) = 'assistant' AS valid FROM conv GROUP BY traj_id) SELECT traj_id, idx, role, content FROM conv JOIN v USING (traj_id) WHERE valid AND role IN ('system', 'user', 'assistant')",
+    "conv",
+)
 def sft_project(spark, d):
-    rows = conversation_messages(spark, d).withColumn("valid", F.when(F.col("traj_id") % 5 == 0, False))
-    return rows.where(F.coalesce("valid", F.lit(True)) & F.col("role").isin("system", "user", "assistant")).select("traj_id", "idx", "role", "content")
+    """Messages of the conversations that end with an answer."""
+    rows = conversation_messages(spark, d)
+    verdicts = rows.groupBy("traj_id").agg((F.max_by("role", "idx") == "assistant").alias("valid"))
+    return rows.join(verdicts, "traj_id").where(F.coalesce("valid", F.lit(True)) & F.col("role").isin("system", "user", "assistant")).select("traj_id", "idx", "role", "content")
 
 
 @query(
@@ -506,9 +513,11 @@ def recoverable_error_filter(spark, d):
     return event_messages(spark, d).select("event_id", text.is_recoverable(message).alias("recoverable"))
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text, '.'), lambda s: trim(s, ' ') <> '')) > 5 OR length(text) > 300 AS too_long FROM documents WHERE lang = 'en'")
+@query("SELECT lang, count(*) AS n, count(*) FILTER (len(list_filter(string_split(text, '.'), lambda s: trim(s, ' ') <> '')) > 5) AS many_sentences, count(*) FILTER (length(text) > 300) AS long FROM documents GROUP BY lang")
 def user_reply_rules(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", text.reply_too_long(F.col("text")).alias("too_long"))
+    """How many texts of each language break each of the two rules."""
+    c = F.col("text")
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(text.sentence_count(c) > 5).alias("many_sentences"), F.count_if(F.length(c) > 300).alias("long"))
 
 
 @query("SELECT doc_id, len(list_filter(string_split(text, '.'), lambda s: trim(s, ' ') <> '')) > 5 OR length(text) > 300 AS too_long FROM documents")
@@ -595,13 +604,13 @@ def truncate_at_last_call(spark, d):
 
 
 @query(
-    """SELECT traj_id, string_agg(role || '=' || left(content, 20), ';' ORDER BY idx) AS context FROM (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY idx DESC) AS back FROM evt) WHERE back <= 6 GROUP BY traj_id""",
-    "evt",
+    """SELECT traj_id, string_agg(role || '=' || left(content, 200), ';' ORDER BY idx) AS context FROM (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY idx DESC) AS back FROM conv) WHERE back <= 3 GROUP BY traj_id""",
+    "conv",
 )
 def context_last_k(spark, d):
-    m = event_messages(spark, d).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("idx", "role", "content"))).alias("m"))
-    tail = text.context_tail(F.col("m"), 6, 20)
-    return m.select("traj_id", F.array_join(F.transform(tail, lambda x: F.concat(x["role"], F.lit("="), x["content"])), ";").alias("context"))
+    """The last three messages of each conversation, with the operator's own 200 characters a message."""
+    m = conversation_messages(spark, d).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("idx", "role", "content"))).alias("m"))
+    return m.select("traj_id", F.array_join(F.transform(text.context_tail(F.col("m"), 3), lambda x: F.concat(x["role"], F.lit("="), x["content"])), ";").alias("context"))
 
 
 @query(

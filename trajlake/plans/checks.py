@@ -284,8 +284,7 @@ def _points(spark, d):
 )
 def rule_error_rows(spark, d):
     """Recoverable errors of the database by count, arguments changed to fit; corrupted arguments where there are none."""
-    chosen = faults.choose_templates(_points(spark, d), _database(spark, DB), 3).select("key", "template")
-    return faults.rule_errors(_points(spark, d), _database(spark, DB), 3).join(chosen, "key").select("key", "template", "wrong", "error")
+    return faults.rule_errors(_points(spark, d), _database(spark, DB), 3).select("key", "template", "wrong", "error")
 
 
 @query(f"WITH {POINTS} SELECT key, CASE WHEN tool = 'click' THEN CASE WHEN {u_sql('key', 3)} < 0.25 THEN 'a' ELSE 'b' END END AS template FROM p", "evt")
