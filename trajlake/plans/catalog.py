@@ -915,4 +915,4 @@ def parameter_pairs(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_size").cast("string").alias("size")).agg(F.count("*").alias("n")).where("n >= 3")
 
 
-from trajlake.plans import checks, formats, surface  # noqa: E402, F401  they register their queries beside these
+from trajlake.plans import checks, formats, jobs, surface  # noqa: E402, F401  they register their queries beside these

@@ -83,7 +83,7 @@ def ordered_fold(rows: DataFrame, key: str, step: Step, start: tuple, state: str
     dropped, as in any stream with a watermark.  The session needs ``use_ordered_state`` before the stream starts."""
     fields = T.StructType([rows.schema[key], T.StructField("seq", T.LongType()), *T._parse_datatype_string(outputs).fields])
     quiet = None if idle is None else rows.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + interval '{idle}')").first()[0]
-    fed = rows.withWatermark("ts", delay).select(key, "ts", F.unix_micros("ts").alias("at"), F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("flag"), F.lit(False)).alias("flag"))
+    fed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select(key, "ts", F.unix_micros("ts").alias("at"), F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("flag"), F.lit(False)).alias("flag"))
     fold = OrderedFold(step, start, state, fields.names, quiet)
     return fed.groupBy(key).transformWithStateInPandas(fold, fields, "Append", "EventTime")
 
