@@ -35,8 +35,9 @@ from trajlake.llm.textops import as_strings, blocks, hashes, mix, spans
 U64 = np.uint64
 END, START = U64(0x5E17D4A1C3B29F07), U64(0x1C0FFEE5D15EA5E1)
 ODD = U64(0x9E3779B97F4A7C15)
-#: Weight of the shorter history's probability against the counts of a history, for bigrams and trigrams.
-CONCENTRATION = (5.0, 5.0)
+#: Weight of the shorter history's probability against the counts of a history, for bigrams and trigrams; chosen by the score of
+#: held-out texts of sf0.1, log10 a token: -3.43, with (5, 5) -3.81, with absolute discounts -3.69, with words alone -4.19.
+CONCENTRATION = (400.0, 20.0)
 #: Bits that tell a shard's n-grams apart; the bits above them choose the shard.
 NAME_BITS = 40
 #: Bytes of text that make one block, about (a longer text is one block), and tokens that make one shard.
