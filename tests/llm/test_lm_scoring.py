@@ -30,15 +30,16 @@ def brute_force(rows):
             three.update(zip(padded, padded[1:], padded[2:]))
     n, v = sum(one.values()), len(one)
     history = one + starts
+    c2, c3 = lm_scoring.CONCENTRATION
 
     def p1(w):
         return (one[w] + 1) / (n + v + 1)
 
     def p2(h, w):
-        return (two[(h, w)] + 5 * p1(w)) / (history[h] + 5)
+        return (two[(h, w)] + c2 * p1(w)) / (history[h] + c2)
 
     def p3(g, h, w):
-        return (three[(g, h, w)] + 5 * p2(h, w)) / (two[(g, h)] + 5)
+        return (three[(g, h, w)] + c3 * p2(h, w)) / (two[(g, h)] + c3)
 
     out = {}
     for k, (_, text, _) in enumerate(rows):
