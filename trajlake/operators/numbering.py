@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from trajlake.storage import written
 
 
-def _dealt(rows: DataFrame, order: list[str]) -> DataFrame:
+def _dealt(rows: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
     """``rows`` with their range (``_part``, rising with the order) and place in it (``_at``, from 0), nulls first."""
     keys = [*order, "_tie"]
-    ranged = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+    ranged = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*([ranges] if ranges else []), *keys).sortWithinPartitions(*keys).drop("_tie")
     return written(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
 
 
@@ -27,11 +27,11 @@ def _before(dealt: DataFrame, value: Column) -> DataFrame:
     return F.broadcast(sums.select("_part", F.coalesce(F.sum("_s").over(ordered), F.lit(0)).alias("_offset")))
 
 
-def running_sum(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+def running_sum(rows: DataFrame, order: list[str], value: Column, name: str, ranges: int | None = None) -> DataFrame:
     """``rows`` with ``name``, the sum of ``value`` (a column of the rows) up to and with each row in the given order.
 
-    Nulls come first; rows of equal order come in any."""
-    dealt = _dealt(rows.withColumn("_value", value), order)
+    Nulls come first; rows of equal order come in any.  ``ranges``: how many, else as many as a shuffle has partitions."""
+    dealt = _dealt(rows.withColumn("_value", value), order, ranges)
     inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     summed = dealt.withColumn("_inside", F.sum("_value").over(inside)).join(_before(dealt, F.col("_value")), "_part")
     return summed.select(*rows.columns, (F.col("_inside") + F.col("_offset")).alias(name))
