@@ -64,7 +64,7 @@ STAGES = [
     ("packing", apply_packing),
 ]
 
-#: SQL can express neither the classifier nor the packing; tests compare the stages with brute force.
+#: SQL can express neither the classifier nor the packing; tests/llm/test_pipeline_plain.py compares each stage with a plain version.
 ORACLE_SQL = None
 
 
