@@ -39,29 +39,34 @@ _MARK[ord(",")] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 13, 32]] = True
 
-SUMMARY = "file string, block long, parity int, delta0 long, delta1 long, first string, marks array<struct<inside:int,depth:long,opens:long,commas:long>>"
-PIECES = "file string, block long, head boolean, m long, c long, whole boolean, opener string, text binary"
+SUMMARY = "file long, block long, parity int, delta0 long, delta1 long, first string, marks array<struct<inside:int,depth:long,opens:long,commas:long>>"
+PIECES = "file long, block long, head boolean, m long, c long, whole boolean, opener string, text binary"
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame:
+    """(v, file, block): the text up to each closing brace, with its file (a hash: rows are many and names long) and range."""
     rows = spark.read.text(path, lineSep="}")
-    return rows.select(F.col("value").cast("binary").alias("v"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return rows.select(F.col("value").cast("binary").alias("v"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int, np.ndarray]]:
+def _names(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name) of the files, without reading them."""
+    return spark.read.format("binaryFile").load(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("name"))
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(file, range, first row, bytes with the closing braces put back) for rows of one range that follow each other."""
     n = batch.num_rows
     if not n:
         return
-    files = batch.column("file").dictionary_encode()
-    which, block = np.asarray(files.indices), np.asarray(batch.column("block"))
+    which, block = np.asarray(batch.column("file")), np.asarray(batch.column("block"))
     cuts = np.flatnonzero((which[1:] != which[:-1]) | (block[1:] != block[:-1])) + 1
     column = batch.column("v").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), n], strict=True):
         raw = data[offsets[start] : offsets[stop]]
-        yield files.dictionary[int(which[start])].as_py(), int(block[start]), start, np.insert(raw, offsets[start + 1 : stop + 1] - offsets[start], ord("}"))
+        yield int(which[start]), int(block[start]), start, np.insert(raw, offsets[start + 1 : stop + 1] - offsets[start], ord("}"))
 
 
 def _quotes(raw: np.ndarray) -> np.ndarray:
@@ -82,7 +87,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row() -> pa.RecordBatch:
         found = [{"inside": h, "depth": d, "opens": o, "commas": c} for (h, d), (o, c) in marks.items()]
         kind = pa.list_(pa.struct([("inside", pa.int32()), ("depth", pa.int64()), ("opens", pa.int64()), ("commas", pa.int64())]))
-        return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]], pa.int64()), pa.array([parity], pa.int32()), pa.array([delta[0]], pa.int64()), pa.array([delta[1]], pa.int64()), pa.array([first], pa.string()), pa.array([found], kind)], names=["file", "block", "parity", "delta0", "delta1", "first", "marks"])
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int64()), pa.array([parity], pa.int32()), pa.array([delta[0]], pa.int64()), pa.array([delta[1]], pa.int64()), pa.array([first], pa.string()), pa.array([found], kind)], names=["file", "block", "parity", "delta0", "delta1", "first", "marks"])
 
     for batch in batches:
         for file, block, _, raw in _runs(batch):
@@ -134,7 +139,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.append((*now, head, m + 1 if head else m, c, begun and ended, opener, b"".join(buffer)))
 
     def flush() -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.binary()]
         made = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
         out.clear()
         return made
@@ -207,11 +212,11 @@ class SplitJson:
         joined = parts.select("file", "head", "m", "c", "opener", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["text"])).cast("string").alias("text"))
         whole = self._pieces.where("whole").select("file", "head", "m", "c", "opener", F.col("text").cast("string").alias("text")).unionByName(joined)
         name = F.regexp_extract("text", r'"((?:[^"\\]|\\.)*)"\s*:\s*$', 1)
-        heads = whole.where("head").select("file", "m", F.col("c").alias("c0"), F.col("opener").alias("kind"), "text", F.when(F.col("text").rlike(r":\s*$"), F.from_json(F.concat(F.lit('["'), name, F.lit('"]')), "array<string>")[0]).alias("key"))
+        heads = whole.where("head").join(_names(spark, path), "file").select("file", "name", "m", F.col("c").alias("c0"), F.col("opener").alias("kind"), "text", F.when(F.col("text").rlike(r":\s*$"), F.from_json(F.concat(F.lit('["'), name, F.lit('"]')), "array<string>")[0]).alias("key"))
         items = whole.where(~F.col("head") & F.col("text").rlike(r"\S")).select("file", "m", "c", F.trim("text").alias("text"))
-        self.elements = items.join(heads.where("kind is not null").select("file", "m", "c0", "kind", "key"), ["file", "m"]).select("file", "key", "kind", (F.col("c") - F.col("c0")).alias("position"), "text")
+        self.elements = items.join(heads.where("kind is not null").select("file", "name", "m", "c0", "kind", "key"), ["file", "m"]).select(F.col("name").alias("file"), "key", "kind", (F.col("c") - F.col("c0")).alias("position"), "text")
         plain = F.regexp_replace(F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"\s*:\s*$', ""), r"^[\s\x{FEFF}]*[{,]|,\s*$", "")
-        self.values = heads.select("file", F.explode(F.from_json(F.concat(F.lit("{"), plain, F.lit("}")), "map<string,string>")).alias("key", "value"))
+        self.values = heads.select(F.col("name").alias("file"), F.explode(F.from_json(F.concat(F.lit("{"), plain, F.lit("}")), "map<string,string>")).alias("key", "value"))
 
     def close(self) -> None:
         dropped(self._pieces)
