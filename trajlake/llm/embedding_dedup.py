@@ -1,15 +1,17 @@
-"""Near-duplicate vectors: spherical k-means cells, blocked cosine products inside cells, one survivor per group.
+"""Near-duplicate vectors: spherical k-means cells, blocked cosine products, one survivor per group.
 
 Vectors are compared only within their label.  Equal vectors are collapsed first.  Spherical k-means, fitted on a
-bounded sample, gives every vector a home cell.  A link has an angle of at most arccos(0.93), so a vector can only
-have a partner in another cell if it lies that near to the plane between the two centres: it is a guest there.  With
-guests no link is lost at a cell's border.
-
-A cell's vectors are packed into blocks, one row each, by their angle to the centre in steps of the link's angle (a
-shell), and by hash where a shell is large; the guests that a block has in another cell are packed likewise.  By the
-triangle inequality only blocks of the same or neighbouring shells can hold links.  Home blocks meet each other and the
-cell's guests once; every meeting is one product of two matrices in double precision and returns counts of links and the
-stars of their components, never the pairs.
+bounded sample, gives every vector a home cell.  A cell's vectors are packed into blocks, one row each, by their angle
+to the centre in steps of the link's angle (a shell), and by hash where a shell is large.
+
+Every block meets every other of its label once, but for what cannot hold a link.  Blocks of one cell must lie in the
+same or neighbouring shells, by the triangle inequality.  Of blocks of two cells only the guests meet: a link is no longer
+than its chord, so the distances of its ends from the plane between the two centres add up to no more than that; a
+vector farther from it than the chord less the least distance on the other side has no partner there.  With guests no
+link is lost at a cell's border, and none is stored: a label's blocks are dealt into lots, and two lots meet in one
+task, so a block is moved once for each lot of its label.  What meets is compared in single precision with room for its
+rounding, then what may be a link in double precision; only counts of links and the stars of their components are
+returned, never the pairs.
 """
 
 from __future__ import annotations
@@ -17,21 +19,24 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.llm.common import discard, hash_sample, materialize, scratch, union_all
-from trajlake.llm.components import block_stars, connected_components
+from trajlake.llm.components import block_stars, connected_components, forest
 
 COSINE = 0.93
 #: Vectors that k-means is fitted on (about; at most twice as many), the bytes they may take, and those a cell is fitted on.
 SAMPLE = 20_000
 SAMPLE_BYTES = 32 << 20
 FITTED_ROWS = 8
-#: Vectors of one label in a cell, about; in a block; and of the blocks that meet in one task.
+#: Vectors of one label in a cell, about; in a block; and in a lot: an eighth of the label's within these bounds.
 CELL_ROWS = 2_000
 BLOCK_ROWS = 1_000
-MEETING_ROWS = 16_000
+LOT_ROWS = (16_000, 64_000)
+#: Tasks in which lots meet, at most; rows whose cosines with all centres are held at once.
+MEETINGS = 4_000
+NEAR_ROWS = 1_000
 ROUNDS = 8
 
 
@@ -47,7 +52,7 @@ def spherical_kmeans(x: np.ndarray, cells: int, seed: int = 13, rounds: int = RO
     cells = max(1, min(cells, len(x)))
     centres = x[rng.choice(len(x), cells, replace=False)].copy()
     for _ in range(rounds):
-        home = np.argmax(x @ centres.T, axis=1)
+        home = np.concatenate([np.argmax(x[k : k + NEAR_ROWS] @ centres.T, axis=1) for k in range(0, len(x), NEAR_ROWS)])
         sums = np.zeros_like(centres)
         np.add.at(sums, home, x)
         size = np.linalg.norm(sums, axis=1)
@@ -71,77 +76,101 @@ def _shells(near: np.ndarray, cosine: float) -> np.ndarray:
 
 def _assign(centres: np.ndarray, cosine: float):
     def run(batches):
-        for batch in batches:
-            x = unit(np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1))
-            near = x @ centres.T
-            home = np.argmax(near, axis=1)
-            offsets = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
-            own = [pa.array(home.astype(np.int32)), pa.array(_shells(near[np.arange(len(x)), home], cosine)), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1)))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("node", "label", "copies")], *own], names=["node", "label", "copies", "cell", "shell", "u"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, NEAR_ROWS):
+                batch = whole.slice(k, NEAR_ROWS)
+                near = unit(np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1)) @ centres.T
+                home = np.argmax(near, axis=1)
+                own = [pa.array(home.astype(np.int32)), pa.array(_shells(near[np.arange(len(near)), home], cosine))]
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("node", "label", "copies", "v")], *own], names=["node", "label", "copies", "v", "cell", "shell"])
 
     return run
 
 
-PACK = "label string, cell int, shell int, n int, nodes binary, copies binary, units binary"
+PACK = "label string, cell int, shell int, n int, single boolean, nodes binary, copies binary, vectors binary"
 
 
 def _pack(group: pd.DataFrame) -> pd.DataFrame:
-    first = group.iloc[0]
-    parts = [group["node"].to_numpy(np.int64).tobytes(), group["copies"].to_numpy(np.int64).tobytes(), np.stack(group["u"].to_list()).tobytes()]
-    return pd.DataFrame([(first["label"], first["cell"], first["shell"], len(group), *parts)], columns=[c.split()[0] for c in PACK.split(", ")])
-
-
-def _guests(centres: np.ndarray, cosine: float):
-    """The vectors of a block that may have partners in a lower cell (a pair meets in the lower of its two cells)."""
-    reach = float(np.sqrt(1 - cosine**2)) + 1e-9
-    names = [c.split()[0] for c in PACK.split(", ")]
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = np.frombuffer(row["units"]).reshape(row["n"], -1)
-                nodes, copies = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["copies"], np.int64)
-                near, home = x @ centres.T, row["cell"]
-                apart = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres[home]))) + 1e-7  # rounding may only make more guests
-                guest = near[:, [home]] - near <= reach * apart
-                found = []
-                for cell in np.flatnonzero(guest[:, :home].any(axis=0)).tolist():
-                    on = np.flatnonzero(guest[:, cell])
-                    shells = _shells(near[on, cell], cosine)
-                    for shell in np.unique(shells).tolist():
-                        k = on[shells == shell]
-                        found.append((row["label"], cell, shell, len(k), nodes[k].tobytes(), copies[k].tobytes(), x[k].tobytes()))
+    """A block's vectors in one row, in single precision where that loses nothing."""
+    first, x = group.iloc[0], np.stack(group["v"].to_list())
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    single = bool((short == x).all())
+    parts = [group["node"].to_numpy(np.int64).tobytes(), group["copies"].to_numpy(np.int64).tobytes(), (short if single else x).tobytes()]
+    return pd.DataFrame([(first["label"], first["cell"], first["shell"], len(group), single, *parts)], columns=[c.split()[0] for c in PACK.split(", ")])
+
+
+class _Block:
+    """A packed block, its unit vectors, and the numbers of links found."""
+
+    def __init__(self, row, d: int):
+        self.cell, self.shell = int(row.cell), int(row.shell)
+        self.nodes, self.copies = np.frombuffer(row.nodes, np.int64), np.frombuffer(row.copies, np.int64)
+        self.x = unit(np.frombuffer(row.vectors, np.float32 if row.single else np.float64).reshape(-1, d).astype(float))
+        self.short = self.x.astype(np.float32)
+        self.counts = np.zeros(len(self.nodes), np.int64)
+
+
+def _may_link(x: _Block, y: _Block, centres: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rows of two blocks that may have links with the other's; null for none."""
+    if x.cell == y.cell:
+        return None if abs(x.shell - y.shell) > 1 else (np.arange(len(x.nodes)), np.arange(len(y.nodes)))
+    plane = centres[x.cell] - centres[y.cell]
+    chord = (np.sqrt(2 - 2 * cosine) + 1e-7) * np.linalg.norm(plane) + 1e-7  # rounding may only let more rows pass
+    on, off = x.x @ plane, -(y.x @ plane)
+    rows, columns = np.flatnonzero(on + off.min() <= chord), np.flatnonzero(off + on.min() <= chord)
+    return (rows, columns) if len(rows) and len(columns) else None
+
+
+def _meet(x: _Block, y: _Block, centres: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Counts the links of two blocks (of one, if they are the same) and returns links that span their components."""
+    met = _may_link(x, y, centres, cosine)
+    if met is None:
+        return None
+    rows, columns = met
+    slack = 1e-5 + 2e-7 * x.x.shape[1]
+    maybe = x.short[rows] @ y.short[columns].T >= np.float32(cosine - slack)
+    if x is y:
+        np.fill_diagonal(maybe, False)
+    if not maybe.any():
+        return None
+    some, others = maybe.any(axis=1), maybe.any(axis=0)
+    if x is y:  # rows and columns stay the same ones, and the product symmetric
+        rows = columns = rows[some | others]
+        units = x.x[rows]
+        links = units @ units.T >= cosine
+        np.fill_diagonal(links, False)
+    else:
+        rows, columns = rows[some], columns[others]
+        links = x.x[rows] @ y.x[columns].T >= cosine
+    x.counts[rows] += links @ y.copies[columns]
+    if x is not y:
+        y.counts[columns] += x.copies[rows] @ links
+    index, column, stands = block_stars(links, x is y)
+    other = y.nodes[columns]
+    own = x.nodes[rows]
+    return np.where(column, other[np.minimum(index, len(other) - 1)], own[np.minimum(index, len(own) - 1)]), own[stands]
+
+
+def _meeting(centres: np.ndarray, cosine: float):
+    """All blocks of a lot against each other, or those of one lot against those of another."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        d = centres.shape[1]
+        lots = [[_Block(row, d) for row in side.itertuples()] for _, side in group.groupby("lot")]
+        alone = group["lot_a"].iloc[0] == group["lot_b"].iloc[0]
+        stars = []
+        if alone or len(lots) == 2:
+            for k, x in enumerate(lots[0]):
+                found = [m for m in (_meet(x, y, centres, cosine) for y in (lots[0][k:] if alone else lots[1])) if m]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), *[pa.int32()] * 3, *[pa.binary()] * 3), strict=True)], names=names)
-
-    return run
-
-
-def _product(cosine: float):
-    def run(batches):
-        for batch in batches:
-            nodes, counts, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for row in batch.to_pylist():
-                x = np.frombuffer(row["units"]).reshape(row["n"], -1)
-                y = np.frombuffer(row["units2"]).reshape(row["n2"], -1)
-                ids, partners = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["nodes2"], np.int64)
-                links = x @ y.T >= cosine
-                if row["same"]:
-                    np.fill_diagonal(links, False)
-                if not links.any():
-                    continue
-                sides = [(ids, links @ np.frombuffer(row["copies2"], np.int64))]
-                if not row["same"]:
-                    sides.append((partners, np.frombuffer(row["copies"], np.int64) @ links))
-                for who, n in sides:
-                    nodes.append(who[n > 0])
-                    counts.append(n[n > 0])
-                    others.append(np.full(int((n > 0).sum()), -1))
-                index, column, stands = block_stars(links, row["same"])
-                nodes.append(np.where(column, partners[np.minimum(index, len(partners) - 1)], ids[np.minimum(index, len(ids) - 1)]))
-                counts.append(np.zeros(len(index), np.int64))
-                others.append(ids[stands])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (nodes, counts, others)], names=["node", "n", "other"])
+                    a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+                    spans = forest(a, b)
+                    stars.append((a[spans], b[spans]))
+        nodes, counts = (np.concatenate(c) for c in zip(*[(x.nodes, x.counts) for lot in lots for x in lot], strict=True))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*stars, strict=True) if stars else ((), ())))
+        linked = counts > 0
+        return pd.DataFrame({"node": np.concatenate([nodes[linked], a]), "n": np.concatenate([counts[linked], np.zeros(len(a), np.int64)]), "other": np.concatenate([np.full(int(linked.sum()), -1), b])})
 
     return run
 
@@ -159,8 +188,9 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: s
         rows = usable(vectors, id_col, vector_col, label_col)
         grouped = rows.groupBy("label", "v").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
         nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()))
-        sizes = nodes.groupBy(F.size("v").alias("d"), "label").agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).orderBy("d").collect()
-        links = [_links_of(nodes.where(F.size("v") == r["d"]), r["d"], r["n"], cosine, sample, cell_rows, block_rows) for r in sizes]
+        sizes = nodes.groupBy(F.size("v").alias("d"), "label").agg(F.count("*").alias("n")).withColumn("lots", _lots("n"))
+        sizes = sizes.groupBy("d").agg(F.max("n").alias("n"), F.sum(F.col("lots") * (F.col("lots") + 1) / 2).alias("meetings")).orderBy("d").collect()
+        links = [_links_of(nodes.where(F.size("v") == r["d"]), r["d"], r["n"], int(min(r["meetings"], MEETINGS)), cosine, sample, cell_rows, block_rows) for r in sizes]
         if links:
             found = union_all(links)
             counts = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
@@ -179,26 +209,28 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: s
     return joined.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
-def _links_of(nodes: DataFrame, d: int, n: int, cosine: float, sample: int, cell_rows: int, block_rows: int) -> DataFrame:
-    """(node, n, other) of nodes with ``d`` components, at most ``n`` of a label: numbers of links, and links that span the components."""
+def _lots(n: str) -> Column:
+    """Number of lots of a label with ``n`` vectors."""
+    rows = F.least(F.greatest(F.col(n) / 8, F.lit(LOT_ROWS[0])), F.lit(LOT_ROWS[1]))
+    return F.ceil(F.col(n) / rows).cast("int")
+
+
+def _links_of(nodes: DataFrame, d: int, n: int, meetings: int, cosine: float, sample: int, cell_rows: int, block_rows: int) -> DataFrame:
+    """(node, n, other) of nodes with ``d`` components, at most ``n`` of a label: numbers of links, and links that span the
+    components."""
     sample = max(FITTED_ROWS, min(sample, SAMPLE_BYTES // (8 * d)))
     picked = hash_sample(nodes, "node", sample).select("v").collect()  # bounded by rows and by bytes
     centres = spherical_kmeans(unit(np.array([r["v"] for r in picked], float)), max(1, min(-(-n // cell_rows), len(picked) // FITTED_ROWS)))
-    placed = nodes.select("node", F.col("label").cast("string").alias("label"), "copies", "v").mapInArrow(_assign(centres, cosine), "node long, label string, copies long, cell int, shell int, u array<double>")
+    placed = nodes.select("node", F.col("label").cast("string").alias("label"), "copies", "v").mapInArrow(_assign(centres, cosine), "node long, label string, copies long, v array<double>, cell int, shell int")
     placed = materialize(placed)
     parts = placed.groupBy("label", "cell", "shell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
     dealt = placed.join(parts, ["label", "cell", "shell"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    packed = dealt.select("node", "label", "copies", "cell", "shell", "u", "part").groupBy("label", "cell", "shell", "part").applyInPandas(_pack, PACK)
-    homes = materialize(packed.withColumn("block", F.monotonically_increasing_id()))
-    guests = materialize(homes.drop("block").mapInArrow(_guests(centres, cosine), PACK).withColumn("block", F.lit(None).cast("long")), batch_rows=16)
-    packs = homes.unionByName(guests).withColumn("lot", F.xxhash64("block", "nodes"))
-    lots = packs.groupBy("label", "cell").agg(F.ceil(F.sum("n") / MEETING_ROWS).cast("int").alias("lots"))
-    left = homes.join(lots, ["label", "cell"]).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
-    right = packs.join(lots, ["label", "cell"]).withColumn("lot", F.pmod("lot", F.col("lots")).cast("int")).drop("lots")
-    right = right.withColumn("shell", F.explode(F.array(*[F.col("shell") + k for k in (-1, 0, 1)])))
-    right = right.select("label", "cell", "shell", "lot", *[F.col(c).alias(f"{c}2") for c in ("block", "n", "nodes", "copies", "units")])
-    met = left.join(right, ["label", "cell", "shell", "lot"]).where("block2 is null OR block <= block2")
-    met = met.select("n", "nodes", "copies", "units", "n2", "nodes2", "copies2", "units2", F.col("block2").eqNullSafe(F.col("block")).alias("same"))
-    out = materialize(met.mapInArrow(_product(cosine), "node long, n long, other long"), batch_rows=16)
-    discard(placed, homes, guests)
+    packed = dealt.select("node", "label", "copies", "v", "cell", "shell", "part").groupBy("label", "cell", "shell", "part").applyInPandas(_pack, PACK)
+    lots = placed.groupBy("label").agg(F.count("*").alias("in_label")).select("label", _lots("in_label").alias("lots"))
+    lotted = packed.join(lots, "label").withColumn("lot", F.pmod(F.xxhash64("nodes"), F.col("lots")).cast("int"))
+    partners = F.transform(F.sequence(F.lit(0), F.col("lots") - 1), lambda k: F.struct(F.least("lot", k).alias("lot_a"), F.greatest("lot", k).alias("lot_b")))
+    copied = lotted.select("label", "lot", F.explode(partners).alias("at"), *[c.split()[0] for c in PACK.split(", ")[1:]]).select("at.*", "*").drop("at")
+    dealt_lots = copied.repartition(meetings, "label", "lot_a", "lot_b")
+    out = materialize(dealt_lots.groupBy("label", "lot_a", "lot_b").applyInPandas(_meeting(centres, cosine), "node long, n long, other long"))
+    discard(placed)
     return out
