@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trajlake.functions.text import once, one_json_value
+from trajlake.functions.text import once, one_element, one_json_value
 
 
 def values_match(expected: Column, actual: Column, tolerance: float = 0.001) -> Column:
@@ -31,14 +31,19 @@ def list_values_match(expected: Column, actual: Column) -> Column:
     return (F.size(expected) == F.size(actual)) & (as_set(expected) == as_set(actual))
 
 
+def json_values(text: Column) -> Column:
+    """A JSON object's values by key, as variants in any order; null where ``json_map`` is null.  The text is parsed once."""
+    return F.when(one_element(text), F.try_parse_json(text).try_cast("map<string,variant>"))
+
+
 def json_map(text: Column) -> Column:
     """A JSON object's values by key, each as JSON text with its quotes, keys in the order of the text; null for anything
     else, so for several objects in a row or a repeated key."""
-    parts = F.struct(F.try_parse_json(text).try_cast("map<string,variant>").alias("values"), F.json_object_keys(text).alias("keys"), one_json_value(text).alias("whole"))
+    parts = F.struct(json_values(text).alias("values"), F.json_object_keys(text).alias("keys"))
 
     def whole(v: Column) -> Column:
         by_key = F.map_from_arrays(v["keys"], F.transform(v["keys"], lambda k: F.coalesce(F.to_json(F.try_element_at(v["values"], k)), F.lit("null"))))
-        return F.when(v["whole"] & v["values"].isNotNull(), by_key)
+        return F.when(v["values"].isNotNull(), by_key)
 
     return once(parts, whole)
 

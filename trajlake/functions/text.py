@@ -76,8 +76,12 @@ def one_json_value(content: Column) -> Column:
 
     The built-in parsers accept whatever follows the first value, so the text must also be the first of exactly two
     elements of a list.  An object with a repeated key does not count."""
-    elements = F.json_array_length(F.concat(F.lit("["), content, F.lit(",0]")))
-    return F.coalesce(F.try_parse_json(content).isNotNull() & (elements == 2), F.lit(False))
+    return F.coalesce(F.try_parse_json(content).isNotNull() & one_element(content), F.lit(False))
+
+
+def one_element(content: Column) -> Column:
+    """Whether a text is the first of exactly two elements of a list."""
+    return F.json_array_length(F.concat(F.lit("["), content, F.lit(",0]"))) == 2
 
 
 def one_json_object(content: Column) -> Column:
@@ -270,8 +274,7 @@ SAFE_SENTENCE = "Something went wrong with that call; I will correct it and retr
 
 def format_safe(template: Column, values: Column) -> Column:
     """``fill_template``, or a fixed sentence if a placeholder is left."""
-    filled = fill_template(template, values)
-    return F.when(filled.rlike(r"\{\w+\}"), F.lit(SAFE_SENTENCE)).otherwise(filled)
+    return once(fill_template(template, values), lambda filled: F.when(filled.rlike(r"\{\w+\}"), F.lit(SAFE_SENTENCE)).otherwise(filled))
 
 
 def without_model_prefix(name: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.functions.matching import bare, first_difference, json_map
-from trajlake.functions.text import fill_template, first_tool_call, format_safe, is_recoverable, remove_think_tags, strip_text, text_or_empty
+from trajlake.functions.text import fill_template, first_tool_call, format_safe, is_recoverable, once, remove_think_tags, strip_text, text_or_empty
 from trajlake.operators.inject import ERROR_MESSAGES, recovery_thought
 from trajlake.operators.sampling import pick_weighted, uniform
 from trajlake.operators.training import CALL_CLOSE, CALL_OPEN, _string, call_text
@@ -138,7 +138,7 @@ def wrong_arguments(arguments: Column, error: Column, mode: Column) -> Column:
     target = F.when(has("not found") & (F.size(identifiers) > 0), F.get(identifiers, F.lit(0))).otherwise(pick(names, mode))
     spoilt = F.transform_values(arguments, lambda k, v: F.when(k == target, corrupt_value(v, mode)).otherwise(v))
     fitted = F.when(has("payment", "amount"), paid).when(has("missing"), less).when(has("number", "match"), fewer).when(F.contains(low, F.lit("balance")) | F.contains(low, F.lit("insufficient")), dearer).otherwise(spoilt)
-    return F.when(F.size(names) > 0, F.when(F.map_entries(fitted) == F.map_entries(arguments), spoilt).otherwise(fitted))
+    return F.when(F.size(names) > 0, once(fitted, lambda f: F.when(F.map_entries(f) == F.map_entries(arguments), spoilt).otherwise(f)))
 
 
 # --- errors ------------------------------------------------------------------------------------------------------------------
@@ -148,7 +148,7 @@ def choose_templates(points: DataFrame, db: DataFrame, seed: int, wanted: Column
     """``points`` (key, domain, tool, ...) with ``template``: one of the errors the database has for the domain's tool, in
     proportion to its count; null where there is none that is ``wanted`` (recoverable ones if not given)."""
     usable = db.where(is_recoverable(F.col("error")) if wanted is None else wanted).select("domain", "tool", F.col("error").alias("template"), "count")
-    return pick_weighted(points, usable, ("domain", "tool"), "count", "template", "key", seed)
+    return pick_weighted(points, usable, ("domain", "tool"), "count", "template", "key", seed, small=True)
 
 
 def rule_errors(points: DataFrame, db: DataFrame, seed: int) -> DataFrame:
@@ -180,10 +180,10 @@ def _options(templates: DataFrame, kind: str) -> DataFrame:
 def with_templates(points: DataFrame, templates: DataFrame) -> DataFrame:
     """``points`` (domain, tool) with the texts of business errors and hallucinated names of their tool, and of the state
     errors of their domain."""
-    of_tool = lambda kind: _options(templates, kind).where("tool is not null")
+    of_tool = lambda kind: F.broadcast(_options(templates, kind).where("tool is not null"))
     states = _options(templates, "state").groupBy("domain").agg(F.array_sort(F.flatten(F.collect_list("_state"))).alias("_state"))
     out = points.join(of_tool("business"), ["domain", "tool"], "left").join(of_tool("hallucination"), ["domain", "tool"], "left")
-    return out.join(states, "domain", "left")
+    return out.join(F.broadcast(states), "domain", "left")
 
 
 def error_kind(available: dict[str, Column], u: Column) -> Column:
@@ -212,8 +212,9 @@ def typed_errors(points: DataFrame, db: DataFrame, templates: DataFrame, seed: i
     found = choose_templates(found, db, seed + 1, of(STATE_WORDS)).withColumnRenamed("template", "_db_state")
     rows = with_templates(found, templates).withColumns({"_a": json_map(F.col("arguments")), "_m": draw(F.col("key"), seed + 2)})
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
-    at_hand = {"parameter": some("_a"), "business": some("_a") & some("_business"), "state": F.col("_db_state").isNotNull(), "hallucination": some("_hallucination")}
-    rows = rows.withColumn("kind", error_kind(at_hand, uniform(F.col("key"), seed + 3))).where("kind is not null")
+    found = F.struct(some("_a").alias("a"), some("_business").alias("business"), F.col("_db_state").isNotNull().alias("state"), some("_hallucination").alias("hallucination"), uniform(F.col("key"), seed + 3).alias("u"))
+    at_hand = lambda v: {"parameter": v["a"], "business": v["a"] & v["business"], "state": v["state"], "hallucination": v["hallucination"]}
+    rows = rows.withColumn("kind", once(found, lambda v: error_kind(at_hand(v), v["u"]))).where("kind is not null")
     values = F.transform_values("_a", lambda k, v: bare(v))
     param = pick(F.map_keys("_a"), F.col("_m"))
     spoilt = F.transform_values("_a", lambda k, v: F.when(k == param, corrupt_value(v, F.col("_m"))).otherwise(v))
@@ -240,12 +241,12 @@ def recoveries(errors: DataFrame, sentences: tuple[tuple[str, str], ...] = RECOV
     for kind, text in sentences:
         table.setdefault(kind, []).append(text)
     options = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    right, wrong = json_map(F.col("arguments")), json_map(F.col("wrong"))
-    param = first_difference(right, wrong)
-    shown = lambda m, default: F.coalesce(F.substring(bare(F.try_element_at(m, param)), 1, 50), F.lit(default))
-    values = F.create_map(
-        F.lit("param"), F.coalesce(param, F.lit("parameter")), F.lit("wrong_value"), shown(wrong, "incorrect"), F.lit("correct_value"), shown(right, "correct"), F.lit("error"), F.substring(F.col("error"), 1, 100), F.lit("wrong_tool"), F.col("wrong_tool"), F.lit("correct_tool"), F.col("tool")
-    )
+    both = F.struct(json_map(F.col("arguments")).alias("right"), json_map(F.col("wrong")).alias("wrong"))
+    differing = once(both, lambda v: once(first_difference(v["right"], v["wrong"]), lambda p: F.struct(p.alias("param"), F.try_element_at(v["wrong"], p).alias("wrong"), F.try_element_at(v["right"], p).alias("right"))))
+    shown = lambda value, default: F.coalesce(F.substring(once(value, bare), 1, 50), F.lit(default))
+    values = once(differing, lambda v: F.create_map(
+        F.lit("param"), F.coalesce(v["param"], F.lit("parameter")), F.lit("wrong_value"), shown(v["wrong"], "incorrect"), F.lit("correct_value"), shown(v["right"], "correct"), F.lit("error"), F.substring(F.col("error"), 1, 100), F.lit("wrong_tool"), F.col("wrong_tool"), F.lit("correct_tool"), F.col("tool")
+    ))
     text = pick(F.coalesce(F.try_element_at(options, F.col("kind")), options[sentences[0][0]]), draw(F.col("key"), seed))
     call = F.concat(F.lit(CALL_OPEN), call_text(F.col("tool"), F.col("arguments")), F.lit(CALL_CLOSE))
     return errors.withColumn("recovery", F.concat(format_safe(text, values), F.lit("\n"), call))

@@ -55,11 +55,12 @@ def sample_with_replacement(rows: DataFrame, n: int, weight: str, key: str, seed
     return draws.join(spans, "_bucket").where((F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("high"))).drop("_bucket", "_u", "low", "high")
 
 
-def pick_weighted(rows: DataFrame, options: DataFrame, keys: tuple[str, ...], weight: str, order: str, row_key: str, seed: int, buckets: int = 64) -> DataFrame:
+def pick_weighted(rows: DataFrame, options: DataFrame, keys: tuple[str, ...], weight: str, order: str, row_key: str, seed: int, buckets: int = 64, small: bool = False) -> DataFrame:
     """``rows`` with the other columns of ``options``: one option of the row's keys, in proportion to its weight, by the hash
     of the row's key; nulls where the keys have none.
 
-    Options (a dimension: few for each key) get intervals of [0, 1) in the order of ``order``; rows find theirs in buckets."""
+    Options (a dimension: few for each key) get intervals of [0, 1) in the order of ``order``; rows find theirs in buckets.
+    ``small``: there are few in all, so they go to the rows, which stay where they are however few keys they have."""
     w = Window.partitionBy(*keys).orderBy(order)
     total = F.sum(weight).over(Window.partitionBy(*keys))
     high = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -69,7 +70,7 @@ def pick_weighted(rows: DataFrame, options: DataFrame, keys: tuple[str, ...], we
     at = [F.col(f"r.{k}") == F.col(f"o.{k}") for k in (*keys, "_bucket")]
     inside = (F.col("r._u") >= F.col("o._low")) & (F.col("r._u") < F.col("o._high"))
     more = [c for c in spans.columns if c not in (*keys, "_bucket", "_low", "_high")]
-    joined = drawn.alias("r").join(spans.alias("o"), [*at, inside], "left")
+    joined = drawn.alias("r").join((F.broadcast(spans) if small else spans).alias("o"), [*at, inside], "left")
     return joined.select(*[F.col(f"r.{c}").alias(c) for c in rows.columns], *[F.col(f"o.{c}").alias(c) for c in more])
 
 
