@@ -154,11 +154,11 @@ def task_check(task: Column) -> Column:
     Missing or mistyped top-level fields end the check: 25 and 10 hundredths each.  Below them a missing part costs 10, a
     mistyped one 5, a short text 5, no actions 10, an action that is no object or has no name 5, one without arguments 2,
     no assertions 5.  Text that is no JSON object lacks every field."""
-    from trajlake.functions.matching import json_map
+    from trajlake.functions.matching import json_values
 
-    none = F.create_map().cast("map<string,string>")
-    part = lambda m, k: F.coalesce(json_map(F.try_element_at(m, F.lit(k))), none)
-    texts_of = lambda m, k: F.coalesce(F.from_json(F.try_element_at(m, F.lit(k)), "array<string>"), F.array().cast("array<string>"))
+    none = F.lit(None).cast("map<string,variant>")
+    part = lambda m, k: F.try_element_at(m, F.lit(k)).try_cast("map<string,variant>")
+    texts_of = lambda m, k: F.coalesce(F.try_element_at(m, F.lit(k)).try_cast("array<string>"), F.array().cast("array<string>"))
 
     def level1(top: Column) -> Column:
         return once(F.struct(top.alias("top"), part(top, "user_scenario").alias("scenario"), part(top, "evaluation_criteria").alias("criteria")), level2)
@@ -169,41 +169,51 @@ def task_check(task: Column) -> Column:
         return once(F.struct(*parts), counted)
 
     def counted(v: Column) -> Column:
-        objects = F.filter(v["actions"], lambda a: F.startswith(a, F.lit("{")))
-        without = lambda k: F.size(F.filter(objects, lambda a: ~F.array_contains(F.json_object_keys(a), F.lit(k))))
+        keys = F.transform(F.filter(v["actions"], lambda a: F.startswith(a, F.lit("{"))), lambda a: F.json_object_keys(a))
+        return once(keys, lambda objects: odd(v, objects))
+
+    def odd(v: Column, objects: Column) -> Column:
+        without = lambda k: F.size(F.filter(objects, lambda o: ~F.array_contains(o, F.lit(k))))
         numbers = F.struct((F.size(v["actions"]) - F.size(objects)).alias("strange"), without("name").alias("unnamed"), without("arguments").alias("unargued"))
-        return once(F.struct(v.alias("v"), numbers.alias("n")), lambda x: _task_verdict(x["v"], x["n"]))
+        return once(numbers, lambda n: _task_verdict(v, n))
 
-    return once(F.coalesce(json_map(task), none), level1)
+    return once(F.coalesce(json_values(task), none), level1)
 
 
 def _task_verdict(v: Column, n: Column) -> Column:
-    """The verdict of ``task_check`` from a task's parts (maps of JSON texts) and the numbers of its odd actions."""
-    lacks = lambda m, k: ~F.map_contains_key(m, F.lit(k))
-    mistyped = lambda m, k, kind: ~lacks(m, k) & (_kind(F.try_element_at(m, F.lit(k))) != kind)
-    short = lambda k, least: F.length(F.coalesce(F.from_json(F.concat(F.lit("["), F.try_element_at(v["instructions"], F.lit(k)), F.lit("]")), "array<string>")[0], F.lit(""))) < least
-    head, rest = [], []  # (holds, hundredths, text, is an error)
-    for k, kind in TASK_FIELDS.items():
-        head += [(lacks(v["top"], k), 25, f"Missing required field: {k}", True), (mistyped(v["top"], k, kind), 10, f"Field {k} should be {kind}", True)]
-    for k, kind in SCENARIO_FIELDS.items():
-        rest += [(lacks(v["scenario"], k), 10, f"Missing user_scenario.{k}", True), (mistyped(v["scenario"], k, kind), 5, f"user_scenario.{k} should be {kind}", True)]
-    rest += [(lacks(v["instructions"], k), 10, f"Missing instructions.{k}", True) for k in INSTRUCTION_FIELDS]
-    rest += [(lacks(v["criteria"], k), 10, f"Missing evaluation_criteria.{k}", True) for k in CRITERIA_FIELDS]
-    rest += [(short("reason_for_call", LEAST_REASON_CHARS), 5, "reason_for_call too short", False), (short("task_instructions", LEAST_INSTRUCTION_CHARS), 5, "task_instructions too short", False)]
-    rest += [(F.size(v["actions"]) == 0, 10, "actions is empty", False), (v["n_assertions"] == 0, 5, "nl_assertions is empty", False)]
-    empty = F.array().cast("array<string>")
-    texts = lambda some: F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, _, t, _ in some]))
-    loss = lambda some: sum((F.when(c, k).otherwise(0) for c, k, _, _ in some), F.lit(0))
-    counted = lambda c, text: F.when(c > 0, F.array(F.concat(c.cast("string"), F.lit(text)))).otherwise(empty)
+    """The verdict of ``task_check`` from a task's parts (maps of variants, null for no object) and the numbers of its odd
+    actions.  Every rule is tried once: it leaves its cost and text where it is broken."""
+    lacks = lambda m, k: ~F.coalesce(F.map_contains_key(m, F.lit(k)), F.lit(False))
+    kind_of = lambda m, k: _kind(F.to_json(F.try_element_at(m, F.lit(k))))
+    short = lambda k, least: F.length(F.coalesce(F.try_element_at(v["instructions"], F.lit(k)).try_cast("string"), F.lit(""))) < least
+    broke = lambda cost, text: F.struct(F.lit(cost).alias("cost"), F.lit(text).alias("text"))
+    found = lambda rules: F.array_compact(F.array(*rules))
+    cost = lambda some: F.aggregate(some, F.lit(0), lambda a, x: a + x["cost"])
+    texts = lambda some: F.transform(some, lambda x: x["text"])
+
+    def typed(m: Column, k: str, kind: str, name: str, missing: tuple[int, str], mistyped: int) -> Column:
+        return F.when(lacks(m, k), broke(*missing)).when(kind_of(m, k) != kind, broke(mistyped, f"{name} should be {kind}"))
+
+    head = [typed(v["top"], k, kind, f"Field {k}", (25, f"Missing required field: {k}"), 10) for k, kind in TASK_FIELDS.items()]
+    errors = [typed(v["scenario"], k, kind, f"user_scenario.{k}", (10, f"Missing user_scenario.{k}"), 5) for k, kind in SCENARIO_FIELDS.items()]
+    errors += [F.when(lacks(v["instructions"], k), broke(10, f"Missing instructions.{k}")) for k in INSTRUCTION_FIELDS]
+    errors += [F.when(lacks(v["criteria"], k), broke(10, f"Missing evaluation_criteria.{k}")) for k in CRITERIA_FIELDS]
+    warnings = [F.when(short("reason_for_call", LEAST_REASON_CHARS), broke(5, "reason_for_call too short")), F.when(short("task_instructions", LEAST_INSTRUCTION_CHARS), broke(5, "task_instructions too short"))]
+    warnings += [F.when(F.size(v["actions"]) == 0, broke(10, "actions is empty")), F.when(v["n_assertions"] == 0, broke(5, "nl_assertions is empty"))]
+    of = lambda c, each, text: F.when(c > 0, F.struct((each * c).alias("cost"), F.concat(c.cast("string"), F.lit(text)).alias("text")))
+    errors += [of(n["strange"], 5, " actions are no objects"), of(n["unnamed"], 5, " actions without name")]
+    warnings += [of(n["unargued"], 2, " actions without arguments")]
 
     def verdict(x: Column) -> Column:
-        broken = F.size(x["head"]) > 0
-        errors = F.when(broken, x["head"]).otherwise(F.concat(texts([r for r in rest if r[3]]), counted(n["strange"], " actions are no objects"), counted(n["unnamed"], " actions without name")))
-        warnings = F.when(broken, empty).otherwise(F.concat(texts([r for r in rest if not r[3]]), counted(n["unargued"], " actions without arguments")))
-        score = F.greatest(F.lit(0), 100 - F.when(broken, loss(head)).otherwise(loss(rest) + 5 * n["strange"] + 5 * n["unnamed"] + 2 * n["unargued"])) / 100
-        return once(errors, lambda e: F.struct((F.size(e) == 0).alias("valid"), score.alias("score"), e.alias("errors"), warnings.alias("warnings")))
+        score = F.greatest(F.lit(0), 100 - cost(x["errors"]) - cost(x["warnings"])) / 100
+        return F.struct((F.size(x["errors"]) == 0).alias("valid"), score.alias("score"), texts(x["errors"]).alias("errors"), texts(x["warnings"]).alias("warnings"))
+
+    def below(top: Column) -> Column:
+        broken = F.size(top) > 0
+        none = F.filter(top, lambda x: F.lit(False))
+        return once(F.struct(F.when(broken, top).otherwise(found(errors)).alias("errors"), F.when(broken, none).otherwise(found(warnings)).alias("warnings")), verdict)
 
-    return once(F.struct(texts(head).alias("head")), verdict)
+    return once(found(head), below)
 
 
 def user_info_problem(info: Column) -> Column:
